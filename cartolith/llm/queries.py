@@ -1,13 +1,15 @@
 """The queries of this subpackage and their DuckDB SQL, where SQL can express them."""
 
-from . import bpe, decontaminate, token_orc
+from . import bpe, decontaminate, quality_rules, token_orc
 
 QUERIES = {
     "op3_bpe_rank_array": bpe.op3_bpe_rank_array,
+    "op4_risk_controlled_rules": quality_rules.op4_risk_controlled_rules,
     "op6_orc_token_ids": token_orc.op6_orc_token_ids,
     "op10_wu_manber": decontaminate.op10_wu_manber,
 }
 
 ORACLE_SQL = {
+    "op4_risk_controlled_rules": quality_rules.OP4_SQL,
     "op10_wu_manber": decontaminate.OP10_SQL,
 }
