@@ -1,15 +1,19 @@
 """The queries of this subpackage and their DuckDB SQL, where SQL can express them."""
 
-from . import bpe, decontaminate, quality_rules, token_orc
+from . import bpe, chat_format, decontaminate, line_dedup, quality_rules, token_orc
 
 QUERIES = {
+    "op2_chat_tokens": chat_format.op2_chat_tokens,
     "op3_bpe_rank_array": bpe.op3_bpe_rank_array,
     "op4_risk_controlled_rules": quality_rules.op4_risk_controlled_rules,
     "op6_orc_token_ids": token_orc.op6_orc_token_ids,
+    "op8_line_windows": line_dedup.op8_line_windows,
     "op10_wu_manber": decontaminate.op10_wu_manber,
 }
 
 ORACLE_SQL = {
+    "op2_chat_tokens": chat_format.OP2_SQL,
+    "op8_line_windows": line_dedup.OP8_SQL,
     "op4_risk_controlled_rules": quality_rules.OP4_SQL,
     "op10_wu_manber": decontaminate.OP10_SQL,
 }
