@@ -1,8 +1,9 @@
 """The queries of this subpackage and their DuckDB SQL, where SQL can express them."""
 
-from . import bpe, chat_format, decontaminate, line_dedup, quality_rules, token_orc
+from . import bpe, chat_format, decontaminate, line_dedup, pii, quality_rules, token_orc
 
 QUERIES = {
+    "op1_feistel_pseudonyms": pii.op1_feistel_pseudonyms,
     "op2_chat_tokens": chat_format.op2_chat_tokens,
     "op3_bpe_rank_array": bpe.op3_bpe_rank_array,
     "op4_risk_controlled_rules": quality_rules.op4_risk_controlled_rules,
