@@ -1,6 +1,6 @@
 """The queries of this subpackage and their DuckDB SQL, where SQL can express them."""
 
-from . import bpe, chat_format, decontaminate, line_dedup, pii, quality_rules, token_orc
+from . import bpe, chat_format, decontaminate, line_dedup, ngram_join, pii, quality_rules, token_orc
 
 QUERIES = {
     "op1_feistel_pseudonyms": pii.op1_feistel_pseudonyms,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_risk_controlled_rules": quality_rules.op4_risk_controlled_rules,
     "op6_orc_token_ids": token_orc.op6_orc_token_ids,
     "op8_line_windows": line_dedup.op8_line_windows,
+    "op9_bayes_ngram_join": ngram_join.op9_bayes_ngram_join,
     "op10_wu_manber": decontaminate.op10_wu_manber,
 }
 
@@ -16,5 +17,6 @@ ORACLE_SQL = {
     "op2_chat_tokens": chat_format.OP2_SQL,
     "op8_line_windows": line_dedup.OP8_SQL,
     "op4_risk_controlled_rules": quality_rules.OP4_SQL,
+    "op9_bayes_ngram_join": ngram_join.OP9_SQL,
     "op10_wu_manber": decontaminate.OP10_SQL,
 }
