@@ -44,6 +44,21 @@ class PackedEncoder:
             out += [part] if i % 2 else chunks(part)
         return out
 
+    def _learn(self, missing: list[str]) -> None:
+        """Encode chunks; a comma or full stop after a letter is a piece of its own, so the rest may be known."""
+        known, marks, bases, plain = self.known, {}, set(), []
+        for c in missing:
+            if c[-1:] in (",", ".") and c[-2:-1].isalpha():
+                marks[c] = c[:-1]
+                if c[:-1] not in known:
+                    bases.add(c[:-1])
+            else:
+                plain.append(c)
+        plain += bases.difference(plain)
+        plain += {c[-1] for c in marks}.difference(known, plain)
+        known.update(zip(plain, self.encode_chunks(plain)))
+        known.update((c, known[base] + known[c[-1]]) for c, base in marks.items())
+
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [self._parts(t) for t in texts]
         if len(self.known) > self.most:
@@ -52,7 +67,7 @@ class PackedEncoder:
             self.known.update(self.special)
         missing = list(set().union(*parts).difference(self.known))
         if missing:
-            self.known.update(zip(missing, self.encode_chunks(missing)))
+            self._learn(missing)
         find = self.known.__getitem__
         return [b"".join(map(find, p)) for p in parts]
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import zlib
 
 import numpy as np
@@ -31,6 +32,10 @@ from .bpe import read_tokenizer
 END_ID = 2
 SCHEMA = "doc_id long, part int, before long, n_tokens long, ids array<int>"
 
+#: Chunks that are encoded together, and those that white space keeps from it.
+LINES = 64
+_NO_LINE = re.compile(r".\s|^[^\S ]|^ ?$", re.S)
+
 _LOADED: dict = {}
 
 
@@ -50,12 +55,25 @@ def library_encoder(key: str, source: str) -> PackedEncoder:
         pre = data.get("pre_tokenizer") or {}
         apart = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not data.get("normalizer") and not data.get("post_processor")
 
-        def encode(parts: list[str]) -> list[bytes]:
+        def each(parts: list[str]) -> list[bytes]:
             return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
+        def encode(parts: list[str]) -> list[bytes]:
+            """Chunks go to the library a few dozen at a time, one a line; the line feeds' ids tell them apart."""
+            feed = tokenizer.encode("\n", add_special_tokens=False).ids
+            lines = [p for p in parts if not _NO_LINE.search(p)] if len(feed) == 1 else []
+            out, some = {}, [lines[i : i + LINES] for i in range(0, len(lines), LINES)]
+            for chunk, e in zip(some, tokenizer.encode_batch_fast(["\n".join(x) for x in some], add_special_tokens=False)):
+                ids = np.array(e.ids, "<u4")
+                raw, ends = ids.tobytes(), [*np.flatnonzero(ids == feed[0]).tolist(), len(ids)]
+                out.update(zip(chunk, [raw[4 * a : 4 * b] for a, b in zip([0, *(x + 1 for x in ends)], ends)], strict=True))
+            rest = [p for p in parts if p not in out]
+            out.update(zip(rest, each(rest)))
+            return [out[p] for p in parts]
+
         encoder = PackedEncoder(encode, {t["content"]: t["id"] for t in data.get("added_tokens", [])} if apart else {})
         if not apart:
-            encoder.encode = encode
+            encoder.encode = each
         _LOADED.clear()
         _LOADED[key] = encoder
     return _LOADED[key]
