@@ -1,12 +1,13 @@
 """The queries of this subpackage and their DuckDB SQL, where SQL can express them."""
 
-from . import bpe, chat_format, decontaminate, line_dedup, ngram_join, pii, quality_rules, token_orc
+from . import bpe, chat_format, decontaminate, line_dedup, ngram_join, pii, quality_classifier, quality_rules, token_orc
 
 QUERIES = {
     "op1_feistel_pseudonyms": pii.op1_feistel_pseudonyms,
     "op2_chat_tokens": chat_format.op2_chat_tokens,
     "op3_bpe_rank_array": bpe.op3_bpe_rank_array,
     "op4_risk_controlled_rules": quality_rules.op4_risk_controlled_rules,
+    "op5_random_indexing_network": quality_classifier.op5_random_indexing_network,
     "op6_orc_token_ids": token_orc.op6_orc_token_ids,
     "op8_line_windows": line_dedup.op8_line_windows,
     "op9_bayes_ngram_join": ngram_join.op9_bayes_ngram_join,
