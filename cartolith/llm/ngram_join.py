@@ -164,8 +164,9 @@ def op9_bayes_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each class, that of the smallest id (among equal ids, of the smallest text hash)."""
     found = materialize(spark, similar_documents(spark, docs), "ngram-result")
-    empty = F.when((F.col("n_links") == 0), F.struct("id", "th")).otherwise(F.struct("class_id", F.lit(0).cast("long").alias("th")))
-    first = found.groupBy(empty.alias("c")).agg(F.min(F.struct("id", "th")).alias("k")).select("k.id", "k.th").distinct()
+    alone = F.col("n_links") == 0
+    groups = found.select("id", "th", F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("c"), F.when(alone, F.col("th")).alias("t"))
+    first = groups.groupBy("c", "t").agg(F.min(F.struct("id", "th")).alias("k")).select("k.id", "k.th").distinct()
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("th"))
     return rows.join(first, ["id", "th"], "left_semi").dropDuplicates(["id", "th"]).select("_row.*")
