@@ -1,6 +1,6 @@
 """The queries of this subpackage and their DuckDB SQL, where SQL can express them."""
 
-from . import bpe, chat_format, decontaminate, line_dedup, ngram_join, pii, quality_classifier, quality_rules, token_orc
+from . import bpe, chat_format, decontaminate, line_dedup, ngram_join, pii, quality_classifier, quality_rules, substring_dedup, token_orc
 
 QUERIES = {
     "op1_feistel_pseudonyms": pii.op1_feistel_pseudonyms,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_risk_controlled_rules": quality_rules.op4_risk_controlled_rules,
     "op5_random_indexing_network": quality_classifier.op5_random_indexing_network,
     "op6_orc_token_ids": token_orc.op6_orc_token_ids,
+    "op7_paragraph_minhash": substring_dedup.op7_paragraph_minhash,
     "op8_line_windows": line_dedup.op8_line_windows,
     "op9_bayes_ngram_join": ngram_join.op9_bayes_ngram_join,
     "op10_wu_manber": decontaminate.op10_wu_manber,
