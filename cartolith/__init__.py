@@ -1,0 +1 @@
+"""Data quality, conversion and roll-up of geospatial container files as Spark plans."""
