@@ -104,6 +104,10 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     return wide.select(*[F.col(f"`{c}`") for c in names], "_words.n_words", "_words.n_repeat_words", "_lines.n_lines", "_lines.n_dup_lines")
 
 
+def _bin(name: str, top: str, bottom: str) -> Column:
+    return F.size(F.filter(F.array(*[F.lit(c) for c in cutoffs(name)]), lambda c: _statistic(top, bottom) <= c))
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
@@ -139,7 +143,7 @@ def fit_cutoffs(stats: DataFrame, labels: DataFrame, *, alpha: float = ALPHA, de
         *[
             F.struct(
                 F.lit(name).alias("rule"),
-                sum([F.when(_statistic(top, bottom) > c, 0).otherwise(1) for c in cutoffs(name)], F.lit(0)).alias("bin"),
+                _bin(name, top, bottom).alias("bin"),
             )
             for name, top, bottom in RULES
         ]
