@@ -41,44 +41,55 @@ PASSAGE = 15
 BANDS, ROWS = 5, 2
 #: Rows of 8 to 40 bytes that may be broadcast after a count.
 KEYS = 400_000
-_PHRASE = re.compile(rb"[.,;:!?]+(?=\s|$)|\n")
+_ENDS = (b".", b",", b";", b":", b"!", b"?")
 _CACHE = 400_000
 
 
 class Paragraphs:
-    """Cuts texts into paragraphs; keeps hashes of words seen before."""
+    """Cuts texts into paragraphs; keeps hashes and marks of words seen before.
+
+    A line feed becomes a mark at the end of the word before it, so one split gives words
+    and phrase ends alike.  The two low bits of a word's entry say whether it ends a phrase
+    and whether it is a bare mark, which is no word.
+    """
 
     def __init__(self):
         self.known: dict[bytes, int] = {}
 
-    def _hashes(self, words: list[bytes]) -> np.ndarray:
+    def _entry(self, word: bytes) -> int:
+        bare = word.rstrip(b"\0")
+        ends = len(bare) < len(word) or bare[-1:] in _ENDS
+        return xxhash.xxh3_64_intdigest(bare) & ~3 | ends | (not bare) << 1
+
+    def _entries(self, words: list[bytes]) -> np.ndarray:
         known = self.known
         if len(known) > _CACHE:
             known.clear()
         for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
+            known[w] = self._entry(w)
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
     def cut(self, texts: list[str | None]):
         """Word hashes, flat, and for each paragraph its text's number, first word in the text, place in the flat array and length."""
         flat, text, first, place, length, base = [], [], [], [], [], 0
         for number, t in enumerate(texts):
-            words, sizes, data, at = [], [], (t or "").encode(), 0
-            for end in [m.end() for m in _PHRASE.finditer(data)] + [len(data)]:
-                if w := data[at:end].split():
-                    words += w
-                    sizes.append(len(w))
-                at = end
-            if not words:
+            h = self._entries((t or "").encode().replace(b"\n", b"\0 ").split())
+            bare = (h & np.uint64(2)) != 0
+            if bare.any():  # the phrase ends with the word before a bare mark
+                before = np.flatnonzero(bare) - 1
+                h[before[before >= 0]] |= np.uint64(1)
+                h = h[~bare]
+            if not len(h):
                 continue
-            h = self._hashes(words)
-            sizes = np.array(sizes)
+            ends = np.flatnonzero(h & np.uint64(1)) + 1
+            if not len(ends) or ends[-1] != len(h):
+                ends = np.append(ends, len(h))
+            h &= ~np.uint64(3)
+            sizes = np.diff(ends, prepend=0)
             if sizes.max() > LONG:
-                ends = np.cumsum(sizes)
                 inside = np.repeat(sizes > LONG, sizes) & (mix_low(h) == 0)
                 ends = np.union1d(ends, np.flatnonzero(inside) + 1)
                 sizes = np.diff(ends, prepend=0)
-            ends = np.cumsum(sizes)
             ends = np.union1d(ends[sizes >= LEAST], ends[-1:])
             starts = np.concatenate([[0], ends[:-1]])
             keep = ends - starts >= LEAST
@@ -126,15 +137,13 @@ def _batches(batches, width: int = 2 << 20):
             yield batch.slice(a, b - a), texts[a:b]
 
 
-def _key_rows(docs: DataFrame) -> DataFrame:
-    """``key, h``: every band key of every paragraph."""
+def _paragraphs(docs: DataFrame) -> DataFrame:
+    """``h, id, th, start, n, keys`` of every paragraph: digest, document, first word, length and band keys."""
 
     def run(batches):
         cutter = Paragraphs()
-        for _, texts in _batches(batches):
-            flat, _, _, place, length = cutter.cut(texts)
-            if not len(place):
-                continue
+        for batch, texts in _batches(batches):
+            flat, text, first, place, length = cutter.cut(texts)
             with np.errstate(over="ignore"):
                 rolled = np.zeros(max(0, len(flat) - S.SHINGLE + 1), np.uint64)
                 for k in range(S.SHINGLE):
@@ -142,23 +151,13 @@ def _key_rows(docs: DataFrame) -> DataFrame:
             sets = length - S.SHINGLE + 1
             ends = np.concatenate([[0], np.cumsum(sets)])
             keys = S.band_keys(S.minhash(rolled[_spread(place, sets)], ends, BANDS * ROWS), BANDS, ROWS)
-            h = np.repeat(digests(flat, place, length), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(h)], ["key", "h"])
-
-    return docs.select("text").mapInArrow(run, "key long, h long")
-
-
-def _occurrences(docs: DataFrame) -> DataFrame:
-    """``h, id, th, start, n`` of every paragraph: digest, document, first word and length."""
-
-    def run(batches):
-        cutter = Paragraphs()
-        for batch, texts in _batches(batches):
-            flat, text, first, place, length = cutter.cut(texts)
             at = pa.array(text)
-            yield pa.RecordBatch.from_arrays([pa.array(digests(flat, place, length)), batch.column("id").take(at), batch.column("th").take(at), pa.array(first), pa.array(length)], ["h", "id", "th", "start", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(digests(flat, place, length)), batch.column("id").take(at), batch.column("th").take(at), pa.array(first), pa.array(length), S.list_of(keys.reshape(-1), np.arange(len(length) + 1) * BANDS)],
+                ["h", "id", "th", "start", "n", "keys"],
+            )
 
-    return docs.select("id", "th", "text").mapInArrow(run, "h long, id long, th long, start long, n long")
+    return docs.select("id", "th", "text").mapInArrow(run, "h long, id long, th long, start long, n long, keys array<long>")
 
 
 def _shingles_of(rows: DataFrame) -> DataFrame:
@@ -191,12 +190,12 @@ def repeated_paragraphs(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``id, th, start, n, root, removed`` of every paragraph that is in a component of two occurrences or more."""
     small_batches(spark)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("th"), "text")
-    rows = _key_rows(docs)
+    places = _written(spark, _paragraphs(docs), "passage-places")
+    rows = places.select(F.explode("keys").alias("key"), "h")
     shared = rows.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a < b").select("key")
     shared = _written(spark, shared, "passage-keys")
     members = _written(spark, rows.join(broadcast_if_small(shared, KEYS), "key").distinct(), "passage-members")
     colliding = members.select("h").distinct()
-    places = _written(spark, _occurrences(docs), "passage-places")
     counted = places.groupBy("h").agg(F.count("*").alias("c"), F.min(F.struct("id", "th", "start")).alias("at"))
     counted = counted.join(broadcast_if_small(_written(spark, colliding.withColumn("near", F.lit(True)), "passage-near"), KEYS), "h", "left").filter("c > 1 or near")
     counted = _written(spark, counted, "passage-counted")
