@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import dims
 from .adapters import WKT, Views, sql
 from .functions import binary, crs, text
-from .operators import catalog, maintenance, scoring, zoom
+from .operators import catalog, maintenance, scorers, scoring, zoom
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
@@ -545,3 +545,68 @@ def _(v):
     from .plans.validate import file_profile
 
     return file_profile(v.contents, v.matrix)
+
+
+# Second looks and audits
+
+_DEF = "coalesce(definition_12_063, definition, '')"
+_EPSG = r"""TRY_CAST(list_concat(regexp_extract_all(wkt, 'AUTHORITY\["EPSG","?(\d+)"?\]', 1), regexp_extract_all(wkt, 'ID\["EPSG",(\d+)\]', 1))[-1] AS INT)"""
+
+
+def _score(req: int, ok: str, rows: str) -> str:
+    return f"SELECT file, {req} AS req, count(*) FILTER ({ok}) AS confirmed, count(*) AS total FROM {rows} GROUP BY file"
+
+
+_SCORERS = {
+    "score_3_mandatory_extensions": (
+        lambda v: scorers.mandatory_extensions(v.contents, v.extensions),
+        f"""WITH n AS (SELECT DISTINCT file, rule AS extension_name, category FROM (SELECT DISTINCT file, {_CAT} AS category FROM contents) c JOIN {_RULES} USING (category) WHERE use = 'M'),
+        h AS (SELECT file, extension_name, bool_or(coalesce(trim(table_name) <> '', false)) AS named FROM extensions GROUP BY 1, 2) """ + _score(3, "named", "n LEFT JOIN h USING (file, extension_name)"),
+    ),
+    "score_4_named_extensions": (lambda v: scorers.named_extensions(v.extensions), _score(4, "trim(table_name) <> ''", "extensions")),
+    "score_7_tile_systems": (
+        lambda v: scorers.tile_systems(v.sets, v.srs),
+        f"WITH r AS (SELECT s.file, s.srs_id, srs_name, {_DEF} AS wkt FROM sets s LEFT JOIN srs d ON d.file = s.file AND d.srs_id = s.srs_id), c AS (SELECT *, {_EPSG} AS code FROM r) " + _score(7, "trim(srs_name) <> '' AND (code IS NULL OR code = srs_id)", "c"),
+    ),
+    "score_9_vector_2d": (lambda v: scorers.vector_systems(v.geometry_columns, z=False), _score(9, "srs_id = 4326", "geometry_columns WHERE z = 0")),
+    "score_10_vector_3d": (lambda v: scorers.vector_systems(v.geometry_columns, z=True), _score(10, "srs_id IN (4979, 9518)", "geometry_columns WHERE z <> 0")),
+    "score_13_definitions": (lambda v: scorers.long_definitions(v.srs), f"WITH r AS (SELECT *, {_DEF} AS wkt FROM srs WHERE srs_id > 0), c AS (SELECT *, {_EPSG} AS code FROM r) " + _score(13, "length(wkt) > 20 AND code = srs_id", "c")),
+    "score_14_compound": (
+        lambda v: scorers.compound_only_in_3d(v.geometry_columns, v.srs),
+        f"WITH r AS (SELECT g.file, z FROM geometry_columns g JOIN srs d ON d.file = g.file AND d.srs_id = g.srs_id WHERE contains(upper({_DEF}), 'COMPOUND')) " + _score(14, "z <> 0", "r"),
+    ),
+    "score_18_complete_metadata": (lambda v: scorers.complete_metadata(v.metadata), _score(18, f"({_ELEMENTS}) = 7", "metadata WHERE regexp_matches(lower(md_standard_uri), 'dgiwg|dmf')")),
+    "score_20_whole_file": (lambda v: scorers.whole_file_references(v.reference), "SELECT file, 20 AS req, least(1, count(*) FILTER (reference_scope = 'geopackage'))::BIGINT AS confirmed, 1::BIGINT AS total FROM reference GROUP BY file"),
+    "score_21_partial_references": (
+        lambda v: scorers.partial_references(v.reference, v.metadata),
+        f"WITH r AS (SELECT r.file, p.md_scope IS NOT NULL AS fine FROM reference r LEFT JOIN metadata m ON m.file = r.file AND m.id = r.md_file_id LEFT JOIN {_PAIRS} ON p.reference_scope = r.reference_scope AND p.md_scope = m.md_scope WHERE r.reference_scope <> 'geopackage') " + _score(21, "fine", "r"),
+    ),
+    "score_22_series": (lambda v: scorers.series_documents(v.metadata), _score(22, "length(md_standard_uri) > 5", "metadata WHERE md_scope = 'series'")),
+    "score_23_parents": (lambda v: scorers.parents(v.reference, v.metadata), "SELECT r.file, 23 AS req, count(m.id) AS confirmed, count(*) AS total FROM reference r LEFT JOIN metadata m ON m.file = r.file AND m.id = r.md_parent_id WHERE md_parent_id IS NOT NULL GROUP BY r.file"),
+    "score_25_square_levels": (lambda v: scorers.square_levels(v.matrix), _score(25, "tile_width = 256 AND tile_height = 256", "matrix")),
+    "score_28_populated_levels": (
+        lambda v: scorers.populated_levels(v.matrix, v.tiles),
+        "WITH h AS (SELECT DISTINCT file, table_name, zoom_level, 1 AS there FROM tiles), r AS (SELECT file, table_name, count(*) AS n, count(there) AS k FROM matrix LEFT JOIN h USING (file, table_name, zoom_level) GROUP BY 1, 2 HAVING count(*) > 1) " + _score(28, "n = k", "r"),
+    ),
+    "score_29_single_levels": (lambda v: scorers.single_levels(v.matrix), "WITH r AS (SELECT file, table_name, bool_and(tile_width = 256 AND tile_height = 256) AS sq FROM matrix GROUP BY 1, 2 HAVING count(*) = 1) " + _score(29, "sq", "r")),
+    "score_31_tile_layers": (
+        lambda v: scorers.linked_layers(v.contents, v.reference, "tiles"),
+        "WITH n AS (SELECT DISTINCT file, table_name, 1 AS linked FROM reference WHERE reference_scope = 'table') " + _score(31, "linked = 1", "contents LEFT JOIN n USING (file, table_name) WHERE data_type = 'tiles'"),
+    ),
+    "score_32_feature_layers": (
+        lambda v: scorers.linked_layers(v.contents, v.reference, "features"),
+        "WITH n AS (SELECT DISTINCT file, table_name, 1 AS linked FROM reference WHERE reference_scope = 'table') " + _score(32, "linked = 1", "contents LEFT JOIN n USING (file, table_name) WHERE data_type = 'features'"),
+    ),
+    "score_33_coverages": (lambda v: scorers.complete_coverages(v.coverage), _score(33, "trim(quantity_definition) <> '' AND trim(field_name) <> '' AND trim(grid_cell_encoding) <> ''", "coverage")),
+    "audit_extensions": (
+        lambda v: scorers.extension_audit(v.extensions),
+        "WITH r AS (SELECT file, extension_name, CASE WHEN extension_name IN (" + ", ".join(f"'{e}'" for e in dims.EXTENSIONS if not e.endswith("_")) + ") OR starts_with(extension_name, 'gpkg_geom_') THEN 'known' WHEN starts_with(extension_name, 'gdal') THEN 'gdal' ELSE 'unknown' END AS kind FROM extensions) SELECT file, kind, count(*) AS n, count(DISTINCT extension_name) AS n_names FROM r GROUP BY file, kind",
+    ),
+    "audit_definitions": (
+        lambda v: scorers.definition_audit(v.srs),
+        f"""WITH r AS (SELECT file, definition, CASE WHEN regexp_matches(upper(definition), '^\\s*({"|".join(text.WKT2_ROOTS)})\\[') THEN 'WKT2' WHEN {_WKT1} THEN 'WKT1' ELSE 'none' END AS start FROM srs WHERE srs_id > 0) SELECT file, start, count(*) AS n, count(*) FILTER (contains(definition, 'AUTHORITY["ESRI"')) AS n_esri FROM r GROUP BY file, start""",
+    ),
+    "audit_references": (lambda v: scorers.reference_audit(v.reference), "SELECT file, count(*) AS n, count(*) FILTER (table_name IS NOT NULL OR column_name IS NOT NULL OR row_id_value IS NOT NULL) AS n_named FROM reference WHERE reference_scope = 'geopackage' GROUP BY file"),
+}
+for _name, (_f, _body) in _SCORERS.items():
+    query(_name, _body)(_f)
