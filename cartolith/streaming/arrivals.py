@@ -40,7 +40,7 @@ def validate_arrivals(spark: SparkSession, folder: str, sink: Callable[[DataFram
 def windowed_statistics(events: DataFrame, *, late: str = "10 minutes", window: str = "1 hour", by: str = "event_type") -> DataFrame:
     """Tumbling windows over ``ts``: count, sum and extremes of ``value``; rows later than ``late`` are dropped by the watermark."""
     return (
-        events.withWatermark("ts", late).groupBy(F.window("ts", window), by)
+        events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", window), by)
         .agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"), F.min("value").alias("low"), F.max("value").alias("high"))
         .select(F.col("window.start").alias("start"), by, "n", "total", "low", "high")
     )
