@@ -28,6 +28,7 @@ class Catalog:
     reference: DataFrame
     tiles: DataFrame
     features: DataFrame
+    coverage: DataFrame
 
 
 def file_profile(contents: DataFrame, matrix: DataFrame) -> DataFrame:
@@ -117,6 +118,25 @@ def findings(c: Catalog, as_of: str) -> DataFrame:
     boxes = zoom.bbox_in_extent(c.contents, c.sets).select("file", (~F.col("problem").isin("ok", "unknown system")).alias("bad"))
     link = lambda kind: c.contents.filter(F.col("data_type") == kind).select("file").distinct().join(flag(catalog.unlinked_layers(c.contents, c.reference, kind), "bad"), "file", "left")
 
+    # Gridded coverages: compound and dynamic systems, ancillary tables, elevation, zoom factor, metadata.
+    epochs = used.filter("epoch IS NOT NULL AND epoch <> 0")
+    r17 = epochs.select("file", F.coalesce(F.round(text.frame_epoch(F.col("wkt")), 1) != F.round("epoch", 1), F.lit(True)).alias("bad"))
+    grids = c.coverage.select("file", "table_name").distinct()
+    vertical = used.join(c.sets.join(grids, ["file", "table_name"]).select("file", "srs_id").distinct(), ["file", "srs_id"], "left_semi").filter(F.upper("wkt").contains("COMPOUND") | F.upper("wkt").contains("COMPD_CS"))
+    wkt2 = c.schema.filter("table_name = 'gpkg_spatial_ref_sys' AND column_name = 'definition_12_063'").select("file", F.lit(True).alias("has"))
+    r16 = vertical.join(wkt2, "file", "left").select("file", (F.col("has").isNull() | (text.compound_problems(F.col("wkt")) != "")).alias("bad"))
+    gridded = has("gpkg_2d_gridded_coverage_ancillary")
+    lacking = catalog.missing_columns(c.schema, "gpkg_2d_gridded_coverage_ancillary", ["tile_matrix_set_name", "field_name", "quantity_definition", "grid_cell_encoding"]).select("file")
+    unregistered = gridded.join(c.extensions.filter("extension_name = 'gpkg_2d_gridded_coverage'").select("file"), "file", "left_anti")
+    r33 = gridded.join(flag(lacking.unionByName(unregistered).unionByName(gridded.join(has("gpkg_2d_gridded_tile_ancillary"), "file", "left_anti")), "bad"), "file", "left")
+    heights = catalog.gridded_elevation(c.coverage)
+    factors = zoom.gridded_zoom_factor(c.matrix.join(grids, ["file", "table_name"])).select("file", (F.col("confirmed") < F.col("n_steps")).alias("bad"))
+    r36 = grids.select("file", F.lit(False).alias("bad")).unionByName(factors)
+    rows37 = c.reference.join(grids.withColumn("own", F.lit(True)), ["file", "table_name"], "left").filter("own OR reference_scope = 'geopackage'").join(grids.select("file").distinct(), "file", "left_semi")
+    docs37 = rows37.join(c.metadata.select("file", F.col("id").alias("md_file_id"), "md_scope", "metadata"), ["file", "md_file_id"])
+    pairs = F.broadcast(catalog.dims.scope_pairs(c.files.sparkSession).withColumn("fine", F.lit(True)))
+    r37 = docs37.join(pairs, ["reference_scope", "md_scope"], "left").select("file", (F.col("fine").isNull() | ~well_formed(F.col("metadata")) | (text.elements_present(F.col("metadata")) == 0)).alias("bad"))
+
     bad = F.col("bad")
     rules = [
         _by_file(r3, 3, bad),
@@ -146,6 +166,13 @@ def findings(c: Catalog, as_of: str) -> DataFrame:
         _by_file(boxes, 30, bad),
         _by_file(link("tiles"), 31, bad),
         _by_file(link("features"), 32, bad),
+        _by_file(r16, 16, bad),
+        _by_file(r17, 17, bad),
+        _by_file(r33, 33, bad, good="PASS*"),
+        _by_file(heights.filter("field_status <> 'SKIPPED'").select("file", (F.col("field_status") == "FAIL").alias("bad")), 34, bad),
+        _by_file(heights.filter("centre_status <> 'SKIPPED'").select("file", (F.col("centre_status") == "FAIL").alias("bad")), 35, bad),
+        _by_file(r36, 36, bad),
+        _by_file(r37, 37, bad),
     ]
     found = rules[0]
     for r in rules[1:]:

@@ -346,8 +346,8 @@ def _(v):
     return catalog.placeholder_profile(v.features, ["note", "status"], ["file", "table_name"])
 
 
-@query("gridded_elevation", """SELECT file, table_name, CASE WHEN (lower(quantity_definition) LIKE '%elevation%' OR lower(quantity_definition) LIKE '%height%') AND NOT coalesce(lower(field_name) IN ('height', 'elevation'), false) THEN 'FAIL' ELSE 'PASS' END AS field_status,
-CASE WHEN coalesce(grid_cell_encoding = 'grid-value-is-center', false) THEN 'PASS' ELSE 'FAIL' END AS centre_status FROM coverage""")
+@query("gridded_elevation", """WITH r AS (SELECT *, coalesce(regexp_matches(lower(quantity_definition), 'elevation|height'), false) AS h FROM coverage)
+SELECT file, table_name, CASE WHEN NOT h THEN 'SKIPPED' WHEN lower(field_name) IN ('height', 'elevation') THEN 'PASS' ELSE 'FAIL' END AS field_status, CASE WHEN NOT h THEN 'SKIPPED' WHEN grid_cell_encoding = 'grid-value-is-center' THEN 'PASS' ELSE 'FAIL' END AS centre_status FROM r""")
 def _(v):
     return catalog.gridded_elevation(v.coverage)
 

@@ -291,4 +291,5 @@ def read_catalog(spark: SparkSession, path: str, **options):
         files=get("__files__").filter("ok").select("file"), schema=get("__schema__"), pragmas=get("__pragma__"), contents=get("gpkg_contents"), srs=get("gpkg_spatial_ref_sys"),
         geometry_columns=get("gpkg_geometry_columns"), sets=get("gpkg_tile_matrix_set"), matrix=get("gpkg_tile_matrix"), extensions=get("gpkg_extensions"),
         metadata=get("gpkg_metadata"), reference=get("gpkg_metadata_reference"), tiles=get("__tiles__"), features=get("__features__"),
+        coverage=get("gpkg_2d_gridded_coverage_ancillary").withColumnRenamed("tile_matrix_set_name", "table_name"),
     )

@@ -1,7 +1,7 @@
 """Files in, verdicts out: the source, the rules over it, and the writer."""
 
 import pytest
-from gpkg_files import bad_mixed, features, good_tiles
+from gpkg_files import bad_mixed, elevation, features, good_tiles
 from pyspark.sql import functions as F
 
 from cartolith.operators import scoring
@@ -18,6 +18,7 @@ def found(spark, tmp_path_factory):
     good_tiles(d / "again.gpkg.gpkg")
     bad_mixed(d / "bad.gpkg")
     features(d / "features.gpkg")
+    elevation(d / "elevation.gpkg")
     (d / "junk.gpkg").write_text("not a database")
     facts = findings(gpkg.read_catalog(spark, str(d)), AS_OF).cache()
     rows = {}
@@ -51,6 +52,13 @@ def test_features(found):
     assert got[4] == "PASS" and got[5] == "PASS*" and got[9] == "PASS*"
 
 
+def test_gridded_coverage(found):
+    _, rows, _, _ = found
+    got = rows["elevation.gpkg"]
+    assert {r: got[r] for r in (11, 17, 33, 34, 35, 36, 37, 31)} == {11: "PASS", 17: "FAIL", 33: "PASS*", 34: "FAIL", 35: "PASS", 36: "PASS", 37: "PASS", 31: "SKIPPED"}
+    assert rows["good.gpkg"][33] == "SKIPPED"
+
+
 def test_junk_is_reported_and_skipped(spark, found):
     d, rows, _, _ = found
     assert "junk.gpkg" not in rows
