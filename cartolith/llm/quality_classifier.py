@@ -99,7 +99,6 @@ def context_vectors(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(batches):
         place, sign = index_vectors()
         total, words, held = np.zeros(BUCKETS * DIMENSIONS), Words(), []
-        near = np.zeros(0, np.int64)
 
         def add(lists):
             # Two gaps between documents keep their words apart.
@@ -228,7 +227,7 @@ def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, s
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("q")).filter("q = quality")
     share = min(1.0, sample / max(1, known.count()))
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("doc_id", "quality")
-    rows = vectors.join(chosen, "doc_id").select("vector", "quality").limit(2 * sample).toPandas()
+    rows = vectors.join(chosen, "doc_id").select("doc_id", "vector", "quality").limit(2 * sample).toPandas().sort_values("doc_id")
     y = rows["quality"].to_numpy(np.float64)
     model = Network(np.stack(rows["vector"].to_numpy()).astype(np.float64), y) if len(y) and 0 < y.sum() < len(y) else None
     fixed = float(y.mean()) if len(y) else 0.5
