@@ -127,3 +127,31 @@ def test_arriving_files_are_validated(spark, tmp_path):
     got = []
     arrivals.validate_arrivals(spark, str(tmp_path / "in"), lambda facts, i: got.append(facts.filter("status = 'FAIL'").count()), "2026-12-31T00:00:00Z", str(tmp_path / "c")).awaitTermination()
     assert got == [0]
+
+
+def write_shapefile(path, kind, records, names):
+    """Records as shape bytes; one text attribute ``name`` of 10 and one number ``k`` of 5."""
+    body = b"".join(struct.pack(">ii", i, len(r) // 2) + r for i, r in enumerate(records, 1))
+    head = struct.pack(">i20xi", 9994, (100 + len(body)) // 2) + struct.pack("<ii", 1000, kind) + b"\0" * 64
+    path.write_bytes(head + body)
+    fields = b"".join(n.encode().ljust(11, b"\0") + t + b"\0" * 4 + bytes([w, 0]) + b"\0" * 14 for n, t, w in (("name", b"C", 10), ("k", b"N", 5)))
+    rows = b"".join(b" " + n.encode("utf-8").ljust(10) + str(i).rjust(5).encode() for i, n in enumerate(names))
+    path.with_suffix(".dbf").write_bytes(struct.pack("<BBBBIHH20x", 3, 24, 1, 1, len(names), 32 + len(fields) + 1, 16) + fields + b"\r" + rows)
+
+
+def test_shapefiles(spark, tmp_path):
+    from cartolith.sources import shapefile
+
+    point = lambda x, y: struct.pack("<i2d", 1, x, y)
+    write_shapefile(tmp_path / "p.shp", 1, [point(1, 2), struct.pack("<i", 0), point(3, 4)], ["a", "b", "ç"])
+    shapefile.register(spark)
+    df = spark.read.format("shp").load(str(tmp_path / "p.shp"))
+    assert df.columns == ["file", "geom", "name", "k"]
+    got = [(r.geom and struct.unpack("<BI2d", r.geom), r["name"], r.k) for r in df.collect()]
+    assert got == [((1, 1, 1.0, 2.0), "a", 0), (None, "b", 1), ((1, 1, 3.0, 4.0), "ç", 2)]
+    shell, hole, other = [(0, 0), (0, 9), (9, 9), (9, 0), (0, 0)], [(1, 1), (2, 1), (2, 2), (1, 1)], [(20, 0), (20, 1), (21, 1), (20, 0)]
+    rings = [shell, hole, other]
+    starts = [0, 5, 9]
+    data = struct.pack("<i4dii3i", 5, 0, 0, 21, 9, 3, 13, *starts) + b"".join(struct.pack("<2d", *p) for r in rings for p in r)
+    kind, _, members, _ = geometry.parse(shapefile.shape_wkb(data))
+    assert kind == 6 and [len(m[2]) for m in members] == [2, 1] and geometry.problem(shapefile.shape_wkb(data)) is None

@@ -89,3 +89,23 @@ def test_write_then_validate(spark, tmp_path):
     assert not catalog.schema.filter("table_name = 'fields' and column_name = 'raw'").count()
     facts = findings(catalog, AS_OF).cache()
     assert facts.filter("status = 'FAIL'").count() == 0, facts.filter("status = 'FAIL'").collect()
+
+
+def test_reports_and_command(spark, found, tmp_path, capsys):
+    import json
+
+    from cartolith.__main__ import main
+    from cartolith.plans.report import quick_check, rollup_table, write_rollup
+
+    d, *_ = found
+    assert main(["validate", str(d), "--output", str(tmp_path / "json"), "--as-of", AS_OF]) == 1
+    said = capsys.readouterr().out
+    assert "bad.gpkg: NON-CONFORMANT" in said and "junk.gpkg: not read" in said
+    written = [json.loads(x) for f in (tmp_path / "json").glob("*.json") for x in f.read_text().splitlines()]
+    assert len(written) == 5 and all(len(x["requirements"]) == 37 for x in written)
+    quick = {r.file.rsplit("/", 1)[1]: r for r in quick_check(gpkg.read_catalog(spark, str(d))).collect()}
+    assert quick["good.gpkg"].missing_systems == "4326" and not quick["features.gpkg"].compliant
+    facts = spark.createDataFrame([("a", 3, "FAIL", "GDAL", 0, 0), ("b", 3, "PASS", "GDAL", 0, 0), ("a", 13, "PASS*", "GDAL", 2, 2)], "file string, req int, status string, software string, confirmed int, total_n int")
+    assert [tuple(r)[:6] for r in rollup_table(facts).orderBy("Req").collect()] == [(3, "M", 2, 1, 0, 0), (13, "M", 1, 0, 1, 1)]
+    write_rollup(facts, str(tmp_path / "csv"))
+    assert next((tmp_path / "csv").glob("*.csv")).read_text().splitlines()[1].startswith("3,M,2,1,0,0,50,GDAL")
