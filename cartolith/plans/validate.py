@@ -32,9 +32,9 @@ class Catalog:
 
 
 def file_profile(contents: DataFrame, matrix: DataFrame) -> DataFrame:
-    """A row of facts for each file."""
+    """A row of facts for each file; ``categories`` and ``systems`` are null where no table has one."""
     levels = matrix.groupBy("file").agg(F.min("zoom_level").alias("low"), F.max("zoom_level").alias("high"), F.count("*").alias("n_levels"))
-    joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)).cast("array<string>"), ",")
+    joined = lambda c: F.nullif(F.array_join(F.array_sort(F.collect_set(c)).cast("array<string>"), ","), F.lit(""))
     facts = contents.groupBy("file").agg(F.count("*").alias("n_tables"), joined(catalog.category(F.col("data_type"))).alias("categories"), joined("srs_id").alias("systems"))
     return facts.join(levels, "file", "left")
 
