@@ -2,16 +2,22 @@
 
 A passage that recurs inside other text has no line of its own, so texts are cut into
 *paragraphs* at places that depend on nearby text only: after a phrase (up to a comma,
-full stop or line feed) of ``LEAST`` words or more; phrases beyond ``LONG`` words also end at
-words chosen by their hash.  Shorter phrases go with the next one.  Cuts fall into step
-within a phrase or two after a passage begins, whatever stands before it.
+full stop or line feed) of ``LEAST`` words or more.  Shorter phrases go with the next one;
+stretches beyond ``LONG`` words are also cut at ends of short phrases and at words, chosen
+by their hash.
+
+Where these cuts are too far apart or out of step, *seeds* find exact repeats: the ``SEED``
+words from each word that has the least hash of some ``WINDOW`` words in a row.  Whatever
+stands around it, a repeat of ``WINDOW + SEED - 1`` words holds a whole seed, the same one
+in both places.  Seeds are compared by digest only.
 
 MinHash bands (``BANDS`` of ``ROWS``: a pair of similarity 0.8 is missed in 0.6 % of cases,
 equal paragraphs never) deal distinct paragraphs to buckets; only keys that two different
 paragraphs share are looked at again.  Paragraphs that collide are verified by the exact
 Jaccard similarity of their five-word shingles, in blocks of bounded size, and joined to
 components.  Every occurrence of a component but the first (by id, text hash, position) is
-a removal; adjacent ones merge into passages, and a passage needs ``PASSAGE`` words.
+a removal.  It is extended left and right over the words that equal those around the first;
+repeats that overlap or touch merge into passages, and a passage needs ``PASSAGE`` words.
 
 Equal paragraphs are one row for each task before any shuffle.  Tables of colliding keys
 are broadcast only after a count; beyond the bound, the same join shuffles.
@@ -37,7 +43,10 @@ from ._common import broadcast_if_small, materialize, small_batches, table
 from .ngram_join import NO_ID
 
 LEAST, LONG = 6, 60
+WINDOW, SEED = 36, 15
 PASSAGE = 15
+#: Words on either side that a match is extended over; farther ones lie within or beside another seed.
+REACH = WINDOW + SEED
 BANDS, ROWS = 5, 2
 #: Rows of 8 to 40 bytes that may be broadcast after a count.
 KEYS = 400_000
@@ -69,16 +78,23 @@ class Paragraphs:
             known[w] = self._entry(w)
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
+    def marked(self, t: str | None) -> np.ndarray:
+        """Hashes of a text's words; the lowest bit marks the end of a phrase."""
+        h = self._entries((t or "").encode().replace(b"\n", b"\0 ").split())
+        bare = (h & np.uint64(2)) != 0
+        if bare.any():  # the phrase ends with the word before a bare mark
+            before = np.flatnonzero(bare) - 1
+            h[before[before >= 0]] |= np.uint64(1)
+            h = h[~bare]
+        return h
+
     def cut(self, texts: list[str | None]):
-        """Word hashes, flat, and for each paragraph its text's number, first word in the text, place in the flat array and length."""
+        """Word hashes, flat, and for each paragraph its text's number, first word in the text, place in the flat array and length; words of each text."""
         flat, text, first, place, length, base = [], [], [], [], [], 0
+        words = np.zeros(len(texts), np.int64)
         for number, t in enumerate(texts):
-            h = self._entries((t or "").encode().replace(b"\n", b"\0 ").split())
-            bare = (h & np.uint64(2)) != 0
-            if bare.any():  # the phrase ends with the word before a bare mark
-                before = np.flatnonzero(bare) - 1
-                h[before[before >= 0]] |= np.uint64(1)
-                h = h[~bare]
+            h = self.marked(t)
+            words[number] = len(h)
             if not len(h):
                 continue
             ends = np.flatnonzero(h & np.uint64(1)) + 1
@@ -86,11 +102,17 @@ class Paragraphs:
                 ends = np.append(ends, len(h))
             h &= ~np.uint64(3)
             sizes = np.diff(ends, prepend=0)
-            if sizes.max() > LONG:
-                inside = np.repeat(sizes > LONG, sizes) & (mix_low(h) == 0)
-                ends = np.union1d(ends, np.flatnonzero(inside) + 1)
-                sizes = np.diff(ends, prepend=0)
-            ends = np.union1d(ends[sizes >= LEAST], ends[-1:])
+            every, ends = ends, np.union1d(ends[sizes >= LEAST], ends[-1:])
+            sizes = np.diff(ends, prepend=0)
+            if sizes.max() > LONG:  # cut at ends of short phrases, else at words
+                phrase = np.zeros(len(h), bool)
+                phrase[every - 1] = True
+                own = np.zeros(len(h), bool)
+                own[ends - 1] = True
+                at = np.flatnonzero(np.repeat(sizes > LONG, sizes) & (phrase | (mix_low(h) == 0)) | own)
+                rank = S.mix(h[at]) >> np.uint64(1) | np.where(phrase[at], np.uint64(1), np.uint64(1 << 63))
+                rank[own[at]] = 0
+                ends = np.union1d(_apart(at + 1, rank), ends[-1:])
             starts = np.concatenate([[0], ends[:-1]])
             keep = ends - starts >= LEAST
             starts, ends = starts[keep], ends[keep]
@@ -102,8 +124,40 @@ class Paragraphs:
             base += len(h)
         if not flat:
             empty = np.zeros(0, np.int64)
-            return np.zeros(0, np.uint64), empty, empty, empty, empty
-        return np.concatenate(flat), *(np.concatenate(x).astype(np.int64) for x in (text, first, place, length))
+            return np.zeros(0, np.uint64), empty, empty, empty, empty, words
+        return np.concatenate(flat), *(np.concatenate(x).astype(np.int64) for x in (text, first, place, length)), words
+
+
+def _apart(ends: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The ends that have the least rank among those closer than ``LEAST`` words (of equal ranks the last)."""
+    keep = np.ones(len(ends), bool)
+    for k in range(1, min(LEAST, len(ends))):
+        near = ends[k:] - ends[:-k] < LEAST
+        if not near.any():
+            break
+        before = rank[:-k] < rank[k:]
+        keep[k:] &= ~(near & before)
+        keep[:-k] &= ~near | before
+    return ends[keep]
+
+
+def seeds(flat: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and place in the flat array of each seed; ``words`` are the words of each text."""
+    none = np.zeros(0, np.int64)
+    if len(flat) < WINDOW:
+        return none, none
+    least = S.mix(flat) & ~np.uint64(0xFFFFFFFF) | np.arange(len(flat), dtype=np.uint64)
+    width = 1
+    while width < WINDOW:
+        step = min(width, WINDOW - width)
+        least = np.minimum(least[:-step], least[step:])
+        width += step
+    text_of = np.repeat(np.arange(len(words)), words)
+    whole = text_of[: len(least)] == text_of[WINDOW - 1 :]
+    place = np.unique((least[whole] & np.uint64(0xFFFFFFFF)).astype(np.int64))
+    text = text_of[place]
+    keep = place + SEED <= np.cumsum(words)[text]
+    return text[keep], place[keep]
 
 
 def mix_low(h: np.ndarray) -> np.ndarray:
@@ -138,12 +192,12 @@ def _batches(batches, width: int = 2 << 20):
 
 
 def _paragraphs(docs: DataFrame) -> DataFrame:
-    """``h, id, th, start, n, keys`` of every paragraph: digest, document, first word, length and band keys."""
+    """``h, id, th, start, n, keys`` of every paragraph and seed: digest, document, first word, length and band keys (seeds have none)."""
 
     def run(batches):
         cutter = Paragraphs()
         for batch, texts in _batches(batches):
-            flat, text, first, place, length = cutter.cut(texts)
+            flat, text, first, place, length, words = cutter.cut(texts)
             with np.errstate(over="ignore"):
                 rolled = np.zeros(max(0, len(flat) - S.SHINGLE + 1), np.uint64)
                 for k in range(S.SHINGLE):
@@ -156,6 +210,14 @@ def _paragraphs(docs: DataFrame) -> DataFrame:
                 [pa.array(digests(flat, place, length)), batch.column("id").take(at), batch.column("th").take(at), pa.array(first), pa.array(length), S.list_of(keys.reshape(-1), np.arange(len(length) + 1) * BANDS)],
                 ["h", "id", "th", "start", "n", "keys"],
             )
+            text, place = seeds(flat, words)
+            at, length = pa.array(text), np.full(len(text), SEED)
+            first = place - (np.cumsum(words) - words)[text]
+            # Another digest than a paragraph of the same words has.
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(~digests(flat, place, length)), batch.column("id").take(at), batch.column("th").take(at), pa.array(first), pa.array(length), S.list_of(np.zeros(0, np.int64), np.zeros(len(text) + 1, np.int64))],
+                ["h", "id", "th", "start", "n", "keys"],
+            )
 
     return docs.select("id", "th", "text").mapInArrow(run, "h long, id long, th long, start long, n long, keys array<long>")
 
@@ -166,7 +228,7 @@ def _shingles_of(rows: DataFrame) -> DataFrame:
     def run(batches):
         cutter = Paragraphs()
         for batch, texts in _batches(batches):
-            flat, text, _, place, length = cutter.cut(texts)
+            flat, text, _, place, length, _ = cutter.cut(texts)
             h = digests(flat, place, length)
             wanted = [set(w) for w in batch.column("wanted").to_pylist()]
             keep = np.array([x in wanted[i] for x, i in zip(h.tolist(), text.tolist())], bool)
@@ -186,17 +248,21 @@ def _written(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("th"), "text")
+
+
 def repeated_paragraphs(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``id, th, start, n, root, removed`` of every paragraph that is in a component of two occurrences or more."""
+    """``id, th, start, n, root, first`` of every paragraph and seed in a component of two occurrences or more; ``first`` is the kept one."""
     small_batches(spark)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("th"), "text")
+    docs = _keyed(docs)
     places = _written(spark, _paragraphs(docs), "passage-places")
     rows = places.select(F.explode("keys").alias("key"), "h")
     shared = rows.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a < b").select("key")
     shared = _written(spark, shared, "passage-keys")
     members = _written(spark, rows.join(broadcast_if_small(shared, KEYS), "key").distinct(), "passage-members")
     colliding = members.select("h").distinct()
-    counted = places.groupBy("h").agg(F.count("*").alias("c"), F.min(F.struct("id", "th", "start")).alias("at"))
+    counted = places.groupBy("h").agg(F.count("*").alias("c"), F.min(F.struct("id", "th", "start", "n")).alias("at"))
     counted = counted.join(broadcast_if_small(_written(spark, colliding.withColumn("near", F.lit(True)), "passage-near"), KEYS), "h", "left").filter("c > 1 or near")
     counted = _written(spark, counted, "passage-counted")
     wanted = _written(spark, counted.filter("near").groupBy("at.id", "at.th").agg(F.collect_list("h").alias("wanted")), "passage-wanted")
@@ -210,23 +276,156 @@ def repeated_paragraphs(spark: SparkSession, docs: DataFrame) -> DataFrame:
     whole = classes.groupBy("root").agg(F.sum("c").alias("c"), F.min("at").alias("first")).filter("c > 1").drop("c")
     classes = _written(spark, classes.join(whole, "root").select("h", "root", "first"), "passage-first")
     found = places.join(broadcast_if_small(classes, KEYS // 4), "h")
-    return found.select("id", "th", "start", "n", "root", "first", (F.struct("id", "th", "start") != F.col("first")).alias("removed")).distinct()
+    return found.select("id", "th", "start", "n", "root", "first")
+
+
+def _surroundings(spans: DataFrame, reach: int) -> DataFrame:
+    """``id, th, a, b, left, right`` from rows ``id, th, spans, text``: hashes of ``reach`` words on both sides of the words a ... b - 1.
+
+    Four bytes a word, the nearest first; zero where the text ends.
+    """
+
+    def run(batches):
+        cutter = Paragraphs()
+        for batch, texts in _batches(batches):
+            row, a, b, left, right = [], [], [], [], []
+            spans = batch.column("spans").to_pylist()
+            for i, t in enumerate(texts):
+                h = (cutter.marked(t) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+                h = np.pad(h, reach)
+                for s in spans[i]:
+                    row.append(i)
+                    a.append(s["a"])
+                    b.append(s["b"])
+                    left.append(h[s["a"] : s["a"] + reach][::-1].tobytes())
+                    right.append(h[s["b"] + reach : s["b"] + 2 * reach].tobytes())
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(at), batch.column("th").take(at), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(left, pa.binary()), pa.array(right, pa.binary())],
+                ["id", "th", "a", "b", "left", "right"],
+            )
+
+    return spans.select("id", "th", "spans", "text").mapInArrow(run, "id long, th long, a long, b long, left binary, right binary")
+
+
+def _extended(runs: DataFrame, reach: int) -> DataFrame:
+    """``runs`` with ``l`` and ``r``, the equal words before and after both places, for ``left, right, fleft, fright``."""
+    names = [c for c in runs.columns if c not in ("left", "right", "fleft", "fright")]
+
+    def run(batches):
+        for batch in batches:
+            equal = []
+            for x, y in (("left", "fleft"), ("right", "fright")):
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, reach) for c in (x, y))
+                equal.append(np.logical_and.accumulate((x == y) & (x != 0), axis=1).sum(1).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.select(names).columns, *map(pa.array, equal)], [*names, "l", "r"])
+
+    return runs.mapInArrow(run, runs.select(*names, F.lit(0).cast("long").alias("l"), F.lit(0).cast("long").alias("r")).schema)
+
+
+def _measured(spark: SparkSession, docs: DataFrame, runs: DataFrame, reach: int) -> DataFrame:
+    """``runs`` with ``l`` and ``r``, up to ``reach``."""
+    spans = runs.select("id", "th", "a", "b").unionByName(runs.select(F.col("fid").alias("id"), F.col("fth").alias("th"), F.col("fa").alias("a"), F.col("fb").alias("b"))).distinct()
+    spans = _written(spark, spans.groupBy("id", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "passage-spans")
+    texts = _keyed(docs).join(broadcast_if_small(spans, KEYS // 10), ["id", "th"]).dropDuplicates(["id", "th"])
+    around = _written(spark, _surroundings(texts, reach), "passage-around")
+    first = around.withColumnsRenamed({"id": "fid", "th": "fth", "a": "fa", "b": "fb", "left": "fleft", "right": "fright"})
+    return _extended(runs.join(around, ["id", "th", "a", "b"]).join(first, ["fid", "fth", "fa", "fb"]), reach)
+
+
+def repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``id, th, a, b, root, fid, fth, fa, fb``: words a ... b - 1 repeat words fa ... fb - 1 of the kept place.
+
+    Paragraphs and seeds in line with the same kept text are one run, which is extended
+    over equal words.  Beyond ``REACH`` of them another seed begins, which is a run itself
+    or belongs to one.  Within one text a repeat never overlaps its kept place.
+    """
+    found = repeated_paragraphs(spark, docs).filter(F.struct("id", "th", "start") != F.struct("first.id", "first.th", "first.start"))
+    found = found.select("id", "th", F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b"), "root", F.col("first.id").alias("fid"), F.col("first.th").alias("fth"), F.col("first.start").alias("fa"), (F.col("first.start") + F.col("first.n")).alias("fb"))
+    found = _written(spark, found, "passage-found")
+    line = ["id", "th", "fid", "fth", F.col("a") - F.col("fa"), F.when(F.col("b") - F.col("a") != F.col("fb") - F.col("fa"), F.col("a"))]
+    over = Window.partitionBy(*line).orderBy("a", "b")
+    before = F.max("b").over(over.rowsBetween(Window.unboundedPreceding, -1))
+    marked = found.withColumns({"line": F.struct(line[4].alias("x"), line[5].alias("y")), "new": F.coalesce(F.col("a") > before, F.lit(True)).cast("int")})
+    runs = marked.withColumn("k", F.sum("new").over(over)).groupBy("id", "th", "fid", "fth", "line", "k").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min("fa").alias("fa"), F.max("fb").alias("fb"), F.min_by("root", F.struct("a", "root")).alias("root"))
+    runs = _written(spark, runs.drop("line", "k"), "passage-runs")
+    # Most matches are short phrases among other words: one word on each side tells them apart.
+    beside = _written(spark, _measured(spark, docs, runs, 1), "passage-beside")
+    longer = beside.filter("l + r > 0").drop("l", "r")
+    out = _measured(spark, docs, longer, REACH).unionByName(beside.filter("l + r = 0"))
+    # Words between the kept place and a later one of the same text; negative where they overlap.
+    gap = F.when((F.col("id") == F.col("fid")) & (F.col("th") == F.col("fth")), F.col("a") - F.col("fb"))
+    out = out.withColumn("gap", gap).withColumn("r", F.when(F.col("gap").isNull(), F.col("r")).otherwise(F.greatest(F.lit(0), F.least("r", "gap"))))
+    out = out.withColumn("l", F.when(F.col("gap").isNull(), F.col("l")).otherwise(F.greatest(F.lit(0), F.least("l", F.col("gap") - F.col("r")))))
+    out = out.select("id", "th", (F.greatest("a", F.when(F.col("gap") < 0, F.col("fb"))) - F.col("l")).alias("a"), (F.col("b") + F.col("r")).alias("b"), "root", "fid", "fth", (F.col("fa") - F.col("l")).alias("fa"), (F.col("fb") + F.col("r")).alias("fb"))
+    return out.filter("a < b")
+
+
+def _united(rows: list[tuple]) -> list[list]:
+    """Overlapping or adjacent ``(a, b, root, keep)`` of sorted rows as one, named after the first."""
+    out = []
+    for a, b, root, keep in rows:
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b, root, keep])
+    return out
+
+
+def _pieces(rows: list[tuple]) -> list[tuple]:
+    """``(a, b, removed, root, keep)`` of one text from ``(a, b, removed, root, keep)``: removed words, and kept ones that are not removed."""
+    gone = _united(sorted((a, b, r, k) for a, b, x, r, k in rows if x))
+    out, i = [(a, b, True, r, k) for a, b, r, k in gone], 0
+    for a, b, root, keep in _united(sorted((a, b, r, k) for a, b, x, r, k in rows if not x)):
+        while i < len(gone) and gone[i][1] <= a:
+            i += 1
+        j = i
+        while a < b:
+            end = min(b, gone[j][0]) if j < len(gone) else b
+            if a < end:
+                out.append((a, end, False, root, keep))
+            if j == len(gone):
+                break
+            a, j = max(a, gone[j][1]), j + 1
+    out.sort()
+    keep, start = [], 0
+    for i in range(1, len(out) + 1):  # pieces that touch count as one passage
+        if i == len(out) or out[i][0] != out[i - 1][1]:
+            if out[i - 1][1] - out[start][0] >= PASSAGE:
+                keep += out[start:i]
+            start = i
+    return keep
 
 
 def passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Repeated passages: ``id, th, start, n_words, removed, class_id, keep_id`` (words counted from 0).
 
-    Adjacent repeated paragraphs of a document merge while both are kept or both removed;
-    class and kept document are those of the passage's first paragraph.
+    Repeats of a document that overlap or touch merge while both are kept or both removed;
+    words that are both are removed.  Class and kept document are those of the passage's
+    first repeat.
     """
-    found = repeated_paragraphs(spark, docs)
-    by = Window.partitionBy("id", "th").orderBy("start")
-    joins = (F.lag("removed").over(by) == F.col("removed")) & (F.lag(F.col("start") + F.col("n")).over(by) == F.col("start"))
-    near = (F.lag(F.col("start") + F.col("n")).over(by) == F.col("start"))
-    marked = found.withColumns({"new": (~F.coalesce(joins, F.lit(False))).cast("int"), "apart": (~F.coalesce(near, F.lit(False))).cast("int")})
-    numbered = marked.withColumns({"k": F.sum("new").over(by), "run": F.sum("apart").over(by)})
-    runs = numbered.groupBy("id", "th", "run", "k", "removed").agg(F.min("start").alias("start"), F.sum("n").alias("n_words"), F.min_by("root", "start").alias("class_id"), F.min_by("first.id", "start").alias("keep_id"))
-    return runs.withColumn("whole", F.sum("n_words").over(Window.partitionBy("id", "th", "run"))).filter(F.col("whole") >= PASSAGE).drop("whole", "run", "k")
+    found = repeats(spark, docs)
+    gone = found.select("id", "th", "a", "b", F.lit(True).alias("removed"), "root", F.col("fid").alias("keep"))
+    kept = found.select(F.col("fid").alias("id"), F.col("fth").alias("th"), F.col("fa").alias("a"), F.col("fb").alias("b"), F.lit(False).alias("removed"), "root", F.col("fid").alias("keep"))
+    spans = gone.unionByName(kept).groupBy("id", "th", "a", "b", "removed").agg(F.min(F.struct("root", "keep")).alias("of")).select("id", "th", "a", "b", "removed", "of.*")
+
+    def run(batches):
+        for whole, number in S.groups(batches, ["id", "th"]):
+            rows = list(zip(*(whole.column(c).to_pylist() for c in ("a", "b", "removed", "root", "keep"))))
+            starts = np.flatnonzero(np.diff(number, prepend=-1, append=number[-1] + 1)).tolist() if len(rows) else [0]
+            at, out = [], []
+            for i, j in zip(starts[:-1], starts[1:]):
+                pieces = _pieces(rows[i:j])
+                at += [i] * len(pieces)
+                out += [(a, b - a, x, r, k) for a, b, x, r, k in pieces]
+            at = pa.array(at, pa.int64())
+            columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()))]
+            table = pa.Table.from_arrays([whole.column("id").take(at), whole.column("th").take(at), *columns], ["id", "th", "start", "n_words", "removed", "class_id", "keep_id"])
+            yield from table.combine_chunks().to_batches()
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ready = spans.repartition(n, "id", "th").sortWithinPartitions("id", "th")
+    return ready.mapInArrow(run, "id long, th long, start long, n_words long, removed boolean, class_id long, keep_id long")
 
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")

@@ -185,3 +185,45 @@ def test_contamination_of_nothing(spark, no_docs, docs):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contamination(decontaminate.mark_contamination(no_docs, bench)).count() == 0
     assert not decontaminate.contamination(decontaminate.mark_contamination(docs, bench)).filter("n_hit > 0 or contaminated").count()
+
+
+def _bare(seed, n, phrase=0):
+    """Words without punctuation, or with a comma after every ``phrase`` words."""
+    w = re.sub(r"[.,\n]", " ", prose(seed, 2 * n)).split()[:n]
+    return [x + "," if phrase and i % phrase == phrase - 1 else x for i, x in enumerate(w)]
+
+
+def _covered(spark, texts):
+    """Removed words of each text."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = defaultdict(set)
+    for r in substring_dedup.passages(spark, df).collect():
+        if r.removed:
+            out[r.id] |= set(range(r.start, r.start + r.n_words))
+    return out
+
+
+def test_passages_without_long_phrases(spark):
+    texts, want = [], {}
+    for k in range(40):
+        phrase, passage = (0, 3)[k % 2], _bare(1000 + k, 51, (0, 3)[k % 2])
+        for side in range(2):
+            head, tail = _bare(2000 + 2 * k + side, 30 + k + 7 * side, phrase), _bare(3000 + 2 * k + side, 90, phrase)
+            texts.append(" ".join([*head, *passage, *tail]))
+        want[2 * k + 1] = set(range(len(head), len(head) + 51))
+    got = _covered(spark, texts)
+    assert set(got) == set(want)
+    # By brute force over all pairs of 12 words in a row: only the passages recur.
+    seen = defaultdict(set)
+    for i, t in enumerate(texts):
+        w = t.split()
+        for j in range(len(w) - 11):
+            seen[tuple(w[j : j + 12])].add(i)
+    assert {max(x) for x in seen.values() if len(x) > 1} == set(want)
+    for i, words in want.items():
+        assert words <= got[i]
+
+
+def test_paragraphs_of_short_phrases_are_bounded():
+    _, _, _, _, length, _ = substring_dedup.Paragraphs().cut([" ".join(_bare(7, 3000, 3)), " ".join(_bare(8, 3000))])
+    assert length.min() >= substring_dedup.LEAST and length.max() < 150
