@@ -227,3 +227,27 @@ def test_passages_without_long_phrases(spark):
 def test_paragraphs_of_short_phrases_are_bounded():
     _, _, _, _, length, _ = substring_dedup.Paragraphs().cut([" ".join(_bare(7, 3000, 3)), " ".join(_bare(8, 3000))])
     assert length.min() >= substring_dedup.LEAST and length.max() < 150
+
+
+def test_passages_extend_to_their_ends(spark):
+    # One inner paragraph of 8 words between phrases of 21 and 22 that stand apart from it.
+    own = [_bare(4000 + i, 40, 10) for i in range(6)]
+    words = _bare(4100, 51)
+    for i in (20, 28):
+        words[i] += "."
+    texts = [" ".join([*own[0][:33], *words, *own[1]]), " ".join([*own[2][:37], *words, *own[3]])]
+    # A repeat of 20 words with a paragraph of 8 and parts of phrases beside it.
+    short = _bare(4200, 20)
+    for i in (5, 13):
+        short[i] += "."
+    texts += [" ".join([*own[4][:35], *short, *own[5]]), " ".join([*own[1][3:30], *short, *own[0][35:]])]
+    got = _covered(spark, texts)
+    assert got[1] == set(range(37, 88))
+    assert set(range(27, 47)) <= got[3]
+
+
+def test_repeats_within_one_text(spark):
+    passage = _bare(4300, 60)
+    got = _covered(spark, [" ".join([*passage, *_bare(4301, 9), *passage]), "aa bb " * 60])
+    assert got[0] == set(range(69, 129))
+    assert not got[1] & set(range(15))
