@@ -132,7 +132,7 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
 
 
 def similar_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``id, th, class_id, n_links`` for each row of ``docs`` (``doc_id``, ``text``)."""
+    """``id, th, class_id, n_links, root`` for each row of ``docs`` (``doc_id``, ``text``); ``root`` is unique to a class, null without words."""
     sketch = materialize(spark, sketches(docs), "ngram-sketch")
     sets = sketch.filter("size > 0")
     nodes = sets.groupBy("h1", "h2").agg(F.min(F.struct("id", "th")).alias("rep"), F.count("*").alias("m"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
@@ -147,9 +147,9 @@ def similar_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     labelled = nodes.select("node", "h1", "h2", "id", "m").join(links, "node", "left").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = labelled.groupBy("root").agg(F.min("id").alias("class_id"))
-    labelled = labelled.join(least, "root").select("h1", "h2", "class_id", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = sets.select("id", "th", "h1", "h2").join(labelled, ["h1", "h2"]).select("id", "th", "class_id", "n_links")
-    alone = sketch.filter("size = 0").select("id", "th", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    labelled = labelled.join(least, "root").select("h1", "h2", "class_id", "root", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    out = sets.select("id", "th", "h1", "h2").join(labelled, ["h1", "h2"]).select("id", "th", "class_id", "n_links", "root")
+    alone = sketch.filter("size = 0").select("id", "th", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("root"))
     return out.unionByName(alone)
 
 
@@ -162,14 +162,13 @@ def op9_bayes_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each class, that of the smallest id (among equal ids, of the smallest text hash)."""
+    """``docs`` with one document of each class, that of the smallest id (among equal ids, of the smallest text hash); rows without words all stay."""
     found = materialize(spark, similar_documents(spark, docs), "ngram-result")
-    alone = F.col("n_links") == 0
-    groups = found.select("id", "th", F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("c"), F.when(alone, F.col("th")).alias("t"))
-    first = groups.groupBy("c", "t").agg(F.min(F.struct("id", "th")).alias("k")).select("k.id", "k.th").distinct()
+    first = found.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min(F.struct("id", "th")).alias("k")).select("k.id", "k.th")
     names = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("th"))
-    return rows.join(first, ["id", "th"], "left_semi").dropDuplicates(["id", "th"]).select("_row.*")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("th"), F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("_words"))
+    kept = rows.filter("_words").join(first, ["id", "th"], "left_semi").dropDuplicates(["id", "th"])
+    return kept.select("_row.*").unionByName(rows.filter("not _words").select("_row.*"))
 
 
 def pairs_sql(docs: str, p: str = "") -> str:

@@ -251,3 +251,10 @@ def test_repeats_within_one_text(spark):
     got = _covered(spark, [" ".join([*passage, *_bare(4301, 9), *passage]), "aa bb " * 60])
     assert got[0] == set(range(69, 129))
     assert not got[1] & set(range(15))
+
+
+def test_keep_one_of_each_class_with_null_and_repeated_ids(spark):
+    a, b, c, d = (prose(5000 + i, 60) for i in range(4))
+    rows = [(None, a), (1, a), (None, b), (2, b), (7, c), (8, c), (7, d), (9, d), (3, ""), (3, ""), (None, None), (None, None), (4, " \n")]
+    kept = ngram_join.keep_one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, kept.collect())) == Counter([(None, a), (None, b), (7, c), (7, d), (3, ""), (3, ""), (None, None), (None, None), (4, " \n")])
