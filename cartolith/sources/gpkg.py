@@ -9,7 +9,8 @@ reason and nothing else.  Columns that a file lacks are null; ``__schema__`` tel
 from columns that hold nulls.  Text is decoded as UTF-8 with replacement.
 
 Writing: SQLite has one writer a file, so each task writes one complete GeoPackage of its
-rows below ``path`` and renames it into place when done; a retried task replaces its file.
+rows below ``path`` and renames it into place when done; a retried task replaces its file,
+other jobs' files stay in mode append.
 
 Paths must be reachable from executors as files (a shared file system on a cluster).
 """
@@ -178,11 +179,12 @@ class GpkgWriter(DataSourceWriter):
     """Options: ``layer``, ``srs_id``, ``wkt2``, ``geometry_type``, ``last_change``, ``metadata`` (XML).
 
     The column ``geom`` holds well-known binary (or null); other columns are attributes,
-    binary ones are dropped.  A row that cannot be written is counted and skipped.
+    binary ones are dropped.  Rows that cannot be written are counted; if there are any, the
+    job fails at commit and its files go, unless ``skip_invalid`` is true.
     """
 
     def __init__(self, options, schema, overwrite: bool):
-        self.o, self.overwrite = dict(options), overwrite
+        self.o, self.overwrite, self.job = dict(options), overwrite, uuid.uuid4().hex
         self.fields = [(f.name, f.dataType.typeName()) for f in schema.fields]
 
     def write(self, rows):
@@ -190,7 +192,7 @@ class GpkgWriter(DataSourceWriter):
         os.makedirs(folder, exist_ok=True)
         layer, srs = o.get("layer", "layer"), int(o.get("srs_id", "4326"))
         part = TaskContext.get().partitionId()
-        final, temporary = os.path.join(folder, f"part-{part:05d}.gpkg"), os.path.join(folder, f".{uuid.uuid4().hex}")
+        final, temporary = os.path.join(folder, f"part-{part:05d}-{self.job}.gpkg"), os.path.join(folder, f".{uuid.uuid4().hex}")
         kinds = {"long": "INTEGER", "integer": "INTEGER", "short": "INTEGER", "byte": "INTEGER", "boolean": "BOOLEAN", "double": "DOUBLE", "float": "DOUBLE"}
         columns = [(n, kinds.get(t, "TEXT")) for n, t in self.fields if n not in ("geom", "fid") and t != "binary"]
         con = sqlite3.connect(temporary)
@@ -230,6 +232,10 @@ class GpkgWriter(DataSourceWriter):
         return Done(final, n, skipped)
 
     def commit(self, messages):
+        skipped = sum(m.skipped for m in messages if m is not None)
+        if skipped and str(self.o.get("skip_invalid", "false")).lower() != "true":
+            self.abort(messages)
+            raise ValueError(f"{skipped} rows cannot be written")
         if self.overwrite:
             keep = {m.path for m in messages if m is not None}
             for f in glob.glob(os.path.join(self.o["path"], "part-*.gpkg")):

@@ -155,3 +155,22 @@ def test_shapefiles(spark, tmp_path):
     data = struct.pack("<i4dii3i", 5, 0, 0, 21, 9, 3, 13, *starts) + b"".join(struct.pack("<2d", *p) for r in rings for p in r)
     kind, _, members, _ = geometry.parse(shapefile.shape_wkb(data))
     assert kind == 6 and [len(m[2]) for m in members] == [2, 1] and geometry.problem(shapefile.shape_wkb(data)) is None
+
+
+def test_second_layer_keeps_the_first_and_bad_rows_fail(spark, tmp_path):
+    from cartolith.sources import gpkg
+
+    path, point = str(tmp_path / "two"), struct.pack("<BI2d", 1, 1, 1.0, 2.0)
+    gpkg.register(spark)
+    rows = spark.createDataFrame([(bytearray(point), i) for i in range(6)], "geom binary, n long").repartition(2)
+    for layer in ("a", "b"):
+        rows.write.format("gpkg").mode("append").options(path=path, layer=layer).save()
+    rows.write.format("gpkg").mode("append").options(path=path, layer="b").save()
+    got = {r.table_name: r["count"] for r in gpkg.read_table(spark, path, "__features__").groupBy("table_name").count().collect()}
+    assert got == {"a": 6, "b": 12}
+    bad = spark.createDataFrame([(bytearray(point), 1), (bytearray(b"\x01\x01"), 2)], "geom binary, n long").coalesce(1)
+    with pytest.raises(Exception, match="1 rows cannot be written"):
+        bad.write.format("gpkg").mode("append").options(path=path, layer="c").save()
+    assert gpkg.read_table(spark, path, "__features__").count() == 18
+    bad.write.format("gpkg").mode("append").options(path=path, layer="c", skip_invalid="true").save()
+    assert gpkg.read_table(spark, path, "__features__").count() == 19
