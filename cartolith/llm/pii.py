@@ -115,7 +115,7 @@ def _mixed(f: Feistel, name: str, s: str, kinds: list[tuple[int, str]]) -> str:
 def _phone(f: Feistel, m: str) -> str | None:
     d = _digits(m)
     country, d = ("", d) if len(d) == 10 else ("1", d[1:]) if len(d) == 11 and d[0] == "1" else (None, d)
-    if country is None:
+    if country is None or (m.startswith("+") and d[0] in "01"):  # no national number
         if not (m.startswith("+") and 8 <= len(_digits(m)) <= 15):
             return None
         d = _digits(m)
@@ -156,21 +156,40 @@ def _ipv4(f: Feistel, m: str) -> str | None:
 
 
 _MONTHS = {m.lower(): i for names in (calendar.month_name, calendar.month_abbr) for i, m in enumerate(names) if m}
+_MONTH = "(?i:" + "|".join(sorted(_MONTHS, key=len, reverse=True)) + ")"
+_NAMED = re.compile(rf"(?P<d>\d{{1,2}})(?P<s> +)(?P<m>{_MONTH})(?P<t>\.?,? +)(?P<y>\d{{4}})|(?P<m2>{_MONTH})(?P<s2>\.? +)(?P<d2>\d{{1,2}})(?P<t2>,? +)(?P<y2>\d{{4}})")
+_BEFORE = re.compile(rf"(?<![A-Za-z]){_MONTH}\.? +$")
 
 
-def _date(f: Feistel, m: str) -> str | None:
-    """Dates as y-m-d, d.m.y or m/d/y; the day is permuted among all of 1900 to 2099."""
-    a, sep, b, _, c = re.match(r"(\d+)([-./])(\d+)([-./])(\d+)$", m).groups()
-    order = "ymd" if len(a) == 4 else "dmy" if sep == "." or int(a) > 12 else "mdy"
-    part = dict(zip(order, (int(a), int(b), int(c))))
+def _shifted(f: Feistel, y: int, m: int, d: int) -> datetime.date | None:
+    """The pseudonym of a date; the day is permuted among all of 1900 to 2099."""
     try:
-        day = datetime.date(part["y"], part["m"], part["d"]).toordinal()
+        day = datetime.date(y, m, d).toordinal()
     except ValueError:
         return None
     if not FIRST_DAY <= day <= LAST_DAY:
         return None
-    new = datetime.date.fromordinal(FIRST_DAY + f.permute("date", day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1))
-    value = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
+    return datetime.date.fromordinal(FIRST_DAY + f.permute("date", day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1))
+
+
+def _date(f: Feistel, m: str) -> str | None:
+    """Dates as y-m-d, d.m.y or m/d/y, or with the name of the month; one-digit parts make a form without zeros."""
+    if hit := _NAMED.fullmatch(m):
+        g = {k.rstrip("2"): v for k, v in hit.groupdict().items() if v is not None}
+        if (new := _shifted(f, int(g["y"]), _MONTHS[g["m"].lower()], int(g["d"]))) is None:
+            return None
+        name = (calendar.month_abbr if len(g["m"]) == 3 else calendar.month_name)[new.month]
+        name = name.upper() if g["m"].isupper() else name.lower() if g["m"].islower() else name
+        day = f"{new.day:02d}" if g["d"].startswith("0") else str(new.day)
+        first, second = (name, day) if hit["m2"] else (day, name)
+        return f"{first}{g['s']}{second}{g['t']}{new.year}"
+    a, sep, b, _, c = re.match(r"(\d+)([-./])(\d+)([-./])(\d+)$", m).groups()
+    order = "ymd" if len(a) == 4 else "dmy" if sep == "." or int(a) > 12 else "mdy"
+    part = dict(zip(order, (int(a), int(b), int(c))))
+    if (new := _shifted(f, part["y"], part["m"], part["d"])) is None:
+        return None
+    width = min(len(a), len(b), len(c))
+    value = {"y": f"{new.year:04d}", "m": f"{new.month:0{width}d}", "d": f"{new.day:0{width}d}"}
     return sep.join(value[k] for k in order)
 
 
@@ -188,7 +207,8 @@ def _email(f: Feistel, m: str) -> str | None:
 KINDS = (
     ("email", r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}", _email),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
-    ("date", r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4}|\d{2}-\d{2}-\d{4})(?![\d/-]|\.\d)", _date),
+    ("date", r"(?<![\d./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}-\d{1,2}-\d{4}"
+     rf"|\d{{1,2}} +{_MONTH}\.?,? +\d{{4}}|(?<![A-Za-z]){_MONTH}\.? +\d{{1,2}},? +\d{{4}})(?![\d/-]|\.\d)", _date),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", _ssn),
     ("ipv4", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)", _ipv4),
     ("card", r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-]\d|\d)", _card),
@@ -211,6 +231,8 @@ def _starts(text: str) -> list[int]:
             out.add(p)
             continue
         out.add(p)
+        if p and text[p - 1] == " " and (m := _BEFORE.search(text, max(0, p - 16), p)):
+            out.add(m.start())
         if p and text[p - 1] in "+(":
             out.add(p - 1)
             if p > 1 and text[p - 2] == "+":

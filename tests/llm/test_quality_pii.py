@@ -210,3 +210,16 @@ def test_pipeline_against_plain_python(spark, labelled, tmp_path):
     empty = edge.limit(0)
     for _, stage in pipeline.STAGES:
         assert stage(spark, empty, d).count() == 0
+
+
+def test_numbers_and_dates_of_further_forms():
+    f = pii.Feistel(b"k")
+    for text, kind, form in [
+        ("+1 (017) 555-7713", "phone", r"\+1 \(0\d\d\) \d{3}-\d{4}"), ("+1 (168) 555-5254", "phone", r"\+1 \(1\d\d\) \d{3}-\d{4}"), ("on 3/5/2021,", "date", r"on \d{1,2}/\d{1,2}/\d{4},"),
+        ("2021-3-5", "date", r"\d{4}-\d{1,2}-\d{1,2}"), ("5 March 2021", "date", r"\d{1,2} [A-Z][a-z]+ \d{4}"), ("on MAR 5, 2021.", "date", r"on [A-Z]{3} \d{1,2}, \d{4}\."),
+    ]:
+        new, kinds = pii.pseudonymize(text, f)
+        assert kinds == [kind] and new != text and re.fullmatch(form, new), (text, new, kinds)
+    for text in ("31 February 2021", "marching 5, 2021", "(017) 555-7713", "2/30/2021"):
+        assert pii.pseudonymize(text, f) == (text, [])
+    assert len({pii.pseudonymize(f"+1 (01{i}) 555-7713", f)[0] for i in range(10)}) == 10
