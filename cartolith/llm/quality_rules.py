@@ -1,26 +1,42 @@
 """Quality rules whose cutoffs come with a guarantee on false rejections.
 
-Every rule rejects a text whose statistic lies above a cutoff.  Labelled documents are
-split by a hash of their id: on the *holdout* half the exact binomial distribution says
-how many good documents a cutoff may reject so that, with confidence ``1 - DELTA`` over all
-strata and rules together (Bonferroni), its true false-rejection rate is at most ``ALPHA``.
-Within a rule, cutoffs are tested from the safest on and testing stops at the first that
-fails, which needs no further correction.  On the other half, the certified cutoff with
-the best yield (bad texts caught less ``COST`` times good texts lost) is chosen; a rule
-without yield, or a stratum with too few labels, rejects nothing.
+Every rule rejects a text whose statistic lies above a cutoff; a document goes if any rule
+rejects it.  A *policy* is one cutoff for each rule.  In each stratum (a language) labelled
+texts are split by their digest:
+
+1. On the smaller part, a chain of policies is drawn up, the most careful first (``CHAIN``):
+   each step says how many bad texts caught are worth a good one lost and which share of all
+   bad texts a rule must catch to be used; every rule takes the cutoff with the best yield.
+2. On the other, *test* part, the policies are tested in this order by the exact binomial
+   bound: with confidence ``1 - DELTA`` over all strata together (Bonferroni) the share of
+   good texts that *all rules together* reject is at most ``ALPHA``.  Testing stops at the
+   first policy that fails, so the chain needs no further correction; the last that passed
+   holds.  If none passes, nothing is rejected beyond the base rules.
+
+Languages with too few good test texts for any bound are one stratum together, so the
+guarantee is theirs jointly.  Sizes of strata depend on counts only, never on statistics.
+
+A trial is a distinct text: copies count once, with the first of their languages, and not
+at all if their labels disagree.  Near copies are trials of their own unless the caller
+gives them a common ``unit``.
 
 Everything is DataFrame expressions: statistics are computed inside a row, label counts
-are a grouped count over (stratum, rule, bin) and the cutoffs a table of one row for each
-stratum, broadcast only after a count.
+are grouped counts over (stratum, rule, bin), and policies and cutoffs are tables of one row
+for each stratum, broadcast only after a count.
 
 Edge cases: a null or blank text has no words and fails the base rules; a null language is
-the stratum ``''``; labels with null ids, null or other values than 0 and 1 are ignored,
-repeated labels of an id count once if they agree and not at all if they don't; repeated
-documents each give a row; further columns of the input are kept by ``keep_good``.
+the stratum ''; a language without labels rejects nothing; labels with null ids, null or
+other values than 0 and 1 are ignored, repeated labels of an id count once if they agree and
+not at all if they don't; repeated documents each give a row; further columns of the input
+are kept by ``keep_good``.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from math import ceil, log
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,10 +44,12 @@ from ._common import SPACES, broadcast_if_small, let, materialize, table, words_
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
-#: Largest false-rejection rate of one rule in one stratum, and the chance that any bound fails.
-ALPHA, DELTA = 0.01, 0.05
-#: Good documents lost weigh this many times as much as bad ones caught.
-COST = 4.0
+#: Largest share of a stratum's good texts that may be rejected, and the chance that any bound fails.
+ALPHA, DELTA = 0.03, 0.05
+#: Policies, the most careful first: bad texts caught that outweigh a good one lost, least share of bad texts that a rule catches.
+CHAIN = ((1000.0, 0.5), (1000.0, 0.25), (64.0, 0.25), (16.0, 0.1), (8.0, 0.1), (4.0, 0.05))
+#: First hexadecimal digits of a text's digest that put it into the test part: ten of sixteen.
+TEST_BELOW = "a"
 #: Rules: name and the numerator and denominator of the statistic.
 RULES = (
     ("symbols", "n_symbols", "word_chars"),
@@ -132,64 +150,78 @@ def _allowed(n: Column, tests: int, alpha: float, delta: float) -> Column:
     return F.when(n < 1, F.lit(-1).cast("long")).otherwise(F.aggregate(F.sequence(F.lit(0).cast("long"), F.greatest(most, F.lit(0).cast("long"))), start, step)["k"])
 
 
-def fit_cutoffs(stats: DataFrame, labels: DataFrame, *, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """``stratum`` and one cutoff for each rule (null: the rule rejects nothing there).
-
-    ``stats`` has ``doc_id``, ``stratum`` and the counts; ``labels`` has ``doc_id`` and ``quality``.
-    """
+def _units(stats: DataFrame, labels: DataFrame) -> DataFrame:
+    """``unit, stratum, quality, test`` and a bin for each rule, of each distinct labelled text that passes the base rules."""
     good = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_q")).filter("quality = _q").drop("_q")
     # A statistic's bin: how many candidate cutoffs lie at or above it, so that cutoff k (from 0) rejects bins <= k.
-    bins = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("rule"),
-                _bin(name, top, bottom).alias("bin"),
-            )
-            for name, top, bottom in RULES
-        ]
-    )
-    passed = stats.filter(~base_failed()).select("doc_id", "stratum", bins.alias("b"))
-    holdout = (F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1) < "8").alias("holdout")
-    counts = passed.join(good, "doc_id").select("stratum", holdout, "quality", F.explode("b").alias("b")).groupBy("stratum", "b.rule", "b.bin").agg(
-        *[F.count_if(cond & (F.col("quality") == q)).alias(name) for name, cond, q in (("test_good", F.col("holdout"), 1), ("pick_good", ~F.col("holdout"), 1), ("pick_bad", ~F.col("holdout"), 0))]
-    )
-    ladder = counts.groupBy("stratum", "rule").agg(F.sum("test_good").alias("n"), F.collect_list(F.struct("bin", "test_good", "pick_good", "pick_bad")).alias("bins"))
+    bins = [_bin(name, top, bottom).alias(f"bin_{name}") for name, top, bottom in RULES]
+    rows = stats.filter(~base_failed()).select("doc_id", "stratum", "unit", *bins).join(good, "doc_id")
+    once = rows.groupBy("unit").agg(F.min("stratum").alias("stratum"), F.min("quality").alias("quality"), F.max("quality").alias("_q"), *[F.min(f"bin_{name}").alias(f"bin_{name}") for name, _, _ in RULES])
+    return once.filter("quality = _q").drop("_q").withColumn("test", F.substring("unit", 1, 1) < TEST_BELOW)
+
+
+def _groups(units: DataFrame, alpha: float, delta: float) -> DataFrame:
+    """``stratum, grp``: languages with enough good test texts by themselves, the others together."""
+    counts = units.groupBy("stratum").agg(F.count_if(F.col("test") & (F.col("quality") == 1)).alias("n"))
+    need = ceil(log(delta / max(1, counts.count())) / log(1 - alpha))
+    return counts.select("stratum", F.when(F.col("n") >= need, F.concat(F.lit("="), "stratum")).otherwise("*").alias("grp"))
+
+
+def _policies(units: DataFrame) -> DataFrame:
+    """``grp`` and for each rule the cutoffs (from 0; -1: none) of the chain, from texts outside the test part."""
+    bins = F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"bin_{name}").alias("bin")) for name, _, _ in RULES])
+    counts = units.filter(~F.col("test")).select("grp", "quality", F.explode(bins).alias("b")).groupBy("grp", "b.rule", "b.bin").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"))
+    ladder = counts.groupBy("grp", "rule").agg(F.collect_list(F.struct("bin", "good", "bad")).alias("bins"), F.sum("bad").alias("all_bad"))
 
     def upto(k: Column, name: str) -> Column:
         return F.aggregate(F.filter("bins", lambda b: b["bin"] <= k), F.lit(0).cast("long"), lambda a, b: a + b[name]).alias(name)
 
-    at = F.transform(F.sequence(F.lit(0), F.lit(STEPS - 1)), lambda k: F.struct(
-        k.alias("k"),
-        *[upto(k, name) for name in ("test_good", "pick_good", "pick_bad")],
-    ))
-    ladder = materialize(stats.sparkSession, ladder.withColumn("at", at), "rule-ladder")
-    n_strata = ladder.agg(F.count_distinct("stratum")).first()[0]
-    ladder = ladder.withColumn("allowed", _allowed(F.col("n"), max(1, n_strata) * len(RULES), alpha, delta))
-    gain = lambda x: x["pick_bad"] - F.lit(COST) * x["pick_good"]
-    certified = F.filter("at", lambda x: x["test_good"] <= F.col("allowed"))
-    best = F.reduce(certified, F.struct(F.lit(0.0).alias("gain"), F.lit(-1).alias("k")), lambda a, x: F.when(gain(x) > a["gain"], F.struct(gain(x).alias("gain"), x["k"].alias("k"))).otherwise(a))
-    chosen = ladder.select("stratum", "rule", best["k"].alias("k"))
-    cut = lambda name: F.get(F.array(*[F.lit(c) for c in cutoffs(name)]), F.col("k"))
-    return chosen.groupBy("stratum").agg(*[F.max(F.when((F.col("rule") == name) & (F.col("k") >= 0), cut(name))).alias(f"cut_{name}") for name, _, _ in RULES])
+    at = F.transform(F.sequence(F.lit(0), F.lit(STEPS - 1)), lambda k: F.struct(k.alias("k"), upto(k, "good"), upto(k, "bad")))
+
+    def best(cost: float, share: float) -> Column:
+        gain = lambda x: F.when(x["bad"] >= F.lit(share) * F.col("all_bad"), x["bad"] - F.lit(cost) * x["good"]).otherwise(0.0)
+        return F.reduce("at", F.struct(F.lit(0.0).alias("gain"), F.lit(-1).alias("k")), lambda a, x: F.when(gain(x) > a["gain"], F.struct(gain(x).alias("gain"), x["k"].alias("k"))).otherwise(a))["k"]
+
+    chain = ladder.withColumn("at", at).select("grp", "rule", F.array(*[best(*c) for c in CHAIN]).alias("ks"))
+    return chain.groupBy("grp").agg(*[F.max(F.when(F.col("rule") == name, F.col("ks"))).alias(f"k_{name}") for name, _, _ in RULES])
+
+
+def fit_cutoffs(stats: DataFrame, labels: DataFrame, *, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """``stratum`` and one cutoff for each rule (null: the rule rejects nothing there).
+
+    ``stats`` has ``doc_id``, ``stratum``, ``unit`` (the digest of the text, in hexadecimal
+    digits) and the counts; ``labels`` has ``doc_id`` and ``quality``.
+    """
+    spark = stats.sparkSession
+    units = materialize(spark, _units(stats, labels), "rule-units")
+    groups = materialize(spark, _groups(units, alpha, delta), "rule-groups")
+    units = units.join(broadcast_if_small(groups), "stratum")
+    policies = materialize(spark, _policies(units), "rule-policies")
+    tests = max(1, groups.select("grp").distinct().count())
+    rejected = [reduce(or_, [F.col(f"bin_{name}") <= F.get(f"k_{name}", F.lit(i)) for name, _, _ in RULES]) for i in range(len(CHAIN))]
+    lost = units.filter(F.col("test") & (F.col("quality") == 1)).join(broadcast_if_small(policies), "grp").groupBy("grp").agg(F.count("*").alias("n"), F.array(*[F.count_if(r) for r in rejected]).alias("lost"))
+    allowed = _allowed(F.col("n"), tests, alpha, delta)
+    failed = F.array_position(F.transform("lost", lambda x: x > F.col("allowed")), True)
+    last = F.when(failed == 0, F.lit(len(CHAIN))).otherwise(failed - 1).cast("int") - 1
+    cut = lambda name: F.get(F.array(*[F.lit(c) for c in cutoffs(name)]), F.get(f"k_{name}", F.col("last"))).alias(f"cut_{name}")
+    chosen = policies.join(lost.withColumn("allowed", allowed).select("grp", last.alias("last")).filter("last >= 0"), "grp").select("grp", *[cut(name) for name, _, _ in RULES])
+    return groups.join(chosen, "grp").drop("grp")
 
 
 def with_verdict(stats: DataFrame, cuts: DataFrame) -> DataFrame:
     """``stats`` with ``base_failed`` and ``kept``; ``cuts`` is a written table of ``fit_cutoffs``."""
     above = [F.coalesce(_statistic(top, bottom) > F.col(f"cut_{name}"), F.lit(False)) for name, top, bottom in RULES]
-    rejected = above[0]
-    for x in above[1:]:
-        rejected = rejected | x
     out = stats.join(broadcast_if_small(cuts), "stratum", "left")
-    return out.withColumns({"base_failed": base_failed(), "kept": ~(base_failed() | rejected)})
+    return out.withColumns({"base_failed": base_failed(), "kept": ~(base_failed() | reduce(or_, above))})
 
 
-def _stratum() -> Column:
-    return F.coalesce(F.col("lang"), F.lit("")).alias("stratum")
+def _keys() -> list[Column]:
+    return [F.coalesce(F.col("lang"), F.lit("")).alias("stratum"), F.md5(F.coalesce("text", F.lit(""))).alias("unit")]
 
 
 def rule_report(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Counts, base verdict and verdict of each document; statistics are computed once."""
-    narrow = statistics(docs.select("doc_id", "text", _stratum())).drop("text")
+    narrow = statistics(docs.select("doc_id", "text", *_keys())).drop("text")
     stats = materialize(spark, narrow, "rule-stats")
     cuts = materialize(spark, fit_cutoffs(stats, labels), "rule-cuts")
     return with_verdict(stats, cuts)
@@ -198,7 +230,7 @@ def rule_report(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Data
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their columns unchanged."""
     names = docs.columns
-    wide = materialize(spark, statistics(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("doc_id"), F.col("text"), _stratum())).drop("text"), "rule-stats")
+    wide = materialize(spark, statistics(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("doc_id"), F.col("text"), *_keys())).drop("text"), "rule-stats")
     cuts = materialize(spark, fit_cutoffs(wide.drop("_row"), labels), "rule-cuts")
     return with_verdict(wide, cuts).filter("kept").select("_row.*")
 
@@ -211,7 +243,9 @@ def op4_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     stat = lambda t, b: f"CASE WHEN {b} > 0 THEN {t}::DOUBLE / {b} ELSE 0.0 END"
     steps = " UNION ALL ".join(f"SELECT '{n}' AS rule, {k} AS k, {c!r}::DOUBLE AS c" for n, _, _ in RULES for k, c in enumerate(cutoffs(n)))
-    values = " UNION ALL ".join(f"SELECT doc_id, stratum, quality, holdout, '{n}' AS rule, {stat(t, b)} AS v FROM labelled" for n, t, b in RULES)
+    costs = " UNION ALL ".join(f"SELECT {i} AS i, {c!r}::DOUBLE AS cost, {m!r}::DOUBLE AS share" for i, (c, m) in enumerate(CHAIN))
+    facts = ", ".join(f"min({c}) AS {c}" for c in sorted({c for _, t, b in RULES for c in (t, b)}))
+    values = " UNION ALL ".join(f"SELECT grp, unit, quality, test, '{n}' AS rule, {stat(t, b)} AS v FROM labelled JOIN groups USING (stratum)" for n, t, b in RULES)
     above = " OR ".join(f"coalesce({stat(t, b)} > cut_{n}, FALSE)" for n, t, b in RULES)
     cuts = ", ".join(f"max(c) FILTER (rule = '{n}') AS cut_{n}" for n, _, _ in RULES)
     strip = "regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')"
@@ -222,27 +256,33 @@ w AS (SELECT doc_id, stratum, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') A
         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
 p AS (SELECT doc_id, t, i, w[i] || ' ' || w[i+1] || ' ' || w[i+2] AS x FROM (SELECT doc_id, t, w, unnest(generate_series(1, len(w) - 2)) AS i FROM w WHERE len(w) >= 3)),
 r AS (SELECT doc_id, t, count(DISTINCT j) AS n FROM (SELECT doc_id, t, unnest([i, i+1, i+2]) AS j FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, t, x) AS c FROM p) WHERE c > 1) GROUP BY doc_id, t),
-s AS (SELECT w.doc_id, stratum, len(w)::BIGINT AS n_words, length({strip})::BIGINT AS word_chars,
+s AS (SELECT w.doc_id, stratum, md5(t) AS unit, len(w)::BIGINT AS n_words, length({strip})::BIGINT AS word_chars,
         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
         (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')))::BIGINT AS n_capitals,
         (length(t) - length(regexp_replace(t, '[!?]', '', 'g')))::BIGINT AS n_exclaims,
         len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
         coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN r USING (doc_id, t)),
 q AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IN (0, 1) GROUP BY doc_id HAVING min(quality) = max(quality)),
-labelled AS (SELECT s.*, quality, md5(s.doc_id::VARCHAR)[1] < '8' AS holdout FROM s JOIN q USING (doc_id) WHERE NOT {failed}),
+labelled AS (SELECT unit, min(stratum) AS stratum, min(quality) AS quality, unit[1] < '{TEST_BELOW}' AS test, {facts} FROM s JOIN q USING (doc_id)
+             WHERE NOT {failed} GROUP BY unit HAVING min(quality) = max(quality)),
+langs AS (SELECT stratum, count(*) FILTER (test AND quality = 1) AS n FROM labelled GROUP BY stratum),
+groups AS (SELECT stratum, CASE WHEN n >= (SELECT ceil(ln({DELTA} / greatest(1, count(*))) / ln(1 - {ALPHA})) FROM langs) THEN '=' || stratum ELSE '*' END AS grp FROM langs),
 vals AS ({values}),
 steps AS ({steps}),
-sums AS (SELECT stratum, v.rule, k, c, count(*) FILTER (holdout AND quality = 1) AS n,
-          count(*) FILTER (holdout AND quality = 1 AND v > c) AS test_good,
-          count(*) FILTER (NOT holdout AND quality = 0 AND v > c) - {COST} * count(*) FILTER (NOT holdout AND quality = 1 AND v > c) AS gain
-          FROM vals v JOIN steps USING (rule) GROUP BY stratum, v.rule, k, c),
-tests AS (SELECT {len(RULES)} * count(DISTINCT stratum) AS m FROM vals),
+costs AS ({costs}),
+policies AS (SELECT grp, rule, i, c FROM (SELECT grp, v.rule, i, k, c, count(*) FILTER (quality = 0 AND v > c) - cost * count(*) FILTER (quality = 1 AND v > c) AS gain,
+             count(*) FILTER (quality = 0 AND v > c) >= share * count(*) FILTER (quality = 0) AS enough
+             FROM vals v JOIN steps USING (rule), costs WHERE NOT test GROUP BY grp, v.rule, i, cost, share, k, c) WHERE enough AND gain > 0
+             QUALIFY row_number() OVER (PARTITION BY grp, rule, i ORDER BY gain DESC, k) = 1),
+lost AS (SELECT v.grp, i, count(DISTINCT unit) AS lost FROM vals v JOIN policies p ON p.grp = v.grp AND p.rule = v.rule WHERE test AND quality = 1 AND v > c GROUP BY v.grp, i),
+sizes AS (SELECT grp, count(DISTINCT unit) FILTER (test AND quality = 1) AS n FROM vals GROUP BY grp),
+tests AS (SELECT greatest(1, count(*)) AS m FROM sizes),
 pmf AS (SELECT n, i, exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA})) AS p
-        FROM (SELECT n, unnest(generate_series(0, least(ceil(n * {ALPHA})::BIGINT, n - 1))) AS i FROM (SELECT DISTINCT n FROM sums WHERE n > 0))),
+        FROM (SELECT n, unnest(generate_series(0, least(ceil(n * {ALPHA})::BIGINT, n - 1))) AS i FROM (SELECT DISTINCT n FROM sizes WHERE n > 0))),
 allowed AS (SELECT n, max(i) AS a FROM (SELECT n, i, sum(p) OVER (PARTITION BY n ORDER BY i) AS cdf FROM pmf), tests WHERE cdf <= {DELTA} / m GROUP BY n),
-best AS (SELECT stratum, rule, c FROM sums JOIN allowed USING (n) WHERE test_good <= a AND gain > 0
-         QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, k) = 1),
-cuts AS (SELECT stratum, {cuts} FROM best GROUP BY stratum)
+chosen AS (SELECT z.grp, coalesce(min(o.i) FILTER (coalesce(l.lost, 0) > coalesce(a, -1)), {len(CHAIN)}) - 1 AS i
+           FROM sizes z CROSS JOIN costs o LEFT JOIN lost l ON l.grp = z.grp AND l.i = o.i LEFT JOIN allowed ON allowed.n = z.n GROUP BY z.grp),
+cuts AS (SELECT stratum, {cuts} FROM groups g JOIN chosen h ON h.grp = g.grp JOIN policies p ON p.grp = g.grp AND p.i = h.i GROUP BY stratum)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {failed} AS base_failed, NOT ({failed} OR {above}) AS kept
 FROM s LEFT JOIN cuts USING (stratum)
 """
