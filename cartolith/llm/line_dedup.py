@@ -3,15 +3,22 @@
 Every three consecutive lines of a text are hashed; windows whose hash occurs before, in
 any document or earlier in the same one, are later occurrences, and all lines they cover
 go.  The first occurrence is the one with the smallest (doc_id, text hash, position).
-Only hashes travel: windows are counted with a partial aggregate, so a window that a third
-of all texts share is one row for each task; the join back is by hash and can be split by
-Spark where one hash is frequent; the texts meet the positions to remove once.
+
+Only hashes travel.  Each line is hashed once, windows combine the hashes of their lines,
+and the narrow table of windows is written before it is grouped and joined.  Windows are
+counted with a partial aggregate, so a window that a third of all texts share is one row for
+each task; the join back is by hash and can be split by Spark where one hash is frequent.
+
+Texts meet the positions to remove once.  A bitmap of fixed size over hashed keys says which
+texts may lose lines: the others, most of a corpus, stay where they are, and only texts of
+marked keys are shuffled.  Positions are sorted, so lines are kept by ranges in one pass.
 
 Lines are the parts between line feeds; a window needs one line with a word at least (runs
 of blank lines are layout).  Edge cases: a null text stays null and has no lines; texts of
 fewer than three lines have no window; where windows overlap within one text the covered
 lines of all later occurrences go; rows equal in ``doc_id`` and ``text`` are one document
-listed repeatedly and are all treated alike; null ids come first; further columns are kept.
+listed repeatedly and are all treated alike; null ids come first; further columns are kept;
+an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -19,50 +26,90 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import SPACES, let, table
+from ._common import let, materialize, table
 
 WINDOW = 3
+#: Bits of the bitmap of changing texts: 1,024 rows of 4 KB, broadcast.
+SLOTS = 1 << 25
+_ROW_BITS = 1 << 15
+NO_ID = -(1 << 63)
 
 
 def _windows(lines: Column) -> Column:
     """Structs of position and hash of each window."""
+    hashed = F.transform(lines, lambda v: F.struct(F.xxhash64(v).alias("h"), F.hash(v).alias("g"), v.rlike(r"[^\x20\x09-\x0D]").alias("w")))
 
     def of(x: Column) -> Column:
-        n = F.size(x)
-        at = F.transform(
-            F.sequence(F.lit(0), n - WINDOW),
-            lambda i: F.when(
-                F.length(F.translate(F.array_join(F.slice(x, i + 1, WINDOW), ""), SPACES, "")) > 0,
-                F.struct(i.alias("pos"), F.xxhash64(*[F.get(x, i + k) for k in range(WINDOW)]).alias("h"), F.hash(*[F.get(x, i + k) for k in range(WINDOW)]).alias("g")),
-            ),
+        at = lambda i, c: [F.get(x, i + k)[c] for k in range(WINDOW)]
+        windows = F.transform(
+            F.sequence(F.lit(0), F.size(x) - WINDOW),
+            lambda i: F.when(F.greatest(*at(i, "w")), F.struct(i.alias("pos"), F.xxhash64(*at(i, "h")).alias("h"), F.hash(*at(i, "g")).alias("g"))),
         )
-        return F.when(n >= WINDOW, F.filter(at, lambda w: w.isNotNull())).otherwise(F.array().cast("array<struct<pos:int,h:long,g:int>>"))
+        return F.when(F.size(x) >= WINDOW, F.filter(windows, lambda w: w.isNotNull())).otherwise(F.array().cast("array<struct<pos:int,h:long,g:int>>"))
+
+    return let(hashed, of)
+
 
-    return let(lines, of)
+def _key() -> list[Column]:
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64("text").alias("th")]
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, th, gone``: positions (from 0) of the lines to remove, for texts that lose any."""
+    """``d, th, pos`` for texts that lose lines: sorted positions (from 0) of the windows to remove."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    at = docs.select("doc_id", F.xxhash64("text").alias("th"), F.explode(_windows(lines)).alias("w")).select("doc_id", "th", "w.pos", "w.h", "w.g")
-    place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), "th", "pos")
+    at = docs.select(*_key(), F.explode(_windows(lines)).alias("w")).select("d", "th", "w.pos", "w.h", "w.g")
+    at = materialize(docs.sparkSession, at, "line-windows")
+    place = F.struct("d", "th", "pos")
     twice = at.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").select("h", "g", "first")
     later = at.join(twice, ["h", "g"]).filter(place > F.col("first"))
-    covered = later.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("pos"))
-    return covered.select("doc_id", "th", F.array_distinct(F.flatten(F.transform("pos", lambda p: F.sequence(p, p + (WINDOW - 1))))).alias("gone"))
+    return later.groupBy("d", "th").agg(F.sort_array(F.collect_set("pos")).alias("pos"))
+
+
+def _slot() -> Column:
+    return F.pmod(F.xxhash64("th", "d"), F.lit(SLOTS))
+
+
+def _bitmap(keys: DataFrame) -> DataFrame:
+    """``bucket, bits``: at most SLOTS / 8 bytes in all, however many ``d, th``."""
+    slots = keys.select(_slot().alias("s"))
+    return slots.groupBy(F.floor(F.col("s") / _ROW_BITS).alias("bucket")).agg(F.bitmap_construct_agg(F.col("s") % _ROW_BITS).alias("bits"))
+
+
+def _without(text: Column, pos: Column) -> Column:
+    """``text`` and ``n``, what is left of a text and how many lines go, for sorted window positions."""
+
+    def kept(x: Column) -> Column:
+        n = F.size(pos)
+
+        def piece(k: Column) -> Column:
+            start = F.when(k == 0, 0).otherwise(F.get(pos, k - 1) + WINDOW)
+            end = F.when(k == n, F.size(x)).otherwise(F.get(pos, k))
+            return F.slice(x, start + 1, F.greatest(end - start, F.lit(0)))
+
+        rest = F.flatten(F.transform(F.sequence(F.lit(0), n), piece))
+        return let(rest, lambda r: F.struct(F.array_join(r, "\n").alias("text"), (F.size(x) - F.size(r)).cast("long").alias("n")))
+
+    return let(F.split(text, "\n"), kept)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated lines removed from ``text``, and ``n_lines`` and ``n_removed``."""
     names = docs.columns
-    gone = repeated_lines(docs.select("doc_id", "text")).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("gone").alias("_gone"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
-    joined = rows.join(gone, F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("_row.text") == F.col("_th")), "left")
-    split = F.split("_row.text", "\n")
-    kept = F.when(F.col("_gone").isNull(), F.col("_row.text")).otherwise(F.array_join(F.filter(split, lambda x, i: ~F.array_contains("_gone", i)), "\n"))
-    n_lines = F.when(F.col("_row.text").isNull(), 0).otherwise(F.size(split)).cast("long")
-    columns = [kept.alias("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in names if c not in ("n_lines", "n_removed")]
-    return joined.select(*columns, n_lines.alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    gone = materialize(docs.sparkSession, repeated_lines(docs.select("doc_id", "text")), "line-removals")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), *_key()).withColumns({"bucket": F.floor(_slot() / _ROW_BITS), "bit": _slot() % _ROW_BITS})
+    rows = rows.join(F.broadcast(_bitmap(gone)), "bucket", "left")
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(F.col("bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    marked = F.coalesce(F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1, F.lit(False))
+    text = F.col("_row.text")
+    n_lines = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.translate(text, "\n", "")) + 1).cast("long").alias("n_lines")
+
+    def out(df: DataFrame, new: Column, n: Column) -> DataFrame:
+        columns = [new.alias("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in names if c not in ("n_lines", "n_removed")]
+        return df.select(*columns, n_lines, n.alias("n_removed"))
+
+    changing = rows.filter(marked).select("_row", "d", "th").join(gone, ["d", "th"], "left").withColumn("_new", F.when(F.col("pos").isNotNull(), _without(text, F.col("pos"))))
+    still = out(rows.filter(~marked), text, F.lit(0).cast("long"))
+    return still.unionByName(out(changing, F.when(F.col("pos").isNull(), text).otherwise(F.col("_new.text")), F.coalesce("_new.n", F.lit(0).cast("long"))))
 
 
 def op8_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
