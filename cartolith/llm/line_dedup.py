@@ -26,12 +26,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import let, materialize, table
+from ._common import let, materialize, table, with_mark
 
 WINDOW = 3
-#: Bits of the bitmap of changing texts: 1,024 rows of 4 KB, broadcast.
-SLOTS = 1 << 25
-_ROW_BITS = 1 << 15
 NO_ID = -(1 << 63)
 
 
@@ -65,16 +62,6 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return later.groupBy("d", "th").agg(F.sort_array(F.collect_set("pos")).alias("pos"))
 
 
-def _slot() -> Column:
-    return F.pmod(F.xxhash64("th", "d"), F.lit(SLOTS))
-
-
-def _bitmap(keys: DataFrame) -> DataFrame:
-    """``bucket, bits``: at most SLOTS / 8 bytes in all, however many ``d, th``."""
-    slots = keys.select(_slot().alias("s"))
-    return slots.groupBy(F.floor(F.col("s") / _ROW_BITS).alias("bucket")).agg(F.bitmap_construct_agg(F.col("s") % _ROW_BITS).alias("bits"))
-
-
 def _without(text: Column, pos: Column) -> Column:
     """``text`` and ``n``, what is left of a text and how many lines go, for sorted window positions."""
 
@@ -96,10 +83,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated lines removed from ``text``, and ``n_lines`` and ``n_removed``."""
     names = docs.columns
     gone = materialize(docs.sparkSession, repeated_lines(docs.select("doc_id", "text")), "line-removals")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), *_key()).withColumns({"bucket": F.floor(_slot() / _ROW_BITS), "bit": _slot() % _ROW_BITS})
-    rows = rows.join(F.broadcast(_bitmap(gone)), "bucket", "left")
-    byte = F.conv(F.hex(F.substring("bits", (F.floor(F.col("bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
-    marked = F.coalesce(F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1, F.lit(False))
+    rows = with_mark(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), *_key()), gone, ["d", "th"])
     text = F.col("_row.text")
     n_lines = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.translate(text, "\n", "")) + 1).cast("long").alias("n_lines")
 
@@ -107,8 +91,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         columns = [new.alias("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in names if c not in ("n_lines", "n_removed")]
         return df.select(*columns, n_lines, n.alias("n_removed"))
 
-    changing = rows.filter(marked).select("_row", "d", "th").join(gone, ["d", "th"], "left").withColumn("_new", F.when(F.col("pos").isNotNull(), _without(text, F.col("pos"))))
-    still = out(rows.filter(~marked), text, F.lit(0).cast("long"))
+    changing = rows.filter("_mark").select("_row", "d", "th").join(gone, ["d", "th"], "left").withColumn("_new", F.when(F.col("pos").isNotNull(), _without(text, F.col("pos"))))
+    still = out(rows.filter("not _mark"), text, F.lit(0).cast("long"))
     return still.unionByName(out(changing, F.when(F.col("pos").isNull(), text).otherwise(F.col("_new.text")), F.coalesce("_new.n", F.lit(0).cast("long"))))
 
 
@@ -116,20 +100,17 @@ def op8_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-def lines_sql(docs: str, out: str) -> str:
-    """Common table expressions, the last named ``out``, that dedup the lines of relation ``docs``."""
-    p = f"{out}_"
-    return f"""
-{p}l AS (SELECT *, string_split(coalesce(text, ''), chr(10)) AS x FROM {docs}),
-{p}w AS (SELECT doc_id, i, x[i] || chr(10) || x[i+1] || chr(10) || x[i+2] AS win
-         FROM (SELECT doc_id, x, unnest(generate_series(1, len(x) - 2)) AS i FROM {p}l WHERE len(x) >= 3)),
-{p}g AS (SELECT DISTINCT doc_id, j FROM (SELECT doc_id, unnest([i, i+1, i+2]) AS j
-         FROM (SELECT *, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS k FROM {p}w WHERE regexp_matches(win, '[^\\x20\\x09-\\x0D]')) WHERE k > 1)),
-{p}r AS (SELECT doc_id, list(j) AS gone FROM {p}g GROUP BY doc_id),
-{out} AS (SELECT {p}l.* EXCLUDE (text, x), CASE WHEN gone IS NULL THEN text ELSE
+OP8_SQL = """
+WITH
+l AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+w AS (SELECT doc_id, i, x[i] || chr(10) || x[i+1] || chr(10) || x[i+2] AS win
+         FROM (SELECT doc_id, x, unnest(generate_series(1, len(x) - 2)) AS i FROM l WHERE len(x) >= 3)),
+g AS (SELECT DISTINCT doc_id, j FROM (SELECT doc_id, unnest([i, i+1, i+2]) AS j
+         FROM (SELECT *, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS k FROM w WHERE regexp_matches(win, '[^\\x20\\x09-\\x0D]')) WHERE k > 1)),
+r AS (SELECT doc_id, list(j) AS gone FROM g GROUP BY doc_id),
+deduped AS (SELECT l.doc_id, CASE WHEN gone IS NULL THEN text ELSE
           coalesce(array_to_string(list_filter(x, lambda v, i: NOT list_contains(gone, i)), chr(10)), '') END AS text,
           CASE WHEN text IS NULL THEN 0 ELSE len(x) END::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed
-          FROM {p}l LEFT JOIN {p}r USING (doc_id))"""
-
-
-OP8_SQL = f"WITH {lines_sql('(SELECT doc_id, text FROM documents)', 'deduped')}\nSELECT doc_id, text, n_lines, n_removed FROM deduped"
+          FROM l LEFT JOIN r USING (doc_id))
+SELECT doc_id, text, n_lines, n_removed FROM deduped
+"""
