@@ -19,6 +19,7 @@ SHINGLE = 5
 #: Similar: 5 * |A and B| >= 4 * |A or B|.
 NUM, DEN = 4, 5
 BLOCK = 512
+HUBS = 500
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -188,13 +189,16 @@ def similar_in_group(lists: list[np.ndarray], inner: bool, side: np.ndarray, num
     return out if inner else out & (side[:, None] != side[None, :])
 
 
-def verify_blocks(dealt: DataFrame, keys: list[str], *, weight: str = "m") -> DataFrame:
+def verify_blocks(dealt: DataFrame, keys: list[str], *, weight: str = "m", candidates=None) -> DataFrame:
     """``node, root, links`` from rows with ``keys``, ``bi, bj, side, node, sh`` (sorted distinct shingles) and a weight.
 
     ``links`` is the weight of the rows of the other block (or the own one) that are
-    similar; ``root`` the smallest node joined within the task.
+    similar; ``root`` the smallest node joined within the task.  With ``candidates``, a
+    function of numbers, insides, sides and the column ``sig`` of sorted rows that gives
+    pairs of rows, only these pairs count.
     """
     by = [*keys, "bi", "bj"]
+    more = ["sig"] if candidates else []
 
     def run(batches):
         for whole, number in groups(batches, by):
@@ -204,11 +208,23 @@ def verify_blocks(dealt: DataFrame, keys: list[str], *, weight: str = "m") -> Da
             sh = sh.chunk(0) if isinstance(sh, pa.ChunkedArray) else sh
             ends, values = sh.offsets.to_numpy(), sh.values.to_numpy()
             root, links = node.copy(), np.zeros(len(node), np.int64)
+            if candidates:
+                first, second = candidates(number, inner, side, whole.column("sig"))
+                order = np.argsort(first, kind="stable")
+                first, second = first[order], second[order]
             bounds = np.flatnonzero(np.diff(number, prepend=-1, append=number[-1] + 1 if len(number) else 0))
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 if b - a < 2:
                     continue
+                if candidates:
+                    i, j = np.searchsorted(first, (a, b))
+                    if i == j:
+                        continue
                 near = similar_in_group([values[ends[i] : ends[i + 1]] for i in range(a, b)], bool(inner[a]), side[a:b])
+                if candidates:
+                    left = np.zeros_like(near)
+                    left[first[i:j] - a, second[i:j] - a] = True
+                    near &= left
                 x, y = np.nonzero(near)
                 if len(x):
                     np.add.at(links, a + x, m[a + y])
@@ -220,7 +236,7 @@ def verify_blocks(dealt: DataFrame, keys: list[str], *, weight: str = "m") -> Da
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root), pa.array(links)], ["node", "root", "links"])
 
     n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ready = dealt.select(*by, "side", "node", weight, "sh").repartition(n, *by).sortWithinPartitions(*by)
+    ready = dealt.select(*by, "side", "node", weight, "sh", *more).repartition(n, *by).sortWithinPartitions(*by)
     return ready.mapInArrow(run, "node long, root long, links long")
 
 
@@ -230,7 +246,9 @@ def components(spark: SparkSession, edges: DataFrame, label: str) -> DataFrame:
     Alternating stars: every node's neighbours are joined to the smallest of them, first
     the larger, then the smaller neighbours, until nothing changes; then each component is
     a star around its smallest node.  Nodes meet their minimum by a join on an aggregate,
-    never as a gathered group; every round is written to the shared folder.
+    never as a gathered group.  Nodes with more than a ``HUBS``-th of all edges, so fewer
+    than twice ``HUBS``, are broadcast with their minimum, so a star's edges stay where they
+    are.  Every round is written to the shared folder.
     """
     e = edges.filter("node != root").select(F.greatest("node", "root").alias("u"), F.least("node", "root").alias("v")).distinct()
     e, before = materialize(spark, e, label), None
@@ -242,8 +260,10 @@ def components(spark: SparkSession, edges: DataFrame, label: str) -> DataFrame:
         if not state[0]:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = materialize(spark, both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).select("u", F.least("u", "m").alias("m"), "c"), label)
+        hubs, larger = F.broadcast(least.filter(F.col("c") * HUBS > state[0]).select("u", "m")), both.filter("v > u")
+        met = larger.join(hubs, "u").unionByName(larger.join(hubs, "u", "left_anti").join(least.drop("c"), "u"))
+        large = met.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         e = large.join(small, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct()
         e = materialize(spark, e, label)

@@ -6,9 +6,11 @@
    ``STEP`` at a time; with a uniform prior the matches so far give the posterior
    probability that the similarity reaches the threshold, and a pair is dropped as soon as
    it falls below ``TOLERANCE``.  Tasks return a spanning forest of what is left.
-3. Nodes joined by such candidates form families.  Within a family all pairs are verified
-   exactly on the shingle sets, in blocks; links are counted there and only a spanning
-   forest leaves the task, whose components are the classes.
+3. Nodes joined by such candidates form families, which bring every candidate pair together
+   once, in blocks.  There the pairs are pruned in the same way on their MinHash values, and
+   only nodes that are left with a partner in a block are sent there with their shingle
+   sets.  Only pairs that survive are verified exactly; links are counted in the block and
+   only a spanning forest leaves the task, whose components are the classes.
 
 Result: one row per document with ``class_id``, the smallest ``doc_id`` of its class, and
 ``n_links``, the number of other documents at a similarity of 0.8 or more (copies included).
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _similar as S
-from ._common import materialize, small_batches, table, words_of
+from ._common import materialize, small_batches, table, with_mark, words_of
 
 BANDS, ROWS = 24, 5
 HASHES = BANDS * ROWS
@@ -83,38 +85,61 @@ def sketches(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "id long, th long, h1 long, h2 long, size long, keys array<long>, sig binary")
 
 
-def candidate_forest(nodes: DataFrame) -> DataFrame:
-    """``node, root``: a spanning forest of each bucket's pairs that Bayesian pruning leaves."""
-    spark = nodes.sparkSession
-    by = ["key", "bi", "bj"]
-    bounds = least_matches()
-    members = S.in_blocks(nodes.select("node", F.explode("keys").alias("key")), "key", F.col("node"))
-    dealt = members.join(nodes.select("node", "sig"), "node")
+BOUNDS = least_matches()
+
+
+def surviving_pairs(number: np.ndarray, inner: np.ndarray, side: np.ndarray, sig: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that Bayesian pruning leaves, of all groups of rows sorted by group."""
+    sig = np.frombuffer(b"".join(sig.to_pylist()), np.uint8).reshape(len(number), HASHES)
+    xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for x, y in S.pairs_at(number, inner, side):
+        matches, start = np.zeros(len(x), np.int64), 0
+        for n, least in BOUNDS:
+            matches += (sig[x, start:n] == sig[y, start:n]).sum(1)
+            go = matches >= least
+            x, y, matches, start = x[go], y[go], matches[go], n
+            if not len(x):
+                break
+        xs.append(x)
+        ys.append(y)
+    return np.concatenate(xs), np.concatenate(ys)
+
+
+def _pruned(dealt: DataFrame, by: list[str], out, schema: str) -> DataFrame:
+    """``out(rows, x, y)`` for groups of ``dealt`` (``by``, ``node``, ``side``, ``sig``) and their surviving pairs of rows."""
 
     def run(batches):
         for whole, number in S.groups(batches, by):
-            node, side = whole.column("node").to_numpy(), whole.column("side").to_numpy()
             inner = whole.column("bi").to_numpy() == whole.column("bj").to_numpy()
-            sig = np.frombuffer(b"".join(whole.column("sig").to_pylist()), np.uint8).reshape(len(node), HASHES)
-            xs, ys = [], []
-            for x, y in S.pairs_at(number, inner, side):
-                matches, start = np.zeros(len(x), np.int64), 0
-                for n, least in bounds:
-                    matches += (sig[x, start:n] == sig[y, start:n]).sum(1)
-                    go = matches >= least
-                    x, y, matches, start = x[go], y[go], matches[go], n
-                    if not len(x):
-                        break
-                xs.append(x)
-                ys.append(y)
-            if not xs:
-                continue
-            root = S.forest(len(node), np.concatenate(xs), np.concatenate(ys))
-            far = np.flatnonzero(root != np.arange(len(node)))
-            yield pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(node[root[far]])], ["node", "root"])
-
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, *by).sortWithinPartitions(*by).mapInArrow(run, "node long, root long")
+            x, y = surviving_pairs(number, inner, whole.column("side").to_numpy(), whole.column("sig"))
+            if len(x):
+                yield from out(whole, x, y)
+
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, *by).sortWithinPartitions(*by).mapInArrow(run, schema)
+
+
+def candidate_forest(nodes: DataFrame) -> DataFrame:
+    """``node, root``: a spanning forest of each bucket's pairs that Bayesian pruning leaves."""
+    members = S.in_blocks(nodes.select("node", F.explode("keys").alias("key")), "key", F.col("node"))
+
+    def forest(rows, x, y):
+        node = rows.column("node").to_numpy()
+        root = S.forest(len(node), x, y)
+        far = np.flatnonzero(root != np.arange(len(node)))
+        yield pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(node[root[far]])], ["node", "root"])
+
+    return _pruned(members.join(nodes.select("node", "sig"), "node"), ["key", "bi", "bj"], forest, "node long, root long")
+
+
+def with_partners(dealt: DataFrame) -> DataFrame:
+    """Rows of family blocks (``family, bi, bj, side, node, m, sig``) that keep a partner there."""
+    names = ["family", "bi", "bj", "side", "node", "m", "sig"]
+
+    def rows(table, x, y):
+        yield from table.select(names).take(pa.array(np.unique(np.concatenate([x, y])))).combine_chunks().to_batches()
+
+    return _pruned(dealt.select(*names), names[:3], rows, "family long, bi int, bj int, side int, node long, m long, sig binary")
 
 
 def shingle_sets(rows: DataFrame) -> DataFrame:
@@ -134,21 +159,22 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
 def similar_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``id, th, class_id, n_links, root`` for each row of ``docs`` (``doc_id``, ``text``); ``root`` is unique to a class, null without words."""
     sketch = materialize(spark, sketches(docs), "ngram-sketch")
-    sets = sketch.filter("size > 0")
-    nodes = sets.groupBy("h1", "h2").agg(F.min(F.struct("id", "th")).alias("rep"), F.count("*").alias("m"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
+    worded = sketch.filter("size > 0")
+    nodes = worded.groupBy("h1", "h2").agg(F.min(F.struct("id", "th")).alias("rep"), F.count("*").alias("m"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
     nodes = materialize(spark, nodes.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "rep.id", "rep.th", "m", "keys", "sig"), "ngram-nodes")
     family = S.components(spark, candidate_forest(nodes), "ngram-families").withColumnRenamed("root", "family")
-    found = nodes.select("node", "id", "th", "m").join(family, "node")
+    found = materialize(spark, nodes.select("node", "id", "th", "m", "sig").join(family, "node"), "ngram-found")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text").withColumn("th", F.xxhash64("text"))
-    texts = found.join(texts, ["id", "th"]).dropDuplicates(["node"]).select("node", "m", "family", "text")
-    dealt = S.in_blocks(materialize(spark, shingle_sets(texts), "ngram-sets"), "family", F.col("node"))
-    verified = materialize(spark, S.verify_blocks(dealt, ["family"]), "ngram-verified")
+    texts = with_mark(texts, found, ["id", "th"]).filter("_mark").drop("_mark").join(found.select("node", "id", "th"), ["id", "th"])
+    sets = materialize(spark, shingle_sets(texts.dropDuplicates(["node"]).select("node", "text")), "ngram-sets")
+    dealt = with_partners(S.in_blocks(found.drop("id", "th"), "family", F.col("node"))).join(sets, "node")
+    verified = materialize(spark, S.verify_blocks(dealt, ["family"], candidates=surviving_pairs), "ngram-verified")
     classes = S.components(spark, verified, "ngram-classes")
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     labelled = nodes.select("node", "h1", "h2", "id", "m").join(links, "node", "left").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = labelled.groupBy("root").agg(F.min("id").alias("class_id"))
     labelled = labelled.join(least, "root").select("h1", "h2", "class_id", "root", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = sets.select("id", "th", "h1", "h2").join(labelled, ["h1", "h2"]).select("id", "th", "class_id", "n_links", "root")
+    out = worded.select("id", "th", "h1", "h2").join(labelled, ["h1", "h2"]).select("id", "th", "class_id", "n_links", "root")
     alone = sketch.filter("size = 0").select("id", "th", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("root"))
     return out.unionByName(alone)
 
@@ -162,27 +188,30 @@ def op9_bayes_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each class, that of the smallest id (among equal ids, of the smallest text hash); rows without words all stay."""
-    found = materialize(spark, similar_documents(spark, docs), "ngram-result")
-    first = found.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min(F.struct("id", "th")).alias("k")).select("k.id", "k.th")
-    names = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("th"), F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("_words"))
-    kept = rows.filter("_words").join(first, ["id", "th"], "left_semi").dropDuplicates(["id", "th"])
-    return kept.select("_row.*").unionByName(rows.filter("not _words").select("_row.*"))
-
-
-def pairs_sql(docs: str, p: str = "") -> str:
-    """Common table expressions ending in ``{p}classes(doc_id, class_id, n_links)`` over relation ``docs``."""
-    return f"""
-{p}w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM {docs}),
-{p}s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + least(5, len(w)) - 1], ' ') || CASE WHEN len(w) < 5 THEN chr(10) ELSE '' END AS x
-         FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - least(5, len(w)) + 1)) AS i FROM {p}w WHERE len(w) > 0)),
-{p}n AS (SELECT doc_id, count(*) AS n FROM {p}s GROUP BY doc_id),
-{p}i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM {p}s a JOIN {p}s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
-{p}e AS (SELECT a, b FROM {p}i JOIN {p}n x ON x.doc_id = a JOIN {p}n y ON y.doc_id = b WHERE 9 * c >= 4 * (x.n + y.n)),
-{p}reach AS (SELECT doc_id AS a, doc_id AS b FROM {docs} UNION SELECT r.a, e.b FROM {p}reach r JOIN {p}e e ON r.b = e.a),
-{p}classes AS (SELECT r.a AS doc_id, min(r.b) AS class_id, any_value(coalesce(k.n, 0))::BIGINT AS n_links
-          FROM {p}reach r LEFT JOIN (SELECT a, count(*) AS n FROM {p}e GROUP BY a) k ON k.a = r.a GROUP BY r.a)"""
-
-
-OP9_SQL = f"WITH RECURSIVE {pairs_sql('documents')}\nSELECT doc_id, class_id, n_links FROM classes"
+    """``docs`` with one document of each class, that of the smallest id (among equal ids, of the smallest text hash); rows without words all stay.
+
+    Documents that are alone in their class stay where they are; only the others are shuffled.
+    """
+    found = materialize(spark, similar_documents(spark, docs), "ngram-result").filter(F.col("root").isNotNull())
+    classes = found.groupBy("root").agg(F.min(F.struct("id", "th")).alias("k"), F.count("*").alias("c")).filter("c > 1")
+    members = materialize(spark, found.join(classes, "root").select("id", "th", (F.struct("id", "th") == F.col("k")).alias("first")).distinct(), "ngram-members")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("th"))
+    rows = with_mark(rows, members, ["id", "th"])
+    some = rows.filter("_mark").drop("_mark").join(members, ["id", "th"], "left")
+    kept = some.filter("first").dropDuplicates(["id", "th"]).unionByName(some.filter("first IS NULL"))
+    return rows.filter("not _mark").select("_row.*").unionByName(kept.select("_row.*"))
+
+
+OP9_SQL = """
+WITH RECURSIVE
+w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + least(5, len(w)) - 1], ' ') || CASE WHEN len(w) < 5 THEN chr(10) ELSE '' END AS x
+         FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - least(5, len(w)) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 9 * c >= 4 * (x.n + y.n)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM reach r JOIN e e ON r.b = e.a),
+classes AS (SELECT r.a AS doc_id, min(r.b) AS class_id, any_value(coalesce(k.n, 0))::BIGINT AS n_links
+          FROM reach r LEFT JOIN (SELECT a, count(*) AS n FROM e GROUP BY a) k ON k.a = r.a GROUP BY r.a)
+SELECT doc_id, class_id, n_links FROM classes
+"""
