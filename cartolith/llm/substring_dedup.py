@@ -7,46 +7,54 @@ stretches beyond ``LONG`` words are also cut at ends of short phrases and at wor
 by their hash.
 
 Where these cuts are too far apart or out of step, *seeds* find exact repeats: the ``SEED``
-words from each word that has the least hash of some ``WINDOW`` words in a row.  Whatever
-stands around it, a repeat of ``WINDOW + SEED - 1`` words holds a whole seed, the same one
-in both places.  Seeds are compared by digest only.
+words from each place that has the least hash, over five words, of some ``WINDOW`` places in
+a row.  Whatever stands around it, a repeat of ``WINDOW + SEED - 1`` words holds a whole
+seed, the same one in both places, within ``WINDOW`` words of either end.  Seeds are compared
+by digest only.
 
 MinHash bands (``BANDS`` of ``ROWS``: a pair of similarity 0.8 is missed in 0.6 % of cases,
 equal paragraphs never) deal distinct paragraphs to buckets; only keys that two different
 paragraphs share are looked at again.  Paragraphs that collide are verified by the exact
 Jaccard similarity of their five-word shingles, in blocks of bounded size, and joined to
 components.  Every occurrence of a component but the first (by id, text hash, position) is
-a removal.  It is extended left and right over the words that equal those around the first;
-repeats that overlap or touch merge into passages, and a passage needs ``PASSAGE`` words.
-
-Equal paragraphs are one row for each task before any shuffle.  Tables of colliding keys
-are broadcast only after a count; beyond the bound, the same join shuffles.
-
-Edge cases: null and wordless texts have no paragraphs; a null id sorts first and comes
-back as null; rows equal in id and text are one document; further columns are kept by
-``drop_passages`` and not used otherwise.
+a removal.  A few bits of the words beside a paragraph tell whether the repeat it belongs to
+can have ``PASSAGE`` words at all; most equal short phrases end there.  Occurrences in line
+with the same kept text form runs, and a run is extended left and right over the words that
+equal those around the first; repeats that overlap or touch merge into passages, of
+``PASSAGE`` words at least.
+
+Equal paragraphs are one row for each task before any shuffle.  What a join would drop is
+mostly left out before it by bitmaps of fixed size (``with_mark``), so texts and paragraphs
+that do not repeat stay where they are.
+
+Edge cases: null and wordless texts have no paragraphs, and a paragraph of fewer than
+``LEAST`` words (a short text, a short last phrase) counts as part of a repeat only by
+extension; a null id sorts first and comes back as null; rows equal in id and text are one
+document; further columns are kept by ``drop_passages``, whatever their names, and not used
+otherwise; an empty table has no passages.
 """
 
 from __future__ import annotations
 
-import gc
 import re
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _similar as S
-from ._common import broadcast_if_small, materialize, small_batches, table
+from ._common import broadcast_if_small, materialize, small_batches, table, unused, with_mark
 from .ngram_join import NO_ID
 
 LEAST, LONG = 6, 60
 WINDOW, SEED = 36, 15
 PASSAGE = 15
-#: Words on either side that a match is extended over; farther ones lie within or beside another seed.
-REACH = WINDOW + SEED
+#: Words on either side of a paragraph of which four bits are kept.
+BESIDE = 8
+#: Words on either side that a run is extended over; farther ones lie within or beside another seed.
+REACH = WINDOW
 BANDS, ROWS = 5, 2
 #: Rows of 8 to 40 bytes that may be broadcast after a count.
 KEYS = 400_000
@@ -57,9 +65,10 @@ _CACHE = 400_000
 class Paragraphs:
     """Cuts texts into paragraphs; keeps hashes and marks of words seen before.
 
-    A line feed becomes a mark at the end of the word before it, so one split gives words
-    and phrase ends alike.  The two low bits of a word's entry say whether it ends a phrase
-    and whether it is a bare mark, which is no word.
+    A line feed becomes a mark (NUL; those of the text count as another control character)
+    at the end of the word before it, so one split gives words and phrase ends alike.  The
+    two low bits of a word's entry say whether it ends a phrase and whether it is a bare
+    mark, which is no word.
     """
 
     def __init__(self):
@@ -80,7 +89,7 @@ class Paragraphs:
 
     def marked(self, t: str | None) -> np.ndarray:
         """Hashes of a text's words; the lowest bit marks the end of a phrase."""
-        h = self._entries((t or "").encode().replace(b"\n", b"\0 ").split())
+        h = self._entries((t or "").encode().replace(b"\0", b"\1").replace(b"\n", b"\0 ").split())
         bare = (h & np.uint64(2)) != 0
         if bare.any():  # the phrase ends with the word before a bare mark
             before = np.flatnonzero(bare) - 1
@@ -141,18 +150,18 @@ def _apart(ends: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return ends[keep]
 
 
-def seeds(flat: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Text number and place in the flat array of each seed; ``words`` are the words of each text."""
+def seeds(rolled: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and place in the flat array of each seed, from hashes of five words at each place and the words of each text."""
     none = np.zeros(0, np.int64)
-    if len(flat) < WINDOW:
+    if len(rolled) < WINDOW:
         return none, none
-    least = S.mix(flat) & ~np.uint64(0xFFFFFFFF) | np.arange(len(flat), dtype=np.uint64)
+    least = S.mix(rolled) & ~np.uint64(0xFFFFFFFF) | np.arange(len(rolled), dtype=np.uint64)
     width = 1
     while width < WINDOW:
         step = min(width, WINDOW - width)
         least = np.minimum(least[:-step], least[step:])
         width += step
-    text_of = np.repeat(np.arange(len(words)), words)
+    text_of = np.repeat(np.arange(len(words)), words)[: len(rolled)]
     whole = text_of[: len(least)] == text_of[WINDOW - 1 :]
     place = np.unique((least[whole] & np.uint64(0xFFFFFFFF)).astype(np.int64))
     text = text_of[place]
@@ -160,6 +169,19 @@ def seeds(flat: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return text[keep], place[keep]
 
 
+def beside(flat: np.ndarray, words: np.ndarray, text: np.ndarray, place: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Four bits of each of the ``BESIDE`` words before a paragraph, the nearest first, and of those after it; 0 where the text ends."""
+    ends = np.cumsum(words)
+    low, high = (ends - words)[text], ends[text]
+    out = np.zeros(len(place), np.uint64)
+    for k in range(2 * BESIDE):
+        at = place - 1 - k if k < BESIDE else place + length + k - BESIDE
+        there = (at >= low) & (at < high)
+        bits = S.mix(flat[np.where(there, at, 0)]) >> np.uint64(60)
+        out = out << np.uint64(4) | np.where(there, bits, np.uint64(0))
+    return out.view(np.int64)
+
+
 def mix_low(h: np.ndarray) -> np.ndarray:
     return S.mix(h) & np.uint64(15)
 
@@ -192,7 +214,8 @@ def _batches(batches, width: int = 2 << 20):
 
 
 def _paragraphs(docs: DataFrame) -> DataFrame:
-    """``h, id, th, start, n, keys`` of every paragraph and seed: digest, document, first word, length and band keys (seeds have none)."""
+    """``h, id, th, start, n, ctx, keys`` of every paragraph and seed: digest, document, first word, length, words beside it and band keys (seeds have none)."""
+    names = ["h", "id", "th", "start", "n", "ctx", "keys"]
 
     def run(batches):
         cutter = Paragraphs()
@@ -207,19 +230,21 @@ def _paragraphs(docs: DataFrame) -> DataFrame:
             keys = S.band_keys(S.minhash(rolled[_spread(place, sets)], ends, BANDS * ROWS), BANDS, ROWS)
             at = pa.array(text)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(digests(flat, place, length)), batch.column("id").take(at), batch.column("th").take(at), pa.array(first), pa.array(length), S.list_of(keys.reshape(-1), np.arange(len(length) + 1) * BANDS)],
-                ["h", "id", "th", "start", "n", "keys"],
-            )
-            text, place = seeds(flat, words)
+                [pa.array(digests(flat, place, length)), batch.column("id").take(at), batch.column("th").take(at), pa.array(first.astype(np.int32)), pa.array(length.astype(np.int32)),
+                 pa.array(beside(flat, words, text, place, length)), S.list_of(keys.reshape(-1), np.arange(len(length) + 1) * BANDS)],
+                names,
+            )
+            text, place = seeds(rolled, words)
             at, length = pa.array(text), np.full(len(text), SEED)
             first = place - (np.cumsum(words) - words)[text]
             # Another digest than a paragraph of the same words has.
             yield pa.RecordBatch.from_arrays(
-                [pa.array(~digests(flat, place, length)), batch.column("id").take(at), batch.column("th").take(at), pa.array(first), pa.array(length), S.list_of(np.zeros(0, np.int64), np.zeros(len(text) + 1, np.int64))],
-                ["h", "id", "th", "start", "n", "keys"],
-            )
+                [pa.array(~digests(flat, place, length)), batch.column("id").take(at), batch.column("th").take(at), pa.array(first.astype(np.int32)), pa.array(length.astype(np.int32)),
+                 pa.array(np.zeros(len(text), np.int64)), S.list_of(np.zeros(0, np.int64), np.zeros(len(text) + 1, np.int64))],
+                names,
+            )
 
-    return docs.select("id", "th", "text").mapInArrow(run, "h long, id long, th long, start long, n long, keys array<long>")
+    return docs.select("id", "th", "text").mapInArrow(run, "h long, id long, th long, start int, n int, ctx long, keys array<long>")
 
 
 def _shingles_of(rows: DataFrame) -> DataFrame:
@@ -240,43 +265,47 @@ def _shingles_of(rows: DataFrame) -> DataFrame:
     return rows.select("wanted", "text").mapInArrow(run, "h long, sh array<long>")
 
 
-def _written(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
-    """Write and reread, then let Spark's cleaner drop shuffle files that nothing refers to."""
-    out = materialize(spark, df, label)
-    gc.collect()
-    spark._jvm.System.gc()
-    return out
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("th"), "text")
 
 
 def repeated_paragraphs(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``id, th, start, n, root, first`` of every paragraph and seed in a component of two occurrences or more; ``first`` is the kept one."""
+    """``h, id, th, start, n, ctx, root, first`` of every paragraph and seed in a component of two occurrences or more; ``first`` is the kept one."""
     small_batches(spark)
     docs = _keyed(docs)
-    places = _written(spark, _paragraphs(docs), "passage-places")
+    places = materialize(spark, _paragraphs(docs), "passage-places")
+    # Keys that two different paragraphs share, and the paragraphs that have one.
     rows = places.select(F.explode("keys").alias("key"), "h")
     shared = rows.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a < b").select("key")
-    shared = _written(spark, shared, "passage-keys")
-    members = _written(spark, rows.join(broadcast_if_small(shared, KEYS), "key").distinct(), "passage-members")
-    colliding = members.select("h").distinct()
-    counted = places.groupBy("h").agg(F.count("*").alias("c"), F.min(F.struct("id", "th", "start", "n")).alias("at"))
-    counted = counted.join(broadcast_if_small(_written(spark, colliding.withColumn("near", F.lit(True)), "passage-near"), KEYS), "h", "left").filter("c > 1 or near")
-    counted = _written(spark, counted, "passage-counted")
-    wanted = _written(spark, counted.filter("near").groupBy("at.id", "at.th").agg(F.collect_list("h").alias("wanted")), "passage-wanted")
-    texts = docs.join(broadcast_if_small(wanted, KEYS // 10), ["id", "th"]).dropDuplicates(["id", "th"])
-    sets = _written(spark, _shingles_of(texts).dropDuplicates(["h"]), "passage-sets")
+    shared = materialize(spark, shared, "passage-keys")
+    rows = with_mark(rows, shared, ["key"]).filter("_mark").select("key", "h").distinct()
+    members = materialize(spark, rows.join(broadcast_if_small(shared, KEYS), "key"), "passage-members")
+    # Occurrences of paragraphs that are equal or may be similar to another one.
+    twice = places.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h", F.lit(False).alias("near"))
+    wanted = materialize(spark, twice.unionByName(members.select("h", F.lit(True).alias("near"))).groupBy("h").agg(F.max("near").alias("near")), "passage-wanted")
+    places = with_mark(places.drop("keys"), wanted, ["h"]).filter("_mark").drop("_mark")
+    places = materialize(spark, places.join(broadcast_if_small(wanted, KEYS), "h"), "passage-some")
+    counted = places.groupBy("h", "near").agg(F.count("*").alias("c"), F.min(F.struct("id", "th", "start", "n", "h", "ctx")).alias("at"))
+    counted = materialize(spark, counted, "passage-counted")
+    # Shingle sets of those that may be similar, from one text of each.
+    texts = materialize(spark, counted.filter("near").groupBy("at.id", "at.th").agg(F.collect_list("h").alias("wanted")), "passage-texts")
+    texts = with_mark(docs, texts, ["id", "th"]).filter("_mark").drop("_mark").join(texts, ["id", "th"]).dropDuplicates(["id", "th"])
+    sets = materialize(spark, _shingles_of(texts).dropDuplicates(["h"]), "passage-sets")
     dealt = S.in_blocks(members, "key", F.col("h")).join(sets.withColumn("m", F.lit(1).cast("long")), "h").withColumnRenamed("h", "node")
-    edges = _written(spark, S.verify_blocks(dealt, ["key"]).select("node", "root").filter("node != root").distinct(), "passage-edges")
+    edges = materialize(spark, S.verify_blocks(dealt, ["key"]).select("node", "root").filter("node != root").distinct(), "passage-edges")
     roots = S.components(spark, edges, "passage-classes")
     classes = counted.join(roots.withColumnRenamed("node", "h"), "h", "left").select("h", "c", "at", F.coalesce("root", "h").alias("root"))
-    classes = _written(spark, classes, "passage-roots")
+    classes = materialize(spark, classes, "passage-roots")
     whole = classes.groupBy("root").agg(F.sum("c").alias("c"), F.min("at").alias("first")).filter("c > 1").drop("c")
-    classes = _written(spark, classes.join(whole, "root").select("h", "root", "first"), "passage-first")
-    found = places.join(broadcast_if_small(classes, KEYS // 4), "h")
-    return found.select("id", "th", "start", "n", "root", "first")
+    classes = materialize(spark, classes.join(whole, "root").select("h", "root", "first"), "passage-first")
+    return places.join(broadcast_if_small(classes, KEYS // 4), "h").select("h", "id", "th", "start", "n", "ctx", "root", "first")
+
+
+def _long_enough() -> Column:
+    """Whether an occurrence may belong to a repeat of ``PASSAGE`` words, by the words beside it and its first."""
+    differ = F.lpad(F.hex(F.col("ctx").bitwiseXOR(F.col("first.ctx"))), 4 * BESIDE // 2, "0")
+    equal = [F.lit(BESIDE) - F.length(F.ltrim(F.substring(differ, i, BESIDE), F.lit("0"))) for i in (1, BESIDE + 1)]
+    return (F.col("n") >= PASSAGE) | (F.col("h") != F.col("first.h")) | (F.greatest(*equal) == BESIDE) | (F.col("n") + equal[0] + equal[1] >= PASSAGE)
 
 
 def _surroundings(spans: DataFrame, reach: int) -> DataFrame:
@@ -326,9 +355,9 @@ def _extended(runs: DataFrame, reach: int) -> DataFrame:
 def _measured(spark: SparkSession, docs: DataFrame, runs: DataFrame, reach: int) -> DataFrame:
     """``runs`` with ``l`` and ``r``, up to ``reach``."""
     spans = runs.select("id", "th", "a", "b").unionByName(runs.select(F.col("fid").alias("id"), F.col("fth").alias("th"), F.col("fa").alias("a"), F.col("fb").alias("b"))).distinct()
-    spans = _written(spark, spans.groupBy("id", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "passage-spans")
-    texts = _keyed(docs).join(broadcast_if_small(spans, KEYS // 10), ["id", "th"]).dropDuplicates(["id", "th"])
-    around = _written(spark, _surroundings(texts, reach), "passage-around")
+    spans = materialize(spark, spans.groupBy("id", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "passage-spans")
+    texts = with_mark(_keyed(docs), spans, ["id", "th"]).filter("_mark").drop("_mark").join(spans, ["id", "th"]).dropDuplicates(["id", "th"])
+    around = materialize(spark, _surroundings(texts, reach), "passage-around")
     first = around.withColumnsRenamed({"id": "fid", "th": "fth", "a": "fa", "b": "fb", "left": "fleft", "right": "fright"})
     return _extended(runs.join(around, ["id", "th", "a", "b"]).join(first, ["fid", "fth", "fa", "fb"]), reach)
 
@@ -340,19 +369,16 @@ def repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     over equal words.  Beyond ``REACH`` of them another seed begins, which is a run itself
     or belongs to one.  Within one text a repeat never overlaps its kept place.
     """
-    found = repeated_paragraphs(spark, docs).filter(F.struct("id", "th", "start") != F.struct("first.id", "first.th", "first.start"))
-    found = found.select("id", "th", F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b"), "root", F.col("first.id").alias("fid"), F.col("first.th").alias("fth"), F.col("first.start").alias("fa"), (F.col("first.start") + F.col("first.n")).alias("fb"))
-    found = _written(spark, found, "passage-found")
+    found = repeated_paragraphs(spark, docs).filter(F.struct("id", "th", "start") != F.struct("first.id", "first.th", "first.start")).filter(_long_enough())
+    at = lambda x: x.cast("long")
+    found = found.select("id", "th", at(F.col("start")).alias("a"), at(F.col("start") + F.col("n")).alias("b"), "root", F.col("first.id").alias("fid"), F.col("first.th").alias("fth"), at(F.col("first.start")).alias("fa"), at(F.col("first.start") + F.col("first.n")).alias("fb"))
     line = ["id", "th", "fid", "fth", F.col("a") - F.col("fa"), F.when(F.col("b") - F.col("a") != F.col("fb") - F.col("fa"), F.col("a"))]
     over = Window.partitionBy(*line).orderBy("a", "b")
     before = F.max("b").over(over.rowsBetween(Window.unboundedPreceding, -1))
     marked = found.withColumns({"line": F.struct(line[4].alias("x"), line[5].alias("y")), "new": F.coalesce(F.col("a") > before, F.lit(True)).cast("int")})
     runs = marked.withColumn("k", F.sum("new").over(over)).groupBy("id", "th", "fid", "fth", "line", "k").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min("fa").alias("fa"), F.max("fb").alias("fb"), F.min_by("root", F.struct("a", "root")).alias("root"))
-    runs = _written(spark, runs.drop("line", "k"), "passage-runs")
-    # Most matches are short phrases among other words: one word on each side tells them apart.
-    beside = _written(spark, _measured(spark, docs, runs, 1), "passage-beside")
-    longer = beside.filter("l + r > 0").drop("l", "r")
-    out = _measured(spark, docs, longer, REACH).unionByName(beside.filter("l + r = 0"))
+    runs = materialize(spark, runs.drop("line", "k"), "passage-runs")
+    out = _measured(spark, docs, runs, REACH)
     # Words between the kept place and a later one of the same text; negative where they overlap.
     gap = F.when((F.col("id") == F.col("fid")) & (F.col("th") == F.col("fth")), F.col("a") - F.col("fb"))
     out = out.withColumn("gap", gap).withColumn("r", F.when(F.col("gap").isNull(), F.col("r")).otherwise(F.greatest(F.lit(0), F.least("r", "gap"))))
@@ -374,9 +400,10 @@ def _united(rows: list[tuple]) -> list[list]:
 
 def _pieces(rows: list[tuple]) -> list[tuple]:
     """``(a, b, removed, root, keep)`` of one text from ``(a, b, removed, root, keep)``: removed words, and kept ones that are not removed."""
-    gone = _united(sorted((a, b, r, k) for a, b, x, r, k in rows if x))
+    first = lambda row: (row[0], row[3], row[2], row[1])
+    gone = _united(sorted(((a, b, r, k) for a, b, x, r, k in rows if x), key=first))
     out, i = [(a, b, True, r, k) for a, b, r, k in gone], 0
-    for a, b, root, keep in _united(sorted((a, b, r, k) for a, b, x, r, k in rows if not x)):
+    for a, b, root, keep in _united(sorted(((a, b, r, k) for a, b, x, r, k in rows if not x), key=first)):
         while i < len(gone) and gone[i][1] <= a:
             i += 1
         j = i
@@ -402,12 +429,12 @@ def passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     Repeats of a document that overlap or touch merge while both are kept or both removed;
     words that are both are removed.  Class and kept document are those of the passage's
-    first repeat.
+    first repeat; of several that start there, the smallest id is named.
     """
     found = repeats(spark, docs)
     gone = found.select("id", "th", "a", "b", F.lit(True).alias("removed"), "root", F.col("fid").alias("keep"))
     kept = found.select(F.col("fid").alias("id"), F.col("fth").alias("th"), F.col("fa").alias("a"), F.col("fb").alias("b"), F.lit(False).alias("removed"), "root", F.col("fid").alias("keep"))
-    spans = gone.unionByName(kept).groupBy("id", "th", "a", "b", "removed").agg(F.min(F.struct("root", "keep")).alias("of")).select("id", "th", "a", "b", "removed", "of.*")
+    spans = gone.unionByName(kept).groupBy("id", "th", "a", "b", "removed").agg(F.min(F.struct("keep", "root")).alias("of")).select("id", "th", "a", "b", "removed", "of.root", "of.keep")
 
     def run(batches):
         for whole, number in S.groups(batches, ["id", "th"]):
@@ -434,15 +461,17 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 def drop_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` with the words of removed passages cut from ``text``, and ``n_removed_words``."""
     gone = passages(spark, docs).filter("removed").groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("start", "n_words"))).alias("gone"))
-    names = docs.columns
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_th": F.xxhash64("text")})
-    joined = keyed.join(gone.withColumnsRenamed({"id": "_id", "th": "_th"}), ["_id", "_th"], "left")
-    out = [c for c in names if c != "n_removed_words"]
+    gone = materialize(spark, gone, "passage-gone")
+    out = [c for c in docs.columns if c != "n_removed_words"]
+    id_, th, spans_, mark = (unused(c, docs.columns) for c in ("id", "th", "gone", "mark"))
+    keyed = docs.withColumns({id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), th: F.xxhash64("text")})
+    keyed = with_mark(keyed, gone.withColumnsRenamed({"id": id_, "th": th}), [id_, th], mark)
+    joined = keyed.filter(F.col(mark)).join(gone.withColumnsRenamed({"id": id_, "th": th, "gone": spans_}), [id_, th], "left")
 
     def run(batches):
         for batch in batches:
             texts, counts = [], []
-            for t, spans in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist()):
+            for t, spans in zip(batch.column("text").to_pylist(), batch.column(spans_).to_pylist()):
                 if spans:
                     at, parts, last = [m.span() for m in _WORD.finditer(t)], [], 0
                     for s in spans:
@@ -454,7 +483,9 @@ def drop_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in out]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], [*out, "n_removed_words"])
 
-    return joined.mapInArrow(run, docs.select(*out, F.lit(0).cast("long").alias("n_removed_words")).schema)
+    names = [F.col(f"`{c}`") for c in out]
+    still = keyed.filter(~F.col(mark)).select(*names, F.lit(0).cast("long").alias("n_removed_words"))
+    return still.unionByName(joined.select(*names, spans_).mapInArrow(run, still.schema))
 
 
 def op7_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
