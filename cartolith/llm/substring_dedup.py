@@ -302,10 +302,10 @@ def repeated_paragraphs(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def _long_enough() -> Column:
-    """Whether an occurrence may belong to a repeat of ``PASSAGE`` words, by the words beside it and its first."""
-    differ = F.lpad(F.hex(F.col("ctx").bitwiseXOR(F.col("first.ctx"))), 4 * BESIDE // 2, "0")
+    """Whether an occurrence may belong to a repeat of ``PASSAGE`` words, by the words beside it and its source."""
+    differ = F.lpad(F.hex(F.col("ctx").bitwiseXOR(F.col("src.ctx"))), 4 * BESIDE // 2, "0")
     equal = [F.lit(BESIDE) - F.length(F.ltrim(F.substring(differ, i, BESIDE), F.lit("0"))) for i in (1, BESIDE + 1)]
-    return (F.col("n") >= PASSAGE) | (F.col("h") != F.col("first.h")) | (F.greatest(*equal) == BESIDE) | (F.col("n") + equal[0] + equal[1] >= PASSAGE)
+    return (F.col("n") >= PASSAGE) | (F.col("h") != F.col("src.h")) | (F.greatest(*equal) == BESIDE) | (F.col("n") + equal[0] + equal[1] >= PASSAGE)
 
 
 def _surroundings(spans: DataFrame, reach: int) -> DataFrame:
@@ -363,28 +363,37 @@ def _measured(spark: SparkSession, docs: DataFrame, runs: DataFrame, reach: int)
 
 
 def repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``id, th, a, b, root, fid, fth, fa, fb``: words a ... b - 1 repeat words fa ... fb - 1 of the kept place.
+    """``id, th, a, b, root, keep, fid, fth, fa, fb``: words a ... b - 1 repeat words fa ... fb - 1 of text fid.
 
-    Paragraphs and seeds in line with the same kept text are one run, which is extended
-    over equal words.  Beyond ``REACH`` of them another seed begins, which is a run itself
-    or belongs to one.  Within one text a repeat never overlaps its kept place.
+    An occurrence is held against the one before it in its own text, else against the kept
+    one (of document ``keep``), so a text that says the same thing over and over is one run.
+    Paragraphs and seeds in line with the same text are one run, which is extended over
+    equal words.  Beyond ``REACH`` of them another seed begins, which is a run itself or
+    belongs to one.  Within one text the first paragraph or seed of the earlier place stays.
     """
-    found = repeated_paragraphs(spark, docs).filter(F.struct("id", "th", "start") != F.struct("first.id", "first.th", "first.start")).filter(_long_enough())
-    at = lambda x: x.cast("long")
-    found = found.select("id", "th", at(F.col("start")).alias("a"), at(F.col("start") + F.col("n")).alias("b"), "root", F.col("first.id").alias("fid"), F.col("first.th").alias("fth"), at(F.col("first.start")).alias("fa"), at(F.col("first.start") + F.col("first.n")).alias("fb"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = repeated_paragraphs(spark, docs).repartition(n, "id", "th")  # serves both windows and the grouping
+    earlier = Window.partitionBy("id", "th", "root").orderBy("start").rangeBetween(Window.unboundedPreceding, -1)
+    found = found.withColumn("before", F.max(F.struct("start", "n", "h", "ctx")).over(earlier))
+    found = found.filter(F.col("before").isNotNull() | (F.struct("id", "th", "start") != F.struct("first.id", "first.th", "first.start")))
+    own = F.struct("id", "th", "before.start", "before.n", "before.h", "before.ctx")
+    found = found.withColumn("src", F.when(F.col("before").isNotNull(), own).otherwise(F.col("first"))).filter(_long_enough())
+    at = lambda x: F.expr(x).cast("long").alias
+    found = found.select("id", "th", at("start")("a"), at("start + n")("b"), "root", F.col("first.id").alias("keep"), F.col("src.id").alias("fid"), F.col("src.th").alias("fth"), at("src.start")("fa"), at("src.start + src.n")("fb"))
     line = ["id", "th", "fid", "fth", F.col("a") - F.col("fa"), F.when(F.col("b") - F.col("a") != F.col("fb") - F.col("fa"), F.col("a"))]
     over = Window.partitionBy(*line).orderBy("a", "b")
-    before = F.max("b").over(over.rowsBetween(Window.unboundedPreceding, -1))
-    marked = found.withColumns({"line": F.struct(line[4].alias("x"), line[5].alias("y")), "new": F.coalesce(F.col("a") > before, F.lit(True)).cast("int")})
-    runs = marked.withColumn("k", F.sum("new").over(over)).groupBy("id", "th", "fid", "fth", "line", "k").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min("fa").alias("fa"), F.max("fb").alias("fb"), F.min_by("root", F.struct("a", "root")).alias("root"))
+    end = F.max("b").over(over.rowsBetween(Window.unboundedPreceding, -1))
+    marked = found.withColumns({"line": F.struct(line[4].alias("x"), line[5].alias("y")), "new": F.coalesce(F.col("a") > end, F.lit(True)).cast("int")})
+    of_first = lambda c: F.min_by(c, F.struct("a", "b", "root")).alias
+    runs = marked.withColumn("k", F.sum("new").over(over)).groupBy("id", "th", "fid", "fth", "line", "k").agg(
+        F.min("a").alias("a"), F.max("b").alias("b"), F.min("fa").alias("fa"), F.max("fb").alias("fb"), of_first("root")("root"), of_first("keep")("keep"), of_first(F.col("fb") - F.col("fa"))("stays")
+    )
     runs = materialize(spark, runs.drop("line", "k"), "passage-runs")
-    out = _measured(spark, docs, runs, REACH)
-    # Words between the kept place and a later one of the same text; negative where they overlap.
-    gap = F.when((F.col("id") == F.col("fid")) & (F.col("th") == F.col("fth")), F.col("a") - F.col("fb"))
-    out = out.withColumn("gap", gap).withColumn("r", F.when(F.col("gap").isNull(), F.col("r")).otherwise(F.greatest(F.lit(0), F.least("r", "gap"))))
-    out = out.withColumn("l", F.when(F.col("gap").isNull(), F.col("l")).otherwise(F.greatest(F.lit(0), F.least("l", F.col("gap") - F.col("r")))))
-    out = out.select("id", "th", (F.greatest("a", F.when(F.col("gap") < 0, F.col("fb"))) - F.col("l")).alias("a"), (F.col("b") + F.col("r")).alias("b"), "root", "fid", "fth", (F.col("fa") - F.col("l")).alias("fa"), (F.col("fb") + F.col("r")).alias("fb"))
-    return out.filter("a < b")
+    out = _measured(spark, docs, runs, REACH).withColumns({"b": F.col("b") + F.col("r"), "fb": F.col("fb") + F.col("r"), "fa": F.col("fa") - F.col("l")})
+    inside = (F.col("id") == F.col("fid")) & (F.col("th") == F.col("fth"))
+    out = out.withColumn("a", F.greatest(F.col("a") - F.col("l"), F.when(inside, F.col("fa") + F.col("l") + F.col("stays"))))
+    out = out.withColumn("fb", F.when(inside, F.least("fb", "a")).otherwise(F.col("fb")))
+    return out.filter("a < b").select("id", "th", "a", "b", "root", "keep", "fid", "fth", "fa", "fb")
 
 
 def _united(rows: list[tuple]) -> list[list]:
@@ -432,8 +441,8 @@ def passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
     first repeat; of several that start there, the smallest id is named.
     """
     found = repeats(spark, docs)
-    gone = found.select("id", "th", "a", "b", F.lit(True).alias("removed"), "root", F.col("fid").alias("keep"))
-    kept = found.select(F.col("fid").alias("id"), F.col("fth").alias("th"), F.col("fa").alias("a"), F.col("fb").alias("b"), F.lit(False).alias("removed"), "root", F.col("fid").alias("keep"))
+    gone = found.select("id", "th", "a", "b", F.lit(True).alias("removed"), "root", "keep")
+    kept = found.select(F.col("fid").alias("id"), F.col("fth").alias("th"), F.col("fa").alias("a"), F.col("fb").alias("b"), F.lit(False).alias("removed"), "root", "keep")
     spans = gone.unionByName(kept).groupBy("id", "th", "a", "b", "removed").agg(F.min(F.struct("keep", "root")).alias("of")).select("id", "th", "a", "b", "removed", "of.root", "of.keep")
 
     def run(batches):

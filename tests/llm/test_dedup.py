@@ -174,11 +174,12 @@ def test_contamination(spark, monkeypatch, limit):
     bench = spark.createDataFrame([(*x, "c") for x in items], "item_id long, text string, doc_id string")
     df = spark.createDataFrame([(*x, "e", 1) for x in docs], "doc_id long, text string, n_words string, hit_items int")
     got = Counter((r.doc_id, r.text, r.n_words, tuple(r.hit_words), tuple(r.hit_items)) for r in decontaminate.mark_contamination(df, bench).collect())
-    given = [x for x in items if x[0] is not None]
-    assert got == Counter((d, t, n, tuple(h), tuple(f)) for d, t in docs for n, h, f in [contaminated(t, given)])
+    # An item without an id is searched like any other, but is not listed.
+    listed = lambda f: tuple(i for i in f if i is not None)
+    assert got == Counter((d, t, n, tuple(h), listed(f)) for d, t in docs for n, h, f in [contaminated(t, items)])
     kept = decontaminate.drop_contaminated(df, bench)
     assert kept.columns == df.columns
-    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter((d, t) for d, t in docs for n, h, _ in [contaminated(t, given)] if not (h and 20 * len(h) >= n))
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter((d, t) for d, t in docs for n, h, _ in [contaminated(t, items)] if not (h and 20 * len(h) >= n))
 
 
 def test_contamination_of_nothing(spark, no_docs, docs):
@@ -258,3 +259,108 @@ def test_keep_one_of_each_class_with_null_and_repeated_ids(spark):
     rows = [(None, a), (1, a), (None, b), (2, b), (7, c), (8, c), (7, d), (9, d), (3, ""), (3, ""), (None, None), (None, None), (4, " \n")]
     kept = ngram_join.keep_one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string"))
     assert Counter(map(tuple, kept.collect())) == Counter([(None, a), (None, b), (7, c), (7, d), (3, ""), (3, ""), (None, None), (None, None), (4, " \n")])
+
+
+def sets_of_paragraphs(rows):
+    """(id, first word, words) and the set of five words in a row of each paragraph; the cut is the operator's, the rest plain Python."""
+    cutter, out = substring_dedup.Paragraphs(), []
+    for d, t in rows:
+        _, _, first, _, length, _ = cutter.cut([t])
+        w = (t or "").replace("\n", " \n ").encode().split()
+        w = [x.decode() for x in w]
+        out += [((d, a, n), frozenset(tuple(w[i : i + 5]) for i in range(a, a + n - 4))) for a, n in zip(first.tolist(), length.tolist())]
+    return out
+
+
+def test_paragraphs_against_all_pairs(spark):
+    """Over all documents of the driver's smallest table: similar pairs by exact counts of shared five words."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    found = {(r.id, r.start, r.n): r.root for r in substring_dedup.repeated_paragraphs(spark, df).collect()}
+    holding, parts = defaultdict(list), sets_of_paragraphs(rows)
+    distinct = {}
+    for k, s in parts:
+        distinct.setdefault(s, []).append(k)
+    names = list(distinct)
+    for i, s in enumerate(names):
+        for x in s:
+            holding[x].append(i)
+    shared = Counter(pair for ids in holding.values() for pair in combinations(ids, 2))
+    similar = [(i, j) for (i, j), c in shared.items() if 9 * c >= 4 * (len(names[i]) + len(names[j]))]
+    pairs = [(distinct[names[i]][0], distinct[names[j]][0]) for i, j in similar] + [(k[0], x) for k in distinct.values() for x in k[1:]]
+    caught = sum(a in found and b in found and found[a] == found[b] for a, b in pairs)
+    assert len(similar) >= 5 and caught >= 0.99 * len(pairs) and all(found[k[0]] == found[x] for k in distinct.values() for x in k[1:])
+    # Nothing else is joined: the operator's classes never cut across those of the exact pairs.
+    root = list(range(len(names)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in similar:
+        root[find(i)] = find(j)
+    number = {k: i for i, s in enumerate(names) for k in distinct[s]}
+    exact = defaultdict(set)
+    for k, r in found.items():
+        if k in number:
+            exact[r].add(find(number[k]))
+    assert all(len(x) == 1 for x in exact.values())
+
+
+@pytest.mark.parametrize("keys", [substring_dedup.KEYS, 0])
+def test_every_long_repeat_is_covered(spark, monkeypatch, keys):
+    """Every 50 words in a row that occur twice in the driver's smallest table, by brute force; also where nothing may be broadcast."""
+    monkeypatch.setattr(substring_dedup, "KEYS", keys)
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: WORD.findall(r.text or "") for r in df.collect()}
+    seen = defaultdict(list)
+    for d in sorted(texts):
+        for i in range(len(texts[d]) - 49):
+            seen[tuple(texts[d][i : i + 50])].append((d, i))
+    listed, gone = defaultdict(set), defaultdict(set)
+    for r in substring_dedup.passages(spark, df).collect():
+        listed[r.id] |= set(range(r.start, r.start + r.n_words))
+        if r.removed:
+            gone[r.id] |= set(range(r.start, r.start + r.n_words))
+    later = total = 0
+    for at in seen.values():
+        for k, (d, i) in enumerate(at if len(at) > 1 else []):
+            assert listed[d] >= set(range(i, i + 50)), (d, i)
+            if k and d != at[0][0]:
+                total += 1
+                later += gone[d] >= set(range(i, i + 50))
+    assert total > 100 and later >= 0.99 * total
+    # A text that shares no 15 words with any other, nor with itself, is left alone.
+    short = defaultdict(set)
+    for d, w in texts.items():
+        for i in range(len(w) - 14):
+            short[tuple(w[i : i + 15])].add((d, i))
+    single = set(texts) - {d for x in short.values() if len(x) > 1 for d, _ in x}
+    assert len(single) > 10 and len(single & set(listed)) <= 0.1 * len(single)
+
+
+def test_passages_with_nul_and_clashing_names(spark):
+    passage = _bare(6000, 60)
+    head = ["a\0", "\0", "b\0c", *_bare(6001, 20)]
+    texts = [" ".join([*_bare(6002, 30), *passage]), " ".join([*head, *passage, *_bare(6003, 30)]), None, ""]
+    names = ["id", "th", "gone", "mark", "bucket", "bit", "bits", "_id", "_th", "start", "ID_"]
+    df = spark.createDataFrame([(i, t, *names) for i, t in enumerate(texts)], "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names))
+    out = substring_dedup.drop_passages(spark, df)
+    assert out.columns == [*df.columns, "n_removed_words"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert [got[i].n_removed_words for i in range(4)] == [0, 60, 0, 0] and got[0].text == texts[0] and got[2].text is None
+    assert got[1].text.split() == [*head, *_bare(6003, 30)] and all(got[1][c] == c for c in names)
+
+
+def test_marks_miss_no_key(spark):
+    from pyspark.sql import functions as F
+
+    from cartolith.llm._common import with_mark
+
+    rows = spark.range(20000).select("id", (F.col("id") % 7).alias("th"), F.lit("x").alias("bits"))
+    keys = rows.filter("id % 10 = 3").select("id", "th")
+    out = with_mark(rows, keys, ["id", "th"])
+    assert out.columns == ["id", "th", "bits", "_mark"]
+    assert out.filter("id % 10 = 3 AND _mark").count() == 2000 and out.filter("id % 10 != 3 AND _mark").count() < 40
+    assert with_mark(rows, keys.limit(0), ["id", "th"]).filter("_mark").count() == 0
