@@ -10,11 +10,18 @@ get equal pseudonyms in every document, whatever their separators, and different
 of one format stay different.  The local part of a mail address is permuted the same way
 over its letters and digits.
 
-The mapping needs no state: each text is rewritten where it lies, without shuffles.
-
-Edge cases: a null text stays null; overlapping matches go to the first pattern in order;
-candidates that fail validation are left alone; repeated rows are treated alike; a column
-``n_pii`` or ``kinds`` of the input is replaced, further columns are kept.
+A telephone number behind ``+`` belongs to its country: the country code stays and numbers
+of different countries never share a pseudonym.  A number without ``+`` is taken as a
+national one of country 1 and linked to the same number behind ``+1``.
+
+The mapping needs no state: each text is rewritten where it lies, without shuffles, and the
+holder of the key can undo it (``Feistel.inverse``).
+
+Edge cases: a null text stays null; overlapping matches go to the first pattern in order; of
+digits in groups the longest whole groups that pass as a card number count; candidates that
+fail validation are left alone; a value may be its own pseudonym by chance, as in any
+permutation; repeated rows are treated alike; a column ``n_pii`` or ``kinds`` of the input is
+replaced, further columns are kept; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -51,14 +58,29 @@ class Feistel:
             left, right = right, left ^ self._round(name, i, right, bits)
         return left << bits | right
 
+    def _back(self, name: bytes, y: int, bits: int) -> int:
+        mask = (1 << bits) - 1
+        left, right = y >> bits, y & mask
+        for i in reversed(range(ROUNDS)):
+            left, right = right ^ self._round(name, i, left, bits), left
+        return left << bits | right
+
     def permute(self, name: str, x: int, n: int) -> int:
-        """Where x of range(n) goes; a value is never its own pseudonym unless n is 1."""
+        """Where x of range(n) goes; one to one."""
         bits, tag = max(1, ((n - 1).bit_length() + 1) // 2), f"{name}/{n}".encode()
         y = self._once(tag, x, bits)
         while y >= n:
             y = self._once(tag, y, bits)
         return y
 
+    def inverse(self, name: str, y: int, n: int) -> int:
+        """The value that ``permute`` sends to y."""
+        bits, tag = max(1, ((n - 1).bit_length() + 1) // 2), f"{name}/{n}".encode()
+        x = self._back(tag, y, bits)
+        while x >= n:
+            x = self._back(tag, x, bits)
+        return x
+
 
 def luhn_digit(payload: str) -> int:
     total = 0
@@ -112,14 +134,19 @@ def _mixed(f: Feistel, name: str, s: str, kinds: list[tuple[int, str]]) -> str:
     return "".join(reversed(out))
 
 
+#: Country codes of two digits (fixed values of the public numbering plan); 1 and 7 are codes by themselves, all others have three.
+TWO_DIGITS = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
 def _phone(f: Feistel, m: str) -> str | None:
     d = _digits(m)
-    country, d = ("", d) if len(d) == 10 else ("1", d[1:]) if len(d) == 11 and d[0] == "1" else (None, d)
-    if country is None or (m.startswith("+") and d[0] in "01"):  # no national number
-        if not (m.startswith("+") and 8 <= len(_digits(m)) <= 15):
-            return None
+    if m.startswith("+") and d[0] != "1" or m.startswith("+") and d[1] in "01":
+        # Behind a country code any digits count; country 1 has no area codes in 0 and 1, which stay apart.  (0) is dialled at home only.
+        m = m.replace("(0)", "(o)", 1)
         d = _digits(m)
-        return _refill(m, d[:2] + str(f.permute("phone" + d[:2], int(d[2:]), 10 ** (len(d) - 2))).zfill(len(d) - 2))
+        k = 2 if d[0] == "1" or d[:2] in TWO_DIGITS else 1 if d[0] == "7" else 3
+        return _refill(m, d[:k] + str(f.permute("phone" + d[:k], int(d[k:]), 10 ** (len(d) - k))).zfill(len(d) - k)).replace("(o)", "(0)", 1)
+    country, d = d[:-10], d[-10:]
     if d[0] in "01":
         return None
     # Area codes start with 2 to 9; the exchange code stays as it is where it marks fictional numbers.
@@ -203,6 +230,8 @@ def _email(f: Feistel, m: str) -> str | None:
     return "".join(next(it) if k else c for c, k in kinds) + "@" + domain
 
 
+#: What may stand between two digits of a number behind ``+``.
+_GAP = r"(?:[ .-]|[ .-]?\(|\)[ .-]?)?"
 #: Kinds in order of precedence at one position; what starts at an earlier character goes first.
 KINDS = (
     ("email", r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}", _email),
@@ -212,7 +241,7 @@ KINDS = (
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", _ssn),
     ("ipv4", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)", _ipv4),
     ("card", r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-]\d|\d)", _card),
-    ("phone", r"(?<![\d+-])(?:\+\d{1,3}[ .-]?)?\(?\d{3}\)?[ .-]?\d{3}[ .-]\d{4}(?![\d-])|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)", _phone),
+    ("phone", rf"\+1(?:{_GAP}\d){{10}}(?!\d)|\+[02-9](?:{_GAP}\d){{7,14}}(?!\d)|(?<![\d+-])(?:1[ .-])?\(?\d{{3}}\)?[ .-]?\d{{3}}[ .-]\d{{4}}(?![\d-])", _phone),
 )
 _ANY = re.compile("|".join(pattern for _, pattern, _ in KINDS))
 _EACH = [(name, re.compile(pattern), f) for name, pattern, f in KINDS]
@@ -242,6 +271,15 @@ def _starts(text: str) -> list[int]:
     return sorted(out)
 
 
+def _whole_groups(value: str):
+    """A run of digits in groups, then without its last group, and so on while a card number has room."""
+    while len(_digits(value)) >= 13:
+        yield value
+        if not (cut := max(value.rfind(" "), value.rfind("-"))) > 0:
+            return
+        value = value[:cut]
+
+
 def pseudonymize(text: str, f: Feistel, known: dict | None = None) -> tuple[str, list[str]]:
     """The text with validated values replaced, and the kind of each."""
     out, last, kinds, known = [], 0, [], {} if known is None else known
@@ -251,12 +289,15 @@ def pseudonymize(text: str, f: Feistel, known: dict | None = None) -> tuple[str,
         for name, pattern, function in _EACH:  # a candidate that fails as one kind may be another
             if (hit := pattern.match(text, at)) is None:
                 continue
-            value = hit[0]
-            if (name, value) not in known:
-                known[name, value] = function(f, value)
-            if (new := known[name, value]) is not None:
+            new = None
+            for value in _whole_groups(hit[0]) if name == "card" else (hit[0],):
+                if (name, value) not in known:
+                    known[name, value] = function(f, value)
+                if (new := known[name, value]) is not None:
+                    break
+            if new is not None:
                 out += [text[last:at], new]
-                last = hit.end()
+                last = at + len(value)
                 kinds.append(name)
                 break
     return ("".join([*out, text[last:]]) if kinds else text), kinds
