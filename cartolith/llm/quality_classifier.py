@@ -6,8 +6,9 @@
    summed by bucket.  The result has a fixed size, so it may be broadcast.
 2. A document's vector pools the normed context vectors of its words, of word shapes and of
    a few markers of its form (lengths, repetition), which are words of their own.
-3. A two-layer numpy network is fitted on a bounded sample of labelled rows (at most about
-   ``SAMPLE``); a temperature fitted on rows set aside calibrates its probabilities.
+3. A two-layer numpy network is fitted on a bounded sample of labelled ids (at most about
+   ``SAMPLE``, chosen by a hash of the id; of repeated rows of an id one counts); a
+   temperature fitted on rows set aside calibrates its probabilities.
 4. All documents are scored from their vectors.
 
 Labels only come from rows whose crc32(doc_id) mod 5 is not 0.  Scores depend on the text
@@ -33,7 +34,8 @@ BUCKETS, DIMENSIONS, NONZERO, REACH = 1 << 13, 48, 4, 2
 SAMPLE = 20_000
 HIDDEN, EPOCHS, RATE, DECAY = 32, 60, 3e-3, 1e-4
 CUT = 0.3
-_CACHE = 400_000
+#: Words kept between texts, none of them over ``LONG`` bytes.
+_CACHE, LONG = 400_000, 256
 
 
 def index_vectors(seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
@@ -46,7 +48,7 @@ def index_vectors(seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
 def _shape(word: bytes) -> bytes:
     """Kinds of characters in a word, runs shortened: capitals, other letters, digits, the rest as they are."""
     out = []
-    for b in word[:24]:
+    for b in word:
         c = 65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b
         if not out or out[-1] != c:
             out.append(c)
@@ -71,6 +73,8 @@ class Words:
         for w in set(words).difference(known):
             known[w] = _bucket(w) << 16 | _bucket(_shape(w))
         both = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        for w in {w for w in words if len(w) > LONG}:
+            del known[w]
         return both >> 16, both & 0xFFFF
 
 
@@ -227,7 +231,7 @@ def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, s
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("q")).filter("q = quality")
     share = min(1.0, sample / max(1, known.count()))
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("doc_id", "quality")
-    rows = vectors.join(chosen, "doc_id").select("doc_id", "vector", "quality").limit(2 * sample).toPandas().sort_values("doc_id")
+    rows = vectors.join(chosen, "doc_id").groupBy("doc_id").agg(F.min("vector").alias("vector"), F.min("quality").alias("quality")).toPandas().sort_values("doc_id")
     y = rows["quality"].to_numpy(np.float64)
     model = Network(np.stack(rows["vector"].to_numpy()).astype(np.float64), y) if len(y) and 0 < y.sum() < len(y) else None
     fixed = float(y.mean()) if len(y) else 0.5
