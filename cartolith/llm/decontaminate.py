@@ -10,7 +10,8 @@ hits add up exactly.
 
 Words: A-Z are lower-cased, then runs of characters above U+007F, digits and letters
 (``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``).  Edge cases: a null or wordless document has no
-hits; null or wordless items have no window; equal items (or ids) each count by id once;
+hits; null or wordless items have no window; words inside windows of an item without id are
+hit, but the item is not listed; equal items (or ids) each count by id once;
 repeated rows each give a row; an empty benchmark finds nothing.
 """
 
@@ -83,17 +84,15 @@ def search_tables(items: list[tuple], length: int = WINDOW) -> list[WuManber]:
 
 
 def _passes(benchmark: DataFrame, item: str, text: str):
-    """Items in blocks of bounded size; the driver holds one block at a time."""
-    block, held = [], 0
-    for row in benchmark.select(F.col(item).alias("i"), F.col(text).alias("t")).toLocalIterator():
-        if row.i is None or not row.t:
-            continue
-        block.append((int(row.i), row.t))
+    """Items in blocks of bounded size, at least one; the driver holds one block at a time."""
+    block, held, any_ = [], 0, False
+    for row in benchmark.select(F.col(item).alias("i"), F.col(text).alias("t")).filter("t <> ''").toLocalIterator():
+        block.append((None if row.i is None else int(row.i), row.t))
         held += len(row.t)
         if held >= PASS_BYTES:
             yield block
-            block, held = [], 0
-    if block:
+            block, held, any_ = [], 0, True
+    if block or not any_:
         yield block
 
 
@@ -111,7 +110,7 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "te
     kept = docs.drop(*new)
     schema = kept.select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hit_words"), F.array().cast("array<long>").alias("hit_items")).schema
     names, out = kept.columns, None
-    for block in [*_passes(benchmark, item, item_text)] or [[]]:
+    for block in _passes(benchmark, item, item_text):
         key, shared, first = hashlib.md5(repr((block, length)).encode()).hexdigest(), spark.sparkContext.broadcast(block), out is None
 
         def run(batches, key=key, shared=shared, first=first):
@@ -130,7 +129,7 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "te
                         table_.scan(words, hit, items)
                     counts.append(len(words))
                     hits.append(np.flatnonzero(hit).tolist())
-                    found.append(sorted(items, key=str))
+                    found.append(sorted(items - {None}, key=str))
                 columns = batch.columns if first else batch.select(names).columns
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.int64()))], [*names, *new])
 
@@ -174,7 +173,7 @@ found AS (SELECT p.doc_id, p.i, p.m, v.item_id FROM
              FROM (SELECT doc_id, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i FROM d, lengths WHERE len(w) >= m)) p
           JOIN windows v ON p.m = v.m AND p.x = v.x),
 hits AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + m - 1)) AS j FROM found) GROUP BY doc_id),
-its AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM found) GROUP BY doc_id)
+its AS (SELECT doc_id, count(s) AS n_items, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM found) GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(its.s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id)
