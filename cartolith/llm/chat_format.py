@@ -25,7 +25,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._chunks import slices
@@ -165,12 +165,18 @@ def conversation_digests(formatted: DataFrame, tokenizer_path: str) -> DataFrame
     return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long").select(*names)
 
 
-def assemble(formatted: DataFrame) -> DataFrame:
-    """``conv_id, ids, mask``: each conversation's turns spliced in order (a training example is one row)."""
-    turn = F.struct("turn", "role", "text", "ids", "mask")
-    parts = formatted.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("t"))
-    join = lambda c: F.aggregate(F.transform("t", lambda x: x[c]), F.lit(b""), lambda a, x: F.concat(a, x))
-    return parts.select("conv_id", join("ids").alias("ids"), join("mask").alias("mask"))
+def assemble(formatted: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """``conv_id, part, ids, mask``: turns spliced in order, whole turns of at most ``most`` ids a part.
+
+    Parts follow from running sums of the turns' lengths over a sorted shuffle, so what one
+    row holds is bounded (a longer turn is a part of its own) however long a conversation is.
+    """
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    placed = formatted.withColumn("end", F.sum(F.octet_length("mask")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    placed = placed.withColumn("part", F.floor((F.col("end") - 1) / most))
+    parts = placed.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "ids", "mask"))).alias("t"))
+    join = lambda c: F.unhex(F.array_join(F.transform("t", lambda x: F.hex(x[c])), ""))
+    return parts.select("conv_id", "part", join("ids").alias("ids"), join("mask").alias("mask"))
 
 
 def op2_chat_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
