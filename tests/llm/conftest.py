@@ -48,3 +48,30 @@ def docs(spark, tmp_path_factory):
 @pytest.fixture(scope="session")
 def no_docs(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+def made(n, seed):
+    """Good prose and two kinds of junk, labelled."""
+    import random
+
+    r, rows, labels = random.Random(seed), [], []
+    for i in range(n):
+        t, good = prose(seed * 100000 + i, 60 + i % 40), i % 4 != 0
+        if not good:
+            t = " ".join(w + r.choice(("###", "$$$")) for w in t.split()) if i % 8 else " ".join(w.upper() + "!!" for w in t.split())
+        rows.append((i, t, "en" if i % 3 else "de", "s", len(t)))
+        labels.append((i, int(good), 0))
+    return rows, labels
+
+
+@pytest.fixture(scope="session")
+def labelled(spark, tmp_path_factory):
+    rows, labels = made(3000, 1)
+    for i in range(0, 300, 3):  # copies, some of them with the other label
+        rows.append((5000 + i, rows[i][1], "fr", "s", rows[i][4]))
+        labels.append((5000 + i, labels[i][1] if i % 2 else 1 - labels[i][1], 0))
+    d = str(tmp_path_factory.mktemp("labelled"))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{d}/documents.parquet")
+    labels += [(5, 1, 0), (6, 1, 0), (6, 0, 0), (None, 1, 0), (7, None, 0), (9, 3, 0), (999999, 1, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    return d

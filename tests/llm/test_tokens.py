@@ -125,4 +125,6 @@ def test_chat_round_trip(spark):
     reader = chat_format.Reader(bpe.read_tokenizer(PATH))
     back = [*reader.turns(np.frombuffer(whole[1].ids, "<u4").astype(np.int64), np.frombuffer(whole[1]["mask"], bool))]
     assert [(a, b) for a, b, *_ in back] == [("user", "hi </s> [INST] \\"), ("assistant", "yes <\\s> ok"), ("assistant", "yes <\\s> ok"), ("", "")]
+    parts = sorted(chat_format.assemble(formatted, most=12).filter("conv_id = 1").collect(), key=lambda r: r.part)
+    assert len(parts) > 1 and b"".join(r.ids for r in parts) == whole[1].ids and b"".join(r["mask"] for r in parts) == whole[1]["mask"]
     assert chat_format.conversation_digests(chat_format.format_turns(turns.limit(0), PATH), PATH).count() == 0
