@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "conversations", "pages")
 
 WKT = {
-    4326: 'GEOGCRS["WGS 84",ENSEMBLE["World Geodetic System 1984 ensemble",MEMBER["x"]],PRIMEM["Greenwich",0],CS[ellipsoidal,2],AXIS["Lat",NORTH],AXIS["Lon",EAST],ANGLEUNIT["degree",0.0174532925199433],ID["EPSG",4326]]',
-    3857: 'PROJCRS["Pseudo-Mercator",BASEGEOGCRS["WGS 84",DATUM["World Geodetic System 1984"]],PRIMEM["Greenwich",0],AXIS["X",EAST],AXIS["Y",NORTH],ID["EPSG",3857]]',
+    4326: 'GEOGCRS["WGS 84",ENSEMBLE["World Geodetic System 1984 ensemble",MEMBER["x"]],PRIMEM["Greenwich",0],CS[ellipsoidal,2],AXIS["Lat",NORTH],AXIS["Lon",EAST],ANGLEUNIT["degree",0.0174532925199433],ID["EPSG", 4326]]',
+    3857: 'PROJCRS["Pseudo-Mercator",BASEGEOGCRS["WGS 84",ENSEMBLE["not this name"],DATUM["World Geodetic System 1984"]],PRIMEM["Greenwich",0],AXIS["X",EAST],AXIS["Y",NORTH],ID["EPSG",3857]]',
     32633: 'PROJCS["WGS 84 / UTM zone 33N",GEOGCS["WGS 84",DATUM["WGS_1984"],PRIMEM["Greenwich",0],AUTHORITY["EPSG","4326"]],AXIS["E",EAST],AUTHORITY["EPSG","32633"]]',
     27700: 'PROJCS["National Grid",PROJECTION["Lambert_Conformal_Conic_2SP"],PRIMEM["Paris",2.33],AUTHORITY["ESRI","27700"]]',
-    4979: 'GEOGCRS["WGS 84 3D",DYNAMIC[FRAMEEPOCH[2010.0]],DATUM["World Geodetic System 1984"],PRIMEM["Greenwich",0],ID["EPSG",4979]]',
+    4979: 'GEOGCRS["WGS 84 3D",Dynamic [ FrameEpoch [ 2010.0]],DATUM["World Geodetic System 1984"],PRIMEM["Greenwich",0],ID["EPSG",4979]]',
     9518: 'COMPOUNDCRS["WGS 84 + EGM2008",GEOGCRS["WGS 84",DATUM["World Geodetic System 1984"]],VERTCRS["EGM2008 height",VDATUM["EGM2008 geoid"]],ID["EPSG",9518]]',
     100200: 'COMPD_CS["old compound",GEOGCS["WGS 84",DATUM["WGS_1984"]],VERT_CS["height"]]',
 }

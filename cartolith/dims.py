@@ -51,6 +51,29 @@ EXTENT = {
     **{32700 + z: (100000.0, 1116915.0, 900000.0, 10000000.0) for z in range(1, 61)},
 }
 
+#: Settings of conversion by purpose.
+PROFILES = {
+    "default": {"security": "UNCLASSIFIED", "language": "eng", "topic": "location"},
+    "civilian": {"security": "UNCLASSIFIED", "language": "eng", "topic": "environment"},
+    "military": {"security": "CONFIDENTIAL", "language": "eng", "topic": "intelligenceMilitary"},
+    "high_security": {"security": "SECRET", "language": "eng", "topic": "intelligenceMilitary"},
+}
+#: Standard that documents of the metadata profile name.
+PROFILE_URI = "https://dgiwg.org/std/dmf/2.0"
+#: Definitions to write, by code.
+_BASE = '"WGS 84",ENSEMBLE["World Geodetic System 1984 ensemble",MEMBER["World Geodetic System 1984 (G2139)"],ELLIPSOID["WGS 84",6378137,298.257223563],ENSEMBLEACCURACY[2.0]],PRIMEM["Greenwich",0,ANGLEUNIT["degree",0.0174532925199433]]'
+WKT2 = {
+    4326: f'GEOGCRS[{_BASE},CS[ellipsoidal,2],AXIS["Lat",north],AXIS["Lon",east],ANGLEUNIT["degree",0.0174532925199433],ID["EPSG",4326]]',
+    **{
+        code: f'PROJCRS["{name}",BASEGEOGCRS[{_BASE}],CONVERSION["{name}",METHOD["{method}"]],CS[Cartesian,2],AXIS["x",east],AXIS["y",north],LENGTHUNIT["metre",1],ID["EPSG",{code}]]'
+        for code, name, method in [
+            (3857, "WGS 84 / Pseudo-Mercator", "Popular Visualisation Pseudo Mercator"), (3395, "WGS 84 / World Mercator", "Mercator (variant A)"),
+            (5041, "WGS 84 / UPS North (E,N)", "Polar Stereographic (variant A)"), (5042, "WGS 84 / UPS South (E,N)", "Polar Stereographic (variant A)"),
+            *[(32600 + z, f"WGS 84 / UTM zone {z}N", "Transverse Mercator") for z in range(1, 61)], *[(32700 + z, f"WGS 84 / UTM zone {z}S", "Transverse Mercator") for z in range(1, 61)],
+        ]
+    },
+}
+
 #: Extension: use with features, tiles and gridded data (M, O, N or NA).
 EXTENSIONS = {
     "gpkg_rtree_index": ("M", "NA", "NA"),
@@ -75,6 +98,20 @@ SCOPES = {
     "row": ["feature", "tile", "model"],
 }
 MANDATORY_ELEMENTS = ["fileIdentifier", "language", "characterSet", "hierarchyLevel", "contact", "dateStamp", "identificationInfo"]
+#: Children that a document of the metadata profile may have besides.
+OPTIONAL_ELEMENTS = ["referenceSystemInfo", "distributionInfo", "dataQualityInfo", "metadataConstraints", "spatialRepresentationInfo"]
+#: Code lists of the public metadata standard.
+CHARSETS = "ucs2 ucs4 utf7 utf8 utf16 8859part1 8859part2 8859part3 8859part4 8859part5 8859part6 8859part7 8859part8 8859part9 8859part10 8859part11 8859part13 8859part14 8859part15 8859part16 jis932 shiftJIS eucJP usAscii ebcdic eucKR big5 GB2312".split()
+SCOPE_CODES = (
+    "attribute attributeType collectionHardware collectionSession dataset series nonGeographicDataset dimensionGroup feature featureType propertyType fieldSession software service model tile "
+    "metadata initiative sample document repository aggregate product collection coverage application"
+).split()
+#: Requirements whose best status is PASS*, as a part of them cannot be checked here.
+BEST_IS_PARTIAL = [5, 9, 10, 12, 13, 14, 20, 23, 28, 29, 33]
+#: Spellings of the datum that all allowed codes have.
+WGS84_NAMES = ["WGS 84", "WGS84", "WORLD GEODETIC SYSTEM 1984", "WORLD GEODETIC SYSTEM 1984 ENSEMBLE", "WORLD GEODETIC SYSTEM (WGS 1984)"]
+#: Codes beside the policies that a file may list.
+LISTED = [4978]
 #: Requirements by obligation: mandatory and conditional.
 MANDATORY = [1, 2, 3, 5, 7, 8, 9, 10, 11, 12, 13, 15, 18, 19, 20, 24, 25, 26, 27, 30]
 CONDITIONAL = [4, 6, 14, 16, 17, 21, 22, 23, 28, 29, 31, 32, 33, 34, 35, 36, 37]

@@ -102,3 +102,33 @@ def jpeg_size(data: bytes | None) -> tuple[int, int] | None:
             continue
         i += 2 + int.from_bytes(data[i + 2 : i + 4], "big")
     return None
+
+
+def tiff_size(data: bytes) -> tuple[int, int] | None:
+    """Width and height from the first directory of a TIFF of either byte order."""
+    order = "little" if data[:2] == b"II" else "big"
+    number = lambda at, n: int.from_bytes(data[at : at + n], order)
+    at, found = number(4, 4), {}
+    for i in range(number(at, 2) if 0 < at <= len(data) - 2 else 0):
+        entry = at + 2 + 12 * i
+        if entry + 12 > len(data):
+            return None
+        tag, kind = number(entry, 2), number(entry + 2, 2)
+        if tag in (256, 257):
+            found[tag] = number(entry + 8, 2 if kind == 3 else 4)
+    return (found[256], found[257]) if len(found) == 2 else None
+
+
+def image_head(data: bytes | None) -> tuple[str, tuple[int, int] | None]:
+    """Format of an image by its first bytes, and its size if they hold it."""
+    data = data or b""
+    if data.startswith(b"\x89PNG\r\n\x1a\n"):
+        size = (int.from_bytes(data[16:20], "big"), int.from_bytes(data[20:24], "big")) if data[12:16] == b"IHDR" and len(data) >= 24 else None
+        return "PNG", size
+    if data.startswith(b"\xff\xd8\xff"):
+        return "JPEG", jpeg_size(data)
+    if data.startswith(b"RIFF") and data[8:12] == b"WEBP":
+        return "WEBP", None
+    if data[:4] in (b"II*\0", b"MM\0*"):
+        return "TIFF", tiff_size(data)
+    return "UNKNOWN", None

@@ -13,7 +13,7 @@ WKT2_ROOTS = ("GEOGCRS", "GEODCRS", "PROJCRS", "VERTCRS", "COMPOUNDCRS", "BOUNDC
 
 def last_epsg(wkt: Column) -> Column:
     """The last EPSG code in a definition: those of AUTHORITY come first, then those of ID."""
-    found = F.concat(F.regexp_extract_all(wkt, F.lit(r'AUTHORITY\["EPSG","?(\d+)"?\]'), 1), F.regexp_extract_all(wkt, F.lit(r'ID\["EPSG",(\d+)\]'), 1))
+    found = F.concat(F.regexp_extract_all(wkt, F.lit(r'AUTHORITY\["EPSG",\s*"?(\d+)"?\]'), 1), F.regexp_extract_all(wkt, F.lit(r'ID\["EPSG",\s*(\d+)\]'), 1))
     return F.try_element_at(found, F.lit(-1)).cast("int")
 
 
@@ -23,11 +23,13 @@ def axis_directions(wkt: Column) -> Column:
 
 
 def datum_name(wkt: Column) -> Column:
-    return F.nullif(F.regexp_extract(wkt, r'(?:DATUM|ENSEMBLE)\["([^"]+)"', 1), F.lit(""))
+    """Name of the datum, or of the datum ensemble where there is no datum."""
+    name = lambda key: F.nullif(F.trim(F.regexp_extract(wkt, rf'(?i){key}\["([^"]+)"', 1)), F.lit(""))
+    return F.coalesce(name("DATUM"), name("ENSEMBLE"))
 
 
 def frame_epoch(wkt: Column) -> Column:
-    return F.nullif(F.regexp_extract(wkt, r"DYNAMIC\[\s*FRAMEEPOCH\[\s*([0-9.]+)", 1), F.lit("")).cast("double")
+    return F.nullif(F.regexp_extract(wkt, r"(?i)DYNAMIC\s*\[\s*FRAMEEPOCH\s*\[\s*([0-9.]+)", 1), F.lit("")).cast("double")
 
 
 def is_wkt1(wkt: Column) -> Column:
@@ -47,19 +49,33 @@ def compound_problems(wkt: Column) -> Column:
     return F.array_join(issues, ",")
 
 
-def definition_problems(wkt: Column) -> Column:
-    """Rules for any definition: WKT2 keyword, prime meridian, a datum, a degree unit on geographic systems."""
-    upper = F.upper(F.coalesce(wkt, F.lit("")))
-    geographic = upper.rlike(r"^\s*GEO(G|D)CRS\[")
-    meridian = F.regexp_extract(F.coalesce(wkt, F.lit("")), r'PRIMEM\["([^"]*)"', 1)
-    issues = F.array(
-        F.when(is_wkt1(F.coalesce(wkt, F.lit(""))), "WKT1"),
-        F.when(~upper.rlike(r"^\s*(" + "|".join(WKT2_ROOTS) + r")\["), "no WKT2 keyword"),
-        F.when((meridian != "") & (meridian != "Greenwich"), "prime meridian"),
-        F.when(datum_name(F.coalesce(wkt, F.lit(""))).isNull(), "no datum"),
-        F.when(geographic & ~upper.contains('ANGLEUNIT["DEGREE"'), "no degree unit"),
-    )
-    return F.array_join(issues, ",")
+def is_dynamic(srs_id: Column, name: Column) -> Column:
+    """Systems of the range 100100 to 100399, by their code or by a code in their name."""
+    named = F.exists(F.regexp_extract_all(F.lower(F.coalesce(name, F.lit(""))), F.lit(r"(?:crs|def)/([0-9]{6})"), 1), lambda x: x.cast("int").between(100100, 100399))
+    return srs_id.between(100100, 100399) | named
+
+
+def definition_problems(wkt: Column, srs_id: Column | None = None, name: Column | None = None) -> Column:
+    """Rules for any definition, comma-joined: WKT1, prime meridian, degree unit, axis order, datum.
+
+    With a code, a datum by another name than WGS 84 is a problem too unless the system is
+    dynamic, as all allowed codes have that datum.
+    """
+    wkt = F.coalesce(wkt, F.lit(""))
+    upper, datum, axes = F.upper(wkt), datum_name(wkt), F.split(axis_directions(wkt), ",")
+    geographic = upper.rlike(r"(GEOGCRS|GEOGCS|GEODCRS|GEODETICCRS)\[")
+    issues = [
+        F.when(F.trim(wkt).isin("", "undefined"), "no definition"),
+        F.when(upper.rlike(r"(GEOGCS|PROJCS|COMPD_CS)\["), "WKT1"),
+        F.when(upper.contains("PRIMEM") & ~upper.contains("GREENWICH"), "prime meridian"),
+        F.when(upper.contains("ANGLEUNIT") & ~upper.contains("DEGREE"), "no degree unit"),
+        F.when(geographic & (F.get(axes, F.lit(0)) == "EAST") & (F.get(axes, F.lit(1)) == "NORTH"), "axis order"),
+        F.when(~F.trim(wkt).isin("", "undefined") & datum.isNull(), "no datum"),
+    ]
+    if srs_id is not None:
+        plain = F.trim(F.regexp_replace(F.upper(datum), r"[\s_-]+", " "))
+        issues.append(F.when(~plain.isin(dims.WGS84_NAMES) & ~is_dynamic(srs_id, F.lit("") if name is None else name), "other datum"))
+    return F.array_join(F.array(*issues), ",")
 
 
 def normal_name(name: Column) -> Column:

@@ -36,7 +36,7 @@ def vector_crs(geometry_columns: DataFrame, srs: DataFrame, *, z: bool) -> DataF
 
 def is_lambert(definition: Column) -> Column:
     """Lambert conformal conic in either spelling of well-known text."""
-    return F.upper(F.translate(F.coalesce(definition, F.lit("")), "_", " ")).contains("LAMBERT CONFORMAL CONIC")
+    return F.upper(F.translate(F.coalesce(definition, F.lit("")), "_", " ")).rlike("LAMBERT (CONFORMAL CONIC|CONIC CONFORMAL)")
 
 
 def raster_crs(sets: DataFrame, contents: DataFrame, srs: DataFrame) -> DataFrame:
@@ -48,11 +48,12 @@ def raster_crs(sets: DataFrame, contents: DataFrame, srs: DataFrame) -> DataFram
 
 
 def gridded_crs(sets: DataFrame, contents: DataFrame, srs: DataFrame) -> DataFrame:
-    """Gridded tables by dimension: 3-D is code 4979 or a compound definition, or one of the epoch codes."""
+    """Gridded tables by dimension: 3-D is code 4979 or a compound definition."""
     grids = contents.filter(category(F.col("data_type")) == "gridded").select("file", "table_name")
     rows = sets.join(grids, ["file", "table_name"]).join(srs.select("file", "srs_id", "definition"), ["file", "srs_id"], "left")
-    three = (F.col("srs_id") == 4979) | F.upper(F.coalesce("definition", F.lit(""))).contains("COMPOUND") | F.col("srs_id").between(100100, 100399)
-    ok = F.when(three, allowed(F.col("srs_id"), "gridded_3d")).otherwise(allowed(F.col("srs_id"), "gridded_2d"))
+    compound = F.upper(F.coalesce("definition", F.lit(""))).rlike("COMPOUNDCRS|COMPD_CS")
+    three = (F.col("srs_id") == 4979) | compound
+    ok = F.when(three, allowed(F.col("srs_id"), "gridded_3d") | compound).otherwise(allowed(F.col("srs_id"), "gridded_2d"))
     return rows.withColumn("dimension", F.when(three, 3).otherwise(2)).groupBy("file", "dimension").agg(F.count("*").alias("n_tables"), F.count_if(~ok).alias("n_bad"))
 
 

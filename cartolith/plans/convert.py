@@ -1,12 +1,13 @@
-"""Conversion of feature layers: repair, flatten, reproject, describe, write.
+"""Conversion of feature layers: flatten, reproject, describe, write.
 
 The pipeline is a chain of column expressions over one scan; rows whose geometry cannot be
 read keep their attributes, lose their geometry and are counted, as a bad feature must not
-stop a layer.
+stop a layer.  Invalid geometries are written as they are; validation reports them.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import dims
-from ..functions import crs, geometry, xml
+from ..functions import binary, crs, geometry, transform, xml
 from ..sources import gpkg
 
 
@@ -65,34 +66,86 @@ def reproject_points(df: DataFrame, lon: str, lat: str, srs_id: int) -> DataFram
     return df.withColumns({"x": x, "y": y})
 
 
-def layer_type(df: DataFrame, sample: int = 500) -> str:
-    """The layer's geometry type: that of its first geometries if they all agree, else GEOMETRY."""
-    code = F.conv(F.hex(F.reverse(F.substring("geom", 2, 4))), 16, 10).cast("int")
-    few = df.filter("geom IS NOT NULL").limit(sample).select(geometry.geometry_type(code).alias("t")).distinct().limit(2).collect()
-    return few[0].t if len(few) == 1 else "GEOMETRY"
+def layer_type(df: DataFrame) -> str:
+    """The layer's geometry type: that of all its geometries if they agree, else GEOMETRY; one grouped pass over all rows."""
+    h = F.hex(F.substring("geom", 1, 5))
+    code = binary.number(h, 1, 4, binary.at(h, 0, 1) == "01")
+    found = df.filter("geom IS NOT NULL").select(geometry.geometry_type(code).alias("t")).distinct().limit(2).collect()
+    return found[0].t if len(found) == 1 and found[0].t else "GEOMETRY"
 
 
 def input_warnings(srs_id: int | None, kind: str) -> list[str]:
-    """Policy of the converting side for a layer's system."""
+    """Policy of the converting side for a layer's system; ``any`` allows what some data type may use."""
     if srs_id is None:
         return ["no coordinate system"]
-    return [] if srs_id in dims.CONVERT[kind] else [f"EPSG:{srs_id} is not allowed for {kind}"]
+    allowed = dims.APPROVED if kind == "any" else dims.CONVERT[kind]
+    return [] if srs_id in allowed else [f"EPSG:{srs_id} is not allowed for {kind}"]
 
 
-def convert_layer(df: DataFrame, path: str, *, layer: str, title: str, abstract: str, stamp: str, srs_id: int = 4326, language: str = "eng", wkt2: str = "undefined", identifier: str = "") -> dict:
-    """Write ``df`` (``geom`` and attributes) as GeoPackages below ``path``; binary attributes are dropped.
+def target_system(srs_id: int | None, mode: str = "a", target: int = 4326) -> int:
+    """The system to write: mode ``a`` keeps an approved one and takes 4326 else; ``b`` takes ``target``; ``keep`` keeps any."""
+    if mode not in ("a", "b", "keep"):
+        raise ValueError(f"unknown mode {mode}")
+    if srs_id is None:
+        srs_id = 4326
+    return target if mode == "b" else srs_id if mode == "keep" or srs_id in dims.APPROVED else 4326
+
+
+def with_profile(profile: str = "default", **given) -> dict:
+    """What the caller gave, completed by a profile's settings; ValueError for an unknown profile."""
+    if profile not in dims.PROFILES:
+        raise ValueError(f"unknown profile {profile}; one of {', '.join(sorted(dims.PROFILES))}")
+    return dims.PROFILES[profile] | {k: v for k, v in given.items() if v is not None}
+
+
+def _title(layer: Column) -> Column:
+    """A layer's name as a title: underscores to spaces, letters after anything but a letter in capitals."""
+    words = F.transform(F.regexp_extract_all(F.translate(layer, "_", " "), F.lit(r"(\p{L}+|[^\p{L}]+)"), 1), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2)))))
+    return F.array_join(words, "")
+
+
+def convert_layers(
+    layers: dict[str, DataFrame], path: str, *, title: str, abstract: str, stamp: str, srs_id: int = 4326, mode: str = "keep", target: int = 4326, profile: str = "default",
+    language: str | None = None, organisation: str = "", identifier: str = "", wkt2: str | None = None,
+) -> list[dict]:
+    """Write layers (``geom``, well-known binary in ``srs_id``, and attributes) into GeoPackages below ``path``.
 
-    Geometry is flattened to two dimensions first.  Returns the counts of the layer.
+    Each task writes one file that has all layers.  Binary attributes are dropped, geometries
+    flattened and brought into the system that ``mode`` says.  The files hold a document of
+    the metadata profile, one of the package, and one of each layer below it.  Returns what
+    was written of each layer; ``lost`` counts geometries that could not be read.
     """
-    spark = df.sparkSession
+    spark = next(iter(layers.values())).sparkSession
     gpkg.register(spark)
-    drop = [f.name for f in df.schema.fields if isinstance(f.dataType, T.BinaryType) and f.name != "geom"]
-    flat = df.drop(*drop).withColumn("geom", geometry.flatten2d(F.col("geom")))
-    lit = F.lit
-    document = spark.range(1).select(xml.metadata_document(lit(identifier or layer), lit(title), lit(abstract), lit(language), lit(stamp)).alias("x")).first().x
-    flat.write.format("gpkg").mode("append").options(path=path, layer=layer, srs_id=str(srs_id), geometry_type=layer_type(df), last_change=stamp, metadata=document, wkt2=wkt2).save()
-    written = gpkg.read_table(spark, path, "__features__").filter(F.col("table_name") == layer).agg(F.count("*").alias("n"), F.count("geom").alias("g")).first()
-    return {"layer": layer, "features": written.n, "geometries": written.g, "dropped_columns": drop}
+    settings = with_profile(profile, language=language)
+    system, lit = target_system(srs_id, mode, target), F.lit
+    reported, parts, described = [], [], []
+    for name, df in layers.items():
+        drop = [f.name for f in df.schema.fields if isinstance(f.dataType, T.BinaryType) and f.name != "geom"]
+        flat = df.drop(*drop).withColumn("geom", transform.reproject(geometry.flatten2d(F.col("geom")), srs_id, system))
+        counts = df.select(F.count("*").alias("n"), F.count("geom").alias("g")).first()
+        reported.append({"layer": name, "features": counts.n, "given": counts.g, "dropped_columns": drop})
+        described.append({"name": name, "geometry_type": layer_type(df), "columns": [(f.name, f.dataType.typeName()) for f in flat.schema.fields if f.name not in ("geom", "fid")]})
+        parts.append(flat.select("geom", F.to_json(F.struct(*[F.col(f"`{c}`") for c, _ in described[-1]["columns"]]) if described[-1]["columns"] else F.struct(lit(0).alias("_"))).alias("attributes"), lit(name).alias("layer")))
+    text = lambda i, t, a, scope: xml.metadata_document(lit(i), t, lit(a), lit(settings["language"]), lit(stamp), scope, lit(organisation))
+    heads = [text(identifier or title, lit(title), abstract, "dataset").alias("d0"), text(f"{identifier or title} package", lit(title), abstract, "dataset").alias("d1")]
+    rows = spark.range(1).select(*heads, *[text(name, _title(lit(name)), f"Layer {name} of {title}", "featureType").alias(f"l{i}") for i, name in enumerate(layers)]).first()
+    documents = [{"scope": "dataset", "uri": dims.PROFILE_URI, "xml": rows.d0}, {"scope": "dataset", "uri": "http://www.isotc211.org/2005/gmd", "xml": rows.d1}]
+    documents += [{"scope": "featureType", "uri": "http://www.isotc211.org/2005/gmd", "xml": rows[f"l{i}"], "table": name, "parent": 2} for i, name in enumerate(layers)]
+    merged = parts[0]
+    for p in parts[1:]:
+        merged = merged.unionByName(p)
+    options = dict(path=path, srs_id=str(system), wkt2=dims.WKT2.get(system, "undefined") if wkt2 is None else wkt2, last_change=stamp, layers=json.dumps(described), documents=json.dumps(documents))
+    merged.write.format("gpkg").mode("append").options(**options).save()
+    found = gpkg.read_table(spark, path, "__features__").groupBy("table_name").agg(F.count("*").alias("n"), F.count("geom").alias("g"))
+    found = {r.table_name: r for r in found.filter(F.col("table_name").isin(list(layers))).collect()}
+    return [{"layer": r["layer"], "features": found[r["layer"]].n if r["layer"] in found else 0, "geometries": found[r["layer"]].g if r["layer"] in found else 0, "lost": r["given"] - (found[r["layer"]].g if r["layer"] in found else 0),
+             "dropped_columns": r["dropped_columns"], "srs_id": system} for r in reported]
+
+
+def convert_layer(df: DataFrame, path: str, *, layer: str, **settings) -> dict:
+    """``convert_layers`` of one layer."""
+    return convert_layers({layer: df}, path, **settings)[0]
 
 
 def tile_grid(width: Column, height: Column) -> Column:

@@ -13,7 +13,7 @@ from .validate import Catalog
 def write_findings(facts: DataFrame, path: str) -> None:
     """One JSON object for each file: verdict, counts and the status of each requirement."""
     verdicts = scoring.file_verdicts(facts)
-    listed = facts.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("req", "status"))).alias("requirements"))
+    listed = facts.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("req", *[c for c in ("name", "status", "detail") if c in facts.columns]))).alias("requirements"))
     verdicts.join(listed, "file").write.mode("overwrite").json(path)
 
 

@@ -1,19 +1,24 @@
-"""Validation of a set of files as one plan: rules to findings, findings to verdicts."""
+"""Validation of a set of files as one plan: rules to evidence, evidence to findings, findings to verdicts."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import binary, geometry, text
-from ..operators import catalog, scoring, zoom
+from .. import dims
+from ..functions import binary, geometry
+from ..operators import catalog, requirements, scoring
 
 
 @dataclass
 class Catalog:
-    """Catalog tables of many files; each has a ``file`` column.  A table that no file has is empty."""
+    """Catalog tables of many files; each has a ``file`` column.  A table that no file has is empty.
+
+    ``heads`` has the format and size of each tile's image, ``shapes`` the facts of each
+    geometry (``shape_facts``), ``index`` the entries and extent of each layer's index.
+    """
 
     files: DataFrame
     schema: DataFrame
@@ -26,10 +31,32 @@ class Catalog:
     extensions: DataFrame
     metadata: DataFrame
     reference: DataFrame
-    tiles: DataFrame
-    features: DataFrame
+    heads: DataFrame
+    shapes: DataFrame
+    index: DataFrame
     coverage: DataFrame
 
+    def written(self, folder: str) -> "Catalog":
+        """The same catalog from Parquet tables below ``folder``, so that rules read each source once."""
+        out = {}
+        for f in fields(self):
+            df: DataFrame = getattr(self, f.name)
+            df.write.mode("overwrite").parquet(f"{folder}/{f.name}")
+            out[f.name] = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{f.name}")
+        return Catalog(**out)
+
+
+def shape_facts(features: DataFrame, *, compat: bool = False) -> DataFrame:
+    """``file, table_name, empty, has_z, has_m, geometry_type, problem`` from geometry blobs.
+
+    With ``compat``, Z and M are read as ``binary.gp_header`` says there.
+    """
+    rows = features.select("file", "table_name", "geom", binary.gp_header(F.col("geom"), compat=compat).alias("h"))
+    body = F.expr("substring(geom, h.wkb_offset + 1)")
+    problem = F.when(F.col("geom").isNotNull() & F.col("h").isNull(), "no header").otherwise(geometry.validity(body))
+    flag = lambda c: F.coalesce(F.col(f"h.{c}"), F.lit(False)).alias(c)
+    return rows.select("file", "table_name", F.col("geom").isNull().alias("empty"), flag("has_z"), flag("has_m"), geometry.geometry_type(F.col("h.wkb_type")).alias("geometry_type"), problem.alias("problem"))
+
 
 def file_profile(contents: DataFrame, matrix: DataFrame) -> DataFrame:
     """A row of facts for each file; ``categories`` and ``systems`` are null where no table has one."""
@@ -39,149 +66,52 @@ def file_profile(contents: DataFrame, matrix: DataFrame) -> DataFrame:
     return facts.join(levels, "file", "left")
 
 
-def _by_file(rows: DataFrame, req: int, bad, *, good: str = "PASS", partial=None) -> DataFrame:
-    """FAIL for files with a bad row, PASS* for those with a partial one, ``good`` for the rest; other files have no row."""
-    status = F.when(F.max(F.coalesce(bad, F.lit(False))), "FAIL")
-    if partial is not None:
-        status = status.when(F.max(F.coalesce(partial, F.lit(False))), "PASS*")
-    return rows.groupBy("file").agg(status.otherwise(good).alias("status")).select("file", F.lit(req).alias("req"), "status")
-
-
-def findings(c: Catalog, as_of: str) -> DataFrame:
-    """``file, req, status`` for every file and requirement 1 to 37; SKIPPED where nothing applies."""
-    files = c.files.select("file")
-    has = lambda t: c.schema.filter(F.col("table_name") == t).select("file").distinct()
-    flag = lambda rows, name: rows.select("file").distinct().withColumn(name, F.lit(True))
-    tiles = c.contents.filter("data_type = 'tiles'")
-    cats = catalog.categories(c.contents)
-    pragma = c.pragmas.groupBy("file").pivot("name", ["application_id", "user_version", "encoding", "journal_mode"]).agg(F.first("value"))
-    app = F.col("application_id").cast("long")
-    good_app = app.isin(0x47503132, 0x47503133, 0x47503134) | ((app == 0x47504B47) & (F.col("user_version").cast("long") >= 10200))
-    base = pragma.select("file", (~F.coalesce(good_app, F.lit(False)) | (F.upper("encoding") != "UTF-8") | (F.lower("journal_mode") == "wal")).alias("bad"))
-    stamps = c.contents.select("file", (catalog.timestamp_problem(F.col("last_change"), as_of) == "malformed").alias("bad"))
-    missing = catalog.missing_extensions(c.contents, c.extensions).select("file", F.lit(True).alias("bad"))
-    scopes = catalog.bad_scopes(c.extensions).select("file", F.lit(True).alias("bad"))
-    r3 = cats.select("file").distinct().join(base.unionByName(stamps).unionByName(missing).unionByName(scopes), "file")
-
-    optional = cats.select("file").distinct().join(flag(catalog.registered_with_use(c.contents, c.extensions, "O"), "hit"), "file", "left")
-    barred = catalog.registered_with_use(c.contents, c.extensions, "N").select("file", F.lit(True).alias("bad"))
-    webp = c.tiles.filter(binary.image_format(F.col("tile_data")) == "WEBP").select("file", F.lit(True).alias("bad"))
-    r5 = cats.select("file").distinct().join(barred.unionByName(webp), "file", "left")
-
-    sets = c.sets.join(tiles.select("file", "table_name"), ["file", "table_name"])
-    crs = catalog.raster_crs(c.sets, c.contents, c.srs).select("file", (F.col("n_bad") > 0).alias("bad"), F.lit(False).alias("partial"))
-    offsets = zoom.zoom_offset(c.matrix, sets).select("file", (F.col("n_wrong") > 0).alias("bad"), F.lit(False).alias("partial"))
-    sizes = c.matrix.join(tiles.select("file", "table_name"), ["file", "table_name"])
-    grid = catalog.gridded_crs(c.sets, c.contents, c.srs)
-
-    used = c.srs.filter("srs_id > 0").withColumn("wkt", F.coalesce(F.nullif(F.nullif("definition_12_063", F.lit("")), F.lit("undefined")), "definition"))
-    problems = F.filter(F.split(text.definition_problems(F.col("wkt")), ","), lambda x: x != "")
-    policies = {x for k in ("raster", "gridded_2d", "gridded_3d", "vector_2d", "vector_3d") for x in catalog.dims.VALIDATE[k]}
-    r13 = used.select("file", ((F.size(problems) > 0) | ~F.col("srs_id").isin(sorted(policies))).alias("bad"))
-    flat = c.geometry_columns.filter("z = 0").join(used, ["file", "srs_id"], "left").select("file", F.upper("wkt").contains("COMPOUND").alias("bad"))
-    solid = used.join(c.geometry_columns.filter("z <> 0").select("file", "srs_id").distinct(), ["file", "srs_id"], "left_semi").filter(F.upper("wkt").contains("COMPOUND") | F.upper("wkt").contains("COMPD_CS"))
-
-    docs = c.metadata.withColumns({"dmf": F.lower("md_standard_uri").contains("dmf"), "n": text.elements_present(F.col("metadata"))})
-    no_docs = files.join(docs.select("file").distinct(), "file", "left_anti")
-    r18 = docs.groupBy("file").agg(F.when(~F.max("dmf"), "PASS*").when(F.max(F.col("dmf") & (F.col("n") < 7)), "FAIL").otherwise("PASS").alias("status"))
-    linked = c.reference.join(c.metadata.select("file", F.col("id").alias("md_file_id"), "mime_type", "metadata"), ["file", "md_file_id"])
-    anchored = catalog.anchors(c.reference).filter("n_anchors > 0").select("file")
-    from ..functions.xml import well_formed
-
-    read = docs.select("file", ((F.col("mime_type") != "text/xml") | ~well_formed(F.col("metadata"))).alias("bad"))
-    unanchored = files.join(anchored, "file", "left_anti").select("file", F.lit(True).alias("bad"))
-    scoped = catalog.scope_violations(c.reference, c.metadata).select("file", F.lit(True).alias("bad"))
-    r19 = read.unionByName(unanchored).unionByName(scoped.filter("bad"))
-    reference_columns = ["reference_scope", "table_name", "column_name", "row_id_value", "timestamp", "md_file_id", "md_parent_id"]
-    lacks = catalog.missing_columns(c.schema, "gpkg_metadata_reference", reference_columns)
-    r20 = has("gpkg_metadata_reference").join(flag(lacks, "bad"), "file", "left")
-    orphans = catalog.orphan_references(c.reference, c.metadata).select("file", F.lit(True).alias("bad"))
-    stamp = c.reference.select("file", (~text.is_stamp(F.col("timestamp"))).alias("bad"))
-    product = docs.filter(F.col("md_scope").isin("series", "dataset")).select("file", ((F.col("n") == 0) | (F.col("mime_type") != "text/xml")).alias("bad"))
-
-    # Data validity: the index of each feature layer, null and invalid geometries, declared tables.
-    layers = c.geometry_columns.select("file", "table_name", "column_name")
-    index = layers.select("file", F.concat(F.lit("rtree_"), "table_name", F.lit("_"), "column_name").alias("table_name"))
-    unindexed = index.join(c.schema.select("file", "table_name").distinct(), ["file", "table_name"], "left_anti").select("file", F.lit(True).alias("bad"))
-    shapes = c.features.select("file", binary.gp_header(F.col("geom")).alias("h"), "geom")
-    body = F.expr("substring(geom, h.wkb_offset + 1)")
-    invalid = shapes.select("file", (F.col("geom").isNull() | F.col("h").isNull() | geometry.validity(body).isNotNull()).alias("bad"))
-    absent = c.contents.join(c.schema.select("file", "table_name").distinct(), ["file", "table_name"], "left_anti").select("file", F.lit(True).alias("bad"))
-    r24 = cats.select("file").distinct().select("file", F.lit(False).alias("bad")).unionByName(unindexed).unionByName(invalid).unionByName(absent)
-
-    gaps = zoom.zoom_gaps(c.matrix).select("file", (F.col("n_gaps") > 0).alias("bad"))
-    size = binary.png_size(F.col("tile_data"))
-    wrong = F.coalesce((size["width"] != 256) | (size["height"] != 256), F.lit(False)) | (binary.image_format(F.col("tile_data")) == "UNKNOWN")
-    declared = sizes.select("file", ((F.col("tile_width") != 256) | (F.col("tile_height") != 256)).alias("bad"))
-    r26 = declared.unionByName(c.tiles.select("file", wrong.alias("bad")))
-    steps = zoom.zoom_factor(c.matrix).filter("status <> 'SKIPPED'").select("file", (F.col("status") == "FAIL").alias("bad"))
-    boxes = zoom.bbox_in_extent(c.contents, c.sets).select("file", (~F.col("problem").isin("ok", "unknown system")).alias("bad"))
-    link = lambda kind: c.contents.filter(F.col("data_type") == kind).select("file").distinct().join(flag(catalog.unlinked_layers(c.contents, c.reference, kind), "bad"), "file", "left")
-
-    # Gridded coverages: compound and dynamic systems, ancillary tables, elevation, zoom factor, metadata.
-    epochs = used.filter("epoch IS NOT NULL AND epoch <> 0")
-    r17 = epochs.select("file", F.coalesce(F.round(text.frame_epoch(F.col("wkt")), 1) != F.round("epoch", 1), F.lit(True)).alias("bad"))
-    grids = c.coverage.select("file", "table_name").distinct()
-    vertical = used.join(c.sets.join(grids, ["file", "table_name"]).select("file", "srs_id").distinct(), ["file", "srs_id"], "left_semi").filter(F.upper("wkt").contains("COMPOUND") | F.upper("wkt").contains("COMPD_CS"))
-    wkt2 = c.schema.filter("table_name = 'gpkg_spatial_ref_sys' AND column_name = 'definition_12_063'").select("file", F.lit(True).alias("has"))
-    r16 = vertical.join(wkt2, "file", "left").select("file", (F.col("has").isNull() | (text.compound_problems(F.col("wkt")) != "")).alias("bad"))
-    gridded = has("gpkg_2d_gridded_coverage_ancillary")
-    lacking = catalog.missing_columns(c.schema, "gpkg_2d_gridded_coverage_ancillary", ["tile_matrix_set_name", "field_name", "quantity_definition", "grid_cell_encoding"]).select("file")
-    unregistered = gridded.join(c.extensions.filter("extension_name = 'gpkg_2d_gridded_coverage'").select("file"), "file", "left_anti")
-    r33 = gridded.join(flag(lacking.unionByName(unregistered).unionByName(gridded.join(has("gpkg_2d_gridded_tile_ancillary"), "file", "left_anti")), "bad"), "file", "left")
-    heights = catalog.gridded_elevation(c.coverage)
-    factors = zoom.gridded_zoom_factor(c.matrix.join(grids, ["file", "table_name"])).select("file", (F.col("confirmed") < F.col("n_steps")).alias("bad"))
-    r36 = grids.select("file", F.lit(False).alias("bad")).unionByName(factors)
-    rows37 = c.reference.join(grids.withColumn("own", F.lit(True)), ["file", "table_name"], "left").filter("own OR reference_scope = 'geopackage'").join(grids.select("file").distinct(), "file", "left_semi")
-    docs37 = rows37.join(c.metadata.select("file", F.col("id").alias("md_file_id"), "md_scope", "metadata"), ["file", "md_file_id"])
-    pairs = F.broadcast(catalog.dims.scope_pairs(c.files.sparkSession).withColumn("fine", F.lit(True)))
-    r37 = docs37.join(pairs, ["reference_scope", "md_scope"], "left").select("file", (F.col("fine").isNull() | ~well_formed(F.col("metadata")) | (text.elements_present(F.col("metadata")) == 0)).alias("bad"))
-
-    bad = F.col("bad")
-    rules = [
-        _by_file(r3, 3, bad),
-        _by_file(optional, 4, F.lit(False), partial=F.col("hit")),
-        _by_file(r5, 5, bad, good="PASS*"),
-        _by_file(crs.unionByName(offsets), 7, bad),
-        _by_file(sizes.select("file", ((F.col("tile_width") != 256) | (F.col("tile_height") != 256)).alias("bad")), 8, bad),
-        catalog.vector_crs(c.geometry_columns, c.srs, z=False).select("file", F.lit(9).alias("req"), "status"),
-        catalog.vector_crs(c.geometry_columns, c.srs, z=True).select("file", F.lit(10).alias("req"), "status"),
-        _by_file(grid.filter("dimension = 2").select("file", (F.col("n_bad") > 0).alias("bad")), 11, bad),
-        _by_file(grid.filter("dimension = 3").select("file", (F.col("n_bad") > 0).alias("bad")), 12, bad, good="PASS*"),
-        _by_file(r13, 13, bad, good="PASS*"),
-        _by_file(flat, 14, bad, good="PASS*"),
-        _by_file(solid.select("file", (text.compound_problems(F.col("wkt")) != "").alias("bad")), 15, bad),
-        no_docs.select("file", F.lit(18).alias("req"), F.lit("FAIL").alias("status")).unionByName(r18.select("file", F.lit(18).alias("req"), "status")),
-        _by_file(r19, 19, bad),
-        _by_file(r20.unionByName(files.join(has("gpkg_metadata_reference"), "file", "left_anti").select("file", F.lit(True).alias("bad"))), 20, bad, good="PASS*"),
-        _by_file(has("gpkg_metadata_reference").select("file", F.lit(False).alias("bad")).unionByName(orphans).unionByName(stamp).unionByName(scoped), 21, bad),
-        _by_file(product, 22, bad),
-        _by_file(has("gpkg_metadata_reference").join(flag(anchored, "hit"), "file", "left").select("file", F.col("hit").isNull().alias("bad")), 23, bad, good="PASS*"),
-        _by_file(r24, 24, bad),
-        _by_file(gaps, 25, bad),
-        _by_file(r26, 26, bad),
-        _by_file(steps, 27, bad),
-        _by_file(zoom.zoom_monotone(c.matrix).select("file", (F.col("status") == "FAIL").alias("bad")), 28, bad, good="PASS*"),
-        _by_file(zoom.tile_size(c.matrix).select("file", (F.col("uniform") == "FAIL").alias("bad")), 29, bad, good="PASS*"),
-        _by_file(boxes, 30, bad),
-        _by_file(link("tiles"), 31, bad),
-        _by_file(link("features"), 32, bad),
-        _by_file(r16, 16, bad),
-        _by_file(r17, 17, bad),
-        _by_file(r33, 33, bad, good="PASS*"),
-        _by_file(heights.filter("field_status <> 'SKIPPED'").select("file", (F.col("field_status") == "FAIL").alias("bad")), 34, bad),
-        _by_file(heights.filter("centre_status <> 'SKIPPED'").select("file", (F.col("centre_status") == "FAIL").alias("bad")), 35, bad),
-        _by_file(r36, 36, bad),
-        _by_file(r37, 37, bad),
-    ]
-    found = rules[0]
-    for r in rules[1:]:
-        found = found.unionByName(r)
-    grid_of = files.select("file", F.explode(F.sequence(F.lit(1), F.lit(37))).alias("req"))
-    return grid_of.join(found, ["file", "req"], "left").select("file", "req", F.coalesce("status", F.lit("SKIPPED")).alias("status"))
-
-
-def validate(c: Catalog, as_of: str) -> tuple[DataFrame, DataFrame]:
-    """Findings and verdicts; findings are written or cached by the caller, as both read them."""
-    facts = findings(c, as_of)
+def whole_profile(c: Catalog) -> DataFrame:
+    """``file_profile`` and, beside it, tiles by count and size, the factor of the lowest two levels, extensions, metadata standards and gridded fields."""
+    joined = lambda x: F.array_join(F.array_sort(F.collect_set(x)), ",")
+    tiles = c.heads.groupBy("file").agg(F.count("*").alias("n_tiles"), joined(F.concat_ws("x", "width", "height")).alias("tile_sizes"), joined("format").alias("tile_formats"))
+    low = c.matrix.withColumn("k", F.row_number().over(Window.partitionBy("file", "table_name").orderBy("zoom_level"))).filter("k <= 2")
+    steps = low.groupBy("file", "table_name").agg(F.max(F.when(F.col("k") == 1, F.col("pixel_x_size"))).alias("a"), F.max(F.when(F.col("k") == 2, F.col("pixel_x_size"))).alias("b"))
+    factor = steps.filter("b <> 0").groupBy("file").agg(F.min(F.round(F.col("a") / F.col("b"), 4)).alias("factor"))
+    extensions = c.extensions.groupBy("file").agg(joined("extension_name").alias("extensions"))
+    standards = c.metadata.groupBy("file").agg(joined("md_standard_uri").alias("standards"))
+    grids = c.coverage.groupBy("file").agg(joined("field_name").alias("grid_fields"))
+    out = c.files.select("file").join(file_profile(c.contents, c.matrix), "file", "left")
+    for part in (tiles, factor, extensions, standards, grids):
+        out = out.join(part, "file", "left")
+    return out
+
+
+def findings(c: Catalog, as_of: str, rows: DataFrame | None = None) -> DataFrame:
+    """``file, req, status, detail`` for every file and requirement 1 to 37; SKIPPED where nothing applies.
+
+    A damaged file, of which some tables cannot be read, has ERROR throughout.  ``detail``
+    counts the violations and names the first.  ``rows``, evidence that was written before,
+    saves computing it again.
+    """
+    rows = requirements.evidence(c, as_of) if rows is None else rows
+    level = F.max("level").alias("level")
+    worst = rows.groupBy("file", "req").agg(level, F.count_if(F.col("level") == 2).alias("n"), F.min(F.when(F.col("level") == 2, F.col("note"))).alias("bad"), F.min(F.when(F.col("level") == 1, F.col("note"))).alias("part"))
+    grid = c.files.select("file", "damage", F.explode(F.sequence(F.lit(1), F.lit(37))).alias("req"))
+    best = F.when(F.col("req").isin(dims.BEST_IS_PARTIAL), "PASS*").otherwise("PASS")
+    status = F.when(F.col("damage").isNotNull() & ~F.col("req").isin(1, 2, 6), "ERROR").when(F.col("level") == 2, "FAIL").when(F.col("level") == 1, "PASS*").when(F.col("level") == 0, best).otherwise("SKIPPED")
+    detail = F.when(F.col("damage").isNotNull(), F.col("damage")).when(F.col("level") == 2, F.concat(F.col("n"), F.lit(" found: "), F.col("bad"))).when(F.col("level") == 1, F.col("part"))
+    return grid.join(worst, ["file", "req"], "left").select("file", "req", status.alias("status"), F.substring(F.coalesce(detail, F.lit("")), 1, 1000).alias("detail"))
+
+
+def examples(rows: DataFrame, k: int = 5) -> DataFrame:
+    """``file, req, level, notes``: the first ``k`` notes of each file and requirement in alphabetical order, violations first."""
+    w = Window.partitionBy("file", "req").orderBy(F.desc("level"), "note")
+    few = rows.filter("level > 0").distinct().withColumn("k", F.row_number().over(w)).filter(F.col("k") <= k)
+    return few.groupBy("file", "req").agg(F.max("level").alias("level"), F.array_sort(F.collect_list(F.struct("k", "note"))).alias("n")).select("file", "req", "level", F.transform("n", lambda x: x["note"]).alias("notes"))
+
+
+def validate(c: Catalog, as_of: str, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Findings and verdicts.  With ``folder``, catalog tables and findings are written there and read once."""
+    if folder is None:
+        facts = findings(c, as_of)
+        return facts, scoring.file_verdicts(facts)
+    facts = findings(c.written(f"{folder}/catalog"), as_of)
+    facts.write.mode("overwrite").parquet(f"{folder}/findings")
+    facts = facts.sparkSession.read.parquet(f"{folder}/findings")
     return facts, scoring.file_verdicts(facts)

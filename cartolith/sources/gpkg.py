@@ -2,11 +2,14 @@
 
 Reading: ``path`` is a file, a folder or a pattern (comma-separated; ``recursive`` descends),
 ``table`` a catalog table or one of ``__files__``, ``__schema__``, ``__pragma__``,
-``__tiles__``, ``__features__``.  A partition is a file, or one of ``ranges`` rowid ranges
-of the user tables of a file, so blobs of a large file are read by several tasks.  Every
+``__tiles__``, ``__heads__`` (format and size of each tile's image, without the image),
+``__features__``, ``__index__`` (extent and number of entries of each layer's index).  A
+partition is a file, or one of ``ranges`` rowid ranges of the user tables of a file (by
+default one for each 128 MB), so blobs of a large file are read by several tasks.  Every
 row carries ``file``.  Files that are not GeoPackages give a row in ``__files__`` with the
-reason and nothing else.  Columns that a file lacks are null; ``__schema__`` tells them
-from columns that hold nulls.  Text is decoded as UTF-8 with replacement.
+reason and nothing else; a damaged one gives the rows that can be read, and ``damage`` says
+what SQLite's own check found.  Columns that a file lacks are null; ``__schema__`` tells
+them from columns that hold nulls.  Text is decoded as UTF-8 with replacement.
 
 Writing: SQLite has one writer a file, so each task writes one complete GeoPackage of its
 rows below ``path`` and renames it into place when done; a retried task replaces its file,
@@ -18,6 +21,7 @@ Paths must be reachable from executors as files (a shared file system on a clust
 from __future__ import annotations
 
 import glob
+import json
 import os
 import sqlite3
 import struct
@@ -39,12 +43,16 @@ CATALOG = {
     "gpkg_2d_gridded_coverage_ancillary": "tile_matrix_set_name string, field_name string, quantity_definition string, grid_cell_encoding string, datatype string",
 }
 SPECIAL = {
-    "__files__": "ok boolean, error string, bytes long",
+    "__files__": "ok boolean, error string, bytes long, damage string",
     "__schema__": "table_name string, column_name string, type string, pk int",
     "__pragma__": "name string, value string",
     "__tiles__": "table_name string, zoom_level int, tile_column long, tile_row long, tile_data binary",
     "__features__": "table_name string, fid long, geom binary",
+    "__heads__": "table_name string, zoom_level int, format string, width int, height int",
+    "__index__": "table_name string, n long, min_x double, min_y double, max_x double, max_y double",
 }
+#: Bytes of a file that one task reads of tables that can be split, and bytes of a tile that usually hold its size.
+RANGE_BYTES, HEAD_BYTES = 128 << 20, 4096
 PRAGMAS = ("application_id", "user_version", "page_size", "encoding", "journal_mode")
 
 
@@ -87,21 +95,25 @@ class GpkgReader(DataSourceReader):
     def __init__(self, options, table: str, columns: list[tuple[str, str]]):
         self.path, self.table, self.columns = options.get("path", ""), table, columns
         self.recursive = str(options.get("recursive", "false")).lower() == "true"
-        self.ranges = int(options.get("ranges", "1")) if table in ("__tiles__", "__features__") else 1
+        self.ranges = int(options.get("ranges", "0")) if table in ("__tiles__", "__heads__", "__features__") else 1
 
     def partitions(self):
-        return [FilePart(f, i, self.ranges) for f in find_files(self.path, self.recursive) for i in range(self.ranges)]
+        files = find_files(self.path, self.recursive)
+        ranges = [self.ranges or -(-os.path.getsize(f) // RANGE_BYTES) or 1 for f in files]
+        return [FilePart(f, i, n) for f, n in zip(files, ranges) for i in range(n)]
 
     def read(self, partition):
         try:
             con = open_readonly(partition.path)
         except (ValueError, sqlite3.DatabaseError, OSError) as e:
             if self.table == "__files__":
-                yield partition.path, False, str(e), os.path.getsize(partition.path)
+                yield partition.path, False, str(e), os.path.getsize(partition.path), None
             return
         try:
             for row in getattr(self, "_" + self.table.strip("_"), self._catalog)(con, partition):
                 yield (partition.path, *row)
+        except sqlite3.DatabaseError:
+            pass  # reported as damage of the file
         finally:
             con.close()
 
@@ -114,7 +126,11 @@ class GpkgReader(DataSourceReader):
         yield from con.execute(f"SELECT {', '.join(picks)} FROM {quoted(self.table)}")
 
     def _files(self, con, partition):
-        yield True, None, os.path.getsize(partition.path)
+        try:
+            said = con.execute("PRAGMA quick_check(1)").fetchone()[0]
+        except sqlite3.DatabaseError as e:
+            said = str(e)
+        yield True, None, os.path.getsize(partition.path), None if said == "ok" else said
 
     def _schema(self, con, _):
         for (name,) in con.execute("SELECT name FROM sqlite_master WHERE type = 'table' ORDER BY name").fetchall():
@@ -141,6 +157,23 @@ class GpkgReader(DataSourceReader):
             if span := self._ranged(con, partition, t):
                 yield from ((t, *r) for r in con.execute(f"SELECT zoom_level, tile_column, tile_row, tile_data FROM {quoted(t)} WHERE rowid >= ? AND rowid < ?", span))
 
+    def _heads(self, con, partition):
+        from ..functions.binary import image_head
+
+        for t in self._tables(con, ("tiles", "gridded", "coverage")):
+            if span := self._ranged(con, partition, t):
+                for row, zoom, head in con.execute(f"SELECT rowid, zoom_level, substr(tile_data, 1, {HEAD_BYTES}) FROM {quoted(t)} WHERE rowid >= ? AND rowid < ? AND tile_data IS NOT NULL", span):
+                    kind, size = image_head(head)
+                    if kind in ("JPEG", "TIFF") and size is None and len(head) == HEAD_BYTES:
+                        kind, size = image_head(con.execute(f"SELECT tile_data FROM {quoted(t)} WHERE rowid = ?", (row,)).fetchone()[0])
+                    yield t, zoom, kind, *(size or (None, None))
+
+    def _index(self, con, _):
+        have = {r[0].lower(): r[0] for r in con.execute("SELECT name FROM sqlite_master WHERE type = 'table'")}
+        for t, c in con.execute("SELECT table_name, column_name FROM gpkg_geometry_columns").fetchall() if "gpkg_geometry_columns" in have else []:
+            if name := have.get(f"rtree_{t}_{c}".lower()):
+                yield t, *con.execute(f"SELECT count(*), min(minx), min(miny), max(maxx), max(maxy) FROM {quoted(name)}").fetchone()
+
     def _features(self, con, partition):
         columns = dict(con.execute("SELECT table_name, column_name FROM gpkg_geometry_columns").fetchall()) if con.execute("SELECT 1 FROM sqlite_master WHERE name = 'gpkg_geometry_columns'").fetchone() else {}
         for t in self._tables(con, ("features",)):
@@ -176,7 +209,11 @@ class Done(WriterCommitMessage):
 
 
 class GpkgWriter(DataSourceWriter):
-    """Options: ``layer``, ``srs_id``, ``wkt2``, ``geometry_type``, ``last_change``, ``metadata`` (XML).
+    """Options: ``srs_id``, ``wkt2``, ``last_change`` and either ``layer``, ``geometry_type`` and ``metadata`` (XML), or
+
+    ``layers``, a JSON list of ``name``, ``geometry_type`` and ``columns`` (name and type), for
+    rows ``layer``, ``geom`` and ``attributes`` (a JSON object); and ``documents``, a JSON list
+    of ``scope``, ``uri``, ``xml`` and, for a layer, ``table`` and ``parent`` (counted from 1).
 
     The column ``geom`` holds well-known binary (or null); other columns are attributes,
     binary ones are dropped.  Rows that cannot be written are counted; if there are any, the
@@ -185,51 +222,82 @@ class GpkgWriter(DataSourceWriter):
 
     def __init__(self, options, schema, overwrite: bool):
         self.o, self.overwrite, self.job = dict(options), overwrite, uuid.uuid4().hex
-        self.fields = [(f.name, f.dataType.typeName()) for f in schema.fields]
+        self.names = [f.name for f in schema.fields]
+        own = [(f.name, f.dataType.typeName()) for f in schema.fields if f.name not in ("geom", "fid") and f.dataType.typeName() != "binary"]
+        self.many = "layers" in self.o
+        self.layers = json.loads(self.o["layers"]) if self.many else [{"name": self.o.get("layer", "layer"), "geometry_type": self.o.get("geometry_type", "GEOMETRY"), "columns": own}]
+        self.documents = json.loads(self.o.get("documents", "[]"))
+        if not self.documents and self.o.get("metadata"):
+            one = {"scope": "dataset", "uri": self.o.get("metadata_uri", "http://www.isotc211.org/2005/gmd"), "xml": self.o["metadata"]}
+            self.documents = [one | {"tables": [x["name"] for x in self.layers]}]
 
     def write(self, rows):
-        o, folder = self.o, self.o["path"]
+        folder = self.o["path"]
         os.makedirs(folder, exist_ok=True)
-        layer, srs = o.get("layer", "layer"), int(o.get("srs_id", "4326"))
-        part = TaskContext.get().partitionId()
-        final, temporary = os.path.join(folder, f"part-{part:05d}-{self.job}.gpkg"), os.path.join(folder, f".{uuid.uuid4().hex}")
-        kinds = {"long": "INTEGER", "integer": "INTEGER", "short": "INTEGER", "byte": "INTEGER", "boolean": "BOOLEAN", "double": "DOUBLE", "float": "DOUBLE"}
-        columns = [(n, kinds.get(t, "TEXT")) for n, t in self.fields if n not in ("geom", "fid") and t != "binary"]
+        final = os.path.join(folder, f"part-{TaskContext.get().partitionId():05d}-{self.job}.gpkg")
+        temporary = os.path.join(folder, f".{uuid.uuid4().hex}")
         con = sqlite3.connect(temporary)
+        try:
+            self._catalog(con)
+            n, skipped, boxes = self._rows(con, rows)
+            stamp, srs = self._stamp(), self._srs()
+            for x in self.layers:
+                con.execute("INSERT INTO gpkg_contents VALUES (?, 'features', ?, '', ?, ?, ?, ?, ?, ?)", (x["name"], x["name"], stamp, *(boxes.get(x["name"]) or (None,) * 4), srs))
+            con.commit()
+        finally:
+            con.close()
+        os.replace(temporary, final)
+        return Done(final, n, skipped)
+
+    def _srs(self) -> int:
+        return int(self.o.get("srs_id", "4326"))
+
+    def _stamp(self) -> str:
+        return self.o.get("last_change", "2025-01-01T00:00:00Z")
+
+    def _catalog(self, con) -> None:
+        srs, stamp, wkt2 = self._srs(), self._stamp(), self.o.get("wkt2", "undefined")
         con.execute("PRAGMA application_id = 0x47504B47")
         con.execute("PRAGMA user_version = 10400")
         con.executescript(DDL)
         con.execute("INSERT INTO gpkg_spatial_ref_sys VALUES ('Undefined cartesian', -1, 'NONE', -1, 'undefined', NULL, 'undefined'), ('Undefined geographic', 0, 'NONE', 0, 'undefined', NULL, 'undefined')")
-        con.execute("INSERT INTO gpkg_spatial_ref_sys VALUES (?, ?, 'EPSG', ?, ?, ?, ?)", (f"EPSG:{srs}", srs, srs, o.get("wkt2", "undefined"), f"EPSG:{srs}", o.get("wkt2", "undefined")))
-        con.execute(f"CREATE TABLE {quoted(layer)} (fid INTEGER PRIMARY KEY AUTOINCREMENT, geom BLOB{''.join(f', {quoted(n)} {t}' for n, t in columns)})")
-        con.execute(f"CREATE VIRTUAL TABLE {quoted(f'rtree_{layer}_geom')} USING rtree(id, minx, maxx, miny, maxy)")
-        names = [n for n, _ in self.fields]
-        at, box, n, skipped = {x: i for i, x in enumerate(names)}, None, 0, 0
-        insert = f"INSERT INTO {quoted(layer)} VALUES (NULL, ?{', ?' * len(columns)})"
+        con.execute("INSERT INTO gpkg_spatial_ref_sys VALUES (?, ?, 'EPSG', ?, ?, ?, ?)", (f"EPSG:{srs}", srs, srs, wkt2, f"EPSG:{srs}", wkt2))
+        extensions = [("gpkg_spatial_ref_sys", "definition_12_063", "gpkg_crs_wkt"), ("gpkg_metadata", None, "gpkg_metadata"), ("gpkg_metadata_reference", None, "gpkg_metadata")]
+        for x in self.layers:
+            kinds = {"long": "INTEGER", "integer": "INTEGER", "short": "INTEGER", "byte": "INTEGER", "boolean": "BOOLEAN", "double": "DOUBLE", "float": "DOUBLE"}
+            columns = "".join(f", {quoted(n)} {kinds.get(t, 'TEXT')}" for n, t in x["columns"])
+            con.execute(f"CREATE TABLE {quoted(x['name'])} (fid INTEGER PRIMARY KEY AUTOINCREMENT, geom BLOB{columns})")
+            con.execute(f"CREATE VIRTUAL TABLE {quoted('rtree_' + x['name'] + '_geom')} USING rtree(id, minx, maxx, miny, maxy)")
+            con.execute("INSERT INTO gpkg_geometry_columns VALUES (?, 'geom', ?, ?, 0, 0)", (x["name"], x["geometry_type"], srs))
+            extensions.append((x["name"], "geom", "gpkg_rtree_index"))
+        con.executemany("INSERT INTO gpkg_extensions VALUES (?, ?, ?, 'http://www.geopackage.org/spec', ?)", [(*e, "write-only" if e[2] == "gpkg_rtree_index" else "read-write") for e in extensions])
+        for i, d in enumerate(self.documents, 1):
+            con.execute("INSERT INTO gpkg_metadata VALUES (?, ?, ?, 'text/xml', ?)", (i, d["scope"], d["uri"], d["xml"]))
+            tables = [d["table"]] if "table" in d else [None, *d.get("tables", [])]
+            con.executemany("INSERT INTO gpkg_metadata_reference VALUES (?, ?, NULL, NULL, ?, ?, ?)", [("table" if t else "geopackage", t, stamp, i, d.get("parent")) for t in tables])
+
+    def _rows(self, con, rows) -> tuple[int, int, dict]:
+        at, srs, n, skipped, boxes = {x: i for i, x in enumerate(self.names)}, self._srs(), 0, 0, {}
+        inserts = {x["name"]: (f"INSERT INTO {quoted(x['name'])} VALUES (NULL, ?{', ?' * len(x['columns'])})", f"INSERT INTO {quoted('rtree_' + x['name'] + '_geom')} VALUES (?, ?, ?, ?, ?)", [c for c, _ in x["columns"]]) for x in self.layers}
         for r in rows:
+            name = r[at["layer"]] if self.many else self.layers[0]["name"]
+            insert, index, columns = inserts[name]
             try:
                 wkb = r[at["geom"]]
                 e = envelope(bytes(wkb)) if wkb is not None else None
-                values = [v if v is None or isinstance(v, (int, float, str)) else str(v) for v in (r[at[c]] for c, _ in columns)]
+                given = json.loads(r[at["attributes"]]) if self.many else None
+                values = [given.get(c) if self.many else r[at[c]] for c in columns]
+                values = [v if v is None or isinstance(v, (int, float, str)) else json.dumps(v) if isinstance(v, (dict, list)) else str(v) for v in values]
                 fid = con.execute(insert, (None if wkb is None else gp_blob(bytes(wkb), srs, e), *values)).lastrowid
             except (struct.error, ValueError, IndexError, sqlite3.Error):
                 skipped += 1
                 continue
             n += 1
             if e:
-                con.execute(f"INSERT INTO {quoted(f'rtree_{layer}_geom')} VALUES (?, ?, ?, ?, ?)", (fid, e[0], e[2], e[1], e[3]))
-                box = e if box is None else (min(box[0], e[0]), min(box[1], e[1]), max(box[2], e[2]), max(box[3], e[3]))
-        con.execute("INSERT INTO gpkg_contents VALUES (?, 'features', ?, '', ?, ?, ?, ?, ?, ?)", (layer, layer, o.get("last_change", "2025-01-01T00:00:00Z"), *(box or (None,) * 4), srs))
-        con.execute("INSERT INTO gpkg_geometry_columns VALUES (?, 'geom', ?, ?, 0, 0)", (layer, o.get("geometry_type", "GEOMETRY"), srs))
-        extensions = [(layer, "geom", "gpkg_rtree_index"), ("gpkg_spatial_ref_sys", "definition_12_063", "gpkg_crs_wkt"), ("gpkg_metadata", None, "gpkg_metadata"), ("gpkg_metadata_reference", None, "gpkg_metadata")]
-        con.executemany("INSERT INTO gpkg_extensions VALUES (?, ?, ?, 'http://www.geopackage.org/spec', ?)", [(*e, "write-only" if e[2] == "gpkg_rtree_index" else "read-write") for e in extensions])
-        if o.get("metadata"):
-            con.execute("INSERT INTO gpkg_metadata VALUES (1, 'dataset', ?, 'text/xml', ?)", (o.get("metadata_uri", "http://www.isotc211.org/2005/gmd"), o["metadata"]))
-            con.executemany("INSERT INTO gpkg_metadata_reference VALUES (?, ?, NULL, NULL, ?, 1, NULL)", [("geopackage", None, o.get("last_change", "2025-01-01T00:00:00Z")), ("table", layer, o.get("last_change", "2025-01-01T00:00:00Z"))])
-        con.commit()
-        con.close()
-        os.replace(temporary, final)
-        return Done(final, n, skipped)
+                con.execute(index, (fid, e[0], e[2], e[1], e[3]))
+                box = boxes.get(name, e)
+                boxes[name] = (min(box[0], e[0]), min(box[1], e[1]), max(box[2], e[2]), max(box[3], e[3]))
+        return n, skipped, boxes
 
     def commit(self, messages):
         skipped = sum(m.skipped for m in messages if m is not None)
@@ -288,14 +356,14 @@ def read_table(spark: SparkSession, path: str, table: str, **options) -> DataFra
 
 
 def read_catalog(spark: SparkSession, path: str, **options):
-    """All catalog tables of the readable files of ``path`` as a ``Catalog``."""
-    from ..plans.validate import Catalog
+    """All catalog tables of the readable files of ``path`` as a ``Catalog``; nothing is read yet."""
+    from ..plans.validate import Catalog, shape_facts
 
     register(spark)
     get = lambda t: read_table(spark, path, t, **options)
     return Catalog(
-        files=get("__files__").filter("ok").select("file"), schema=get("__schema__"), pragmas=get("__pragma__"), contents=get("gpkg_contents"), srs=get("gpkg_spatial_ref_sys"),
+        files=get("__files__").filter("ok").select("file", "damage"), schema=get("__schema__"), pragmas=get("__pragma__"), contents=get("gpkg_contents"), srs=get("gpkg_spatial_ref_sys"),
         geometry_columns=get("gpkg_geometry_columns"), sets=get("gpkg_tile_matrix_set"), matrix=get("gpkg_tile_matrix"), extensions=get("gpkg_extensions"),
-        metadata=get("gpkg_metadata"), reference=get("gpkg_metadata_reference"), tiles=get("__tiles__"), features=get("__features__"),
+        metadata=get("gpkg_metadata"), reference=get("gpkg_metadata_reference"), heads=get("__heads__"), shapes=shape_facts(get("__features__")), index=get("__index__"),
         coverage=get("gpkg_2d_gridded_coverage_ancillary").withColumnRenamed("tile_matrix_set_name", "table_name"),
     )

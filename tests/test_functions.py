@@ -6,11 +6,11 @@ import random
 import struct
 
 import pytest
-from gpkg_files import png, polygon
+from maker import blob, jpeg, line, many, png, point, polygon, tiff
 from pyspark.sql import functions as F
 
 from cartolith import dims
-from cartolith.functions import binary, crs, geometry, text, xml
+from cartolith.functions import binary, crs, geometry, text, transform, xml
 from cartolith.operators import maintenance, scoring, zoom
 from cartolith.plans import convert
 from cartolith.streaming import arrivals
@@ -36,12 +36,24 @@ def test_validity_agrees_with_the_jvm_library(spark):
     """JTS comes with Spark; on random small polygons both call the same ones valid."""
     jvm, r = spark._jvm, random.Random(1)
     reader = jvm.org.locationtech.jts.io.WKBReader()
+    blobs = []
     for _ in range(300):
         n = r.randrange(3, 7)
         ring = [(r.randrange(0, 6), r.randrange(0, 6)) for _ in range(n)]
-        data = polygon([*ring, ring[0]])
-        valid = jvm.org.locationtech.jts.operation.valid.IsValidOp(reader.read(bytearray(data))).isValid()
-        assert (geometry.problem(data) is None) == valid, ring
+        blobs.append(polygon(*ring, ring[0]))
+    # Rectangles with holes, and members, in all positions to each other.
+    box = lambda x, y, w, h: ((x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y))
+    some = lambda k: box(r.randrange(0, 5), r.randrange(0, 5), r.randrange(1, k), r.randrange(1, k))
+    for _ in range(250):
+        blobs.append(polygon(box(0, 0, 8, 8), *[some(4) for _ in range(r.randrange(1, 3))]))
+        blobs.append(many(6, *[polygon(some(5), *([some(3)] if r.random() < 0.3 else [])) for _ in range(r.randrange(1, 4))]))
+    together = geometry.problems(blobs)
+    for data, found in zip(blobs, together):
+        check = jvm.org.locationtech.jts.operation.valid.IsValidOp(reader.read(bytearray(data)))
+        assert found == geometry.problem(data)
+        if not check.isValid() and "disconnected" in check.getValidationError().toString():
+            continue  # not looked for
+        assert (found is None) == check.isValid(), (found, str(check.getValidationError()), geometry.parse(data))
 
 
 def test_holes_and_unreadable_geometry():
@@ -50,6 +62,13 @@ def test_holes_and_unreadable_geometry():
     two = lambda a, b: struct.pack("<BII", 1, 3, 2) + a + b
     assert geometry.problem(two(shell, hole)) is None and geometry.problem(two(shell, far)) == "hole outside shell"
     assert geometry.problem(b"\x01\x03") == "not readable" and geometry.problem(None) is None
+    square = lambda x, y, s: ((x, y), (x + s, y), (x + s, y + s), (x, y + s), (x, y))
+    assert geometry.problem(polygon(square(0, 0, 10), square(1, 1, 8), square(2, 2, 2))) == "nested holes"
+    assert geometry.problem(many(6, polygon(square(0, 0, 10), square(1, 1, 8)), polygon(square(2, 2, 2)))) is None
+    assert geometry.problem(many(6, polygon(square(0, 0, 10)), polygon(square(2, 2, 2)))) == "members overlap"
+    assert geometry.problem(many(7, point(1, 1), polygon((0, 0), (2, 2), (2, 0), (0, 2), (0, 0)))) == "self-intersection"
+    assert geometry.problem(many(5, line((0, 0), (1, 1)), line((2, 2), (2, 2)))) == "too few points"
+    assert geometry.problem(polygon((0, 0), (1, 0), (float("nan"), 1), (0, 0))) == "bad coordinate"
     z = struct.pack("<BI3d", 1, 1001, 1, 2, 3)
     assert geometry.flatten(z) == struct.pack("<BI2d", 1, 1, 1, 2) and geometry.flatten(None) is None
     collection = struct.pack("<BII", 1, 1004, 2) + z + z
@@ -64,6 +83,8 @@ def test_headers_in_both_modes(spark):
     assert all(r.s.has_z and not r.s.has_m and r.c.wkb_type == 1001 and r.c.srs_id == 4326 for r in got.values())
     images = spark.createDataFrame([(png(300),), (b"RIFF\x00\x00\x00\x00WEBP",), (b"",), (None,)], "b binary").select(binary.image_format(F.col("b")).alias("f"), binary.png_size(F.col("b")).alias("s")).collect()
     assert images[0].s.width == 300 and [r.f for r in images[:3]] == ["PNG", "WEBP", "UNKNOWN"]
+    assert [binary.image_head(x) for x in (png(300, 7), jpeg(12, 34, before=70000), tiff(99), tiff(98, ">"), b"RIFF\0\0\0\0WEBP", b"?", None)] == [
+        ("PNG", (300, 7)), ("JPEG", (12, 34)), ("TIFF", (99, 99)), ("TIFF", (98, 98)), ("WEBP", None), ("UNKNOWN", None), ("UNKNOWN", None)]
     assert binary.jpeg_size(b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08\x00\x10\x00\x20" + b"\0" * 9) == (32, 16) and binary.jpeg_size(b"no") is None
 
 
@@ -100,7 +121,7 @@ def test_convert_geojson(spark, tmp_path):
     (tmp_path / "a.geojson").write_text(json.dumps(doc))
     df = convert.read_geojson(spark, str(tmp_path / "a.geojson")).select("geom", F.get_json_object("properties", "$.name").alias("name"), F.unhex(F.lit("00")).alias("raw"))
     out = convert.convert_layer(df, str(tmp_path / "out"), layer="places", title="Places", abstract="All the places", stamp="2025-01-01T00:00:00Z")
-    assert out == {"layer": "places", "features": 3, "geometries": 2, "dropped_columns": ["raw"]}
+    assert out == {"layer": "places", "features": 3, "geometries": 2, "lost": 0, "dropped_columns": ["raw"], "srs_id": 4326}
     assert convert.layer_type(df) == "POINT"
     assert convert.input_warnings(3857, "vector_2d") and not convert.input_warnings(4326, "vector_2d")
     p = convert.reproject_points(spark.createDataFrame([(-11131949.079327356 / dims.WGS84_A * 180 / math.pi, 40.0)], "lon double, lat double"), "lon", "lat", 3857).first()
@@ -117,12 +138,12 @@ def test_windowed_stream(spark, tmp_path, sf):
 
 
 def test_arriving_files_are_validated(spark, tmp_path):
-    from gpkg_files import good_tiles
+    from maker import make
 
     from cartolith.sources import gpkg
 
     (tmp_path / "in").mkdir()
-    good_tiles(tmp_path / "in" / "a.gpkg")
+    make(tmp_path / "in" / "a.gpkg", "imagery")
     gpkg.register(spark)
     got = []
     arrivals.validate_arrivals(spark, str(tmp_path / "in"), lambda facts, i: got.append(facts.filter("status = 'FAIL'").count()), "2026-12-31T00:00:00Z", str(tmp_path / "c")).awaitTermination()
@@ -174,3 +195,81 @@ def test_second_layer_keeps_the_first_and_bad_rows_fail(spark, tmp_path):
     assert gpkg.read_table(spark, path, "__features__").count() == 18
     bad.write.format("gpkg").mode("append").options(path=path, layer="c", skip_invalid="true").save()
     assert gpkg.read_table(spark, path, "__features__").count() == 19
+
+
+def test_large_rings_need_little_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    a = np.linspace(0, 2 * np.pi, 50001)
+    far = 1000 + np.random.default_rng(0).random(50001) * 3
+    p = np.stack([far * np.cos(a), far * np.sin(a)], 1)
+    p[-1] = p[0]
+    data = struct.pack("<BIII", 1, 3, 1, len(p)) + p.astype("<f8").tobytes()
+    tracemalloc.start()
+    assert geometry.problem(data) is None
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    p[[100, 25000]] = p[[25000, 100]]
+    assert geometry.problem(data[:13] + p.astype("<f8").tobytes()) == "self-intersection"
+
+
+def test_transforms_there_and_back(spark):
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    lon, lat = r.uniform(-179, 179, 500), r.uniform(-79, 83, 500)
+    for code in (3857, 3395, 5041, 5042, 32633, 32733):
+        x, y = (lon, lat) if code < 32000 else (15 + r.uniform(-3, 3, 500), lat)
+        y = np.abs(y) if code in (5041,) else -np.abs(y) if code == 5042 else y
+        back = transform.to_degrees(*transform.from_degrees(x, y, code), code)
+        assert np.allclose(back[0], x, atol=1e-9) and np.allclose(back[1], y, atol=1e-9), code
+    # The same as the column expressions.
+    points = spark.createDataFrame([(15.5, 47.25), (9.0, -33.0)], "lon double, lat double")
+    for code in (3857, 3395, 5041, 5042, 32633, 32733):
+        for r_ in points.select("lon", "lat", *crs.project(F.col("lon"), F.col("lat"), code)).collect():
+            assert transform.from_degrees(np.array([r_[0]]), np.array([r_[1]]), code) == pytest.approx(r_[2:], abs=1e-4)
+    with pytest.raises(ValueError):
+        transform.reproject(F.col("geom"), 27700, 4326)
+    shape = many(7, point(1.0, 2.0), line((3.0, 4.0), (5.0, 6.0)), polygon((0, 0), (1, 0), (1, 1), (0, 0)))
+    there = transform.transform(shape, 4326, 3857)
+    assert there != shape and geometry.parse(transform.transform(there, 3857, 4326))[2][1][2] == pytest.approx(np.array([[3.0, 4.0], [5.0, 6.0]]))
+    df = spark.createDataFrame([(bytearray(shape),), (bytearray(b"?"),), (None,)], "geom binary")
+    assert [r[0] is None for r in df.select(transform.reproject(F.col("geom"), 4326, 3395)).collect()] == [False, True, True]
+
+
+def test_layer_types_modes_and_profiles(spark):
+    z = struct.pack("<BI3d", 1, 1001, 1, 2, 3)
+    big = struct.pack(">BI2d", 0, 1, 1, 2)
+    df = lambda *blobs: spark.createDataFrame([(None if b is None else bytearray(b),) for b in blobs], "geom binary")
+    assert convert.layer_type(df(z, None, point(1, 2), big)) == "POINT"
+    # The only other type stands far behind the first rows.
+    assert convert.layer_type(df(*[point(0, 0)] * 700, line((0, 0), (1, 1)))) == "GEOMETRY" and convert.layer_type(df(None)) == "GEOMETRY"
+    assert [convert.target_system(s, m, 3395) for s, m in ((3857, "a"), (27700, "a"), (None, "a"), (4326, "b"), (27700, "keep"))] == [3857, 4326, 4326, 3395, 27700]
+    assert convert.with_profile("military", language="fra", topic=None) == {"security": "CONFIDENTIAL", "language": "fra", "topic": "intelligenceMilitary"}
+    with pytest.raises(ValueError):
+        convert.with_profile("naval")
+    names = spark.createDataFrame([("o'brien_road2a",), ("wells",)], "n string").select(convert._title(F.col("n"))).collect()
+    assert [r[0] for r in names] == [n.replace("_", " ").title() for n in ("o'brien_road2a", "wells")]
+
+
+def test_layers_with_broken_shapes_are_reprojected(spark, tmp_path):
+    rows = spark.createDataFrame([(bytearray(point(-11131949.079327356, 4865942.279503176)), "a", 1), (bytearray(b"\x01\x03\0"), "b", 2), (None, "c", 3)], "geom binary, name string, n long")
+    out = convert.convert_layer(rows, str(tmp_path / "o"), layer="l", title="Places", abstract="All of the places", stamp="2025-01-01T00:00:00Z", srs_id=3857, mode="b")
+    assert (out["features"], out["geometries"], out["lost"], out["srs_id"]) == (3, 1, 1, 4326)
+    from cartolith.sources import gpkg
+
+    blobs = [bytes(r.geom) for r in gpkg.read_table(spark, str(tmp_path / "o"), "__features__").filter("geom IS NOT NULL").collect()]
+    assert struct.unpack("<2d", blobs[0][-16:]) == pytest.approx((-100, 40), abs=1e-9) and len(blobs) == 1
+
+
+def test_document_facts():
+    from maker import document
+
+    f = xml.document_facts(document())
+    assert f["ok"] and f["children"][0] == "fileIdentifier" and f["n_mandatory"] == 7 and (f["language"], f["charset"], f["scope"], f["organisation"], f["role"], f["stamp"]) == ("eng", "utf8", "dataset", "Survey office", "owner", "2024-05-06")
+    for bad in (None, "", "  ", "<a>", "no"):
+        assert xml.document_facts(bad)["ok"] is False and xml.document_facts(bad)["n_mandatory"] == 0
+    assert xml.document_facts("<a><!-- remark --><?x y?><b/></a>")["ok"]
+    assert blob(b"", (1, 2, 3, 4))[8:40] == struct.pack("<4d", 1, 3, 2, 4)
