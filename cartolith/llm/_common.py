@@ -17,7 +17,7 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 #: Rows up to which a table that was counted first may be broadcast.
 BROADCAST_ROWS = 20_000
 #: Bytes of text that one Arrow batch to a Python worker holds.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 #: Bits of the bitmaps of ``with_mark``: 1,024 rows of 4 KB at most, which are broadcast.
 SLOTS, ROW_BITS = 1 << 25, 1 << 15
 
