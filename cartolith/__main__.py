@@ -45,10 +45,10 @@ def main(argv: list[str] | None = None) -> int:
 
     from .operators import scoring
     from .plans.report import write_findings
-    from .plans.validate import findings
+    from .plans.validate import findings, scratch_folder
     from .sources import gpkg
 
-    catalog = gpkg.read_catalog(spark, args.path, recursive=str(args.recursive).lower())
+    catalog = gpkg.read_catalog(spark, args.path, recursive=str(args.recursive).lower()).written(scratch_folder(spark, "validate"))
     facts = findings(catalog, args.as_of).cache()
     if args.output:
         write_findings(facts, args.output)

@@ -139,3 +139,113 @@ def reference_audit(reference: DataFrame) -> DataFrame:
     whole = reference.filter("reference_scope = 'geopackage'")
     clean = F.col("table_name").isNull() & F.col("column_name").isNull() & F.col("row_id_value").isNull()
     return whole.groupBy("file").agg(F.count("*").alias("n"), F.count_if(~clean).alias("n_named"))
+
+
+def _gridded(sets: DataFrame, contents: DataFrame, srs: DataFrame) -> DataFrame:
+    grids = contents.filter(catalog.category(F.col("data_type")) == "gridded").select("file", "table_name")
+    rows = sets.join(grids, ["file", "table_name"]).join(srs.select("file", "srs_id", F.upper(F.coalesce("definition", F.lit(""))).alias("d")), ["file", "srs_id"], "left")
+    return rows.withColumn("three", (F.col("srs_id") == 4979) | F.coalesce(F.col("d").rlike("COMPOUNDCRS|COMPD_CS"), F.lit(False)))
+
+
+def gridded_systems(sets: DataFrame, contents: DataFrame, srs: DataFrame, *, three: bool) -> DataFrame:
+    """Requirements 11 and 12: coverages of two or three dimensions in a system of the list, or in a compound one."""
+    rows = _gridded(sets, contents, srs).filter(F.col("three") == three)
+    ok = catalog.allowed(F.col("srs_id"), "gridded_3d" if three else "gridded_2d") | (F.lit(three) & F.col("d").rlike("COMPOUNDCRS|COMPD_CS"))
+    return score(rows, 12 if three else 11, ok)
+
+
+def compound_definitions(srs: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """Requirements 15 (all systems) and 16 (those of ``users``): compound definitions that are whole."""
+    rows = srs.filter("srs_id > 0").withColumn("wkt", definition(srs)).filter(F.upper("wkt").rlike("COMPOUNDCRS|COMPD_CS"))
+    if users is not None:
+        rows = rows.join(users.select("file", "srs_id").distinct(), ["file", "srs_id"], "left_semi")
+    return score(rows, 15 if users is None else 16, text.compound_problems(F.col("wkt")) == "")
+
+
+def epochs(srs: DataFrame) -> DataFrame:
+    return score(srs.filter("epoch IS NOT NULL AND epoch <> 0"), 17, F.col("epoch") > 0)
+
+
+def whole_documents(metadata: DataFrame) -> DataFrame:
+    """Requirement 19: documents of type text/xml that parse and have children."""
+    from ..functions import xml
+
+    rows = metadata.withColumn("f", xml.facts(F.col("metadata")))
+    return score(rows, 19, (F.col("mime_type") == "text/xml") & F.col("f.ok") & (F.size("f.children") > 0))
+
+
+def described_systems(srs: DataFrame) -> DataFrame:
+    return score(srs.filter("srs_id > 0"), 24, (F.col("organization") == "EPSG") & filled(F.col("description")))
+
+
+def sound_images(matrix: DataFrame, heads: DataFrame, contents: DataFrame) -> DataFrame:
+    """Requirement 26: declared levels whose images are all of one format that the data type allows, and of the right size."""
+    kind = contents.select("file", "table_name", catalog.category(F.col("data_type")).alias("kind"))
+    fits = F.when(F.col("kind") == "gridded", F.col("format").isin("PNG", "TIFF")).otherwise(F.col("format").isin("PNG", "JPEG"))
+    good = F.coalesce(fits & (F.col("width") == dims.TILE_SIZE) & (F.col("height") == dims.TILE_SIZE), F.lit(False))
+    levels = heads.join(kind, ["file", "table_name"], "left").groupBy("file", "table_name", "zoom_level").agg((F.every(good) & (F.min("format") == F.max("format"))).alias("sound"))
+    return score(matrix.select("file", "table_name", "zoom_level").join(levels, ["file", "table_name", "zoom_level"], "left"), 26, F.col("sound"))
+
+
+def known_scopes(metadata: DataFrame) -> DataFrame:
+    return score(metadata, 37, F.col("md_scope").isin(sorted({m for allowed in dims.SCOPES.values() for m in allowed})))
+
+
+def raster_audit(sets: DataFrame, srs: DataFrame) -> DataFrame:
+    """Matrix sets of any data type by their system: of the list, a conformal cone, own codes above 100000, or another."""
+    rows = sets.select("file", "srs_id").join(srs.select("file", "srs_id", F.concat_ws(" ", "definition", "definition_12_063").alias("d")), ["file", "srs_id"], "left")
+    kind = F.when(catalog.allowed(F.col("srs_id"), "raster"), "listed").when(catalog.is_lambert(F.col("d")), "cone").when(F.col("srs_id") > 100000, "own").otherwise("other")
+    return rows.groupBy("file", kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+def layer_audit(geometry_columns: DataFrame) -> DataFrame:
+    """Feature layers, flat or not, that are not in 4326."""
+    return geometry_columns.groupBy("file").agg(F.count("*").alias("n"), F.count_if(F.col("srs_id") != 4326).alias("n_other"))
+
+
+def document_audit(metadata: DataFrame) -> DataFrame:
+    """Documents by the standard that they name: how many are of another type, malformed, incomplete, or name a path of some machine."""
+    from ..functions import xml
+
+    uri = F.lower(F.coalesce("md_standard_uri", F.lit("")))
+    kind = F.when(F.trim(uri) == "", "none").when(uri.contains("dgiwg") | uri.contains("dmf"), "profile").when(uri.contains("isotc211"), "iso").otherwise("other")
+    rows = metadata.withColumns({"f": xml.facts(F.col("metadata")), "kind": kind})
+    path = F.coalesce(F.col("metadata").rlike(r"(?i)[a-z]:\\|file://|/(home|users|tmp)/"), F.lit(False))
+    needed = F.array(*[F.lit(e) for e in dims.MANDATORY_ELEMENTS])
+    return rows.groupBy("file", "kind").agg(
+        F.count("*").alias("n"), F.count_if(F.coalesce(F.col("mime_type") != "text/xml", F.lit(True))).alias("n_other_type"), F.count_if(~F.col("f.ok")).alias("n_malformed"),
+        F.count_if(F.col("f.ok") & (F.size(F.array_except(needed, "f.children")) > 0)).alias("n_incomplete"), F.count_if(path).alias("n_paths"),
+    )
+
+
+def product_audit(metadata: DataFrame) -> DataFrame:
+    """Documents of a product; a series comes before a dataset."""
+    counts = metadata.groupBy("file").agg(F.count_if(F.col("md_scope") == "series").alias("n_series"), F.count_if(F.col("md_scope") == "dataset").alias("n_dataset"))
+    return counts.withColumn("product", F.when(F.col("n_series") > 0, "series").when(F.col("n_dataset") > 0, "dataset"))
+
+
+def software_signals(c) -> DataFrame:
+    """``file, signal, gdal, arcgis``: traces of the writing software in a catalog, for ``scoring.software_vote``.
+
+    All rows of a table are looked at, not the first few.
+    """
+    has = lambda x, *words: F.coalesce(F.lower(x).rlike("|".join(words)), F.lit(False))
+    document = lambda *words: has(F.col("md_standard_uri"), *words)
+    systems = c.srs.filter("srs_id > 0")
+    found = [
+        (1, True, c.schema.filter("table_name = 'gpkg_ogr_contents'")),
+        (2, True, c.extensions.filter(F.lower("extension_name").startswith("gdal"))),
+        (3, True, c.metadata.filter(document("gdal", "ogr") | has(F.col("metadata"), "gdal", "ogr", "qgis"))),
+        (4, True, systems.filter(has(F.col("srs_name"), "gdal") | has(F.col("definition"), "gdal"))),
+        (5, False, c.srs.filter("srs_id > 100000")),
+        (6, False, systems.filter(has(F.col("srs_name"), "esri") | has(F.col("organization"), "esri"))),
+        (7, False, c.metadata.filter(document("esri") | has(F.col("metadata"), "esri", "arcgis", "geodatabase"))),
+        (8, False, c.schema.filter(F.col("table_name").ilike("gdb_%"))),
+        (9, False, systems.filter(F.col("definition").contains('AUTHORITY["ESRI"'))),
+    ]
+    rows = [r.select("file", F.lit(i).alias("signal"), F.lit(g).alias("gdal"), F.lit(not g).alias("arcgis")) for i, g, r in found]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    none = c.files.select("file", F.lit(0).alias("signal"), F.lit(False).alias("gdal"), F.lit(False).alias("arcgis"))
+    return out.distinct().unionByName(none)

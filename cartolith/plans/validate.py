@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import dims
@@ -46,6 +48,14 @@ class Catalog:
         return Catalog(**out)
 
 
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A new folder for tables between plans, in the cluster's shared ``spark.checkpoint.dir``; a temporary one only in local mode without any."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{base or tempfile.mkdtemp(prefix='cartolith-')}/{label}-{uuid.uuid4().hex}"
+
+
 def shape_facts(features: DataFrame, *, compat: bool = False) -> DataFrame:
     """``file, table_name, empty, has_z, has_m, geometry_type, problem`` from geometry blobs.
 

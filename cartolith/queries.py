@@ -28,9 +28,10 @@ def query(name: str, oracle: str | None = None):
 
 def findings_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The status of all requirements of every file of the validation views."""
-    from .plans.validate import findings
+    from .plans.validate import findings, scratch_folder
 
-    return findings(validation_views.catalog_of(spark, sf_dir), validation_views.AS_OF).select("file", "req", "status")
+    catalog = validation_views.catalog_of(spark, sf_dir).written(scratch_folder(spark, "findings"))
+    return findings(catalog, validation_views.AS_OF).select("file", "req", "status")
 
 
 _QUERIES["findings"], _SQL["findings"] = findings_of, validation_views.findings_sql()
@@ -639,3 +640,59 @@ _SCORERS = {
 }
 for _name, (_f, _body) in _SCORERS.items():
     query(_name, _body)(_f)
+
+#: Scorers and audits over the validation views.
+_WHOLE = {
+    "score_11_gridded_2d": (lambda c: scorers.gridded_systems(c.sets, c.contents, c.srs, three=False), _score(11, f"srs_id IN {_in(dims.VALIDATE['gridded_2d'])}", "grids WHERE NOT three")),
+    "score_12_gridded_3d": (lambda c: scorers.gridded_systems(c.sets, c.contents, c.srs, three=True), _score(12, "true", "grids WHERE three")),
+    "score_15_compound": (
+        lambda c: scorers.compound_definitions(c.srs),
+        f", d AS (SELECT *, {_DEF} AS w FROM srs WHERE srs_id > 0), e AS (SELECT file, upper(w) AS u FROM d) " + _score(15, "u LIKE 'COMPOUNDCRS[%' AND u LIKE '%GEOGCRS[%' AND u LIKE '%VERTCRS[%VDATUM[%'", "e WHERE regexp_matches(u, 'COMPOUNDCRS|COMPD_CS')"),
+    ),
+    "score_16_compound_grids": (
+        lambda c: scorers.compound_definitions(c.srs, c.sets.join(c.coverage.select("file", "table_name").distinct(), ["file", "table_name"], "left_semi")),
+        f", d AS (SELECT *, {_DEF} AS w FROM srs WHERE srs_id > 0), e AS (SELECT d.file, upper(w) AS u FROM d WHERE EXISTS (SELECT 1 FROM sets s JOIN coverage USING (file, table_name) WHERE s.file = d.file AND s.srs_id = d.srs_id)) "
+        + _score(16, "u LIKE 'COMPOUNDCRS[%' AND u LIKE '%GEOGCRS[%' AND u LIKE '%VERTCRS[%VDATUM[%'", "e WHERE regexp_matches(u, 'COMPOUNDCRS|COMPD_CS')"),
+    ),
+    "score_17_epochs": (lambda c: scorers.epochs(c.srs), _score(17, "epoch > 0", "srs WHERE epoch <> 0")),
+    "score_19_documents": (lambda c: scorers.whole_documents(c.metadata), _score(19, "mime_type = 'text/xml' AND metadata LIKE '%</gmd:MD_Metadata>'", "metadata")),
+    "score_24_systems": (lambda c: scorers.described_systems(c.srs), _score(24, "organization = 'EPSG' AND trim(description) <> ''", "srs WHERE srs_id > 0")),
+    "score_26_images": (
+        lambda c: scorers.sound_images(c.matrix, c.heads, c.contents),
+        """, h AS (SELECT file, table_name, zoom_level, bool_and(coalesce(format IN ('PNG', CASE data_type WHEN 'tiles' THEN 'JPEG' ELSE 'TIFF' END) AND width = 256 AND height = 256, false)) AS ok
+          FROM heads JOIN contents USING (file, table_name) GROUP BY ALL) """ + _score(26, "ok", "matrix LEFT JOIN h USING (file, table_name, zoom_level)"),
+    ),
+    "score_37_scopes": (lambda c: scorers.known_scopes(c.metadata), _score(37, "md_scope <> 'bogus'", "metadata")),
+    "audit_raster_systems": (
+        lambda c: scorers.raster_audit(c.sets, c.srs),
+        f"""SELECT s.file, CASE WHEN s.srs_id IN {_in(dims.VALIDATE['raster'])} THEN 'listed' WHEN upper(replace(concat_ws(' ', definition, definition_12_063), '_', ' ')) LIKE '%LAMBERT CONFORMAL CONIC%' THEN 'cone' WHEN s.srs_id > 100000 THEN 'own' ELSE 'other' END AS kind, count(*) AS n
+        FROM sets s LEFT JOIN srs d USING (file, srs_id) GROUP BY ALL""",
+    ),
+    "audit_layers": (lambda c: scorers.layer_audit(c.geometry_columns), "SELECT file, count(*) AS n, count(*) FILTER (srs_id <> 4326) AS n_other FROM geometry_columns GROUP BY file"),
+    "audit_documents": (
+        lambda c: scorers.document_audit(c.metadata),
+        """SELECT file, CASE WHEN md_standard_uri = '' THEN 'none' WHEN md_standard_uri LIKE '%dgiwg%' THEN 'profile' ELSE 'iso' END AS kind, count(*) AS n, count(*) FILTER (mime_type IS DISTINCT FROM 'text/xml') AS n_other_type, count(*) FILTER (malformed) AS n_malformed,
+        count(*) FILTER (NOT malformed AND (metadata NOT LIKE '%fileIdentifier%' OR metadata NOT LIKE '%identificationInfo%')) AS n_incomplete, 0::BIGINT AS n_paths FROM docs GROUP BY ALL""",
+    ),
+    "audit_products": (
+        lambda c: scorers.product_audit(c.metadata),
+        "SELECT file, count(*) FILTER (md_scope = 'series') AS n_series, count(*) FILTER (md_scope = 'dataset') AS n_dataset, CASE WHEN bool_or(md_scope = 'series') THEN 'series' WHEN bool_or(md_scope = 'dataset') THEN 'dataset' END AS product FROM metadata GROUP BY file",
+    ),
+    "software_of_files": (
+        lambda c: scoring.software_vote(scorers.software_signals(c)),
+        """, s AS (SELECT DISTINCT file, 'gdal' AS side, 1 AS k FROM schema WHERE table_name = 'gpkg_ogr_contents' UNION SELECT file, 'gdal', 2 FROM extensions WHERE extension_name = 'gdal_aspatial'
+          UNION SELECT file, 'arcgis', 5 FROM srs WHERE srs_id > 100000 UNION SELECT file, 'arcgis', 6 FROM srs WHERE organization = 'Esri' UNION SELECT file, 'arcgis', 8 FROM schema WHERE table_name = 'gdb_items'
+          UNION SELECT file, 'arcgis', 9 FROM srs WHERE definition LIKE '%AUTHORITY["ESRI"%'),
+        n AS (SELECT f.file, count(k) FILTER (side = 'gdal') AS n_gdal, count(k) FILTER (side = 'arcgis') AS n_arcgis FROM files f LEFT JOIN s ON s.file = f.file GROUP BY f.file)
+        SELECT *, CASE WHEN n_gdal + n_arcgis = 0 THEN 'UNKNOWN' WHEN n_gdal > n_arcgis THEN 'GDAL' ELSE 'ARCGIS' END AS software,
+          CASE WHEN n_gdal + n_arcgis = 0 OR n_gdal > 0 AND n_arcgis > 0 THEN 'Low' WHEN n_gdal + n_arcgis >= 2 THEN 'High' ELSE 'Medium' END AS confidence FROM n""",
+    ),
+}
+
+
+def _over_files(f):
+    return lambda spark, sf_dir: f(validation_views.catalog_of(spark, sf_dir))
+
+
+for _name, (_f, _body) in _WHOLE.items():
+    _QUERIES[_name], _SQL[_name] = _over_files(_f), validation_views.sql(_body)

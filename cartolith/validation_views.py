@@ -48,8 +48,9 @@ VIEWS = {
         CASE WHEN {_K} % 39 <> 0 THEN {_WEST} END AS min_x, {_SOUTH} AS min_y, CASE WHEN {_K} % 21 = 0 THEN 1e9 ELSE {_WEST} + 6 END AS max_x, CASE WHEN {_K} % 25 = 0 THEN {_SOUTH} - 1 ELSE {_SOUTH} + 9 END AS max_y,
         CASE WHEN {_K} % 13 = 0 THEN 'not-a-date' WHEN {_K} % 17 = 0 THEN '2031-01-02T03:04:05Z' WHEN {_K} % 83 = 0 THEN NULL ELSE '2025-01-02T03:04:05.123Z' END AS last_change FROM {{customer}}""",
     "srs": f"""SELECT {_FILE}, {_CODE} AS srs_id, CASE WHEN {_K} % 58 = 3 THEN 'http://example.org/crs/100250' ELSE 'a system' END AS srs_name, {_DEFINITION} AS definition,
-        CASE WHEN {_K} % 5 = 0 THEN 'undefined' ELSE {_DEFINITION} END AS definition_12_063, CASE {_K} % 6 WHEN 0 THEN 2010e0 WHEN 1 THEN 2015e0 END AS epoch FROM {{customer}}
-        UNION ALL SELECT {_FILE}, CAST(0 AS INT), 'none', 'undefined', 'undefined', NULL FROM {{customer}}""",
+        CASE WHEN {_K} % 5 = 0 THEN 'undefined' ELSE {_DEFINITION} END AS definition_12_063, CASE {_K} % 6 WHEN 0 THEN 2010e0 WHEN 1 THEN 2015e0 WHEN 2 THEN -1e0 END AS epoch,
+        CASE WHEN {_K} % 15 = 4 THEN 'Esri' ELSE 'EPSG' END AS organization, CASE WHEN {_K} % 14 = 2 THEN ' ' WHEN {_K} % 14 = 3 THEN NULL ELSE 'text' END AS description FROM {{customer}}
+        UNION ALL SELECT {_FILE}, CAST(0 AS INT), 'none', 'undefined', 'undefined', NULL, 'NONE', 'none' FROM {{customer}}""",
     "geometry_columns": f"""SELECT {_FILE}, table_name, 'geom' AS column_name, CASE {_K} % 3 WHEN 0 THEN 'POLYGON' WHEN 1 THEN 'MULTIPOLYGONZ' ELSE 'GEOMETRY' END AS geometry_type_name, {_CODE} AS srs_id,
         CAST(CASE {_K} % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS INT) AS z, CAST(0 AS INT) AS m
         FROM {{customer}} CROSS JOIN (VALUES ('t'), ('ghost')) AS n(table_name) WHERE {_K} % 4 = 0 AND (table_name = 't' OR {_K} % 60 = 0)""",
@@ -61,9 +62,9 @@ VIEWS = {
         CAST(CASE WHEN k % 43 = 0 OR k % 24 = 10 AND z = 0 THEN NULL WHEN k % 31 = 0 AND z = 0 THEN 512 WHEN k % 47 = 0 THEN 128 ELSE 256 END AS INT) AS width, CAST(256 AS INT) AS height FROM {_LEVELS} WHERE k % 19 <> 0""",
     "extensions": f"""SELECT {_FILE}, CASE WHEN name IN ('gpkg_rtree_index', 'gpkg_webp', 'gpkg_geom_CURVE') OR name = 'gpkg_crs_wkt' AND {_K} % 4 = 2 THEN 't' END AS table_name, CAST(NULL AS STRING) AS column_name, name AS extension_name,
         CASE WHEN {_K} % 82 = 0 THEN 'bogus' WHEN {_K} % 37 = 0 THEN NULL ELSE 'read-write' END AS scope
-        FROM {{customer}} CROSS JOIN (VALUES ('gpkg_metadata'), ('gpkg_rtree_index'), ('gpkg_crs_wkt'), ('gpkg_crs_wkt_1_1'), ('gpkg_2d_gridded_coverage'), ('gpkg_webp'), ('gpkg_geom_CURVE'), ('gpkg_schema')) AS n(name)
+        FROM {{customer}} CROSS JOIN (VALUES ('gpkg_metadata'), ('gpkg_rtree_index'), ('gpkg_crs_wkt'), ('gpkg_crs_wkt_1_1'), ('gpkg_2d_gridded_coverage'), ('gpkg_webp'), ('gpkg_geom_CURVE'), ('gdal_aspatial'), ('gpkg_schema')) AS n(name)
         WHERE CASE name WHEN 'gpkg_metadata' THEN {_K} % 10 <> 0 WHEN 'gpkg_rtree_index' THEN {_K} % 4 = 0 AND {_K} % 8 <> 0 WHEN 'gpkg_crs_wkt' THEN {_K} % 4 < 2 AND {_K} % 9 <> 1 OR {_K} % 18 = 2 AND {_K} % 4 = 2
-        WHEN 'gpkg_crs_wkt_1_1' THEN {_K} % 4 = 2 AND {_K} % 22 <> 6 WHEN 'gpkg_2d_gridded_coverage' THEN {_K} % 4 = 2 AND {_K} % 26 <> 14 WHEN 'gpkg_webp' THEN {_K} % 43 = 0 WHEN 'gpkg_geom_CURVE' THEN {_K} % 64 = 20 ELSE {_K} % 6 = 1 END""",
+        WHEN 'gpkg_crs_wkt_1_1' THEN {_K} % 4 = 2 AND {_K} % 22 <> 6 WHEN 'gpkg_2d_gridded_coverage' THEN {_K} % 4 = 2 AND {_K} % 26 <> 14 WHEN 'gpkg_webp' THEN {_K} % 43 = 0 WHEN 'gpkg_geom_CURVE' THEN {_K} % 64 = 20 WHEN 'gdal_aspatial' THEN {_K} % 16 = 3 ELSE {_K} % 6 = 1 END""",
     "metadata": f"""SELECT concat('g', k) AS file, id, CASE WHEN id = 2 THEN CASE k % 4 WHEN 0 THEN 'feature' WHEN 1 THEN 'tile' ELSE 'attribute' END ELSE CASE k % 6 WHEN 0 THEN 'dataset' WHEN 3 THEN 'dataset' WHEN 4 THEN 'bogus' ELSE 'series' END END AS md_scope,
         CASE WHEN id = 2 AND k % 28 = 1 THEN '' WHEN id = 1 AND k % 3 = 0 THEN 'https://www.dgiwg.org/std/dmf/2.0' ELSE 'http://www.isotc211.org/2005/gmd' END AS md_standard_uri,
         CASE WHEN id = 1 AND k % 33 = 0 THEN 'text/plain' WHEN id = 1 AND k % 34 = 0 OR k % 86 = 4 THEN NULL ELSE 'text/xml' END AS mime_type,
@@ -88,6 +89,7 @@ VIEWS = {
         FROM {{customer}} WHERE {_K} % 4 = 2""",
     "schema": f"""SELECT {_FILE}, 't' AS table_name, 'fid' AS column_name, CASE WHEN {_K} % 67 = 0 THEN 'TEXT' ELSE 'INTEGER' END AS type, CAST(CASE WHEN {_K} % 53 = 0 THEN 0 ELSE 1 END AS INT) AS pk FROM {{customer}} WHERE {_K} % 71 <> 0
         UNION ALL SELECT {_FILE}, 't', 'fid2', 'INTEGER', CAST(2 AS INT) FROM {{customer}} WHERE {_K} % 73 = 0
+        UNION ALL SELECT {_FILE}, CASE WHEN {_K} % 2 = 0 THEN 'gpkg_ogr_contents' ELSE 'gdb_items' END, 'id', 'INTEGER', CAST(1 AS INT) FROM {{customer}} WHERE {_K} % 9 < 2
         UNION ALL SELECT {_FILE}, t, c, 'TEXT', CAST(0 AS INT) FROM {{customer}} CROSS JOIN (VALUES {_PAIRS}) AS n(t, c)
         WHERE CASE t WHEN 'gpkg_spatial_ref_sys' THEN c = 'srs_id' OR {_K} % 8 <> 6 WHEN 'gpkg_metadata' THEN {_K} % 35 <> 0 AND (c <> 'mime_type' OR {_K} % 45 <> 0) WHEN 'gpkg_metadata_reference' THEN {_K} % 55 <> 0 AND (c <> 'timestamp' OR {_K} % 51 <> 0)
         WHEN 'gpkg_geometry_columns' THEN {_K} % 4 = 0 AND {_K} % 76 <> 0 WHEN 'gpkg_tile_matrix_set' THEN {_K} % 4 IN (1, 2) AND {_K} % 65 <> 0 AND (c <> 'max_y' OR {_K} % 63 <> 0) WHEN 'gpkg_tile_matrix' THEN {_K} % 4 IN (1, 2) AND {_K} % 75 <> 0
@@ -249,11 +251,16 @@ anchored AS (SELECT file, EXISTS (SELECT 1 FROM reference r WHERE r.file = f.fil
 """
 
 
+def sql(body: str) -> str:
+    """DuckDB SQL over the views and the tables that rules share."""
+    views = ",\n".join(f"{name} AS ({text.format(customer='customer').replace(' AS STRING', ' AS VARCHAR')})" for name, text in VIEWS.items())
+    return f"WITH {views},{_SHARED.rstrip().rstrip(',')}\n{body}"
+
+
 def findings_sql() -> str:
     """DuckDB SQL of the status of every file and requirement, from the same views."""
-    views = ",\n".join(f"{name} AS ({body.format(customer='customer').replace(' AS STRING', ' AS VARCHAR')})" for name, body in VIEWS.items())
     rows = "\nUNION ALL ".join(f"SELECT file, {req} AS req, level FROM ({select}) AS e(file, level)" + (" WHERE file IN (SELECT file FROM cats)" if req in (3, 4, 5) else "") for req, selects in _EVIDENCE.items() for select in selects)
-    return f"""WITH {views},{_SHARED}evidence AS ({rows}),
+    return sql(f""", evidence AS ({rows}),
 worst AS (SELECT file, req, max(level) AS level FROM evidence GROUP BY file, req)
 SELECT f.file, g.req::INT AS req, CASE WHEN damage IS NOT NULL AND g.req NOT IN (1, 2, 6) THEN 'ERROR' WHEN level = 2 THEN 'FAIL' WHEN level = 1 THEN 'PASS*' WHEN level = 0 THEN CASE WHEN g.req IN {_in(dims.BEST_IS_PARTIAL)} THEN 'PASS*' ELSE 'PASS' END ELSE 'SKIPPED' END AS status
-FROM files f CROSS JOIN generate_series(1, 37) g(req) LEFT JOIN worst w ON w.file = f.file AND w.req = g.req"""
+FROM files f CROSS JOIN generate_series(1, 37) g(req) LEFT JOIN worst w ON w.file = f.file AND w.req = g.req""")
