@@ -115,6 +115,14 @@ LISTED = [4978]
 #: Requirements by obligation: mandatory and conditional.
 MANDATORY = [1, 2, 3, 5, 7, 8, 9, 10, 11, 12, 13, 15, 18, 19, 20, 24, 25, 26, 27, 30]
 CONDITIONAL = [4, 6, 14, 16, 17, 21, 22, 23, 28, 29, 31, 32, 33, 34, 35, 36, 37]
+#: Short names of the requirements, 1 to 37.
+NAMES = (
+    "base format", "options", "mandatory extensions", "optional extensions", "extensions not allowed", "conditional extensions", "raster systems", "tile matrix dimensions", "flat vector systems",
+    "solid vector systems", "flat gridded systems", "solid gridded systems", "definitions of systems", "use of compound systems", "compound definitions of vectors", "compound definitions of grids", "epochs",
+    "documents of the profile", "metadata documents", "columns of metadata", "references to metadata", "metadata of the product", "partial metadata of the product", "data validity", "tile matrix columns",
+    "tile images", "zoom factor", "order of zoom levels", "uniform tiles", "extent of tiles", "metadata of tile layers", "metadata of feature layers", "gridded core", "gridded field name",
+    "gridded cell value", "gridded zoom factor", "metadata of grids",
+)
 PLACEHOLDERS = ("", "tbd", "tbc", "n/a", "na", "none", "unknown", "null", "?")
 TILE_SIZE = 256
 METADATA_REQUIREMENTS = [18, 19, 20, 21, 22, 23, 31, 32]

@@ -37,6 +37,13 @@ def gate(facts: DataFrame) -> DataFrame:
     return facts.join(kind, "req", "left").groupBy("file").agg((F.count_if((F.col("status") == "FAIL") & (F.col("obligation") == "M")) == 0).alias("conformant"), F.max(F.col("status").isin("FAIL", "ERROR").cast("int")).alias("exit_code"))
 
 
+def file_counts(facts: DataFrame) -> DataFrame:
+    """Per file: partial passes, those confirmed in full and in part, and those that nothing confirms."""
+    star = F.col("status") == "PASS*"
+    whole, some = (F.col("total_n") > 0) & (F.col("confirmed") == F.col("total_n")), (F.col("confirmed") > 0) & (F.col("confirmed") < F.col("total_n"))
+    return facts.groupBy("file").agg(F.count_if(star).alias("pass_star"), F.count_if(star & whole).alias("star_confirmed"), F.count_if(star & some).alias("star_partial"), F.count_if(star & (F.col("confirmed") == 0)).alias("star_open"))
+
+
 def requirement_rollup(facts: DataFrame) -> DataFrame:
     """Per requirement over all files: applicable, disputes, confirmed PASS*, rate in percent (half to even)."""
     applicable = ~F.col("status").isin("SKIPPED", "N/A")

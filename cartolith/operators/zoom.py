@@ -39,6 +39,14 @@ def zoom_factor(matrix: DataFrame, *, ratio: float = 0.5, tolerance: float = 1e-
     return out.withColumn("status", F.when(F.col("n_bad") > 0, "FAIL").when(F.col("n_steps") > 0, "PASS").otherwise("SKIPPED"))
 
 
+def step_messages(matrix: DataFrame, *, tolerance: float = 1e-6) -> DataFrame:
+    """Per table: the steps whose coarse pixel is not twice the fine one, as text in order of level."""
+    bad = F.col("zoom_before").isNotNull() & ((F.col("pixel_x_size") <= 0) | (F.abs(F.col("px_before") / F.col("pixel_x_size") - 2) > tolerance))
+    said = F.struct("zoom_level", F.concat(F.col("zoom_before"), F.lit(" to "), F.col("zoom_level")).alias("text"))
+    out = zoom_steps(matrix).groupBy(*TABLE).agg(F.sort_array(F.collect_list(F.when(bad, said))).alias("s"))
+    return out.select(*TABLE, F.size("s").cast("long").alias("n_bad"), F.array_join(F.transform("s", lambda x: x["text"]), "; ").alias("steps"))
+
+
 def gridded_zoom_factor(matrix: DataFrame, *, tolerance: float = 0.01) -> DataFrame:
     """Coarse over fine pixel size is 2; a zero denominator counts as factor 0 and fails."""
     factor = F.when(F.col("pixel_x_size") == 0, 0.0).otherwise(F.col("px_before") / F.col("pixel_x_size"))

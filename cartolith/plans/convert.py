@@ -148,6 +148,12 @@ def convert_layer(df: DataFrame, path: str, *, layer: str, **settings) -> dict:
     return convert_layers({layer: df}, path, **settings)[0]
 
 
+def summary(results: list[dict], seconds: float) -> dict:
+    """Totals of ``convert_layers``: layers, features, lost geometries and features a second."""
+    n = sum(r["features"] for r in results)
+    return {"layers": len(results), "features": n, "lost": sum(r["lost"] for r in results), "seconds": seconds, "features_per_second": n / seconds if seconds > 0 else None}
+
+
 def tile_grid(width: Column, height: Column) -> Column:
     """Tiles (zoom, column, row) that cover a raster, down to one tile: an array to explode."""
     return F.transform(

@@ -18,12 +18,18 @@ def write_findings(facts: DataFrame, path: str) -> None:
 
 
 def rollup_table(facts: DataFrame) -> DataFrame:
-    """The roll-up's columns in report order; ``facts`` also has software, confirmed and total_n."""
+    """The roll-up's nine columns in report order.
+
+    ``facts`` also has software, confirmed and total_n, and may have ``disputed``, true where
+    an audit contradicts the status.
+    """
     kind = F.broadcast(dims.obligations(facts.sparkSession))
     r = scoring.requirement_rollup(facts).join(kind, "req", "left")
-    return r.select(
-        F.col("req").alias("Req"), F.col("obligation").alias("Compliance Type"), F.col("applicable").alias("Applicable Files"), F.col("disputes").alias("Disputes"),
-        F.col("pass_star").alias("PASS* Count"), F.col("star_confirmed").alias("PASS* Confirmed"), F.col("rate").alias("Dispute Rate %"), F.col("fail_software").alias("Software"),
+    audits = facts.groupBy("req").agg(F.count_if("disputed") if "disputed" in facts.columns else F.lit(0).cast("long")).toDF("req", "audit_disputes")
+    name = F.get(F.array(*map(F.lit, dims.NAMES)), F.col("req") - 1)
+    return r.join(audits, "req", "left").select(
+        F.col("req").alias("Req"), name.alias("Requirement"), F.col("obligation").alias("Compliance Type"), F.col("applicable").alias("Applicable GPKGs"), F.col("disputes").alias("Validator Disputes"),
+        F.col("audit_disputes").alias("Auditor Disputes"), F.col("pass_star").alias("PASS* Count"), F.col("star_confirmed").alias("PASS* Manual Confirmed"), F.col("rate").alias("Dispute Rate %"),
     )
 
 

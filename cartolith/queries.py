@@ -641,6 +641,25 @@ _SCORERS = {
 for _name, (_f, _body) in _SCORERS.items():
     query(_name, _body)(_f)
 
+@query(
+    "file_counts",
+    """SELECT file, count(*) FILTER (status = 'PASS*') AS pass_star, count(*) FILTER (status = 'PASS*' AND total_n > 0 AND confirmed = total_n) AS star_confirmed,
+      count(*) FILTER (status = 'PASS*' AND confirmed BETWEEN 1 AND total_n - 1) AS star_partial, count(*) FILTER (status = 'PASS*' AND confirmed = 0) AS star_open FROM facts GROUP BY file""",
+)
+def _(v):
+    return scoring.file_counts(v.facts)
+
+
+@query(
+    "zoom_step_messages",
+    f"""WITH s AS (SELECT file, table_name, zoom_level, pixel_x_size, lag(pixel_x_size) OVER ({_W}) AS px, lag(zoom_level) OVER ({_W}) AS zb FROM matrix)
+    SELECT file, table_name, count(*) FILTER (bad) AS n_bad, coalesce(string_agg(zb || ' to ' || zoom_level, '; ' ORDER BY zoom_level) FILTER (bad), '') AS steps
+    FROM (SELECT *, zb IS NOT NULL AND (pixel_x_size <= 0 OR abs(px / pixel_x_size - 2) > 1e-6) AS bad FROM s) GROUP BY file, table_name""",
+)
+def _(v):
+    return zoom.step_messages(v.matrix)
+
+
 #: Scorers and audits over the validation views.
 _WHOLE = {
     "score_11_gridded_2d": (lambda c: scorers.gridded_systems(c.sets, c.contents, c.srs, three=False), _score(11, f"srs_id IN {_in(dims.VALIDATE['gridded_2d'])}", "grids WHERE NOT three")),

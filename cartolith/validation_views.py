@@ -65,7 +65,7 @@ VIEWS = {
         FROM {{customer}} CROSS JOIN (VALUES ('gpkg_metadata'), ('gpkg_rtree_index'), ('gpkg_crs_wkt'), ('gpkg_crs_wkt_1_1'), ('gpkg_2d_gridded_coverage'), ('gpkg_webp'), ('gpkg_geom_CURVE'), ('gdal_aspatial'), ('gpkg_schema')) AS n(name)
         WHERE CASE name WHEN 'gpkg_metadata' THEN {_K} % 10 <> 0 WHEN 'gpkg_rtree_index' THEN {_K} % 4 = 0 AND {_K} % 8 <> 0 WHEN 'gpkg_crs_wkt' THEN {_K} % 4 < 2 AND {_K} % 9 <> 1 OR {_K} % 18 = 2 AND {_K} % 4 = 2
         WHEN 'gpkg_crs_wkt_1_1' THEN {_K} % 4 = 2 AND {_K} % 22 <> 6 WHEN 'gpkg_2d_gridded_coverage' THEN {_K} % 4 = 2 AND {_K} % 26 <> 14 WHEN 'gpkg_webp' THEN {_K} % 43 = 0 WHEN 'gpkg_geom_CURVE' THEN {_K} % 64 = 20 WHEN 'gdal_aspatial' THEN {_K} % 16 = 3 ELSE {_K} % 6 = 1 END""",
-    "metadata": f"""SELECT concat('g', k) AS file, id, CASE WHEN id = 2 THEN CASE k % 4 WHEN 0 THEN 'feature' WHEN 1 THEN 'tile' ELSE 'attribute' END ELSE CASE k % 6 WHEN 0 THEN 'dataset' WHEN 3 THEN 'dataset' WHEN 4 THEN 'bogus' ELSE 'series' END END AS md_scope,
+    "metadata": f"""SELECT concat('g', k) AS file, id, CASE WHEN id = 2 THEN CASE WHEN k % 4 = 0 THEN 'feature' WHEN k % 4 = 1 THEN 'tile' WHEN k % 8 = 2 THEN 'featureType' ELSE 'attribute' END ELSE CASE k % 6 WHEN 0 THEN 'dataset' WHEN 3 THEN 'dataset' WHEN 4 THEN 'bogus' ELSE 'series' END END AS md_scope,
         CASE WHEN id = 2 AND k % 28 = 1 THEN '' WHEN id = 1 AND k % 3 = 0 THEN 'https://www.dgiwg.org/std/dmf/2.0' ELSE 'http://www.isotc211.org/2005/gmd' END AS md_standard_uri,
         CASE WHEN id = 1 AND k % 33 = 0 THEN 'text/plain' WHEN id = 1 AND k % 34 = 0 OR k % 86 = 4 THEN NULL ELSE 'text/xml' END AS mime_type,
         CASE WHEN id = 2 AND k % 38 = 0 THEN '<x/>' WHEN id = 1 AND k % 87 = 0 THEN ' ' ELSE concat({_ROOT},

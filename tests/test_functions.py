@@ -264,6 +264,23 @@ def test_layers_with_broken_shapes_are_reprojected(spark, tmp_path):
     assert struct.unpack("<2d", blobs[0][-16:]) == pytest.approx((-100, 40), abs=1e-9) and len(blobs) == 1
 
 
+def test_what_a_path_holds(tmp_path):
+    from maker import make
+
+    from cartolith.sources import detect
+
+    make(tmp_path / "a.gpkg", "survey")
+    for name, data in (("b.shp", b"\x00\x00\x27\x0a" + b"\0" * 96), ("c.json", b'\n {"type": 1}'), ("d.tif", tiff(4)), ("e.bin", b"?"), ("f.jpg", jpeg(1))):
+        (tmp_path / name).write_bytes(data)
+    (tmp_path / "wrap" / "x.gdb").mkdir(parents=True)
+    got = {p.name: detect.kind_of(str(p)) for p in tmp_path.iterdir()}
+    assert {k: v for k, v in got.items() if k not in ("wrap", "e.bin")} == {"a.gpkg": ("vector", "gpkg"), "b.shp": ("vector", "shp"), "c.json": ("vector", "geojson"), "d.tif": ("raster", "tiff"), "f.jpg": ("raster", "jpeg")}
+    assert got["wrap"][0] == got["e.bin"][0] == "none" and detect.resolve(str(tmp_path / "wrap")).endswith("x.gdb") and detect.kind_of("/no/such")[1] == "no such path"
+    assert detect.input_formats() == ["geojson", "gpkg", "shp"]
+    assert detect.output_problem(str(tmp_path / "new")) is None and detect.output_problem(str(tmp_path / "e.bin")) and detect.output_problem("/no/such/folder")
+    assert convert.summary([{"features": 3, "lost": 1}, {"features": 5, "lost": 0}], 2.0)["features_per_second"] == 4
+
+
 def test_document_facts():
     from maker import document
 

@@ -215,6 +215,7 @@ def test_reports_and_command(spark, found, tmp_path, capsys):
     quick = {r.file.rsplit("/", 1)[1]: r for r in quick_check(catalog).collect()}
     assert quick["survey.gpkg"].missing_systems == "" and quick["survey.gpkg"].compliant and not quick["imagery.gpkg"].compliant
     facts = spark.createDataFrame([("a", 3, "FAIL", "GDAL", 0, 0), ("b", 3, "PASS", "GDAL", 0, 0), ("a", 13, "PASS*", "GDAL", 2, 2)], "file string, req int, status string, software string, confirmed int, total_n int")
-    assert [tuple(r)[:6] for r in rollup_table(facts).orderBy("Req").collect()] == [(3, "M", 2, 1, 0, 0), (13, "M", 1, 0, 1, 1)]
+    assert [tuple(r) for r in rollup_table(facts).orderBy("Req").collect()] == [(3, "mandatory extensions", "M", 2, 1, 0, 0, 0, 50), (13, "definitions of systems", "M", 1, 0, 0, 1, 1, 0)]
+    assert rollup_table(facts.withColumn("disputed", F.col("file") == "b")).filter("Req = 3").first()["Auditor Disputes"] == 1
     write_rollup(facts, str(tmp_path / "csv"))
-    assert next((tmp_path / "csv").glob("*.csv")).read_text().splitlines()[1].startswith("3,M,2,1,0,0,50,GDAL")
+    assert next((tmp_path / "csv").glob("*.csv")).read_text().splitlines()[1].startswith("3,mandatory extensions,M,2,1,0,0,0,50")
