@@ -4,11 +4,12 @@ Reading: ``path`` is a file, a folder or a pattern (comma-separated; ``recursive
 ``table`` a catalog table or one of ``__files__``, ``__schema__``, ``__pragma__``,
 ``__tiles__``, ``__heads__`` (format and size of each tile's image, without the image),
 ``__features__``, ``__index__`` (extent and number of entries of each layer's index).  A
-partition is a file, or one of ``ranges`` rowid ranges of the user tables of a file (by
+partition is some files, or one of ``ranges`` rowid ranges of the user tables of a file (by
 default one for each 128 MB), so blobs of a large file are read by several tasks.  Every
 row carries ``file``.  Files that are not GeoPackages give a row in ``__files__`` with the
 reason and nothing else; a damaged one gives the rows that can be read, and ``damage`` says
-what SQLite's own check found.  Columns that a file lacks are null; ``__schema__`` tells
+what SQLite's own check found.  Small files are read together, up to ``files_per_task`` of
+them in one partition.  Columns that a file lacks are null; ``__schema__`` tells
 them from columns that hold nulls.  Text is decoded as UTF-8 with replacement.
 
 Writing: SQLite has one writer a file, so each task writes one complete GeoPackage of its
@@ -86,23 +87,44 @@ def open_readonly(path: str) -> sqlite3.Connection:
     return con
 
 
-class FilePart(InputPartition):
+class FilePart:
     def __init__(self, path: str, part: int = 0, parts: int = 1):
         self.path, self.part, self.parts = path, part, parts
 
 
+class FileParts(InputPartition):
+    def __init__(self, items: list[FilePart]):
+        self.items = items
+
+
 class GpkgReader(DataSourceReader):
     def __init__(self, options, table: str, columns: list[tuple[str, str]]):
         self.path, self.table, self.columns = options.get("path", ""), table, columns
+        self.together = int(options.get("files_per_task", "16"))
         self.recursive = str(options.get("recursive", "false")).lower() == "true"
         self.ranges = int(options.get("ranges", "0")) if table in ("__tiles__", "__heads__", "__features__") else 1
 
     def partitions(self):
-        files = find_files(self.path, self.recursive)
-        ranges = [self.ranges or -(-os.path.getsize(f) // RANGE_BYTES) or 1 for f in files]
-        return [FilePart(f, i, n) for f, n in zip(files, ranges) for i in range(n)]
+        out, held = [], 0
+        for f in find_files(self.path, self.recursive):
+            size = os.path.getsize(f)
+            n = self.ranges or -(-size // RANGE_BYTES) or 1
+            if n > 1:
+                out += [FileParts([FilePart(f, i, n)]) for i in range(n)]
+                held = RANGE_BYTES
+                continue
+            if not out or held + size > RANGE_BYTES // 8 or len(out[-1].items) >= self.together:
+                out.append(FileParts([]))
+                held = 0
+            out[-1].items.append(FilePart(f))
+            held += size
+        return out
 
     def read(self, partition):
+        for item in partition.items:
+            yield from self._file(item)
+
+    def _file(self, partition):
         try:
             con = open_readonly(partition.path)
         except (ValueError, sqlite3.DatabaseError, OSError) as e:
