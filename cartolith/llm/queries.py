@@ -1,6 +1,6 @@
 """The queries of this subpackage and their DuckDB SQL, where SQL can express them."""
 
-from . import bpe, chat_format, conversation_repair, decontaminate, exact_topk, line_dedup, ngram_join, pii, quality_classifier, quality_rules, substring_dedup, token_orc
+from . import bpe, chat_format, collocations, conversation_repair, decontaminate, exact_topk, line_dedup, ngram_join, pii, quality_classifier, quality_rules, substring_dedup, token_orc
 
 QUERIES = {
     "op1_feistel_pseudonyms": pii.op1_feistel_pseudonyms,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_line_windows": line_dedup.op8_line_windows,
     "op9_bayes_ngram_join": ngram_join.op9_bayes_ngram_join,
     "op10_wu_manber": decontaminate.op10_wu_manber,
+    "op11_phrase_levels": collocations.op11_phrase_levels,
     "op12_layered_repair": conversation_repair.op12_layered_repair,
     "op13_histogram_topk": exact_topk.op13_histogram_topk,
 }
@@ -23,6 +24,7 @@ ORACLE_SQL = {
     "op4_risk_controlled_rules": quality_rules.OP4_SQL,
     "op9_bayes_ngram_join": ngram_join.OP9_SQL,
     "op10_wu_manber": decontaminate.OP10_SQL,
+    "op11_phrase_levels": collocations.OP11_SQL,
     "op12_layered_repair": conversation_repair.OP12_SQL,
     "op13_histogram_topk": exact_topk.OP13_SQL,
 }
