@@ -15,10 +15,12 @@ of different countries never share a pseudonym.  A number without ``+`` is taken
 national one of country 1 and linked to the same number behind ``+1``.
 
 The mapping needs no state: each text is rewritten where it lies, without shuffles, and the
-holder of the key can undo it (``Feistel.inverse``).
+holder of the key can undo it (``Undo``).  Dates are permuted among those whose day and month
+have as many digits, and whose day is above 12 or not, so a date has one pseudonym in all its
+written forms and every form stays what it was ("May" counts as a short name).
 
 Edge cases: a null text stays null; overlapping matches go to the first pattern in order; of
-digits in groups the longest whole groups that pass as a card number count; candidates that
+groups the longest whole groups that pass as a card number or IBAN count; candidates that
 fail validation are left alone; a value may be its own pseudonym by chance, as in any
 permutation; repeated rows are treated alike; a column ``n_pii`` or ``kinds`` of the input is
 replaced, further columns are kept; an empty table gives an empty one.
@@ -30,6 +32,7 @@ import calendar
 import datetime
 import hashlib
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -82,6 +85,13 @@ class Feistel:
         return x
 
 
+class Undo(Feistel):
+    """Takes pseudonyms back: ``pseudonymize`` with it restores a text that ``Feistel`` with the same key has changed."""
+
+    def permute(self, name: str, x: int, n: int) -> int:
+        return self.inverse(name, x, n)
+
+
 def luhn_digit(payload: str) -> int:
     total = 0
     for i, c in enumerate(reversed(payload)):
@@ -188,19 +198,32 @@ _NAMED = re.compile(rf"(?P<d>\d{{1,2}})(?P<s> +)(?P<m>{_MONTH})(?P<t>\.?,? +)(?P
 _BEFORE = re.compile(rf"(?<![A-Za-z]){_MONTH}\.? +$")
 
 
+def _date_class(day: datetime.date) -> tuple[int, bool]:
+    """What a date's written forms tell: days below 10, to 12 and above (only these show that the day is first), months below 10."""
+    return (day.day > 9) + (day.day > 12), day.month > 9
+
+
+#: Dates from 1900 to 2099 by class, in order.
+DATES: dict[tuple[int, bool], list[int]] = {}
+for _day in range(FIRST_DAY, LAST_DAY + 1):
+    DATES.setdefault(_date_class(datetime.date.fromordinal(_day)), []).append(_day)
+
+
 def _shifted(f: Feistel, y: int, m: int, d: int) -> datetime.date | None:
-    """The pseudonym of a date; the day is permuted among all of 1900 to 2099."""
+    """The pseudonym of a date: permuted among the dates of its class, so it is the same in all written forms and keeps each of them."""
     try:
-        day = datetime.date(y, m, d).toordinal()
+        day = datetime.date(y, m, d)
     except ValueError:
         return None
-    if not FIRST_DAY <= day <= LAST_DAY:
+    if not FIRST_DAY <= day.toordinal() <= LAST_DAY:
         return None
-    return datetime.date.fromordinal(FIRST_DAY + f.permute("date", day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1))
+    kind = _date_class(day)
+    some = DATES[kind]
+    return datetime.date.fromordinal(some[f.permute(f"date{kind}", bisect_left(some, day.toordinal()), len(some))])
 
 
 def _date(f: Feistel, m: str) -> str | None:
-    """Dates as y-m-d, d.m.y or m/d/y, or with the name of the month; one-digit parts make a form without zeros."""
+    """Dates as y-m-d, d.m.y, m/d/y (d/m/y if only that is a date), or with the name of the month; zeros before digits stay."""
     if hit := _NAMED.fullmatch(m):
         g = {k.rstrip("2"): v for k, v in hit.groupdict().items() if v is not None}
         if (new := _shifted(f, int(g["y"]), _MONTHS[g["m"].lower()], int(g["d"]))) is None:
@@ -215,8 +238,8 @@ def _date(f: Feistel, m: str) -> str | None:
     part = dict(zip(order, (int(a), int(b), int(c))))
     if (new := _shifted(f, part["y"], part["m"], part["d"])) is None:
         return None
-    width = min(len(a), len(b), len(c))
-    value = {"y": f"{new.year:04d}", "m": f"{new.month:0{width}d}", "d": f"{new.day:0{width}d}"}
+    zeros = {k: "02d" if v.startswith("0") else "d" for k, v in zip(order, (a, b, c))}
+    value = {"y": f"{new.year:04d}", "m": f"{new.month:{zeros['m']}}", "d": f"{new.day:{zeros['d']}}"}
     return sep.join(value[k] for k in order)
 
 
@@ -271,9 +294,13 @@ def _starts(text: str) -> list[int]:
     return sorted(out)
 
 
-def _whole_groups(value: str):
-    """A run of digits in groups, then without its last group, and so on while a card number has room."""
-    while len(_digits(value)) >= 13:
+#: Kinds whose groups may be followed by others that do not belong to them, and characters that they have at least.
+_GROUPED = {"card": 13, "iban": 15}
+
+
+def _whole_groups(value: str, least: int):
+    """A run of groups, then without its last group, and so on while a number of ``least`` characters has room."""
+    while sum(c.isalnum() for c in value) >= least:
         yield value
         if not (cut := max(value.rfind(" "), value.rfind("-"))) > 0:
             return
@@ -290,7 +317,7 @@ def pseudonymize(text: str, f: Feistel, known: dict | None = None) -> tuple[str,
             if (hit := pattern.match(text, at)) is None:
                 continue
             new = None
-            for value in _whole_groups(hit[0]) if name == "card" else (hit[0],):
+            for value in _whole_groups(hit[0], _GROUPED[name]) if name in _GROUPED else (hit[0],):
                 if (name, value) not in known:
                     known[name, value] = function(f, value)
                 if (new := known[name, value]) is not None:

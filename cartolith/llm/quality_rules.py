@@ -8,13 +8,14 @@ texts are split by their digest:
    each step says how many bad texts caught are worth a good one lost and which share of all
    bad texts a rule must catch to be used; every rule takes the cutoff with the best yield.
 2. On the other, *test* part, the policies are tested in this order by the exact binomial
-   bound: with confidence ``1 - DELTA`` over all strata together (Bonferroni) the share of
+   bound: with confidence ``1 - DELTA`` over all strata together (Bonferroni, weighted) the share of
    good texts that *all rules together* reject is at most ``ALPHA``.  Testing stops at the
    first policy that fails, so the chain needs no further correction; the last that passed
    holds.  If none passes, nothing is rejected beyond the base rules.
 
-Languages with too few good test texts for any bound are one stratum together, so the
-guarantee is theirs jointly.  Sizes of strata depend on counts only, never on statistics.
+A language's part of ``DELTA`` is its part of all good test texts, so that many small ones do
+not weaken a large one's bound; the parts depend on counts only, never on statistics.  A
+language with too few good test texts for any bound rejects nothing beyond the base rules.
 
 A trial is a distinct text: copies count once, with the first of their languages, and not
 at all if their labels disagree.  Near copies are trials of their own unless the caller
@@ -34,7 +35,6 @@ are kept by ``keep_good``.
 from __future__ import annotations
 
 from functools import reduce
-from math import ceil, log
 from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -134,7 +134,7 @@ def _statistic(top: str, bottom: str) -> Column:
     return F.when(F.col(bottom) > 0, F.col(top).cast("double") / F.col(bottom)).otherwise(F.lit(0.0))
 
 
-def _allowed(n: Column, tests: int, alpha: float, delta: float) -> Column:
+def _allowed(n: Column, tests: Column | int, alpha: float, delta: float) -> Column:
     """Largest k with P(Bin(n, alpha) <= k) <= delta / tests, or -1: exact, summed in logarithms."""
     start = F.struct((n * F.log1p(F.lit(-alpha))).alias("lp"), F.lit(0.0).alias("cdf"), F.lit(-1).cast("long").alias("k"))
 
@@ -143,7 +143,7 @@ def _allowed(n: Column, tests: int, alpha: float, delta: float) -> Column:
         return F.struct(
             (a["lp"] + F.log((n - i).cast("double") / (i + 1)) + F.log(F.lit(alpha / (1 - alpha)))).alias("lp"),
             cdf.alias("cdf"),
-            F.when(cdf <= F.lit(delta / tests), i).otherwise(a["k"]).alias("k"),
+            F.when(cdf <= F.lit(delta) / tests, i).otherwise(a["k"]).alias("k"),
         )
 
     most = F.least(F.ceil(n * F.lit(alpha)).cast("long"), n - 1)
@@ -160,18 +160,11 @@ def _units(stats: DataFrame, labels: DataFrame) -> DataFrame:
     return once.filter("quality = _q").drop("_q").withColumn("test", F.substring("unit", 1, 1) < TEST_BELOW)
 
 
-def _groups(units: DataFrame, alpha: float, delta: float) -> DataFrame:
-    """``stratum, grp``: languages with enough good test texts by themselves, the others together."""
-    counts = units.groupBy("stratum").agg(F.count_if(F.col("test") & (F.col("quality") == 1)).alias("n"))
-    need = ceil(log(delta / max(1, counts.count())) / log(1 - alpha))
-    return counts.select("stratum", F.when(F.col("n") >= need, F.concat(F.lit("="), "stratum")).otherwise("*").alias("grp"))
-
-
 def _policies(units: DataFrame) -> DataFrame:
-    """``grp`` and for each rule the cutoffs (from 0; -1: none) of the chain, from texts outside the test part."""
+    """``stratum`` and for each rule the cutoffs (from 0; -1: none) of the chain, from texts outside the test part."""
     bins = F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"bin_{name}").alias("bin")) for name, _, _ in RULES])
-    counts = units.filter(~F.col("test")).select("grp", "quality", F.explode(bins).alias("b")).groupBy("grp", "b.rule", "b.bin").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"))
-    ladder = counts.groupBy("grp", "rule").agg(F.collect_list(F.struct("bin", "good", "bad")).alias("bins"), F.sum("bad").alias("all_bad"))
+    counts = units.filter(~F.col("test")).select("stratum", "quality", F.explode(bins).alias("b")).groupBy("stratum", "b.rule", "b.bin").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"))
+    ladder = counts.groupBy("stratum", "rule").agg(F.collect_list(F.struct("bin", "good", "bad")).alias("bins"), F.sum("bad").alias("all_bad"))
 
     def upto(k: Column, name: str) -> Column:
         return F.aggregate(F.filter("bins", lambda b: b["bin"] <= k), F.lit(0).cast("long"), lambda a, b: a + b[name]).alias(name)
@@ -182,8 +175,8 @@ def _policies(units: DataFrame) -> DataFrame:
         gain = lambda x: F.when(x["bad"] >= F.lit(share) * F.col("all_bad"), x["bad"] - F.lit(cost) * x["good"]).otherwise(0.0)
         return F.reduce("at", F.struct(F.lit(0.0).alias("gain"), F.lit(-1).alias("k")), lambda a, x: F.when(gain(x) > a["gain"], F.struct(gain(x).alias("gain"), x["k"].alias("k"))).otherwise(a))["k"]
 
-    chain = ladder.withColumn("at", at).select("grp", "rule", F.array(*[best(*c) for c in CHAIN]).alias("ks"))
-    return chain.groupBy("grp").agg(*[F.max(F.when(F.col("rule") == name, F.col("ks"))).alias(f"k_{name}") for name, _, _ in RULES])
+    chain = ladder.withColumn("at", at).select("stratum", "rule", F.array(*[best(*c) for c in CHAIN]).alias("ks"))
+    return chain.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == name, F.col("ks"))).alias(f"k_{name}") for name, _, _ in RULES])
 
 
 def fit_cutoffs(stats: DataFrame, labels: DataFrame, *, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -194,18 +187,15 @@ def fit_cutoffs(stats: DataFrame, labels: DataFrame, *, alpha: float = ALPHA, de
     """
     spark = stats.sparkSession
     units = materialize(spark, _units(stats, labels), "rule-units")
-    groups = materialize(spark, _groups(units, alpha, delta), "rule-groups")
-    units = units.join(broadcast_if_small(groups), "stratum")
     policies = materialize(spark, _policies(units), "rule-policies")
-    tests = max(1, groups.select("grp").distinct().count())
     rejected = [reduce(or_, [F.col(f"bin_{name}") <= F.get(f"k_{name}", F.lit(i)) for name, _, _ in RULES]) for i in range(len(CHAIN))]
-    lost = units.filter(F.col("test") & (F.col("quality") == 1)).join(broadcast_if_small(policies), "grp").groupBy("grp").agg(F.count("*").alias("n"), F.array(*[F.count_if(r) for r in rejected]).alias("lost"))
-    allowed = _allowed(F.col("n"), tests, alpha, delta)
+    lost = units.filter(F.col("test") & (F.col("quality") == 1)).join(broadcast_if_small(policies), "stratum").groupBy("stratum").agg(F.count("*").alias("n"), F.array(*[F.count_if(r) for r in rejected]).alias("lost"))
+    good_tests = units.filter(F.col("test") & (F.col("quality") == 1)).count()
+    allowed = _allowed(F.col("n"), F.lit(float(good_tests)) / F.col("n"), alpha, delta)
     failed = F.array_position(F.transform("lost", lambda x: x > F.col("allowed")), True)
     last = F.when(failed == 0, F.lit(len(CHAIN))).otherwise(failed - 1).cast("int") - 1
     cut = lambda name: F.get(F.array(*[F.lit(c) for c in cutoffs(name)]), F.get(f"k_{name}", F.col("last"))).alias(f"cut_{name}")
-    chosen = policies.join(lost.withColumn("allowed", allowed).select("grp", last.alias("last")).filter("last >= 0"), "grp").select("grp", *[cut(name) for name, _, _ in RULES])
-    return groups.join(chosen, "grp").drop("grp")
+    return policies.join(lost.withColumn("allowed", allowed).select("stratum", last.alias("last")).filter("last >= 0"), "stratum").select("stratum", *[cut(name) for name, _, _ in RULES])
 
 
 def with_verdict(stats: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -245,7 +235,7 @@ def _sql() -> str:
     steps = " UNION ALL ".join(f"SELECT '{n}' AS rule, {k} AS k, {c!r}::DOUBLE AS c" for n, _, _ in RULES for k, c in enumerate(cutoffs(n)))
     costs = " UNION ALL ".join(f"SELECT {i} AS i, {c!r}::DOUBLE AS cost, {m!r}::DOUBLE AS share" for i, (c, m) in enumerate(CHAIN))
     facts = ", ".join(f"min({c}) AS {c}" for c in sorted({c for _, t, b in RULES for c in (t, b)}))
-    values = " UNION ALL ".join(f"SELECT grp, unit, quality, test, '{n}' AS rule, {stat(t, b)} AS v FROM labelled JOIN groups USING (stratum)" for n, t, b in RULES)
+    values = " UNION ALL ".join(f"SELECT stratum, unit, quality, test, '{n}' AS rule, {stat(t, b)} AS v FROM labelled" for n, t, b in RULES)
     above = " OR ".join(f"coalesce({stat(t, b)} > cut_{n}, FALSE)" for n, t, b in RULES)
     cuts = ", ".join(f"max(c) FILTER (rule = '{n}') AS cut_{n}" for n, _, _ in RULES)
     strip = "regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')"
@@ -265,24 +255,22 @@ s AS (SELECT w.doc_id, stratum, md5(t) AS unit, len(w)::BIGINT AS n_words, lengt
 q AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IN (0, 1) GROUP BY doc_id HAVING min(quality) = max(quality)),
 labelled AS (SELECT unit, min(stratum) AS stratum, min(quality) AS quality, unit[1] < '{TEST_BELOW}' AS test, {facts} FROM s JOIN q USING (doc_id)
              WHERE NOT {failed} GROUP BY unit HAVING min(quality) = max(quality)),
-langs AS (SELECT stratum, count(*) FILTER (test AND quality = 1) AS n FROM labelled GROUP BY stratum),
-groups AS (SELECT stratum, CASE WHEN n >= (SELECT ceil(ln({DELTA} / greatest(1, count(*))) / ln(1 - {ALPHA})) FROM langs) THEN '=' || stratum ELSE '*' END AS grp FROM langs),
 vals AS ({values}),
 steps AS ({steps}),
 costs AS ({costs}),
-policies AS (SELECT grp, rule, i, c FROM (SELECT grp, v.rule, i, k, c, count(*) FILTER (quality = 0 AND v > c) - cost * count(*) FILTER (quality = 1 AND v > c) AS gain,
+policies AS (SELECT stratum, rule, i, c FROM (SELECT stratum, v.rule, i, k, c, count(*) FILTER (quality = 0 AND v > c) - cost * count(*) FILTER (quality = 1 AND v > c) AS gain,
              count(*) FILTER (quality = 0 AND v > c) >= share * count(*) FILTER (quality = 0) AS enough
-             FROM vals v JOIN steps USING (rule), costs WHERE NOT test GROUP BY grp, v.rule, i, cost, share, k, c) WHERE enough AND gain > 0
-             QUALIFY row_number() OVER (PARTITION BY grp, rule, i ORDER BY gain DESC, k) = 1),
-lost AS (SELECT v.grp, i, count(DISTINCT unit) AS lost FROM vals v JOIN policies p ON p.grp = v.grp AND p.rule = v.rule WHERE test AND quality = 1 AND v > c GROUP BY v.grp, i),
-sizes AS (SELECT grp, count(DISTINCT unit) FILTER (test AND quality = 1) AS n FROM vals GROUP BY grp),
-tests AS (SELECT greatest(1, count(*)) AS m FROM sizes),
+             FROM vals v JOIN steps USING (rule), costs WHERE NOT test GROUP BY stratum, v.rule, i, cost, share, k, c) WHERE enough AND gain > 0
+             QUALIFY row_number() OVER (PARTITION BY stratum, rule, i ORDER BY gain DESC, k) = 1),
+lost AS (SELECT v.stratum, i, count(DISTINCT unit) AS lost FROM vals v JOIN policies p ON p.stratum = v.stratum AND p.rule = v.rule WHERE test AND quality = 1 AND v > c GROUP BY v.stratum, i),
+sizes AS (SELECT stratum, count(DISTINCT unit) FILTER (test AND quality = 1) AS n FROM vals GROUP BY stratum),
+tests AS (SELECT sum(n)::DOUBLE AS m FROM sizes),
 pmf AS (SELECT n, i, exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA})) AS p
         FROM (SELECT n, unnest(generate_series(0, least(ceil(n * {ALPHA})::BIGINT, n - 1))) AS i FROM (SELECT DISTINCT n FROM sizes WHERE n > 0))),
-allowed AS (SELECT n, max(i) AS a FROM (SELECT n, i, sum(p) OVER (PARTITION BY n ORDER BY i) AS cdf FROM pmf), tests WHERE cdf <= {DELTA} / m GROUP BY n),
-chosen AS (SELECT z.grp, coalesce(min(o.i) FILTER (coalesce(l.lost, 0) > coalesce(a, -1)), {len(CHAIN)}) - 1 AS i
-           FROM sizes z CROSS JOIN costs o LEFT JOIN lost l ON l.grp = z.grp AND l.i = o.i LEFT JOIN allowed ON allowed.n = z.n GROUP BY z.grp),
-cuts AS (SELECT stratum, {cuts} FROM groups g JOIN chosen h ON h.grp = g.grp JOIN policies p ON p.grp = g.grp AND p.i = h.i GROUP BY stratum)
+allowed AS (SELECT n, max(i) AS a FROM (SELECT n, i, sum(p) OVER (PARTITION BY n ORDER BY i) AS cdf FROM pmf), tests WHERE cdf <= {DELTA} / (m / n) GROUP BY n),
+chosen AS (SELECT z.stratum, coalesce(min(o.i) FILTER (coalesce(l.lost, 0) > coalesce(a, -1)), {len(CHAIN)}) - 1 AS i
+           FROM sizes z CROSS JOIN costs o LEFT JOIN lost l ON l.stratum = z.stratum AND l.i = o.i LEFT JOIN allowed ON allowed.n = z.n GROUP BY z.stratum),
+cuts AS (SELECT p.stratum, {cuts} FROM chosen h JOIN policies p ON p.stratum = h.stratum AND p.i = h.i GROUP BY p.stratum)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {failed} AS base_failed, NOT ({failed} OR {above}) AS kept
 FROM s LEFT JOIN cuts USING (stratum)
 """
