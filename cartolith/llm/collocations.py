@@ -8,9 +8,9 @@
 3. Every cut of a phrase is scored from the level tables by joins; phrases that mostly occur
    inside a longer one are dropped, and each language's best are ranked.
 
-A task counts phrases in a table of its own and hands on partial counts whenever the table
-holds ``HELD`` phrases, so a phrase of a third of all texts is a few rows a task.  Nothing but
-partial counts is shuffled.
+A task numbers the words of a language, packs a phrase into one integer and counts integers;
+it hands on partial counts whenever it holds ``HELD`` phrases or ``WORDS`` words, so a phrase of
+a third of all texts is a few rows a task.  Nothing but partial counts is shuffled.
 
 Counts are by language (null: ``UNKNOWN``).  A-Z are lower-cased; pieces end at
 ``. , ; : ! ?`` and at line breaks; words are what lies between spaces and tabs.
@@ -22,15 +22,16 @@ others; an empty table gives no rows; further columns are dropped.
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ._chunks import slices
 from ._common import materialize, small_batches, table
 
 #: Fewest occurrences of a phrase, most words in it, percentage of a phrase inside a longer one that drops it, rows a language.
@@ -38,50 +39,111 @@ LEAST, LONGEST, INSIDE, TOP = 10, 3, 50, 2000
 SCALE, UNKNOWN = 1_000_000, "und"
 #: Bits of the bitmap of a level, and bits in each of the rows that it is put together from.
 BITS, ROW_BITS = 1 << 25, 1 << 15
-#: Phrases that a task counts before it hands counts on; phrases kept with their place in the bitmap, none over ``LONG`` characters.
-HELD, CACHE, LONG = 400_000, 300_000, 200
-_PIECE = re.compile(r"[.,;:!?\x0A-\x0D]")
-_WORD = re.compile(r"[^\x20\x09]+")
-
-
-def pieces(text: str | None) -> list[list[str]]:
-    """Words of each piece of a text."""
-    low = (text or "").encode().lower().decode()
-    return [w for p in _PIECE.split(low) if (w := _WORD.findall(p))]
-
-
-class Level(dict):
-    """Whether a phrase of one language belongs to a level, from its bitmap; phrases seen before are kept."""
-
-    def __init__(self, bits: np.ndarray, lang: str):
-        super().__init__()
-        self.bits, self.lang = bits, zlib.crc32(lang.encode() + b"\0")
-
-    def __missing__(self, phrase: str) -> bool:
-        at = zlib.crc32(phrase.encode(), self.lang) % BITS
-        found = bool(self.bits[at >> 3] >> (at & 7) & 1)
-        if len(phrase) <= LONG:
-            if len(self) >= CACHE:
-                self.clear()
-            self[phrase] = found
-        return found
-
-
-def phrases(words: list[str], k: int, level: Level | None):
-    """Phrases of k words whose two overlapping parts of k - 1 words belong to the level below."""
-    if k == 1:
-        return words
-    parts = words
-    for _ in range(k - 2):
-        parts = [f"{a} {b}" for a, b in zip(parts, words[len(words) - len(parts) + 1 :])]
-    known = [level[p] for p in parts]
-    return [f"{p} {w}" for p, w, a, b in zip(parts, words[k - 1 :], known, known[1:]) if a and b]
+#: Languages that a task counts side by side.
+LANGS = 8
+#: Distinct phrases that a task holds before it hands counts on, words (and their bytes) that it numbers, tokens counted at a time, bytes of a batch of counts.
+HELD, WORDS, WORD_BYTES, STEP, OUT_BYTES = 1 << 20, 1 << 20, 32 << 20, 1 << 18, 8 << 20
+#: A-Z are lower-cased, tabs become spaces, what ends a piece a line feed.
+_FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 9 else 10 if b in b".,;:!?\x0a\x0b\x0c\r" else b for b in range(256))
+BREAK = b"\n"
+
+
+def tokens(text: bytes) -> list[bytes]:
+    """Words of a text, and ``BREAK`` where a piece ends."""
+    return list(filter(None, text.translate(_FOLD).replace(BREAK, b" \n ").split(b" ")))
+
+
+class Counts:
+    """Counts of the phrases of k words of one language: words are numbered, phrases are packed numbers."""
+
+    def __init__(self, lang: str, k: int, below: np.ndarray):
+        self.lang, self.k, self.below = lang, k, below
+        self.bits = 63 // k
+        self.most = min(WORDS, (1 << self.bits) - 2)
+        self.seed = zlib.crc32(lang.encode() + b"\0")
+        self.all_words, self.raw, self.size = 0, [], 0
+        self.keys, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._renumber()
+
+    def _renumber(self) -> None:
+        self.known, self.hash, self.bytes = {BREAK: 0}, np.zeros(1, np.int64), 0
+
+    def add(self, words: list[bytes]):
+        """Count a token list; yields batches of counts when there is no more room."""
+        step = max(1, min(STEP, self.most // 2))
+        for a in range(0, len(words), step):
+            part = words[a : a + step + self.k - 1]
+            new = set(part).difference(self.known)
+            if len(self.known) + len(new) > self.most or self.bytes > WORD_BYTES:
+                yield from self.rows()
+                new = set(part).difference(self.known)
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+            self.bytes += sum(map(len, new))
+            self.hash = np.concatenate([self.hash, np.fromiter((zlib.crc32(w, self.seed) for w in new), np.int64, len(new))])
+            self._count(np.fromiter(map(self.known.__getitem__, part), np.int64, len(part)))
+            if self.size > HELD:
+                self._merge()
+                if len(self.keys) > HELD:
+                    yield from self.rows()
+
+    def _count(self, ids: np.ndarray) -> None:
+        k, n = self.k, len(ids) - self.k + 1
+        if n < 1:
+            return
+        fits = ids[:n] > 0
+        if k > 1:
+            word, hashes = ids > 0, self.hash[ids]
+            part = sum((2 * j + 3) * hashes[j : j + n + 1] for j in range(k - 1)) % BITS
+            known = (self.below[part >> 3] >> (part & 7).astype(np.uint8) & 1).astype(bool)
+            for j in range(k - 1):
+                known &= word[j : j + n + 1]
+            fits = known[:-1] & known[1:]
+        at = np.flatnonzero(fits)
+        key = np.zeros(len(at), np.int64)
+        for j in range(k):
+            key = key << self.bits | ids[at + j]
+        self.raw.append(key)
+        self.size += len(key)
+        self.all_words += len(key) if k == 1 else 0
+
+    def _merge(self) -> None:
+        if self.raw:
+            keys, n = np.unique(np.concatenate(self.raw), return_counts=True)
+            keys, n = np.concatenate([self.keys, keys]), np.concatenate([self.n, n])
+            order = np.argsort(keys, kind="stable")
+            keys, n = keys[order], n[order]
+            first = np.flatnonzero(np.diff(keys, prepend=-1))
+            self.keys, self.n = keys[first], np.add.reduceat(n, first) if len(first) else n
+            self.raw, self.size = [], 0
+
+    def rows(self):
+        """Counts so far, as batches; words are numbered anew."""
+        self._merge()
+        words, mask = pa.array(list(self.known), pa.binary()), (1 << self.bits) - 1
+        ids = [self.keys >> self.bits * (self.k - 1 - j) & mask for j in range(self.k)]
+        length = pc.binary_length(words).to_numpy().astype(np.int64)
+        size = np.cumsum(sum(length[i] for i in ids))
+        cuts = [0, *(np.flatnonzero(np.diff(size // OUT_BYTES)) + 1).tolist(), len(self.keys)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if a < b:
+                phrase = pc.binary_join_element_wise(*[words.take(pa.array(i[a:b])) for i in ids], b" ").cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([self.lang] * (b - a), pa.string()), phrase, pa.array(self.n[a:b])], ["lang", "phrase", "n"])
+        if self.all_words:
+            yield pa.RecordBatch.from_arrays([pa.array([self.lang]), pa.array([None], pa.string()), pa.array([self.all_words], pa.int64())], ["lang", "phrase", "n"])
+        self.keys, self.n, self.all_words = self.keys[:0], self.n[:0], 0
+        self._renumber()
+
+
+def slot(lang: str, phrase: str) -> Column:
+    """Place of a phrase in the bitmap of its level, from the hashes of its words."""
+    hash_ = lambda w: F.crc32(F.concat(F.col(lang), F.decode(F.lit(b"\0"), "UTF-8"), w))
+    words = F.transform(F.split(phrase, " "), lambda w, j: (2 * j + 3) * hash_(w))
+    return F.aggregate(words, F.lit(0).cast("long"), lambda a, x: a + x) % BITS
 
 
 def bitmap(level: DataFrame) -> bytes:
     """The bits of a level's phrases, ``BITS // 8`` bytes whatever its size."""
-    at = F.crc32(F.concat("lang", F.decode(F.lit(b"\0"), "UTF-8"), "phrase")) % BITS
-    rows = level.select(at.alias("at")).groupBy(F.floor(F.col("at") / ROW_BITS).alias("row")).agg(F.bitmap_construct_agg(F.col("at") % ROW_BITS).alias("bits"))
+    rows = level.select(slot("lang", "phrase").alias("at")).groupBy(F.floor(F.col("at") / ROW_BITS).alias("row")).agg(F.bitmap_construct_agg(F.col("at") % ROW_BITS).alias("bits"))
     out = np.zeros((BITS // ROW_BITS, ROW_BITS // 8), np.uint8)
     for r in rows.toLocalIterator():
         out[r["row"]] = np.frombuffer(r["bits"], np.uint8)
@@ -89,37 +151,29 @@ def bitmap(level: DataFrame) -> bytes:
 
 
 def counted(docs: DataFrame, k: int, below: bytes | None) -> DataFrame:
-    """``lang, phrase, n``: all occurrences of phrases of k words; at k = 1 also a null phrase that counts all words."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(below)
+    """``lang, phrase, n``: occurrences of phrases of k words; at k = 1 also a null phrase that counts all words."""
+    shared = docs.sparkSession.sparkContext.broadcast(below)
 
     def run(batches):
-        bits = np.frombuffer(shared.value, np.uint8) if below_given else None
-        levels: dict[str, Level] = {}
-        counts: dict[str, Counter] = defaultdict(Counter)
-
-        def rows():
-            for lang, c in counts.items():
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["lang", "phrase", "n"])
-            counts.clear()
-
+        bits = np.frombuffer(shared.value or b"", np.uint8)
+        held: dict[str, Counts] = {}
         for batch in batches:
+            texts = defaultdict(list)
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                if bits is not None and lang not in levels:
-                    levels[lang] = Level(bits, lang)
-                c, level = counts[lang], levels.get(lang)
-                for words in pieces(text):
-                    c.update(phrases(words, k, level))
-                    if k == 1:
-                        c[None] += len(words)
-                if len(c) > HELD:
-                    yield from rows()
-            if sum(map(len, counts.values())) > HELD:
-                yield from rows()
-        yield from rows()
-
-    below_given = below is not None
-    ready = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text")
+                texts[lang].append(text)
+            for lang, some in texts.items():
+                if lang not in held and len(held) >= LANGS:
+                    for c in held.values():
+                        yield from c.rows()
+                    held.clear()
+                if lang not in held:
+                    held[lang] = Counts(lang, k, bits)
+                for a, b in slices(some):
+                    yield from held[lang].add(tokens("\n".join(some[a:b]).encode()))
+        for c in held.values():
+            yield from c.rows()
+
+    ready = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text").filter("text IS NOT NULL")
     return ready.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 

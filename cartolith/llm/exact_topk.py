@@ -80,20 +80,21 @@ class Pass:
 
     def __init__(self, rows: list, largest: float, k: int):
         rows = sorted(rows, key=lambda r: r.row)
+        self.bins, self.scores = BINS, SCORES
         self.row = np.array([r.row for r in rows], np.int64)
         self.id = np.array([r.vec_id for r in rows], np.int64)
         self.v = matrix(pa.array([r.v for r in rows], pa.list_(pa.int64())))
         norms = np.sqrt((self.v.astype(np.float64) ** 2).sum(1))
         bound = [min(LIMIT, int(n * largest * (1 + 1e-9)) + 2) for n in norms.tolist()]
         self.low = np.array([-b for b in bound], np.int64)
-        self.shift = np.array([max(0, (2 * b).bit_length() - BINS.bit_length() + 1) for b in bound], np.int64)
+        self.shift = np.array([max(0, (2 * b).bit_length() - self.bins.bit_length() + 1) for b in bound], np.int64)
         self.top = np.array([b + 1 for b in bound], np.int64)
         self.need = np.full(len(rows), k, np.int64)
         self.open = np.ones(len(rows), bool)
 
     def blocks(self, which: np.ndarray, rows: np.ndarray, c: np.ndarray):
         """Indices of some of the queries ``which`` at a time, and their scores; a row's score with itself is below all."""
-        step = max(1, SCORES // max(1, len(c)))
+        step = max(1, self.scores // max(1, len(c)))
         for a in range(0, len(which), step):
             q = which[a : a + step]
             s = scores(self.v[q], c)
@@ -112,14 +113,15 @@ class Pass:
             self.top[q] = self.low[q] + (1 << int(self.shift[q]))
             if self.shift[q] == 0 or n == self.need[q]:
                 self.open[q] = False
-            self.shift[q] = max(0, int(self.shift[q]) - BINS.bit_length() + 1)
+            self.shift[q] = max(0, int(self.shift[q]) - self.bins.bit_length() + 1)
         self.open &= known  # the others have fewer than k candidates: all that lie in the interval
 
 
 def _counts(batches, state: Pass):
     which = np.flatnonzero(state.open)
     low, top, shift, need = state.low, state.top, state.shift, state.need
-    counts, floor = np.zeros((len(state.row), BINS), np.int64), low.copy()
+    bins = state.bins
+    counts, floor = np.zeros((len(state.row), bins), np.int64), low.copy()
     for batch in batches:
         c, rows = matrix(batch.column("v")), batch.column("row").to_numpy()
         for q, s in state.blocks(which, rows, c):
@@ -131,9 +133,9 @@ def _counts(batches, state: Pass):
             upto = counts[q, ::-1].cumsum(1)
             enough = upto[:, -1] >= need[q]
             full = q[enough]
-            first = BINS - 1 - (upto[enough] >= need[full, None]).argmax(1)
+            first = bins - 1 - (upto[enough] >= need[full, None]).argmax(1)
             floor[full] = low[full] + (first << shift[full])
-    counts[np.arange(BINS) < ((floor - low) >> shift)[:, None]] = 0
+    counts[np.arange(bins) < ((floor - low) >> shift)[:, None]] = 0
     x, y = np.nonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32)), pa.array(need[x]), pa.array(counts[x, y])], ["q", "bin", "need", "n"])
 
@@ -156,7 +158,7 @@ def _above(batches, state: Pass, k: int):
             x, y = np.nonzero(s >= state.low[q].astype(s.dtype)[:, None])
             held.append((q[x], s[x, y].astype(np.int64), none[y], id_[y]))
             size += len(x)
-            if size > SCORES:
+            if size > state.scores:
                 held = _best(held, k)
                 size = len(held[0][0])
     if size:

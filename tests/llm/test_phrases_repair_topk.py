@@ -47,23 +47,45 @@ def phrase_rows():
     return rows
 
 
-@pytest.mark.parametrize("held, cache, top", [(None, None, 2000), (50, 7, 20)])
-def test_phrases_against_plain_counts(spark, monkeypatch, held, cache, top):
-    if held:
-        monkeypatch.setattr(collocations, "HELD", held)
-        monkeypatch.setattr(collocations, "CACHE", cache)
-    docs = spark.createDataFrame(phrase_rows(), "lang string, text string").withColumnsRenamed({}).selectExpr("*", "1 AS n", "'x' AS phrase", "0 AS rank")
+@pytest.mark.parametrize("small, top", [({}, 2000), ({"HELD": 50, "WORDS": 9, "STEP": 5, "OUT_BYTES": 40, "LANGS": 1, "WORD_BYTES": 60}, 20)])
+def test_phrases_against_plain_counts(spark, monkeypatch, small, top):
+    for name, value in small.items():
+        monkeypatch.setattr(collocations, name, value)
+    docs = spark.createDataFrame(phrase_rows(), "lang string, text string").selectExpr("*", "1 AS n", "'x' AS phrase", "0 AS rank")
     got = collocations.collocations(spark, docs.repartition(3), top=top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()
     want = plain_phrases(phrase_rows(), 10, top)
     assert sorted(map(tuple, got)) == want and len(want) > 30
 
 
 def test_bits_of_a_level_are_found_again(spark):
-    level = spark.createDataFrame([("en", "the"), ("en", "é 日本"), ("de", "x" * 500)], "lang string, phrase string")
+    level = spark.createDataFrame([("en", "the"), ("en", "é"), ("de", "x" * 500)], "lang string, phrase string")
     bits = np.frombuffer(collocations.bitmap(level), np.uint8)
-    en, de = collocations.Level(bits, "en"), collocations.Level(bits, "de")
-    assert en["the"] and en["é 日本"] and de["x" * 500] and not de["the"] and not en["x" * 500]
-    assert int(np.unpackbits(bits).sum()) == 3 and "x" * 500 not in de
+    en, de = collocations.Counts("en", 2, bits), collocations.Counts("de", 2, bits)
+    list(en.add(collocations.tokens(f"The é the de {'x' * 500} é  the.\tthe".encode())))
+    list(de.add(collocations.tokens(f"the the {'x' * 500} {'x' * 500} the".encode())))
+    got = [r for c in (en, de) for b in c.rows() for r in zip(*[x.to_pylist() for x in b.columns])]
+    assert sorted(got) == [("de", f"{'x' * 500} {'x' * 500}", 1), ("en", "the é", 1), ("en", "é the", 2)] and int(np.unpackbits(bits).sum()) == 3
+
+
+@pytest.mark.parametrize("small", [{}, {"HELD": 50, "WORDS": 40, "STEP": 5, "OUT_BYTES": 40}, {"WORD_BYTES": 60}])
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_counts_handed_on_in_parts_add_up(monkeypatch, small, k):
+    for name, value in small.items():
+        monkeypatch.setattr(collocations, name, value)
+    texts = [t for _, t in phrase_rows() if t and len(t) < 5000]
+    all_bits, got = np.full(collocations.BITS // 8, 255, np.uint8), Counter()
+    c = collocations.Counts("en", k, all_bits)
+    batches = [b for t in texts for b in c.add(collocations.tokens(t.encode()))] + list(c.rows())
+    for b in batches:
+        for _, phrase, n in zip(*[x.to_pylist() for x in b.columns]):
+            got[phrase] += n
+    want = Counter()
+    for t in texts:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", "".join(c.lower() if "A" <= c <= "Z" else c for c in t)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            want.update(" ".join(w[i : i + k]) for i in range(len(w) - k + 1))
+            want[None] += len(w) if k == 1 else 0
+    assert +got == +want and (not small or len(batches) > 10)
 
 
 def test_products_beyond_64_bits(spark):
