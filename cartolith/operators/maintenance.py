@@ -30,7 +30,7 @@ def upsert_extensions(extensions: DataFrame, new: DataFrame) -> DataFrame:
 def fill_definitions(srs: DataFrame, known: DataFrame) -> DataFrame:
     """Fill empty or undefined WKT2 texts from known ones, and empty descriptions by the name."""
     empty = lambda c: F.nullif(F.nullif(F.trim(F.col(c)), F.lit("")), F.lit("undefined"))
-    out = srs.join(F.broadcast(known.select("srs_id", F.col("wkt2").alias("_wkt"))), "srs_id", "left")
+    out = srs.join(known.select("srs_id", F.col("wkt2").alias("_wkt")), "srs_id", "left")
     return out.withColumns({"definition_12_063": F.coalesce(empty("definition_12_063"), "_wkt", F.lit("undefined")), "description": F.coalesce(F.nullif(F.trim("description"), F.lit("")), "srs_name")}).drop("_wkt")
 
 

@@ -236,7 +236,7 @@ def metadata_rules(c, docs: DataFrame, linked: DataFrame) -> DataFrame:
 
 
 def data_rules(c) -> DataFrame:
-    """Requirement 24: what the catalog names is there, layers have keys, sound indexes and the geometries that they declare."""
+    """Requirement 24: what the catalog names is there, layers have keys, sound indexes and the geometries that they declare; attributes that say nothing are told."""
     declared = c.contents.select("file", "table_name").distinct()
     there = c.schema.select("file", "table_name").distinct()
     layers = c.geometry_columns.select("file", "table_name", "column_name", "geometry_type_name", "z", "m")
@@ -255,7 +255,12 @@ def data_rules(c) -> DataFrame:
     def named(rows: DataFrame, why: str) -> DataFrame:
         return mark(rows.select("file", "table_name").distinct().join(declared, ["file", "table_name"], "left_anti"), 24, FAIL, name(why))
 
+    silent = []
+    if c.columns is not None:
+        said = c.columns.groupBy("file", "table_name", "column_name").agg(F.sum("n").alias("n"), F.sum("n_empty").alias("n_empty")).filter("n > 0 AND n = n_empty")
+        silent = [mark(said, 24, PARTIAL, F.concat("table_name", F.lit("."), "column_name", F.lit(": null or a placeholder in all "), "n", F.lit(" rows")))]
     return either(
+        *silent,
         mark(declared.join(there, ["file", "table_name"], "left_anti"), 24, FAIL, name("no such table")),
         named(c.geometry_columns, "layer is not in contents"), named(c.sets, "matrix set is not in contents"), named(c.matrix, "matrix is not in contents"),
         judge(keyed, 24, F.col("n_keys").isNull() | (F.col("n_keys") != 1) | (F.col("key_type") != "INTEGER"), name("no integer primary key")),

@@ -8,7 +8,10 @@ stop a layer.  Invalid geometries are written as they are; validation reports th
 from __future__ import annotations
 
 import json
+import os
 import struct
+import uuid
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,10 +25,42 @@ from ..sources import gpkg
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """Features of GeoJSON files: ``file``, ``geom`` (well-known binary) and ``properties`` as JSON text."""
-    raw = spark.read.option("multiLine", True).schema("type string, features array<struct<type: string, geometry: string, properties: string>>").json(path)
-    rows = raw.select(F.input_file_name().alias("file"), F.explode("features").alias("f"))
-    return rows.select("file", _from_geojson("f.geometry").alias("geom"), F.col("f.properties").alias("properties"))
+    """Features of GeoJSON files: ``file``, ``geom`` (well-known binary) and ``properties`` as JSON text.
+
+    A file is a collection, one feature or one geometry (read in one task), or features line by
+    line (with or without record separators), which are read in parts.  Anything else is an error
+    that names the file.
+    """
+    files = gpkg.find_files(path, suffix=".geojson") if os.path.isdir(path) else gpkg.find_files(path)
+    if not files:
+        raise ValueError(f"no such files: {path}")
+    lines = [f for f in files if _by_line(f)]
+    whole = [f for f in files if f not in set(lines)]
+    parts, one = [], "type string, geometry string, properties string, coordinates string"
+    if lines:
+        text = spark.read.text(lines).select(F.col("_metadata.file_path").alias("file"), F.ltrim("value", F.lit("\x1e \t")).alias("t")).filter("trim(t) <> ''")
+        parts.append(text.select("file", F.from_json("t", one).alias("f")))
+    if whole:
+        raw = spark.read.option("multiLine", True).schema(f"{one}, features array<struct<{one.replace(' string', ': string')}>>").json(whole)
+        raw = raw.select(F.col("_metadata.file_path").alias("file"), "*")
+        single = F.array(F.struct("type", "geometry", "properties", "coordinates"))
+        parts.append(raw.select("file", F.explode(F.when(F.col("type") == "FeatureCollection", F.coalesce("features", F.array().cast(raw.schema["features"].dataType))).otherwise(single)).alias("f")))
+    rows = reduce(DataFrame.unionByName, parts)
+    bare = F.concat(F.lit('{"type":"'), F.col("f.type"), F.lit('","coordinates":'), F.col("f.coordinates"), F.lit("}"))
+    shape = F.when(F.col("f.type") == "Feature", F.col("f.geometry")).when(F.col("f.type").isin(*_CODES) & F.col("f.coordinates").isNotNull(), bare)
+    known = F.col("f.type").isin("Feature", *_CODES)
+    shape = F.when(known, shape).otherwise(F.raise_error(F.concat(F.lit("no GeoJSON feature in "), "file")))
+    return rows.select("file", _from_geojson(shape).alias("geom"), F.col("f.properties").alias("properties"))
+
+
+def _by_line(path: str) -> bool:
+    """Whether a file has a feature a line: its first line is one, and there is more."""
+    with open(path, "rb") as f:
+        first, more = f.readline(64 << 20).lstrip(b"\xef\xbb\xbf\x1e \t"), f.readline(1 << 16)
+    try:
+        return json.loads(first).get("type") == "Feature" and (bool(more.strip()) or first.endswith(b"\n"))
+    except (ValueError, AttributeError):
+        return False
 
 
 _CODES = {"Point": 1, "LineString": 2, "Polygon": 3, "MultiPoint": 4, "MultiLineString": 5, "MultiPolygon": 6}
@@ -106,14 +141,16 @@ def _title(layer: Column) -> Column:
 
 def convert_layers(
     layers: dict[str, DataFrame], path: str, *, title: str, abstract: str, stamp: str, srs_id: int = 4326, mode: str = "keep", target: int = 4326, profile: str = "default",
-    language: str | None = None, organisation: str = "", identifier: str = "", wkt2: str | None = None,
+    language: str | None = None, organisation: str = "", identifier: str = "", wkt2: str | None = None, file: str | None = None,
 ) -> list[dict]:
     """Write layers (``geom``, well-known binary in ``srs_id``, and attributes) into GeoPackages below ``path``.
 
-    Each task writes one file that has all layers.  Binary attributes are dropped, geometries
+    Each task writes one file that has all layers; with ``file`` there is one file of that name
+    with all layers and rows.  Binary attributes are dropped, geometries
     flattened and brought into the system that ``mode`` says.  The files hold a document of
     the metadata profile, one of the package, and one of each layer below it.  Returns what
-    was written of each layer; ``lost`` counts geometries that could not be read.
+    this job wrote of each layer, as its tasks counted it; ``lost`` counts geometries that could
+    not be read.
     """
     spark = next(iter(layers.values())).sparkSession
     gpkg.register(spark)
@@ -135,12 +172,15 @@ def convert_layers(
     merged = parts[0]
     for p in parts[1:]:
         merged = merged.unionByName(p)
-    options = dict(path=path, srs_id=str(system), wkt2=dims.WKT2.get(system, "undefined") if wkt2 is None else wkt2, last_change=stamp, layers=json.dumps(described), documents=json.dumps(documents))
-    merged.write.format("gpkg").mode("append").options(**options).save()
-    found = gpkg.read_table(spark, path, "__features__").groupBy("table_name").agg(F.count("*").alias("n"), F.count("geom").alias("g"))
-    found = {r.table_name: r for r in found.filter(F.col("table_name").isin(list(layers))).collect()}
-    return [{"layer": r["layer"], "features": found[r["layer"]].n if r["layer"] in found else 0, "geometries": found[r["layer"]].g if r["layer"] in found else 0, "lost": r["given"] - (found[r["layer"]].g if r["layer"] in found else 0),
-             "dropped_columns": r["dropped_columns"], "srs_id": system} for r in reported]
+    job = uuid.uuid4().hex
+    options = dict(path=path, job=job, srs_id=str(system), wkt2=dims.WKT2.get(system, "undefined") if wkt2 is None else wkt2, last_change=stamp, layers=json.dumps(described), documents=json.dumps(documents))
+    if file is None:
+        merged.write.format("gpkg").mode("append").options(**options).save()
+    else:
+        gpkg.write_files(merged.withColumn("_file", lit(file)), file_column="_file", **options)
+    with open(os.path.join(path, f"_written-{job}.json")) as f:
+        found = json.load(f)["layers"]
+    return [{"layer": r["layer"], "features": found[r["layer"]][0], "geometries": found[r["layer"]][1], "lost": r["given"] - found[r["layer"]][1], "dropped_columns": r["dropped_columns"], "srs_id": system} for r in reported]
 
 
 def convert_layer(df: DataFrame, path: str, *, layer: str, **settings) -> dict:
@@ -148,6 +188,27 @@ def convert_layer(df: DataFrame, path: str, *, layer: str, **settings) -> dict:
     return convert_layers({layer: df}, path, **settings)[0]
 
 
+def convert_geopackage(spark: SparkSession, source: str, path: str, *, title: str, abstract: str, stamp: str, layers: list[str] | None = None, **settings) -> list[dict]:
+    """Feature layers of GeoPackages, with typed attributes and from their own systems, into new ones.
+
+    A layer that several files have is one layer of all their rows; they must agree on its system.
+    """
+    listed = gpkg.list_layers(spark, source).filter(F.col("geometry_column").isNotNull()).groupBy("table_name").agg(F.collect_set("srs_id").alias("s")).orderBy("table_name").collect()
+    systems = {r.table_name: r.s for r in listed if layers is None or r.table_name in layers}
+    if lacking := set(layers or []) - set(systems):
+        raise ValueError("no such layer: " + ", ".join(sorted(lacking)))
+    if mixed := [n for n, s in systems.items() if len(s) != 1]:
+        raise ValueError("files disagree on the system of " + ", ".join(mixed))
+    by_system: dict[int, dict[str, DataFrame]] = {}
+    for name, (srs,) in systems.items():
+        by_system.setdefault(srs, {})[name] = gpkg.read_layer(spark, source, name).drop("file", "fid")
+    out = []
+    for srs, some in by_system.items():  # a file has one system: layers of another one get files of their own
+        target = {"file": f"{settings['file']}-{srs}" if len(by_system) > 1 else settings["file"]} if settings.get("file") else {}
+        out += convert_layers(some, path, title=title, abstract=abstract, stamp=stamp, srs_id=srs, **settings | target)
+    return out
+
+
 def summary(results: list[dict], seconds: float) -> dict:
     """Totals of ``convert_layers``: layers, features, lost geometries and features a second."""
     n = sum(r["features"] for r in results)

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import dims
@@ -19,7 +19,8 @@ class Catalog:
     """Catalog tables of many files; each has a ``file`` column.  A table that no file has is empty.
 
     ``heads`` has the format and size of each tile's image, ``shapes`` the facts of each
-    geometry (``shape_facts``), ``index`` the entries and extent of each layer's index.
+    geometry (``shape_facts``), ``index`` the entries and extent of each layer's index,
+    ``columns``, which may be left out, the rows of each attribute and those that say nothing.
     """
 
     files: DataFrame
@@ -37,17 +38,51 @@ class Catalog:
     shapes: DataFrame
     index: DataFrame
     coverage: DataFrame
+    columns: DataFrame | None = None
 
     def written(self, folder: str) -> "Catalog":
         """The same catalog from Parquet tables below ``folder``, so that rules read each source once."""
         out = {}
         for f in fields(self):
-            df: DataFrame = getattr(self, f.name)
+            df: DataFrame | None = getattr(self, f.name)
+            if df is None:
+                continue
             df.write.mode("overwrite").parquet(f"{folder}/{f.name}")
             out[f.name] = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{f.name}")
         return Catalog(**out)
 
 
+#: Fields of a catalog and the source of their rows in a scan.
+SOURCES = {
+    "schema": "schema", "pragmas": "pragma", "contents": "gpkg_contents", "srs": "gpkg_spatial_ref_sys", "geometry_columns": "gpkg_geometry_columns", "sets": "gpkg_tile_matrix_set",
+    "matrix": "gpkg_tile_matrix", "extensions": "gpkg_extensions", "metadata": "gpkg_metadata", "reference": "gpkg_metadata_reference", "heads": "heads", "shapes": "features", "index": "index",
+    "coverage": "gpkg_2d_gridded_coverage_ancillary", "columns": "columns",
+}
+
+
+@dataclass
+class Scan(Catalog):
+    """A catalog over files: ``scan`` has the rows of all its tables, tagged by ``source``, from one opening of each file."""
+
+    scan: DataFrame | None = None
+
+    def written(self, folder: str) -> "Catalog":
+        """One pass over the files writes all tables, a folder for each; shapes are reduced to their facts on the way."""
+        from ..sources.gpkg import with_errors
+
+        spark = self.files.sparkSession
+        rows = self.scan.withColumn("_h", binary.gp_header(F.col("geom"), compat=False)).select("*", *_shape_columns()).drop("geom", "_h")
+        rows.write.mode("overwrite").partitionBy("source").parquet(f"{folder}/scan")
+        whole = spark.read.schema(rows.schema).parquet(f"{folder}/scan")
+        get = lambda source: whole.filter(F.col("source") == source)
+        out = {}
+        for name, source in SOURCES.items():
+            wanted: DataFrame = getattr(self, name)
+            renamed = F.col("tile_matrix_set_name").alias("table_name")
+            out[name] = get(source).select(*[renamed if name == "coverage" and f.name == "table_name" else F.col(f"`{f.name}`").cast(f.dataType) for f in wanted.schema.fields])
+        return Catalog(files=with_errors(get("files"), get("errors")), **out)
+
+
 def scratch_folder(spark: SparkSession, label: str) -> str:
     """A new folder for tables between plans, in the cluster's shared ``spark.checkpoint.dir``; a temporary one only in local mode without any."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -61,11 +96,15 @@ def shape_facts(features: DataFrame, *, compat: bool = False) -> DataFrame:
 
     With ``compat``, Z and M are read as ``binary.gp_header`` says there.
     """
-    rows = features.select("file", "table_name", "geom", binary.gp_header(F.col("geom"), compat=compat).alias("h"))
-    body = F.expr("substring(geom, h.wkb_offset + 1)")
-    problem = F.when(F.col("geom").isNotNull() & F.col("h").isNull(), "no header").otherwise(geometry.validity(body))
-    flag = lambda c: F.coalesce(F.col(f"h.{c}"), F.lit(False)).alias(c)
-    return rows.select("file", "table_name", F.col("geom").isNull().alias("empty"), flag("has_z"), flag("has_m"), geometry.geometry_type(F.col("h.wkb_type")).alias("geometry_type"), problem.alias("problem"))
+    return features.select("file", "table_name", "geom", binary.gp_header(F.col("geom"), compat=compat).alias("_h")).select("file", "table_name", *_shape_columns())
+
+
+def _shape_columns() -> list[Column]:
+    """Facts from a blob ``geom`` and its header ``_h``."""
+    body = F.expr("substring(geom, _h.wkb_offset + 1)")
+    problem = F.when(F.col("geom").isNotNull() & F.col("_h").isNull(), "no header").otherwise(geometry.validity(body))
+    flag = lambda c: F.coalesce(F.col(f"_h.{c}"), F.lit(False)).alias(c)
+    return [F.col("geom").isNull().alias("empty"), flag("has_z"), flag("has_m"), geometry.geometry_type(F.col("_h.wkb_type")).alias("geometry_type"), problem.alias("problem")]
 
 
 def file_profile(contents: DataFrame, matrix: DataFrame) -> DataFrame:

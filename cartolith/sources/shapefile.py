@@ -1,9 +1,10 @@
 """Shapefiles as a Spark data source: ``spark.read.format("shp").load(path)``.
 
 A partition is a file.  The columns are ``file``, ``geom`` (two-dimensional well-known
-binary; null shapes are null) and the attributes of the first file's table; Z and M values
-are left out.  Rings are told apart by direction: a clockwise ring starts a polygon, the
-counter-clockwise ones after it are its holes.
+binary; null shapes are null) and the attributes of all files' tables: what a file lacks is
+null, what files give different types is the wider number or text.  Z and M values are left
+out.  Rings are told apart by direction: a clockwise ring is a polygon's shell, a
+counter-clockwise one a hole of the smallest shell that it lies in, in whatever order they come.
 """
 
 from __future__ import annotations
@@ -21,9 +22,7 @@ KINDS = {"C": "string", "D": "string", "L": "boolean", "F": "double"}
 
 
 def shape_files(path: str) -> list[str]:
-    if os.path.isdir(path):
-        path = os.path.join(path, "*.shp")
-    return [f for f in find_files(path) if f.lower().endswith(".shp")]
+    return [f for f in find_files(path, suffix=".shp") if f.lower().endswith(".shp")]
 
 
 def table_fields(path: str) -> list[tuple[str, str, int, int]]:
@@ -59,7 +58,19 @@ def cell(raw: bytes, kind: str, type_: str):
     return text or None
 
 
+def merged_fields(files: list[str]) -> dict[str, str]:
+    """Name and type of the attributes of all files."""
+    out: dict[str, str] = {}
+    for f in files:
+        for n, k, w, d in table_fields(f):
+            new = column_type(k, w, d)
+            old = out.setdefault(n, new)
+            out[n] = old if old == new else "double" if {old, new} == {"long", "double"} else "string"
+    return out
+
+
 def attributes(path: str):
+    """A table's rows as tuples, by its own fields."""
     fields = [(k, w, column_type(k, w, d)) for _, k, w, d in table_fields(path)]
     with open(os.path.splitext(path)[0] + ".dbf", "rb") as f:
         n, start, size = struct.unpack_from("<IHH", f.read(32), 4)
@@ -76,6 +87,31 @@ def _line(p: np.ndarray) -> bytes:
     return struct.pack("<I", len(p)) + np.ascontiguousarray(p, "<f8").tobytes()
 
 
+def with_holes(rings: list[np.ndarray]) -> list[list[np.ndarray]]:
+    """Shells, each with its holes; a hole that lies in no shell is a polygon of its own."""
+    areas = [(r[:-1, 0] * r[1:, 1] - r[1:, 0] * r[:-1, 1]).sum() for r in rings]
+    shells = sorted((i for i, a in enumerate(areas) if a <= 0), key=lambda i: abs(areas[i]))
+    out = {i: [rings[i]] for i, a in enumerate(areas) if a <= 0}
+    low, high = (np.array([f(rings[i], axis=0) for i in shells]).reshape(-1, 2) for f in (np.min, np.max))
+    for i, a in enumerate(areas):
+        if a <= 0:
+            continue
+        r = rings[i]
+        near = np.flatnonzero((low <= r.min(0)).all(1) & (high >= r.max(0)).all(1))
+        home = next((shells[k] for k in near if lies_in(r, rings[shells[k]])), None)
+        out.setdefault(i if home is None else home, []).append(r)
+    return [out[i] for i in sorted(out)]
+
+
+def lies_in(hole: np.ndarray, shell: np.ndarray) -> bool:
+    """Whether most corners of a ring are inside another (rings that touch have some on it)."""
+    (x, y), a, b = hole[:-1].T, shell[:-1], shell[1:]
+    up = (a[:, 1] > y[:, None]) != (b[:, 1] > y[:, None])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        at = a[:, 0] + (y[:, None] - a[:, 1]) / (b[:, 1] - a[:, 1]) * (b[:, 0] - a[:, 0])
+    return 2 * int(((up & (at > x[:, None])).sum(1) % 2).sum()) > len(x)
+
+
 def shape_wkb(data: bytes) -> bytes | None:
     """Well-known binary of one shape record."""
     (kind,) = struct.unpack_from("<i", data)
@@ -97,13 +133,7 @@ def shape_wkb(data: bytes) -> bytes | None:
     if base == 3:
         lines = [struct.pack("<BI", 1, 2) + _line(r) for r in rings]
         return lines[0] if len(lines) == 1 else struct.pack("<BII", 1, 5, len(lines)) + b"".join(lines)
-    polygons: list[list[np.ndarray]] = []
-    for r in rings:
-        area = (r[:-1, 0] * r[1:, 1] - r[1:, 0] * r[:-1, 1]).sum()
-        if area <= 0 or not polygons:
-            polygons.append([r])
-        else:
-            polygons[-1].append(r)
+    polygons = with_holes(rings)
     out = [struct.pack("<BII", 1, 3, len(p)) + b"".join(map(_line, p)) for p in polygons]
     return out[0] if len(out) == 1 else struct.pack("<BII", 1, 6, len(out)) + b"".join(out)
 
@@ -117,15 +147,23 @@ def shapes(path: str):
 
 
 class ShapefileReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, columns: list[tuple[str, str]]):
+        self.path, self.columns = path, columns
 
     def partitions(self) -> list[InputPartition]:
         return [FilePart(f) for f in shape_files(self.path)]
 
     def read(self, partition):
-        for geom, row in zip(shapes(partition.path), attributes(partition.path)):
-            yield (partition.path, geom, *row)
+        own = [(n, column_type(k, w, d)) for n, k, w, d in table_fields(partition.path)]
+        at = {n: i for i, (n, _) in enumerate(own)}
+        change = {"double": float, "string": str}
+        for geom, row in zip(shapes(partition.path), attributes(partition.path), strict=True):
+            values = {"file": partition.path, "geom": geom}
+            for n, type_ in self.columns:
+                if n in at:
+                    v = row[at[n]]
+                    values[n] = v if v is None or own[at[n]][1] == type_ else change[type_](v)
+            yield tuple(values.get(n) for n, _ in self.columns)
 
 
 class ShapefileSource(DataSource):
@@ -137,10 +175,11 @@ class ShapefileSource(DataSource):
         files = shape_files(self.options["path"])
         if not files:
             raise ValueError("no shapefile at " + self.options["path"])
-        return ", ".join(["file string", "geom binary", *(f"`{n}` {column_type(k, w, d)}" for n, k, w, d in table_fields(files[0]))])
+        return ", ".join(["file string", "geom binary", *(f"`{n}` {t}" for n, t in merged_fields(files).items())])
 
     def reader(self, schema):
-        return ShapefileReader(self.options["path"])
+        names = {"bigint": "long"}
+        return ShapefileReader(self.options["path"], [(f.name, names.get(t := f.dataType.simpleString(), t)) for f in schema.fields])
 
 
 def register(spark: SparkSession) -> None:

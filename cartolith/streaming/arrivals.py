@@ -6,7 +6,10 @@ that the watermark has passed.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +17,18 @@ from pyspark.sql import functions as F
 from ..operators import scoring
 
 
+#: Files of one batch at most, so that the list of them that the driver holds is bounded.
+BATCH_FILES = 20_000
+
+
+def local_path(uri: str) -> str:
+    """The path of a ``file:`` URI, whatever characters its name has."""
+    return unquote(re.sub("^file:(//)?", "", uri)) if uri.startswith("file:") else uri
+
+
 def arriving_files(spark: SparkSession, folder: str, pattern: str = "*.gpkg") -> DataFrame:
     """A stream of container files as they arrive: path, time and size, without their content."""
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).schema("path string, modificationTime timestamp, length long, content binary").load(folder)
+    files = spark.readStream.option("maxFilesPerTrigger", BATCH_FILES).format("binaryFile").option("pathGlobFilter", pattern).schema("path string, modificationTime timestamp, length long, content binary").load(folder)
     return files.select("path", "modificationTime", "length")
 
 
@@ -30,9 +42,9 @@ def validate_arrivals(spark: SparkSession, folder: str, sink: Callable[[DataFram
     from ..sources.gpkg import read_catalog
 
     def batch(files: DataFrame, batch_id: int) -> None:
-        paths = [r.path.removeprefix("file:") for r in files.select("path").collect()]
+        paths = [local_path(r.path) for r in files.select("path").toLocalIterator()]
         if paths:
-            sink(findings(read_catalog(spark, ",".join(paths)), as_of), batch_id)
+            sink(findings(read_catalog(spark, json.dumps(paths)), as_of), batch_id)
 
     return arriving_files(spark, folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

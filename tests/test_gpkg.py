@@ -177,7 +177,7 @@ def test_ranges_read_every_tile_once(spark, found, monkeypatch):
         assert one.count() == 7
     monkeypatch.setattr(gpkg, "RANGE_BYTES", 20000)
     size = (d / "imagery.gpkg").stat().st_size
-    assert len(gpkg.GpkgReader({"path": str(d / "imagery.gpkg")}, "__tiles__", []).partitions()) == -(-size // 20000)
+    assert len(gpkg.GpkgReader({"path": str(d / "imagery.gpkg")}, "__tiles__").partitions()) == -(-size // 20000)
 
 
 def test_write_then_validate(spark, tmp_path):
