@@ -1,6 +1,9 @@
-"""python -m cartolith validate PATH [--output FOLDER] [--recursive] [--as-of STAMP]
-python -m cartolith convert SOURCE.geojson FOLDER --title ... --abstract ...
+"""python -m cartolith validate PATH [--output FOLDER] [--rollup FOLDER [--batch N]] [--recursive] [--as-of STAMP]
+python -m cartolith layers PATH
+python -m cartolith convert SOURCE FOLDER --title ... --abstract ... [--layer NAME] [--file NAME] [--mode a|b|keep] [--profile NAME]
 
+``convert`` takes GeoJSON, shapefiles and GeoPackages (all their layers unless ``--layer`` names one).  ``--rollup``
+writes facts, one JSON object a file and the CSV over all batches below the folder.
 ``validate`` prints the verdict of each file and exits with 1 if any requirement of any file
 fails or could not be checked, or if a file could not be read.
 """
@@ -18,29 +21,41 @@ def main(argv: list[str] | None = None) -> int:
     v = commands.add_parser("validate")
     v.add_argument("path")
     v.add_argument("--output")
+    v.add_argument("--rollup")
+    v.add_argument("--batch", type=int, default=0)
     v.add_argument("--recursive", action="store_true")
     now = datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     v.add_argument("--as-of", default=now)
     c = commands.add_parser("convert")
     c.add_argument("source")
     c.add_argument("output")
-    c.add_argument("--layer", default="layer")
+    c.add_argument("--layer")
+    c.add_argument("--file")
+    c.add_argument("--mode", default="keep", choices=("a", "b", "keep"))
+    c.add_argument("--profile", default="default")
+    c.add_argument("--srs-id", type=int, default=4326)
     c.add_argument("--title", required=True)
     c.add_argument("--abstract", default="")
-    c.add_argument("--language", default="eng")
+    c.add_argument("--language")
     c.add_argument("--stamp", default=now)
+    listing = commands.add_parser("layers")
+    listing.add_argument("path")
     args = parser.parse_args(argv)
 
     from pyspark.sql import SparkSession
 
     spark = SparkSession.builder.appName("cartolith").getOrCreate()
     if args.command == "convert":
-        from .plans.convert import convert_layer, read_geojson
-
         if len(args.title.strip()) < 5:
             parser.error("the title needs five characters or more")
-        rows = read_geojson(spark, args.source).drop("file")
-        print(convert_layer(rows, args.output, layer=args.layer, title=args.title, abstract=args.abstract or f"Converted from {args.source}", stamp=args.stamp, language=args.language))
+        for r in _convert(spark, args, parser):
+            print(r)
+        return 0
+    if args.command == "layers":
+        from .sources.gpkg import list_layers
+
+        for r in list_layers(spark, args.path).orderBy("file", "table_name").toLocalIterator():
+            print(f"{r.file}: {r.table_name} ({r.data_type}, {r.geometry_type or 'no geometry'}, system {r.organization}:{r.code}, {r.n} rows): {', '.join(f.name for f in r.fields)}")
         return 0
 
     from .operators import scoring
@@ -49,7 +64,12 @@ def main(argv: list[str] | None = None) -> int:
     from .sources import gpkg
 
     catalog = gpkg.read_catalog(spark, args.path, recursive=str(args.recursive).lower()).written(scratch_folder(spark, "validate"))
-    facts = findings(catalog, args.as_of).cache()
+    if args.rollup:
+        from .plans.rollup import write_reports
+
+        facts = write_reports(catalog, args.as_of, args.rollup, batch=args.batch)
+    else:
+        facts = findings(catalog, args.as_of).cache()
     if args.output:
         write_findings(facts, args.output)
     unread = gpkg.read_table(spark, args.path, "__files__", recursive=str(args.recursive).lower()).filter("not ok").select("file", "error").collect()
@@ -61,5 +81,26 @@ def main(argv: list[str] | None = None) -> int:
     return int(bool(bad or unread))
 
 
+def _convert(spark, args, parser) -> list[dict]:
+    """Convert by what the source holds."""
+    from .plans import convert
+    from .sources import shapefile
+    from .sources.detect import kind_of
+
+    kind, what = kind_of(args.source)
+    if kind != "vector":
+        parser.error(f"{args.source}: {what}")
+    given = dict(title=args.title, abstract=args.abstract or f"Converted from {args.source}", stamp=args.stamp, language=args.language, file=args.file, mode=args.mode, profile=args.profile)
+    if what == "gpkg":
+        return convert.convert_geopackage(spark, args.source, args.output, layers=[args.layer] if args.layer else None, **given)
+    if what == "shp":
+        shapefile.register(spark)
+        rows = spark.read.format("shp").load(path=args.source)
+        given["srs_id"] = shapefile.system_of(args.source) or args.srs_id
+    else:
+        rows, given["srs_id"] = convert.read_geojson(spark, args.source), args.srs_id
+    return [convert.convert_layer(rows.drop("file"), args.output, layer=args.layer or "layer", **given)]
+
+
 if __name__ == "__main__":
     sys.exit(main())

@@ -115,6 +115,8 @@ LISTED = [4978]
 #: Requirements by obligation: mandatory and conditional.
 MANDATORY = [1, 2, 3, 5, 7, 8, 9, 10, 11, 12, 13, 15, 18, 19, 20, 24, 25, 26, 27, 30]
 CONDITIONAL = [4, 6, 14, 16, 17, 21, 22, 23, 28, 29, 31, 32, 33, 34, 35, 36, 37]
+#: Requirements whose findings a person looks at again unless they pass (fixed values).
+SECOND_LOOK = [3, 5, 11, 12, 14, 22, 24, 25, 32]
 #: Short names of the requirements, 1 to 37.
 NAMES = (
     "base format", "options", "mandatory extensions", "optional extensions", "extensions not allowed", "conditional extensions", "raster systems", "tile matrix dimensions", "flat vector systems",

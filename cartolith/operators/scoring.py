@@ -45,15 +45,15 @@ def file_counts(facts: DataFrame) -> DataFrame:
 
 
 def requirement_rollup(facts: DataFrame) -> DataFrame:
-    """Per requirement over all files: applicable, disputes, confirmed PASS*, rate in percent (half to even)."""
+    """Per requirement over all files: applicable, disputes (failures and errors), confirmed PASS*, rate in percent (half to even)."""
     applicable = ~F.col("status").isin("SKIPPED", "N/A")
-    star = F.col("status") == "PASS*"
+    star, failed = F.col("status") == "PASS*", F.col("status").isin("FAIL", "ERROR")
     out = facts.groupBy("req").agg(
         F.count_if(applicable).alias("applicable"),
-        F.count_if(F.col("status") == "FAIL").alias("disputes"),
+        F.count_if(failed).alias("disputes"),
         F.count_if(star).alias("pass_star"),
         F.count_if(star & (F.col("total_n") > 0) & (F.col("confirmed") == F.col("total_n"))).alias("star_confirmed"),
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("status") == "FAIL", F.col("software")))), ",").alias("fail_software"),
+        F.array_join(F.array_sort(F.collect_set(F.when(failed, F.col("software")))), ",").alias("fail_software"),
     )
     rate = F.when(F.col("applicable") > 0, F.bround(100 * F.col("disputes") / F.col("applicable"), 0)).otherwise(0.0)
     return out.withColumn("rate", rate.cast("long"))

@@ -10,11 +10,22 @@ from ..operators import catalog, scoring
 from .validate import Catalog
 
 
-def write_findings(facts: DataFrame, path: str) -> None:
-    """One JSON object for each file: verdict, counts and the status of each requirement."""
+def write_findings(facts: DataFrame, path: str, *, notes: DataFrame | None = None, audits: DataFrame | None = None) -> None:
+    """One JSON object for each file: verdict, counts and each requirement's status, with what else ``facts`` has of it.
+
+    ``notes`` (``file, req, notes``) goes with the requirements; ``audits`` (``file, audit,
+    facts``) and the writing software with the file.
+    """
     verdicts = scoring.file_verdicts(facts)
-    listed = facts.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("req", *[c for c in ("name", "status", "detail") if c in facts.columns]))).alias("requirements"))
-    verdicts.join(listed, "file").write.mode("overwrite").json(path)
+    if notes is not None:
+        facts = facts.join(notes.select("file", "req", "notes"), ["file", "req"], "left")
+    own = [c for c in ("name", "status", "detail", "notes", "confirmed", "total_n") if c in facts.columns]
+    of_file = [F.max(c).alias(c) for c in ("software", "confidence") if c in facts.columns]
+    listed = facts.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("req", *own))).alias("requirements"), *of_file)
+    out = verdicts.join(listed, "file")
+    if audits is not None:
+        out = out.join(audits.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("audit", "facts"))).alias("audits")), "file", "left")
+    out.write.mode("overwrite").json(path)
 
 
 def rollup_table(facts: DataFrame) -> DataFrame:

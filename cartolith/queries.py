@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import dims, validation_views
 from .adapters import WKT, Views, sql
-from .functions import binary, crs, text
+from .functions import binary, crs, text, wkt
 from .operators import catalog, maintenance, scorers, scoring, zoom
 
 _QUERIES: dict[str, Callable] = {}
@@ -220,6 +220,22 @@ def _(v):
     return v.srs.filter("srs_id > 9000").select("file", "srs_id", text.compound_problems(F.col("definition")).alias("problems"))
 
 
+_REGISTRY = "(VALUES " + ", ".join(f"({c}, '{f['kind']}', {f['axis_count']}, '{','.join(f['axes'])}', {repr(f['method']) if f['method'] else 'NULL'})" for c, f in wkt.registry().items()) + ") AS g(srs_id, kind, n, axes, method)"
+
+
+@query(
+    "definition_structure",
+    rf"""WITH d AS (SELECT file, srs_id, definition AS w, CASE WHEN regexp_matches(definition, '^GEOGC') THEN 'geographic' WHEN regexp_matches(definition, '^PROJC') THEN 'projected' WHEN regexp_matches(definition, '^COMP') THEN 'compound' END AS k,
+      list_transform(regexp_extract_all(definition, 'AXIS\["[^"]*",\s*([A-Za-z]+)\]', 1), lambda x: lower(x)) AS ax, TRY_CAST(nullif(regexp_extract(definition, ',CS\[\w+,(\d)\]', 1), '') AS INTEGER) AS cs,
+      TRY_CAST(nullif(regexp_extract(definition, '(ID|AUTHORITY)\["EPSG",\s*"?(\d+)"?\]\]$', 2), '') AS INTEGER) AS code, contains(definition, 'METHOD[') OR contains(definition, 'PROJECTION[') AS how FROM srs WHERE srs_id > 0),
+    e AS (SELECT *, coalesce(nullif(greatest(len(ax), coalesce(cs, 0)), 0), CASE k WHEN 'compound' THEN 3 ELSE 2 END) AS m FROM d LEFT JOIN {_REGISTRY} USING (srs_id))
+    SELECT file, srs_id, CASE WHEN kind IS NOT NULL AND w NOT IN ('', 'undefined') THEN array_to_string(list_filter([CASE WHEN code <> srs_id THEN 'code' END, CASE WHEN k <> kind THEN 'kind' END, CASE WHEN m <> n THEN 'axes' END,
+      CASE WHEN m = n AND len(ax) > 0 AND array_to_string(ax, ',') <> axes THEN 'axis order' END, CASE WHEN method IS NOT NULL AND NOT how THEN 'method' END], lambda x: x IS NOT NULL), ',') END AS problems FROM e""",
+)
+def _(v):
+    return v.srs.filter("srs_id > 0").select("file", "srs_id", wkt.structure_problems(F.col("definition"), F.col("srs_id")).alias("problems"))
+
+
 _LON, _LAT = "lon", "lat"
 
 
@@ -464,8 +480,8 @@ def _(v):
 # Scores and roll-ups
 
 _VERDICT = "CASE WHEN n_error > 0 THEN 'VALIDATION ERROR' WHEN n_fail > 0 THEN 'NON-CONFORMANT' WHEN n_pass_star > 0 THEN 'LIKELY CONFORMANT' WHEN n_skipped > 0 THEN 'AUTOMATED CHECKS CONFORMANT' ELSE 'CONFORMANT' END"
-_ROLLUP = """SELECT req, count(*) FILTER (status NOT IN ('SKIPPED', 'N/A')) AS applicable, count(*) FILTER (status = 'FAIL') AS disputes, count(*) FILTER (status = 'PASS*') AS pass_star,
-count(*) FILTER (status = 'PASS*' AND total_n > 0 AND confirmed = total_n) AS star_confirmed, coalesce(array_to_string(list_sort(list(DISTINCT software) FILTER (status = 'FAIL')), ','), '') AS fail_software FROM facts GROUP BY req"""
+_ROLLUP = """SELECT req, count(*) FILTER (status NOT IN ('SKIPPED', 'N/A')) AS applicable, count(*) FILTER (status IN ('FAIL', 'ERROR')) AS disputes, count(*) FILTER (status = 'PASS*') AS pass_star,
+count(*) FILTER (status = 'PASS*' AND total_n > 0 AND confirmed = total_n) AS star_confirmed, coalesce(array_to_string(list_sort(list(DISTINCT software) FILTER (status IN ('FAIL', 'ERROR'))), ','), '') AS fail_software FROM facts GROUP BY req"""
 
 
 @query("file_verdicts", f"WITH r AS (SELECT file, {', '.join(f'''count(*) FILTER (status = '{s}') AS {n}''' for s, n in scoring.NAMES.items())}, count(*) AS total FROM facts GROUP BY file) SELECT *, {_VERDICT} AS verdict FROM r")
@@ -715,3 +731,36 @@ def _over_files(f):
 
 for _name, (_f, _body) in _WHOLE.items():
     _QUERIES[_name], _SQL[_name] = _over_files(_f), validation_views.sql(_body)
+
+
+def rollup_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The roll-up's nine columns from findings, second looks and writing software of every file of the validation views."""
+    from .plans.report import rollup_table
+    from .plans.rollup import file_facts
+    from .plans.validate import scratch_folder
+
+    catalog = validation_views.catalog_of(spark, sf_dir).written(scratch_folder(spark, "rollup"))
+    return rollup_table(file_facts(catalog, validation_views.AS_OF))
+
+
+def _rollup_of_files_sql() -> str:
+    nested = lambda body: "WITH" + body[1:] if body.startswith(",") else body
+    looks = [body for name, (_, body) in (_SCORERS | _WHOLE).items() if name.startswith("score_")]
+    looks += [
+        f"""WITH j AS (SELECT m.*, pz0 FROM matrix m JOIN sets s USING (file, table_name) JOIN {_PZ} USING (srs_id)),
+        r AS (SELECT file, table_name, zoom_level, bool_or(abs(pixel_x_size - pz0 / pow(2.0, z)) / (pz0 / pow(2.0, z)) <= 1e-4) AS near FROM j, generate_series(0, 24) g(z) GROUP BY file, table_name, zoom_level),
+        t AS (SELECT file, bool_and(near) AS aligned FROM r GROUP BY file, table_name) """ + _score(8, "aligned", "t"),
+        "SELECT file, 30 AS req, count(*) FILTER (c.min_x >= s.min_x AND c.min_y >= s.min_y AND c.max_x <= s.max_x AND c.max_y <= s.max_y) AS confirmed, count(*) AS total FROM contents c JOIN sets s USING (file, table_name) GROUP BY file",
+    ]
+    union = "\nUNION ALL ".join(f"SELECT file, req, confirmed, total FROM ({nested(body)})" for body in looks)
+    head, facts = validation_views.findings_sql().split("\nSELECT f.file, g.req", 1)
+    names = ", ".join(f"'{n}'" for n in dims.NAMES)
+    return f"""{head}, facts AS (SELECT f.file, g.req{facts}), tiles AS (SELECT file, table_name, zoom_level FROM heads), looks AS ({union}), writers AS ({nested(_WHOLE['software_of_files'][1])}),
+whole AS (SELECT q.file, q.req, status, coalesce(confirmed, 0) AS confirmed, coalesce(total, 0) AS total_n, software FROM facts q LEFT JOIN looks USING (file, req) LEFT JOIN writers USING (file)),
+r AS (SELECT req, count(*) FILTER (status <> 'SKIPPED') AS applicable, count(*) FILTER (status IN ('FAIL', 'ERROR')) AS disputes, count(*) FILTER (req IN {_in(dims.SECOND_LOOK)} AND status IN ('FAIL', 'PASS*')) AS again,
+  count(*) FILTER (status = 'PASS*') AS stars, count(*) FILTER (status = 'PASS*' AND total_n > 0 AND confirmed = total_n) AS confirmed FROM whole GROUP BY req)
+SELECT req AS "Req", [{names}][req] AS "Requirement", CASE WHEN req IN {_in(dims.MANDATORY)} THEN 'M' ELSE 'C' END AS "Compliance Type", applicable AS "Applicable GPKGs", disputes AS "Validator Disputes",
+  again AS "Auditor Disputes", stars AS "PASS* Count", confirmed AS "PASS* Manual Confirmed", CASE WHEN applicable > 0 THEN round_even(100.0::DOUBLE * disputes / applicable, 0) ELSE 0 END::BIGINT AS "Dispute Rate %" FROM r"""
+
+
+_QUERIES["rollup_of_files"], _SQL["rollup_of_files"] = rollup_of_files, _rollup_of_files_sql()

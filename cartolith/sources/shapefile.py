@@ -25,6 +25,21 @@ def shape_files(path: str) -> list[str]:
     return [f for f in find_files(path, suffix=".shp") if f.lower().endswith(".shp")]
 
 
+def system_of(path: str) -> int | None:
+    """The code of a path's shapefiles, from their ``.prj`` files; None if they have none, ValueError if they differ."""
+    from ..functions import wkt
+
+    found = set()
+    for f in shape_files(path):
+        prj = os.path.splitext(f)[0] + ".prj"
+        if os.path.exists(prj):
+            with open(prj, encoding="utf-8", errors="replace") as p:
+                found.add(wkt.identify(p.read()))
+    if len(found) > 1:
+        raise ValueError("shapefiles of several systems: " + ", ".join(sorted(map(str, found))))
+    return found.pop() if found else None
+
+
 def table_fields(path: str) -> list[tuple[str, str, int, int]]:
     """Name, type letter, width and decimals of each attribute."""
     with open(os.path.splitext(path)[0] + ".dbf", "rb") as f:

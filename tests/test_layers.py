@@ -276,3 +276,71 @@ def test_forms_of_geojson(spark, tmp_path):
     (tmp_path / "bad.json").write_text('{"type":"Topology"}')
     with pytest.raises(Exception, match="no GeoJSON feature in .*bad.json"):
         convert.read_geojson(spark, str(tmp_path / "bad.json")).collect()
+
+
+UTM_PRJ = 'PROJCS["WGS_1984_UTM_Zone_33N",GEOGCS["GCS_WGS_1984",DATUM["D_WGS_1984",SPHEROID["WGS_1984",6378137.0,298.257223563]],PRIMEM["Greenwich",0.0],UNIT["Degree",0.0174532925199433]],PROJECTION["Transverse_Mercator"],PARAMETER["False_Easting",500000.0],PARAMETER["False_Northing",0.0],PARAMETER["Central_Meridian",15.0],PARAMETER["Scale_Factor",0.9996],PARAMETER["Latitude_Of_Origin",0.0],UNIT["Meter",1.0]]'
+BASE = 'BASEGEOGCRS["WGS 84",DATUM["World Geodetic System 1984",ELLIPSOID["WGS 84",6378137,298.257223563,LENGTHUNIT["metre",1]]],PRIMEM["Greenwich",0,ANGLEUNIT["degree",0.0174532925199433]]]'
+UTM_WKT2 = f'PROJCRS["UTM 33",{BASE},CONVERSION["c",METHOD["Transverse Mercator"],PARAMETER["Latitude of natural origin",0,ANGLEUNIT["degree",0.0174532925199433]],PARAMETER["Longitude of natural origin",15,ANGLEUNIT["degree",0.0174532925199433]],PARAMETER["Scale factor at natural origin",0.9996],PARAMETER["False easting",500,LENGTHUNIT["kilometre",1000]],PARAMETER["False northing",0]],CS[Cartesian,2],AXIS["(E)",east,ORDER[1]],AXIS["(N)",north,ORDER[2]],LENGTHUNIT["metre",1],ID["EPSG",32633]]'
+
+
+def test_systems_are_compared_by_their_facts():
+    from cartolith.functions import wkt
+
+    assert wkt.problems(UTM_WKT2, 32633) == "" and wkt.problems(UTM_WKT2, 32634) == "code,parameters" and wkt.problems(UTM_PRJ, 32633) == ""
+    assert wkt.problems(UTM_WKT2.replace("6378137", "6378388"), 32633) == "ellipsoid"
+    assert wkt.problems(UTM_WKT2.replace('"Greenwich",0', '"Paris",2.33'), 32633) == "prime meridian"
+    swapped = UTM_WKT2.replace('AXIS["(E)",east,ORDER[1]],AXIS["(N)",north,ORDER[2]]', 'AXIS["(N)",north],AXIS["(E)",east]')
+    assert wkt.problems(swapped, 32633) == "axis order" and wkt.problems(swapped.replace("CS[Cartesian,2]", "CS[Cartesian,3]"), 32633) == "axes"
+    assert wkt.problems(UTM_WKT2.replace("Transverse Mercator", "Mercator (variant A)"), 32633) == "method"
+    assert wkt.problems(maker.GEOGRAPHIC, 4326) == "" and wkt.problems(UTM_WKT2[:-1], 32633) == "unreadable" and wkt.problems("undefined", 4326) is None and wkt.problems(UTM_WKT2, 2056) is None
+    compound = 'COMPOUNDCRS["x",GEOGCRS["WGS 84",DATUM["World Geodetic System 1984"],CS[ellipsoidal,2],AXIS["a",north],AXIS["b",east]],VERTCRS["h",VDATUM["{}"],CS[vertical,1],AXIS["h",up]],ID["EPSG",9518]]'
+    assert wkt.problems(compound.format("EGM2008 geoid"), 9518) == "" and wkt.problems(compound.format("EGM96 geoid"), 9518) == "vertical datum"
+    for bad, why in (("", "no definition"), ("A[1]]", "text after the end"), ("A[", "nothing closes"), ('A["x"["y"]]', "without a keyword"), ("A[" * 70 + "]" * 70, "nested too deeply"), ("A[#]", "unreadable at 3"), ('"x"', "without a keyword")):
+        with pytest.raises(ValueError, match=why):
+            wkt.parse(bad)
+    assert wkt.parse('A ["say ""x""", -1.5e3 , b]').values == ['say "x"', -1500.0, "b"]
+
+
+def test_codes_are_found_by_facts(spark, tmp_path):
+    from cartolith.functions import wkt
+
+    assert wkt.identify(UTM_PRJ) == 32633 and wkt.identify(UTM_PRJ.replace("15.0", "-177.0").replace('"False_Northing",0.0', '"False_Northing",10000000.0')) == 32701
+    assert wkt.identify('GEOGCS["GCS_WGS_1984",DATUM["D_WGS_1984",SPHEROID["WGS_1984",6378137.0,298.257223563]],PRIMEM["Greenwich",0.0],UNIT["Degree",0.0174532925199433]]') == 4326
+    assert wkt.identify('GEOGCS["x",DATUM["D_ETRS_1989",SPHEROID["GRS_1980",6378137.0,298.257222101]],PRIMEM["Greenwich",0.0]]') is None and wkt.identify("junk") is None and wkt.identify(None) is None
+    assert wkt.identify(UTM_WKT2.replace('32633]', '2056]')) == 2056 and wkt.identify(UTM_WKT2.replace('32633]', '32634]')) is None
+    got = spark.createDataFrame([(UTM_PRJ, 32633), (None, None)], "w string, s int").select(wkt.code_of(F.col("w")).alias("c"), wkt.structure_problems(F.col("w"), F.col("s")).alias("p")).collect()
+    assert [(r.c, r.p) for r in got] == [(32633, ""), (None, None)]
+    for n in ("a", "b"):
+        (tmp_path / f"{n}.shp").write_bytes(b"")
+    assert shapefile.system_of(str(tmp_path)) is None
+    (tmp_path / "a.prj").write_text(UTM_PRJ)
+    assert shapefile.system_of(str(tmp_path)) == 32633
+    (tmp_path / "b.prj").write_text(UTM_PRJ.replace("15.0", "21.0"))
+    with pytest.raises(ValueError, match="several systems"):
+        shapefile.system_of(str(tmp_path))
+
+
+def test_rollup_from_files(spark, wells, odd, tmp_path, capsys):
+    import csv
+
+    from cartolith.__main__ import main
+
+    out = str(tmp_path / "r")
+    main(["validate", wells, "--rollup", out, "--as-of", AS_OF])
+    main(["validate", odd, "--rollup", out, "--batch", "1", "--as-of", AS_OF])
+    main(["validate", odd, "--rollup", out, "--batch", "1", "--as-of", AS_OF])
+    table = {int(r["Req"]): r for r in csv.DictReader(next((tmp_path / "r/rollup").glob("*.csv")).read_text().splitlines())}
+    assert len(table) == 37 and table[13]["Applicable GPKGs"] == "6" and table[1]["Applicable GPKGs"] == "0"
+    facts = spark.read.parquet(f"{out}/facts")
+    status = {(os.path.basename(r.file), r.req): r for r in facts.collect()}
+    assert len(status) == 6 * 37
+    for req, r in table.items():
+        own = [x for (_, q), x in status.items() if q == req and x.status != "SKIPPED"]
+        assert (int(r["Applicable GPKGs"]), int(r["Validator Disputes"])) == (len(own), sum(x.status in ("FAIL", "ERROR") for x in own))
+        assert int(r["PASS* Count"]) == sum(x.status == "PASS*" for x in own) and int(r["PASS* Manual Confirmed"]) == sum(x.status == "PASS*" and x.total_n > 0 and x.confirmed == x.total_n for x in own)
+        assert int(r["Auditor Disputes"]) == sum(x.status in ("FAIL", "PASS*") and req in (3, 5, 11, 12, 14, 22, 24, 25, 32) for x in own)
+    assert (status["a.gpkg", 9].confirmed, status["a.gpkg", 9].total_n) == (2, 2) and status["a.gpkg", 9].software == "UNKNOWN"
+    files = [json.loads(x) for f in (tmp_path / "r/files").glob("*.json") for x in f.read_text().splitlines()]
+    assert len(files) == 4 and {a["audit"] for f in files for a in f["audits"]} >= {"extensions", "documents"} and all(len(f["requirements"]) == 37 and "software" in f for f in files)
+    main(["layers", wells])
+    assert "a.gpkg: wells (features, POINT, system EPSG:4326, 4 rows): fid, geom, remark" in capsys.readouterr().out
