@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, fields
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,14 +44,14 @@ class Catalog:
 
     def written(self, folder: str) -> "Catalog":
         """The same catalog from Parquet tables below ``folder``, so that rules read each source once."""
-        out = {}
-        for f in fields(self):
-            df: DataFrame | None = getattr(self, f.name)
-            if df is None:
-                continue
-            df.write.mode("overwrite").parquet(f"{folder}/{f.name}")
-            out[f.name] = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{f.name}")
-        return Catalog(**out)
+        tables: dict[str, DataFrame] = {f.name: df for f in fields(self) if (df := getattr(self, f.name)) is not None}
+
+        def write(name: str) -> None:
+            tables[name].write.mode("overwrite").parquet(f"{folder}/{name}")
+
+        with ThreadPoolExecutor(8) as pool:  # the tables have nothing to do with each other, and most are small
+            list(pool.map(inheritable_thread_target(self.files.sparkSession)(write), tables))
+        return Catalog(**{name: df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}") for name, df in tables.items()})
 
 
 #: Fields of a catalog and the source of their rows in a scan.

@@ -76,7 +76,8 @@ VIEWS = {
           CASE WHEN k % 54 = 30 THEN '<gmd:dateStamp>2025-01-01</gmd:dateStamp>' ELSE '' END, CASE WHEN k % 42 = 3 AND id = 1 OR k % 46 = 5 AND id = 2 THEN '' ELSE '</gmd:MD_Metadata>' END) END AS metadata
         FROM (SELECT {_K} AS k, CAST(id AS BIGINT) AS id FROM {{customer}} CROSS JOIN (VALUES (1), (2)) AS n(id) WHERE {_K} % 35 <> 0) AS d""",
     "reference": f"""SELECT {_FILE}, scope AS reference_scope, CASE WHEN scope IN ('table', 'row') OR {_K} % 12 = 5 THEN 't' END AS table_name, CAST(NULL AS STRING) AS column_name, CAST(NULL AS BIGINT) AS row_id_value,
-        CASE WHEN {_K} % 36 = 11 THEN 'soon' WHEN {_K} % 36 = 13 THEN '' ELSE '2025-01-02T03:04:05Z' END AS timestamp, CAST(CASE scope WHEN 'table' THEN 2 WHEN 'row' THEN 99 ELSE 1 END AS BIGINT) AS md_file_id
+        CASE WHEN {_K} % 36 = 11 THEN 'soon' WHEN {_K} % 36 = 13 THEN '' ELSE '2025-01-02T03:04:05Z' END AS timestamp, CAST(CASE scope WHEN 'table' THEN 2 WHEN 'row' THEN 99 ELSE 1 END AS BIGINT) AS md_file_id,
+        CAST(CASE WHEN scope = 'table' AND {_K} % 22 <> 8 THEN CASE WHEN {_K} % 23 = 5 THEN 77 ELSE 1 END END AS BIGINT) AS md_parent_id
         FROM {{customer}} CROSS JOIN (VALUES ('geopackage'), ('table'), ('row'), ('planet')) AS n(scope)
         WHERE {_K} % 55 <> 0 AND {_K} % 91 <> 0 AND CASE scope WHEN 'geopackage' THEN {_K} % 20 <> 7 WHEN 'table' THEN {_K} % 14 <> 9 WHEN 'row' THEN {_K} % 49 = 0 ELSE {_K} % 40 = 3 END""",
     "shapes": f"""SELECT {_FILE}, 't' AS table_name, {_K} % 52 = 0 AND i = 0 AS empty, ({_K} % 5 = 0 OR {_K} % 5 = 1 AND i = 1) <> ({_K} % 44 = 0 AND i = 1) AS has_z, {_K} % 84 = 0 AND i = 3 AS has_m,

@@ -5,6 +5,7 @@ import math
 import random
 import struct
 
+import numpy as np
 import pytest
 from maker import blob, jpeg, line, many, png, point, polygon, tiff
 from pyspark.sql import functions as F
@@ -290,3 +291,58 @@ def test_document_facts():
         assert xml.document_facts(bad)["ok"] is False and xml.document_facts(bad)["n_mandatory"] == 0
     assert xml.document_facts("<a><!-- remark --><?x y?><b/></a>")["ok"]
     assert blob(b"", (1, 2, 3, 4))[8:40] == struct.pack("<4d", 1, 3, 2, 4)
+
+
+def square(x, y, w, h=None):
+    return np.array([(x, y), (x + w, y), (x + w, y + (h or w)), (x, y + (h or w)), (x, y)], float)
+
+
+def test_interiors_in_pieces_against_flood_fill():
+    """Holes of whole cells that meet in corners only: the interior is in one piece if its cells are."""
+    import random
+
+    from cartolith.functions.geometry import polygon_problem
+
+    r, seen = random.Random(3), {None: 0, "interior in pieces": 0}
+    for _ in range(400):
+        n, used, holes = 6, np.zeros((8, 8), bool), []
+        used[0], used[-1], used[:, 0], used[:, -1] = True, True, True, True
+        outside = used.copy()
+        for _ in range(60):
+            x, y, w, h = r.randrange(1, n + 1), r.randrange(1, n + 1), r.choice((1, 1, 1, 2)), r.choice((1, 1, 1, 2))
+            cells = [(i, j) for i in range(x, x + w) for j in range(y, y + h)]
+            if x + w > n or y + h > n or any(used[i + a, j + b] for i, j in cells for a, b in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))):
+                continue
+            for i, j in cells:
+                used[i, j] = True
+            holes.append(square(x, y, w, h))
+        free = {(i, j) for i in range(1, n + 1) for j in range(1, n + 1) if not used[i, j]} if holes else set()
+        todo = [next(iter(free))] if free else []
+        reached = set(todo)
+        while todo:
+            i, j = todo.pop()
+            new = {(i + a, j + b) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1))} & free - reached
+            reached |= new
+            todo += new
+        want = None if reached == free else "interior in pieces"
+        assert polygon_problem([square(1, 1, n), *holes]) == want, holes
+        seen[want] += 1
+    assert seen["interior in pieces"] > 10 and seen[None] > 10 and outside.any()
+
+
+def test_many_holes_take_one_sweep():
+    import time
+
+    from cartolith.functions.geometry import polygon_problem
+
+    a = np.linspace(0, 2 * np.pi, 20001)
+    shell = np.column_stack([np.cos(a), np.sin(a)]) * 200
+    shell[-1] = shell[0]
+    holes = [square(-100 + 2 * (i % 100), -100 + 2 * (i // 100), 1) for i in range(10000)]
+    t = time.perf_counter()
+    assert polygon_problem([shell, *holes]) is None
+    assert time.perf_counter() - t < 20
+    assert polygon_problem([shell, *holes, square(-99.7, -99.7, 0.2)]) == "nested holes"
+    assert polygon_problem([shell, *holes, square(300, 0, 1)]) == "hole outside shell" and polygon_problem([shell, *holes, square(-99.5, -99.5, 1)]) == "rings cross"
+    assert polygon_problem([square(0, 0, 9), np.array([(0, 3), (3, 2), (3, 4), (0, 3)], float)]) is None
+    assert polygon_problem([square(0, 0, 9), np.array([(0, 3), (9, 2), (3, 4), (0, 3)], float)]) == "interior in pieces"
