@@ -1,5 +1,6 @@
 """python -m cartolith validate PATH [--output FOLDER] [--rollup FOLDER [--batch N]] [--recursive] [--as-of STAMP]
 python -m cartolith layers PATH
+python -m cartolith finalise PATH [--recursive]
 python -m cartolith convert SOURCE FOLDER --title ... --abstract ... [--layer NAME] [--file NAME] [--mode a|b|keep] [--profile NAME]
 
 ``convert`` takes GeoJSON, shapefiles and GeoPackages (all their layers unless ``--layer`` names one).  ``--rollup``
@@ -38,6 +39,9 @@ def main(argv: list[str] | None = None) -> int:
     c.add_argument("--abstract", default="")
     c.add_argument("--language")
     c.add_argument("--stamp", default=now)
+    final = commands.add_parser("finalise")
+    final.add_argument("path")
+    final.add_argument("--recursive", action="store_true")
     listing = commands.add_parser("layers")
     listing.add_argument("path")
     args = parser.parse_args(argv)
@@ -51,6 +55,13 @@ def main(argv: list[str] | None = None) -> int:
         for r in _convert(spark, args, parser):
             print(r)
         return 0
+    if args.command == "finalise":
+        from .plans.finalise import finalise
+
+        done = finalise(spark, args.path, recursive=args.recursive)
+        for r in sorted(done, key=lambda r: r["file"]):
+            print(f"{r['file']}: {'not changed: ' + r['error'] if r['error'] else ', '.join(r['changes']) or 'nothing to do'}")
+        return int(any(r["error"] for r in done))
     if args.command == "layers":
         from .sources.gpkg import list_layers
 

@@ -344,3 +344,42 @@ def test_rollup_from_files(spark, wells, odd, tmp_path, capsys):
     assert len(files) == 4 and {a["audit"] for f in files for a in f["audits"]} >= {"extensions", "documents"} and all(len(f["requirements"]) == 37 and "software" in f for f in files)
     main(["layers", wells])
     assert "a.gpkg: wells (features, POINT, system EPSG:4326, 4 rows): fid, geom, remark" in capsys.readouterr().out
+
+
+def test_files_are_finalised_in_place(spark, tmp_path, capsys):
+    from cartolith.__main__ import main
+    from cartolith.plans.finalise import finalise
+
+    d = tmp_path / "f"
+    d.mkdir()
+    raised = struct.pack("<BI3d", 1, 1001, 12.0, 50.0, 7.0)
+    spoiled = [
+        "PRAGMA user_version = 10100", "PRAGMA application_id = 0", "ALTER TABLE gpkg_spatial_ref_sys DROP COLUMN definition_12_063", "DELETE FROM gpkg_extensions WHERE extension_name = 'gpkg_crs_wkt'",
+        ("INSERT INTO gpkg_spatial_ref_sys (srs_name, srs_id, organization, organization_coordsys_id, definition, description) VALUES ('x', 2056, 'EPSG', 2056, ?, '')", (maker.MERCATOR,)), "UPDATE gpkg_contents SET max_x = 11 WHERE table_name = 'wells'",
+        ("UPDATE wells SET geom = ? WHERE fid = 3", (maker.blob(raised),)), "CREATE TRIGGER t AFTER UPDATE ON wells BEGIN INSERT OR REPLACE INTO rtree_wells_geom VALUES (NEW.fid, ST_MinX(NEW.geom), ST_MaxX(NEW.geom), ST_MinY(NEW.geom), ST_MaxY(NEW.geom)); END",
+    ]
+    maker.make(d / "old.gpkg", "survey", *spoiled)
+    maker.make(d / "wal.gpkg", "survey", *spoiled[3:5])
+    con = sqlite3.connect(d / "wal.gpkg")
+    con.execute("PRAGMA journal_mode = WAL")
+    con.execute("INSERT INTO wells (geom, remark) VALUES (?, 'late')", (maker.blob(maker.point(15, 50)),))
+    con.execute("INSERT INTO rtree_wells_geom VALUES (5, 15, 15, 50, 50)")
+    con.commit()
+    maker.make(d / "stuck.gpkg", "survey", "DROP TABLE gpkg_extensions", "CREATE VIEW gpkg_extensions AS SELECT 1 AS extension_name", "PRAGMA user_version = 10100")
+    before = (d / "stuck.gpkg").read_bytes()
+    assert main(["finalise", str(d)]) == 1
+    con.close()
+    said = capsys.readouterr().out
+    assert "stuck.gpkg: not changed" in said and (d / "stuck.gpkg").read_bytes() == before and all(not x.startswith(".") for x in os.listdir(d))
+    again = {os.path.basename(r["file"]): r for r in finalise(spark, str(d))}
+    assert again["old.gpkg"]["changes"] == [] == again["wal.gpkg"]["changes"] and again["stuck.gpkg"]["error"]
+    assert (d / "old.gpkg").read_bytes()[18:20] == b"\1\1" and gpkg.read_layer(spark, str(d / "wal.gpkg"), "wells").count() == 5
+    os.unlink(d / "stuck.gpkg")
+    facts = findings(gpkg.read_catalog(spark, str(d)).written(str(tmp_path / "c")), AS_OF)
+    status = {(os.path.basename(r.file), r.req): r for r in facts.collect()}
+    for f in ("old.gpkg", "wal.gpkg"):
+        assert all(status[f, q].status in ("PASS", "PASS*") for q in (3, 13, 24)), [status[f, q] for q in (3, 13, 24)]
+    con = sqlite3.connect(d / "old.gpkg")
+    assert con.execute("SELECT hex(geom) FROM wells WHERE fid = 3").fetchone()[0].endswith(maker.point(12, 50).hex().upper())
+    assert con.execute("SELECT srs_id FROM gpkg_spatial_ref_sys ORDER BY 1").fetchall() == [(-1,), (0,), (4326,)] and con.execute("PRAGMA user_version").fetchone() == (10400,)
+    con.close()
