@@ -51,7 +51,7 @@ EXTENT = {
     **{32700 + z: (100000.0, 1116915.0, 900000.0, 10000000.0) for z in range(1, 61)},
 }
 
-#: Settings of conversion by purpose.
+#: Settings of conversion by purpose (fixed values).
 PROFILES = {
     "default": {"security": "UNCLASSIFIED", "language": "eng", "topic": "location"},
     "civilian": {"security": "UNCLASSIFIED", "language": "eng", "topic": "environment"},
@@ -100,12 +100,15 @@ SCOPES = {
 MANDATORY_ELEMENTS = ["fileIdentifier", "language", "characterSet", "hierarchyLevel", "contact", "dateStamp", "identificationInfo"]
 #: Children that a document of the metadata profile may have besides.
 OPTIONAL_ELEMENTS = ["referenceSystemInfo", "distributionInfo", "dataQualityInfo", "metadataConstraints", "spatialRepresentationInfo"]
-#: Code lists of the public metadata standard.
-CHARSETS = "ucs2 ucs4 utf7 utf8 utf16 8859part1 8859part2 8859part3 8859part4 8859part5 8859part6 8859part7 8859part8 8859part9 8859part10 8859part11 8859part13 8859part14 8859part15 8859part16 jis932 shiftJIS eucJP usAscii ebcdic eucKR big5 GB2312".split()
-SCOPE_CODES = (
-    "attribute attributeType collectionHardware collectionSession dataset series nonGeographicDataset dimensionGroup feature featureType propertyType fieldSession software service model tile "
-    "metadata initiative sample document repository aggregate product collection coverage application"
-).split()
+#: Code lists MD_CharacterSetCode and MD_ScopeCode of the public metadata standard ISO 19115 (fixed values).
+CHARSETS = [
+    "ucs2", "ucs4", "utf7", "utf8", "utf16", "8859part1", "8859part2", "8859part3", "8859part4", "8859part5", "8859part6", "8859part7", "8859part8", "8859part9", "8859part10", "8859part11",
+    "8859part13", "8859part14", "8859part15", "8859part16", "jis932", "shiftJIS", "eucJP", "usAscii", "ebcdic", "eucKR", "big5", "GB2312",
+]
+SCOPE_CODES = [
+    "attribute", "attributeType", "collectionHardware", "collectionSession", "dataset", "series", "nonGeographicDataset", "dimensionGroup", "feature", "featureType", "propertyType",
+    "fieldSession", "software", "service", "model", "tile", "metadata", "initiative", "sample", "document", "repository", "aggregate", "product", "collection", "coverage", "application",
+]
 #: Requirements whose best status is PASS*, as a part of them cannot be checked here.
 BEST_IS_PARTIAL = [5, 9, 10, 12, 13, 14, 20, 23, 28, 29, 33]
 #: Spellings of the datum that all allowed codes have.

@@ -78,10 +78,6 @@ def definition_problems(wkt: Column, srs_id: Column | None = None, name: Column
     return F.array_join(F.array(*issues), ",")
 
 
-def normal_name(name: Column) -> Column:
-    return F.lower(F.regexp_replace(name, "[ _]", ""))
-
-
 def is_uuid(x: Column) -> Column:
     return F.coalesce(F.lower(x).rlike(r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"), F.lit(False))
 
@@ -118,7 +114,3 @@ def scope_code(xml: Column) -> Column:
 
 def escaped(x: Column) -> Column:
     return F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-
-
-def file_size(n: Column) -> Column:
-    return F.concat(F.format_number(n / 1048576, "0.0"), F.lit(" MB"))

@@ -213,11 +213,3 @@ def summary(results: list[dict], seconds: float) -> dict:
     """Totals of ``convert_layers``: layers, features, lost geometries and features a second."""
     n = sum(r["features"] for r in results)
     return {"layers": len(results), "features": n, "lost": sum(r["lost"] for r in results), "seconds": seconds, "features_per_second": n / seconds if seconds > 0 else None}
-
-
-def tile_grid(width: Column, height: Column) -> Column:
-    """Tiles (zoom, column, row) that cover a raster, down to one tile: an array to explode."""
-    return F.transform(
-        F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.ceil(F.greatest(width, height) / dims.TILE_SIZE), F.lit(1)))).cast("int")),
-        lambda z: F.struct(z.alias("zoom"), F.ceil(width / (dims.TILE_SIZE * F.pow(F.lit(2.0), z))).cast("int").alias("columns"), F.ceil(height / (dims.TILE_SIZE * F.pow(F.lit(2.0), z))).cast("int").alias("rows")),
-    )

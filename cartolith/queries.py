@@ -215,9 +215,9 @@ def _(v):
 
 
 @query("compound_structure", rf"""SELECT file, srs_id, array_to_string(list_filter([CASE WHEN NOT contains(upper(definition), 'COMPOUNDCRS[') THEN 'not compound' END, CASE WHEN NOT (contains(upper(definition), 'GEOGCRS[') OR contains(upper(definition), 'PROJCRS[')) THEN 'no horizontal part' END,
-CASE WHEN NOT contains(upper(definition), 'VERTCRS[') THEN 'no vertical part' END, CASE WHEN NOT regexp_matches(upper(definition), '(?s)VERTCRS\[.*VDATUM\[') THEN 'no vertical datum' END, CASE WHEN {_WKT1} THEN 'WKT1' END], lambda x: x IS NOT NULL), ',') AS problems FROM srs WHERE srs_id > 9000""")
+CASE WHEN NOT contains(upper(definition), 'VERTCRS[') THEN 'no vertical part' END, CASE WHEN NOT regexp_matches(upper(definition), '(?s)VERTCRS\[.*VDATUM\[') THEN 'no vertical datum' END, CASE WHEN {_WKT1} THEN 'WKT1' END], lambda x: x IS NOT NULL), ',') AS problems FROM srs WHERE regexp_matches(upper(definition), 'COMPOUNDCRS|COMPD_CS')""")
 def _(v):
-    return v.srs.filter("srs_id > 9000").select("file", "srs_id", text.compound_problems(F.col("definition")).alias("problems"))
+    return v.srs.filter(F.upper("definition").rlike("COMPOUNDCRS|COMPD_CS")).select("file", "srs_id", text.compound_problems(F.col("definition")).alias("problems"))
 
 
 _REGISTRY = "(VALUES " + ", ".join(f"({c}, '{f['kind']}', {f['axis_count']}, '{','.join(f['axes'])}', {repr(f['method']) if f['method'] else 'NULL'})" for c, f in wkt.registry().items()) + ") AS g(srs_id, kind, n, axes, method)"
@@ -764,3 +764,29 @@ SELECT req AS "Req", [{names}][req] AS "Requirement", CASE WHEN req IN {_in(dims
 
 
 _QUERIES["rollup_of_files"], _SQL["rollup_of_files"] = rollup_of_files, _rollup_of_files_sql()
+
+
+def content_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each metadata document of the validation views with its violations of the schema's order and numbers."""
+    from .functions import schema
+
+    documents = validation_views.catalog_of(spark, sf_dir).metadata
+    return documents.select("file", "id", F.array_join(schema.content_problems(schema.sequences(F.col("metadata"))), "; ").alias("problems"))
+
+
+def _content_models_sql() -> str:
+    from .functions.schema import MODELS
+
+    model = ", ".join(f"({i}, '{n}', {least}, {most})" for i, (n, least, most) in enumerate(MODELS["MD_Metadata"], 1))
+    nested = "'MD_Metadata', 'MD_CharacterSetCode', 'MD_ScopeCode', 'organisationName', 'CI_RoleCode'"
+    return validation_views.sql(f""", model(p, name, least, most) AS (VALUES {model}),
+    d AS (SELECT file, id, metadata, trim(metadata) LIKE '%</gmd:MD_Metadata>' AS whole, list_filter(regexp_extract_all(metadata, '<gmd:(\\w+)', 1), lambda x: x NOT IN ({nested})) AS children FROM metadata),
+    c AS (SELECT file, id, i, name, coalesce(p, 0) AS p, most, coalesce(max(coalesce(p, 0)) OVER (PARTITION BY file, id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS state
+      FROM (SELECT file, id, unnest(children) AS name, generate_subscripts(children, 1) AS i FROM d WHERE whole) LEFT JOIN model USING (name)),
+    w AS (SELECT file, id, i, 'MD_Metadata: ' || CASE WHEN p = 0 THEN 'unknown ' WHEN p < state THEN 'order ' ELSE 'repeated ' END || name AS said FROM c WHERE p = 0 OR p < state OR p = state AND most = 1
+      UNION ALL SELECT file, id, 1000 + p, 'MD_Metadata: missing ' || name FROM d, model WHERE whole AND least > 0 AND NOT list_contains(children, name)),
+    s AS (SELECT file, id, string_agg(said, '; ' ORDER BY i) AS said FROM w GROUP BY file, id)
+    SELECT file, id, CASE WHEN whole THEN coalesce(said, '') WHEN metadata = '<x/>' THEN 'x: no such root' END AS problems FROM d LEFT JOIN s USING (file, id)""")
+
+
+_QUERIES["content_models"], _SQL["content_models"] = content_models, _content_models_sql()

@@ -14,7 +14,6 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import scoring
 
 
 #: Files of one batch at most, so that the list of them that the driver holds is bounded.
@@ -56,8 +55,3 @@ def windowed_statistics(events: DataFrame, *, late: str = "10 minutes", window:
         .agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"), F.min("value").alias("low"), F.max("value").alias("high"))
         .select(F.col("window.start").alias("start"), by, "n", "total", "low", "high")
     )
-
-
-def running_verdicts(facts: DataFrame) -> DataFrame:
-    """Verdict counts of a stream of findings, per file (complete mode)."""
-    return scoring.file_verdicts(facts)

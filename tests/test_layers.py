@@ -383,3 +383,19 @@ def test_files_are_finalised_in_place(spark, tmp_path, capsys):
     assert con.execute("SELECT hex(geom) FROM wells WHERE fid = 3").fetchone()[0].endswith(maker.point(12, 50).hex().upper())
     assert con.execute("SELECT srs_id FROM gpkg_spatial_ref_sys ORDER BY 1").fetchall() == [(-1,), (0,), (4326,)] and con.execute("PRAGMA user_version").fetchone() == (10400,)
     con.close()
+
+
+def test_content_models_name_what_is_wrong(spark):
+    from cartolith.functions import schema
+
+    party = lambda *c: "<contact><CI_ResponsibleParty>" + "".join(f"<{x}/>" for x in c) + "</CI_ResponsibleParty></contact>"
+    whole = "<MD_Metadata><fileIdentifier/><language/><language/>{}<dateStamp/><identificationInfo/></MD_Metadata>"
+    cases = {
+        whole.format(party("organisationName", "role")): [],
+        whole.format(party("role", "organisationName", "role", "hat")): ["CI_ResponsibleParty: order organisationName", "CI_ResponsibleParty: repeated role", "CI_ResponsibleParty: unknown hat"],
+        "<MD_Metadata><language/><fileIdentifier/><dateStamp/><dateStamp/><moon/></MD_Metadata>": ["MD_Metadata: order fileIdentifier", "MD_Metadata: repeated dateStamp", "MD_Metadata: unknown moon", "MD_Metadata: missing contact", "MD_Metadata: missing identificationInfo"],
+        "<!-- x --><Other><MD_Metadata/></Other>": ["Other: no such root", *[f"MD_Metadata: missing {n}" for n in ("fileIdentifier", "language", "contact", "dateStamp", "identificationInfo")]],
+        "<MD_Metadata>": None, "": None, None: None,
+    }
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(cases)], "i int, x string").select("i", schema.content_problems(schema.sequences(F.col("x"))).alias("p")).orderBy("i").collect()
+    assert [r.p for r in got] == list(cases.values())
