@@ -399,3 +399,41 @@ def test_content_models_name_what_is_wrong(spark):
     }
     got = spark.createDataFrame([(i, x) for i, x in enumerate(cases)], "i int, x string").select("i", schema.content_problems(schema.sequences(F.col("x"))).alias("p")).orderBy("i").collect()
     assert [r.p for r in got] == list(cases.values())
+
+
+def geotiff(order="<", big=False, code=32633, width=700, height=400):
+    """A TIFF's header and directory, with values that lie behind it, and no pixels."""
+    entries = [(256, 4, (width,)), (257, 4, (height,)), (258, 3, (8, 8, 8)), (259, 3, (5,)), (277, 3, (3,)), (322, 3, (256,)), (33550, 12, (10.0, 20.0, 0.0)), (33922, 12, (0.0, 0.0, 0.0, 500000.0, 5000000.0, 0.0)),
+               (34735, 3, (1, 1, 0, 2, 1024, 0, 1, 1, 3072 if code > 5000 else 2048, 0, 1, code)), (42113, 2, b"-9999\0")]
+    letters, sizes = {3: "H", 4: "I", 12: "d"}, {2: 1, 3: 2, 4: 4, 12: 8}
+    inline, head = (8, 16) if big else (4, 8)
+    directory, behind = b"", b""
+    start = head + (8 if big else 2) + len(entries) * (20 if big else 12)
+    for tag, kind, values in entries:
+        data = values if kind == 2 else struct.pack(order + letters[kind] * len(values), *values)
+        directory += struct.pack(order + "HH" + ("Q" if big else "I"), tag, kind, len(values))
+        if len(data) <= inline:
+            directory += data.ljust(inline, b"\0")
+        else:
+            directory += struct.pack(order + ("Q" if big else "I"), start + len(behind))
+            behind += data
+        assert len(data) == sizes[kind] * len(values)
+    mark = b"II" if order == "<" else b"MM"
+    first = mark + (struct.pack(order + "HHHQQ", 43, 8, 0, 16, len(entries)) if big else struct.pack(order + "HIH", 42, 8, len(entries)))
+    return first + directory + behind
+
+
+def test_rasters_are_scanned_by_their_headers(spark, tmp_path):
+    from cartolith.sources.raster import scan_rasters
+
+    for n, data in (("a.tif", geotiff()), ("b.tif", geotiff(">", True)), ("c.tiff", geotiff(code=4326)), ("d.png", maker.png(300, 20)), ("e.jpg", maker.jpeg(64, 32, before=90000)), ("cut.tif", geotiff()[:150]), ("junk.tif", b"II*"), ("other.txt", b"x"), ("f.tif", geotiff(code=32767))):
+        (tmp_path / n).write_bytes(data)
+    got = {os.path.basename(r.file): r for r in scan_rasters(spark, str(tmp_path)).collect()}
+    assert set(got) == {"a.tif", "b.tif", "c.tiff", "d.png", "e.jpg", "cut.tif", "junk.tif", "f.tif"}
+    for n, code in (("a.tif", 32633), ("b.tif", 32633), ("c.tiff", 4326), ("f.tif", None)):
+        r = got[n]
+        assert (r.format, r.width, r.height, r.bands, r.bits, r.tiled, r.compression, r.srs_id) == ("TIFF", 700, 400, 3, 8, True, 5, code)
+        assert (r.origin_x, r.origin_y, r.pixel_x, r.pixel_y, r.nodata, r.error) == (500000.0, 5000000.0, 10.0, 20.0, "-9999", None)
+    assert (got["d.png"].width, got["d.png"].height, got["e.jpg"].width, got["e.jpg"].height) == (300, 20, 64, 32)
+    assert "beyond its end" in got["cut.tif"].error and got["junk.tif"].error == "no TIFF"
+    assert scan_rasters(spark, str(tmp_path / "nothing*")).collect() == []
