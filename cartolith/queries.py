@@ -739,8 +739,10 @@ def rollup_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .plans.rollup import file_facts
     from .plans.validate import scratch_folder
 
-    catalog = validation_views.catalog_of(spark, sf_dir).written(scratch_folder(spark, "rollup"))
-    return rollup_table(file_facts(catalog, validation_views.AS_OF))
+    folder = scratch_folder(spark, "rollup")
+    catalog = validation_views.catalog_of(spark, sf_dir).written(f"{folder}/catalog")
+    file_facts(catalog, validation_views.AS_OF).write.parquet(f"{folder}/facts")  # the roll-up reads them twice
+    return rollup_table(spark.read.parquet(f"{folder}/facts"))
 
 
 def _rollup_of_files_sql() -> str:
