@@ -19,6 +19,8 @@ SHINGLE = 5
 #: Similar: 5 * |A and B| >= 4 * |A or B|.
 NUM, DEN = 4, 5
 BLOCK = 512
+#: Bytes that ``similar_pairs`` has in hand at a time.
+STRIP = 4 << 20
 HUBS = 500
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
@@ -106,9 +108,9 @@ def in_blocks(members: DataFrame, bucket: str, item: Column, block: int = BLOCK)
     return other.withColumns({"bi": F.least("_own", "_other"), "bj": F.greatest("_own", "_other"), "side": (F.col("_own") > F.col("_other")).cast("int")}).drop("_n", "_nb", "_own", "_other")
 
 
-def groups(batches, keys: list[str], most: int = 8000):
+def groups(batches, keys: list[str], most: int = 8000, most_bytes: int = 64 << 20):
     """Arrow batches of rows sorted by ``keys`` as tables of whole groups, with each row's group number."""
-    held, rows = [], 0
+    held, rows, size = [], 0, 0
 
     def cut(table, last):
         n = table.num_rows
@@ -123,10 +125,10 @@ def groups(batches, keys: list[str], most: int = 8000):
 
     for batch in batches:
         held.append(pa.Table.from_batches([batch]))
-        rows += batch.num_rows
-        if rows >= most:
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows >= most or size >= most_bytes:
             whole, number, rest = cut(pa.concat_tables(held).combine_chunks(), False)
-            held, rows = [rest], rest.num_rows
+            held, rows, size = [rest], rest.num_rows, rest.nbytes
             if whole.num_rows:
                 yield whole, number
     if rows:
@@ -189,16 +191,50 @@ def similar_in_group(lists: list[np.ndarray], inner: bool, side: np.ndarray, num
     return out if inner else out & (side[:, None] != side[None, :])
 
 
-def verify_blocks(dealt: DataFrame, keys: list[str], *, weight: str = "m", candidates=None) -> DataFrame:
+def similar_pairs(number: np.ndarray, sets: pa.ChunkedArray, x: np.ndarray, y: np.ndarray, num: int = NUM, den: int = DEN) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (x, y) of rows, sorted by x, whose sets of distinct hashes have exact Jaccard similarity of num / den or more.
+
+    Hashes that rows of a group share are numbered there, and the bits that two rows of a
+    listed pair have in common are counted, ``STRIP`` bytes of rows or pairs at a time.
+    """
+    values = np.concatenate([c.flatten().to_numpy() for c in sets.chunks])
+    ends = np.cumsum(np.concatenate([[0], *(np.diff(c.offsets.to_numpy()) for c in sets.chunks)]))
+    size = np.diff(ends)
+    low, high = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
+    able = (low > 0) & (den * low >= num * high)
+    x, y = x[able], y[able]
+    near = np.zeros(len(x), bool)
+    cut = np.flatnonzero(np.diff(number[x], prepend=-1)).tolist() + [len(x)]
+    for i, j in zip(cut[:-1], cut[1:]):
+        rows, at = np.unique(np.concatenate([x[i:j], y[i:j]]), return_inverse=True)
+        a, b = at[: j - i], at[j - i :]
+        row = np.repeat(np.arange(len(rows), dtype=np.int32), size[rows])
+        _, column = np.unique(np.concatenate([values[ends[r] : ends[r + 1]] for r in rows.tolist()]), return_inverse=True)
+        shared = np.bincount(column) > 1
+        keep = shared[column]
+        row, column = row[keep], (np.cumsum(shared, dtype=np.int32) - 1)[column[keep]]
+        order = np.argsort(column, kind="stable")
+        row, column, common = row[order], column[order], np.zeros(j - i, np.int64)
+        width = min(-(-int(shared.sum()) // 64) * 64, max(64, STRIP // len(rows) // 64 * 64))
+        for start in range(0, int(shared.sum()), max(width, 1)):
+            p, q = np.searchsorted(column, (start, start + width))
+            bits = np.zeros((len(rows), width), np.uint8)
+            bits[row[p:q], column[p:q] - start] = 1
+            bits = np.packbits(bits, axis=1).view(np.uint64)
+            most = max(1, STRIP // (width // 8))
+            for k in range(0, j - i, most):
+                common[k : k + most] += np.bitwise_count(bits[a[k : k + most]] & bits[b[k : k + most]]).sum(1, dtype=np.int64)
+        near[i:j] = (num + den) * common >= num * (size[x[i:j]] + size[y[i:j]])
+    return x[near], y[near]
+
+
+def verify_blocks(dealt: DataFrame, keys: list[str], *, weight: str = "m") -> DataFrame:
     """``node, root, links`` from rows with ``keys``, ``bi, bj, side, node, sh`` (sorted distinct shingles) and a weight.
 
     ``links`` is the weight of the rows of the other block (or the own one) that are
-    similar; ``root`` the smallest node joined within the task.  With ``candidates``, a
-    function of numbers, insides, sides and the column ``sig`` of sorted rows that gives
-    pairs of rows, only these pairs count.
+    similar; ``root`` the smallest node joined within the task.
     """
     by = [*keys, "bi", "bj"]
-    more = ["sig"] if candidates else []
 
     def run(batches):
         for whole, number in groups(batches, by):
@@ -208,23 +244,11 @@ def verify_blocks(dealt: DataFrame, keys: list[str], *, weight: str = "m", candi
             sh = sh.chunk(0) if isinstance(sh, pa.ChunkedArray) else sh
             ends, values = sh.offsets.to_numpy(), sh.values.to_numpy()
             root, links = node.copy(), np.zeros(len(node), np.int64)
-            if candidates:
-                first, second = candidates(number, inner, side, whole.column("sig"))
-                order = np.argsort(first, kind="stable")
-                first, second = first[order], second[order]
             bounds = np.flatnonzero(np.diff(number, prepend=-1, append=number[-1] + 1 if len(number) else 0))
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 if b - a < 2:
                     continue
-                if candidates:
-                    i, j = np.searchsorted(first, (a, b))
-                    if i == j:
-                        continue
                 near = similar_in_group([values[ends[i] : ends[i + 1]] for i in range(a, b)], bool(inner[a]), side[a:b])
-                if candidates:
-                    left = np.zeros_like(near)
-                    left[first[i:j] - a, second[i:j] - a] = True
-                    near &= left
                 x, y = np.nonzero(near)
                 if len(x):
                     np.add.at(links, a + x, m[a + y])
@@ -236,7 +260,7 @@ def verify_blocks(dealt: DataFrame, keys: list[str], *, weight: str = "m", candi
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root), pa.array(links)], ["node", "root", "links"])
 
     n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ready = dealt.select(*by, "side", "node", weight, "sh", *more).repartition(n, *by).sortWithinPartitions(*by)
+    ready = dealt.select(*by, "side", "node", weight, "sh").repartition(n, *by).sortWithinPartitions(*by)
     return ready.mapInArrow(run, "node long, root long, links long")
 
 

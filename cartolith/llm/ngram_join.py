@@ -2,15 +2,18 @@
 
 1. Each text becomes its set of shingle hashes; texts with equal sets collapse to one node
    that counts them.
-2. MinHash bands deal nodes to buckets.  In a bucket, MinHash values are compared
+2. MinHash bands deal nodes to buckets, in blocks.  In a block, MinHash values are compared
    ``STEP`` at a time; with a uniform prior the matches so far give the posterior
    probability that the similarity reaches the threshold, and a pair is dropped as soon as
-   it falls below ``TOLERANCE``.  Tasks return a spanning forest of what is left.
-3. Nodes joined by such candidates form families, which bring every candidate pair together
-   once, in blocks.  There the pairs are pruned in the same way on their MinHash values, and
-   only nodes that are left with a partner in a block are sent there with their shingle
-   sets.  Only pairs that survive are verified exactly; links are counted in the block and
-   only a spanning forest leaves the task, whose components are the classes.
+   it falls below ``TOLERANCE``.  Of the bands that a pair shares only the lowest decides it,
+   so each pair is pruned, verified and counted once.
+3. A block returns its nodes that keep a partner, each with a bitmap of its partners in the
+   block: at most 128 bytes a row, whatever the number of pairs.  These nodes are sent there
+   again with their shingle sets, where the pairs of the bitmaps, and no others, are verified
+   exactly; links are counted in the block and only a spanning forest leaves the task.
+4. The components of verified links are the classes.
+
+So the work grows with the buckets, not with what weak candidates join to chains.
 
 Result: one row per document with ``class_id``, the smallest ``doc_id`` of its class, and
 ``n_links``, the number of other documents at a similarity of 0.8 or more (copies included).
@@ -105,41 +108,71 @@ def surviving_pairs(number: np.ndarray, inner: np.ndarray, side: np.ndarray, sig
     return np.concatenate(xs), np.concatenate(ys)
 
 
-def _pruned(dealt: DataFrame, by: list[str], out, schema: str) -> DataFrame:
-    """``out(rows, x, y)`` for groups of ``dealt`` (``by``, ``node``, ``side``, ``sig``) and their surviving pairs of rows."""
+def lowest_common_band(key: np.ndarray, keys: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which pairs of rows share no band before that of ``key``; ``keys`` are the band keys of each row."""
+    first = (keys[x] == keys[y]).argmax(1)
+    return keys[x, first] == key[x]
+
+
+def partner_bitmaps(number: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Rows of pairs (x < y, of equal ``number``), their place in their group, and the places of their later partners as bits."""
+    at = np.unique(np.concatenate([x, y]))
+    start = np.searchsorted(number[at], number[at])
+    place = np.arange(len(at)) - start
+    width = (np.searchsorted(number[at], number[at], "right") - start + 7) // 8
+    ends = np.concatenate([[0], np.cumsum(width)])
+    bits = np.zeros(ends[-1], np.uint8)
+    later = place[np.searchsorted(at, y)]
+    np.bitwise_or.at(bits, ends[np.searchsorted(at, x)] + later // 8, (1 << (later % 8)).astype(np.uint8))
+    return at, place, pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(bits)])
+
+
+def pairs_of_bitmaps(number: np.ndarray, bitmaps: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows, sorted, from the bitmaps of rows that are sorted by group and place."""
+    raw = bitmaps.to_pylist()
+    ends = np.cumsum([0, *map(len, raw)])
+    found = np.flatnonzero(np.unpackbits(np.frombuffer(b"".join(raw), np.uint8), bitorder="little"))
+    x = np.searchsorted(ends, found // 8, "right") - 1
+    return x, np.searchsorted(number, number[x]) + found - 8 * ends[x]
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """``key, bi, bj, place, node, m, partners``: rows of each block of a bucket that Bayesian pruning leaves with a partner there."""
+    dealt = S.in_blocks(nodes.select("node", F.explode("keys").alias("key")), "key", F.col("node")).join(nodes.select("node", "m", "sig", "keys"), "node")
+    by, names = ["key", "bi", "bj"], ["key", "bi", "bj", "node", "m"]
 
     def run(batches):
         for whole, number in S.groups(batches, by):
             inner = whole.column("bi").to_numpy() == whole.column("bj").to_numpy()
             x, y = surviving_pairs(number, inner, whole.column("side").to_numpy(), whole.column("sig"))
-            if len(x):
-                yield from out(whole, x, y)
+            keys = np.concatenate([c.flatten().to_numpy() for c in whole.column("keys").chunks]).reshape(-1, BANDS)
+            own = lowest_common_band(whole.column("key").to_numpy(), keys, x, y)
+            if own.any():
+                at, place, bits = partner_bitmaps(number, x[own], y[own])
+                rows = whole.select(names).take(pa.array(at)).append_column("place", pa.array(place.astype(np.int32))).append_column("partners", bits)
+                yield from rows.combine_chunks().to_batches()
 
     n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, *by).sortWithinPartitions(*by).mapInArrow(run, schema)
+    return dealt.repartition(n, *by).sortWithinPartitions(*by).mapInArrow(run, "key long, bi int, bj int, node long, m long, place int, partners binary")
 
 
-def candidate_forest(nodes: DataFrame) -> DataFrame:
-    """``node, root``: a spanning forest of each bucket's pairs that Bayesian pruning leaves."""
-    members = S.in_blocks(nodes.select("node", F.explode("keys").alias("key")), "key", F.col("node"))
+def verified_links(dealt: DataFrame) -> DataFrame:
+    """``node, root, links`` from ``candidates`` with shingle sets ``sh``: exactly verified pairs by summed weights and a forest of each block."""
+    by = ["key", "bi", "bj"]
 
-    def forest(rows, x, y):
-        node = rows.column("node").to_numpy()
-        root = S.forest(len(node), x, y)
-        far = np.flatnonzero(root != np.arange(len(node)))
-        yield pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(node[root[far]])], ["node", "root"])
-
-    return _pruned(members.join(nodes.select("node", "sig"), "node"), ["key", "bi", "bj"], forest, "node long, root long")
-
-
-def with_partners(dealt: DataFrame) -> DataFrame:
-    """Rows of family blocks (``family, bi, bj, side, node, m, sig``) that keep a partner there."""
-    names = ["family", "bi", "bj", "side", "node", "m", "sig"]
-
-    def rows(table, x, y):
-        yield from table.select(names).take(pa.array(np.unique(np.concatenate([x, y])))).combine_chunks().to_batches()
+    def run(batches):
+        for whole, number in S.groups(batches, by):
+            node, m = whole.column("node").to_numpy(), whole.column("m").to_numpy()
+            x, y = pairs_of_bitmaps(number, whole.column("partners"))
+            x, y = S.similar_pairs(number, whole.column("sh"), x, y)
+            links = np.zeros(len(node), np.int64)
+            np.add.at(links, x, m[y])
+            np.add.at(links, y, m[x])
+            at = np.flatnonzero(links)
+            yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[S.forest(len(node), x, y)][at]), pa.array(links[at])], ["node", "root", "links"])
 
-    return _pruned(dealt.select(*names), names[:3], rows, "family long, bi int, bj int, side int, node long, m long, sig binary")
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, *by).sortWithinPartitions(*by, "place").mapInArrow(run, "node long, root long, links long")
 
 
 def shingle_sets(rows: DataFrame) -> DataFrame:
@@ -162,13 +195,12 @@ def similar_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     worded = sketch.filter("size > 0")
     nodes = worded.groupBy("h1", "h2").agg(F.min(F.struct("id", "th")).alias("rep"), F.count("*").alias("m"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
     nodes = materialize(spark, nodes.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "rep.id", "rep.th", "m", "keys", "sig"), "ngram-nodes")
-    family = S.components(spark, candidate_forest(nodes), "ngram-families").withColumnRenamed("root", "family")
-    found = materialize(spark, nodes.select("node", "id", "th", "m", "sig").join(family, "node"), "ngram-found")
+    pairs = materialize(spark, candidates(nodes), "ngram-pairs")
+    found = materialize(spark, nodes.select("node", "id", "th").join(pairs.select("node").distinct(), "node"), "ngram-found")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text").withColumn("th", F.xxhash64("text"))
-    texts = with_mark(texts, found, ["id", "th"]).filter("_mark").drop("_mark").join(found.select("node", "id", "th"), ["id", "th"])
+    texts = with_mark(texts, found, ["id", "th"]).filter("_mark").drop("_mark").join(found, ["id", "th"])
     sets = materialize(spark, shingle_sets(texts.dropDuplicates(["node"]).select("node", "text")), "ngram-sets")
-    dealt = with_partners(S.in_blocks(found.drop("id", "th"), "family", F.col("node"))).join(sets, "node")
-    verified = materialize(spark, S.verify_blocks(dealt, ["family"], candidates=surviving_pairs), "ngram-verified")
+    verified = materialize(spark, verified_links(pairs.join(sets, "node")), "ngram-verified")
     classes = S.components(spark, verified, "ngram-classes")
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     labelled = nodes.select("node", "h1", "h2", "id", "m").join(links, "node", "left").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -80,6 +80,58 @@ def test_posterior_bound_and_similarity():
         assert near[i, j] == (len(a & b) / len(a | b) >= 0.8)
 
 
+def test_listed_pairs_against_sets(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(S, "STRIP", 600)
+    r = np.random.default_rng(1)
+    base = [np.unique(r.integers(0, 1 << 63, n).astype(np.uint64)) for n in (1, 40, 300, 700)]
+    sets, number = [], []
+    for g in range(6):
+        for _ in range(int(r.integers(2, 30))):
+            x = base[r.integers(4)]
+            sets.append(np.unique(np.concatenate([x[r.random(len(x)) < r.choice([0.5, 0.9, 1])], r.integers(0, 1 << 63, r.integers(3)).astype(np.uint64)])))
+            number.append(g)
+    number = np.array(number)
+    rows = pa.chunked_array([S.list_of(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))])
+    pairs = [(i, j) for i, j in combinations(range(len(sets)), 2) if number[i] == number[j] and r.random() < 0.6]
+    x, y = np.array(pairs).T
+    at, place, bits = ngram_join.partner_bitmaps(number, x, y)
+    again = ngram_join.pairs_of_bitmaps(number[at], pa.chunked_array([bits]))
+    assert sorted(zip(at[again[0]].tolist(), at[again[1]].tolist())) == pairs
+    assert all(place[i] == i - np.flatnonzero(number[at] == number[at][i])[0] for i in range(len(at)))
+    near = S.similar_pairs(number, rows, x, y)
+    want = [(i, j) for i, j in pairs if len(a := set(sets[i].tolist())) and 9 * len(a & (b := set(sets[j].tolist()))) >= 4 * (len(a) + len(b))]
+    assert list(zip(near[0].tolist(), near[1].tolist())) == want and len(want) > 50
+
+
+def test_a_chain_of_weak_candidates_and_a_large_class(spark):
+    """Texts that each share half of their words with the next, and more near copies than a block holds: links and classes are exact."""
+    r = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(40_000)]
+    chain = [" ".join(words[20 * i : 20 * i + 60]) for i in range(300)]
+    near = []
+    for _ in range(S.BLOCK + 150):
+        x = words[30_000:30_200]
+        for at in r.choice(200, int(r.integers(1, 4)), replace=False):
+            x[at] = f"x{r.integers(1 << 40)}"
+        near.append(" ".join(x))
+    texts = chain + near
+    sets = [grams(t) for t in texts]
+    links = [0] * len(texts)
+    for i, j in combinations(range(300, len(texts)), 2):
+        both = len(sets[i] & sets[j])
+        if 9 * both >= 4 * (len(sets[i]) + len(sets[j])):
+            links[i] += 1
+            links[j] += 1
+    assert 0 < min(links[300:]) < len(near) - 1
+    got = {x.id: (x.class_id, x.n_links) for x in ngram_join.similar_documents(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(300)] == [(i, 0) for i in range(300)]
+    assert {got[i][0] for i in range(300, len(texts))} == {300}
+    lost = sum(links) - sum(got[i][1] for i in range(300, len(texts)))
+    assert 0 <= lost <= sum(links) * 2e-4  # pairs near 0.8 that meet in no band or are pruned
+
+
 def test_blocks_cover_every_pair_once(spark):
     from pyspark.sql import functions as F
 
