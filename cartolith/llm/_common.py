@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 
@@ -52,22 +53,28 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-#: Folders of the runs of ``scratch_of_run`` that are open, the innermost last.
-_RUNS: list[str] = []
+class _Runs(threading.local):
+    """Folders of the runs of ``scratch_of_run`` that are open in a thread, the innermost last."""
+
+    def __init__(self):
+        self.open: list[str] = []
+
+
+_RUNS = _Runs()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{_RUNS[-1] if _RUNS else shared_dir(spark) + '/cartolith'}/{label}-{uuid.uuid4().hex}"
+    return f"{_RUNS.open[-1] if _RUNS.open else shared_dir(spark) + '/cartolith'}/{label}-{uuid.uuid4().hex}"
 
 
 @contextmanager
 def scratch_of_run(spark: SparkSession):
-    """Intermediate tables written inside are deleted at the end: only for work whose result is written elsewhere."""
-    _RUNS.append(f"{shared_dir(spark)}/cartolith/run-{uuid.uuid4().hex}")
+    """Intermediate tables written inside, by this thread, are deleted at the end: only for work whose result is written elsewhere."""
+    _RUNS.open.append(f"{shared_dir(spark)}/cartolith/run-{uuid.uuid4().hex}")
     try:
         yield
     finally:
-        delete_path(spark, _RUNS.pop())
+        delete_path(spark, _RUNS.open.pop())
 
 
 def materialize(spark: SparkSession, df: DataFrame, label: str, path: str | None = None) -> DataFrame:

@@ -416,3 +416,32 @@ def test_marks_miss_no_key(spark):
     assert out.columns == ["id", "th", "bits", "_mark"]
     assert out.filter("id % 10 = 3 AND _mark").count() == 2000 and out.filter("id % 10 != 3 AND _mark").count() < 40
     assert with_mark(rows, keys.limit(0), ["id", "th"]).filter("_mark").count() == 0
+
+
+def test_runs_in_threads_keep_their_tables(spark):
+    """The run of one thread, which ends first, takes no tables of the other's."""
+    from threading import Barrier, Thread
+
+    from cartolith.llm._common import materialize, scratch_of_run
+
+    both, seen = Barrier(2, timeout=120), {}
+
+    def work(n):
+        with scratch_of_run(spark):
+            both.wait()
+            df = materialize(spark, spark.range(n), "t")
+            both.wait()
+            if n == 5:
+                both.wait()
+                seen[n] = df.count()
+            path = df.inputFiles()[0]
+        if n == 7:
+            seen[n] = path
+            both.wait()
+
+    threads = [Thread(target=work, args=(n,)) for n in (5, 7)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert seen[5] == 5 and seen[7].startswith("file:")
+    with pytest.raises(Exception):
+        spark.read.parquet(seen[7]).count()
