@@ -10,7 +10,7 @@ called.  The allowed systems are described by rule, so a definition without a co
 from __future__ import annotations
 
 import re
-from functools import cache
+from functools import cache, lru_cache
 from math import degrees, isclose, radians
 
 import pandas as pd
@@ -225,6 +225,7 @@ def differences(f: dict, g: dict) -> list[str]:
     return out
 
 
+@lru_cache(1024)
 def problems(text: str | None, srs_id: int | None) -> str | None:
     """Differences of a definition from the system that its code stands for, comma-joined: ``unreadable``, ``code`` and those of ``differences``.
 

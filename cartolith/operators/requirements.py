@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..functions import text, xml
+from ..functions import text, wkt, xml
 from . import catalog, zoom
 
 FAIL, PARTIAL, FINE = 2, 1, 0
@@ -114,6 +114,9 @@ def system_rules(c) -> DataFrame:
     listed = sorted({x for codes in dims.VALIDATE.values() for x in codes} | set(dims.LISTED))
     used = c.srs.filter("srs_id > 0").withColumn("wkt", definition())
     problems = text.definition_problems(F.col("wkt"), F.col("srs_id"), F.col("srs_name"))
+    unnamed = F.when(F.col("wkt").rlike(r"(?i)(METHOD|PROJECTION)\s*[\[(]"), "").otherwise("method")  # a definition without one leaves it open
+    differs = F.array_except(F.split(wkt.structure_problems(F.col("wkt"), F.col("srs_id")), ","), F.array(F.lit(""), F.lit("code"), F.lit("axis order"), unnamed))
+    compared = used.withColumn("differs", F.coalesce(F.array_join(differs, ", "), F.lit("")))
     solid = used.join(c.geometry_columns.filter("z <> 0").select("file", "srs_id").distinct(), ["file", "srs_id"], "left_semi").filter(compound("wkt"))
     covered = c.sets.join(c.coverage.select("file", "table_name").distinct(), ["file", "table_name"]).select("file", "srs_id").distinct()
     wkt2 = c.schema.filter("table_name = 'gpkg_spatial_ref_sys' AND column_name = 'definition_12_063'").select("file", F.lit(True).alias("has")).distinct()
@@ -127,6 +130,7 @@ def system_rules(c) -> DataFrame:
         judge(grids.filter(three), 12, ~catalog.allowed(F.col("srs_id"), "gridded_3d") & ~compound("definition"), named),
         judge(used, 13, ~F.col("srs_id").isin(listed) & ~text.is_dynamic(F.col("srs_id"), F.col("srs_name")), say("system", "$srs_id")),
         judge(used, 13, problems != "", F.concat(say("system", "$srs_id", ": "), problems)),
+        judge(compared, 13, F.col("differs") != "", F.concat(say("system", "$srs_id", "differs in: "), F.col("differs"))),
         judge(layers.filter("z = 0"), 14, compound("definition"), say("$table_name", "is flat")),
         judge(solid, 15, text.compound_problems(F.col("wkt")) != "", F.concat(say("system", "$srs_id", ": "), text.compound_problems(F.col("wkt")))),
         judge(vertical, 16, F.col("has").isNull() | (text.compound_problems(F.col("wkt")) != ""), say("system", "$srs_id")),

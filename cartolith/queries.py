@@ -220,15 +220,12 @@ def _(v):
     return v.srs.filter(F.upper("definition").rlike("COMPOUNDCRS|COMPD_CS")).select("file", "srs_id", text.compound_problems(F.col("definition")).alias("problems"))
 
 
-_REGISTRY = "(VALUES " + ", ".join(f"({c}, '{f['kind']}', {f['axis_count']}, '{','.join(f['axes'])}', {repr(f['method']) if f['method'] else 'NULL'})" for c, f in wkt.registry().items()) + ") AS g(srs_id, kind, n, axes, method)"
-
-
 @query(
     "definition_structure",
     rf"""WITH d AS (SELECT file, srs_id, definition AS w, CASE WHEN regexp_matches(definition, '^GEOGC') THEN 'geographic' WHEN regexp_matches(definition, '^PROJC') THEN 'projected' WHEN regexp_matches(definition, '^COMP') THEN 'compound' END AS k,
       list_transform(regexp_extract_all(definition, 'AXIS\["[^"]*",\s*([A-Za-z]+)\]', 1), lambda x: lower(x)) AS ax, TRY_CAST(nullif(regexp_extract(definition, ',CS\[\w+,(\d)\]', 1), '') AS INTEGER) AS cs,
       TRY_CAST(nullif(regexp_extract(definition, '(ID|AUTHORITY)\["EPSG",\s*"?(\d+)"?\]\]$', 2), '') AS INTEGER) AS code, contains(definition, 'METHOD[') OR contains(definition, 'PROJECTION[') AS how FROM srs WHERE srs_id > 0),
-    e AS (SELECT *, coalesce(nullif(greatest(len(ax), coalesce(cs, 0)), 0), CASE k WHEN 'compound' THEN 3 ELSE 2 END) AS m FROM d LEFT JOIN {_REGISTRY} USING (srs_id))
+    e AS (SELECT *, coalesce(nullif(greatest(len(ax), coalesce(cs, 0)), 0), CASE k WHEN 'compound' THEN 3 ELSE 2 END) AS m FROM d LEFT JOIN {validation_views.REGISTRY} USING (srs_id))
     SELECT file, srs_id, CASE WHEN kind IS NOT NULL AND w NOT IN ('', 'undefined') THEN array_to_string(list_filter([CASE WHEN code <> srs_id THEN 'code' END, CASE WHEN k <> kind THEN 'kind' END, CASE WHEN m <> n THEN 'axes' END,
       CASE WHEN m = n AND len(ax) > 0 AND array_to_string(ax, ',') <> axes THEN 'axis order' END, CASE WHEN method IS NOT NULL AND NOT how THEN 'method' END], lambda x: x IS NOT NULL), ',') END AS problems FROM e""",
 )

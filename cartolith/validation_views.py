@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 
 from . import dims
 from .adapters import WKT
+from .functions.wkt import registry
 
 AS_OF = "2026-01-01T00:00:00Z"
 _K = "c_custkey"
@@ -111,6 +112,10 @@ def _in(values) -> str:
     return "(" + ", ".join(map(repr, values)) + ")"
 
 
+#: Facts of the allowed systems, for SQL.
+REGISTRY = "(VALUES " + ", ".join(f"({c}, '{f['kind']}', {f['axis_count']}, '{','.join(f['axes'])}', {repr(f['method']) if f['method'] else 'NULL'})" for c, f in registry().items()) + ") AS g(srs_id, kind, n, axes, method)"
+
+
 _ALLOWED = {k: _in(v) for k, v in dims.VALIDATE.items()}
 _CATS = "CASE data_type WHEN 'features' THEN 'features' WHEN 'tiles' THEN 'tiles' WHEN '2d-gridded-coverage' THEN 'gridded' END"
 _RULES = "(VALUES " + ", ".join(f"('{e}', '{c}', '{u}')" for e, uses in dims.EXTENSIONS.items() for c, u in zip(dims.CATEGORIES, uses)) + ") AS r(rule, category, use)"
@@ -160,6 +165,11 @@ _EVIDENCE = {
             OR regexp_matches(upper(wkt), '(GEOGCRS|GEOGCS|GEODCRS|GEODETICCRS)\[') AND list_transform(regexp_extract_all(wkt, 'AXIS\["[^"]*",\s*([A-Za-z]+)\]', 1), lambda x: upper(x))[1:2] = ['EAST', 'NORTH']
             OR datum IS NULL OR upper(replace(datum, '_', ' ')) NOT IN """ + _in(dims.WGS84_NAMES) + """ AND NOT srs_id BETWEEN 100100 AND 100399 AND srs_name NOT LIKE '%/100250' THEN 2 ELSE 0 END
             FROM (SELECT *, coalesce(nullif(regexp_extract(wkt, 'DATUM\\["([^"]+)"', 1), ''), nullif(regexp_extract(wkt, 'ENSEMBLE\\["([^"]+)"', 1), '')) AS datum FROM used)""",
+        rf"""SELECT file, CASE WHEN kind IS NOT NULL AND (k <> kind OR m <> n) THEN 2 ELSE 0 END
+            FROM (SELECT file, kind, k, n, coalesce(nullif(greatest(len(ax), coalesce(cs, 0)), 0), CASE k WHEN 'compound' THEN 3 ELSE 2 END) AS m
+            FROM (SELECT file, srs_id, CASE WHEN wkt LIKE 'GEOGC%' THEN 'geographic' WHEN wkt LIKE 'PROJC%' THEN 'projected' WHEN wkt LIKE 'COMP%' THEN 'compound' END AS k,
+            regexp_extract_all(wkt, 'AXIS\["[^"]*",\s*([A-Za-z]+)\]', 1) AS ax, TRY_CAST(nullif(regexp_extract(wkt, ',CS\[\w+,(\d)\]', 1), '') AS INTEGER) AS cs
+            FROM used WHERE wkt IS NOT NULL) LEFT JOIN {REGISTRY} USING (srs_id))""",
     ],
     14: ["SELECT file, 0 FROM files", f"SELECT g.file, 2 FROM geometry_columns g JOIN srs d USING (file, srs_id) WHERE z = 0 AND {_COMPOUND.format('definition')}"],
     15: [f"SELECT file, {_LEVEL.format('broken')} FROM compounds u WHERE EXISTS (SELECT 1 FROM geometry_columns g WHERE g.file = u.file AND g.srs_id = u.srs_id AND z <> 0)"],

@@ -13,6 +13,7 @@ from cartolith.sources import gpkg
 AS_OF = "2026-12-31T00:00:00Z"
 META = "UPDATE gpkg_metadata SET metadata = ? WHERE id = 7"
 #: Name, kind, what is spoiled, and the requirements whose status differs from the sound file's.
+SOLID = maker.GEOGRAPHIC.replace("ellipsoidal,2", "ellipsoidal,3").replace("EAST]", 'EAST],AXIS["Up",UP]').replace("4326", "4979")
 SPOILED = [
     ("scope", "survey", ["UPDATE gpkg_extensions SET scope = 'maybe' WHERE table_name = 'wells'"], {3: "FAIL"}),
     ("version", "survey", ["PRAGMA user_version = 10100"], {3: "FAIL"}),
@@ -24,6 +25,9 @@ SPOILED = [
     ("solid", "survey", ["UPDATE gpkg_geometry_columns SET z = 2 WHERE table_name = 'wells'"], {10: "FAIL"}),
     ("first axis", "survey", [("UPDATE gpkg_spatial_ref_sys SET definition_12_063 = ? WHERE srs_id = 4326", (maker.GEOGRAPHIC.replace('AXIS["Lat",NORTH],AXIS["Lon",EAST]', 'AXIS["Lon",EAST],AXIS["Lat",NORTH]'),))], {13: "FAIL"}),
     ("datum", "survey", [("UPDATE gpkg_spatial_ref_sys SET definition_12_063 = ? WHERE srs_id = 4326", (maker.GEOGRAPHIC.replace("World Geodetic System 1984 ensemble", "Somewhere 1927"),))], {13: "FAIL"}),
+    ("ellipsoid", "survey", [("UPDATE gpkg_spatial_ref_sys SET definition_12_063 = ? WHERE srs_id = 4326", (maker.GEOGRAPHIC.replace('(G2139)"]]', '(G2139)"],ELLIPSOID["Bessel 1841",6377397.155,299.1528128]]'),))], {13: "FAIL"}),
+    ("third axis", "survey", [("UPDATE gpkg_spatial_ref_sys SET definition_12_063 = ? WHERE srs_id = 4326", (maker.GEOGRAPHIC.replace("ellipsoidal,2", "ellipsoidal,3").replace("EAST]", 'EAST],AXIS["Up",UP]'),))], {13: "FAIL"}),
+    ("method", "imagery", [("UPDATE gpkg_spatial_ref_sys SET definition_12_063 = ? WHERE srs_id = 3395", (maker.MERCATOR.replace(',ID["EPSG"', ',CONVERSION["c",METHOD["Transverse Mercator"]],ID["EPSG"'),))], {13: "FAIL"}),
     ("foreign system", "survey", [("INSERT INTO gpkg_spatial_ref_sys VALUES ('x', 2056, 'EPSG', 2056, ?, '-', ?, NULL)", (maker.MERCATOR,) * 2)], {13: "FAIL"}),
     ("dynamic system", "survey", [("INSERT INTO gpkg_spatial_ref_sys VALUES ('x', 100250, 'EPSG', 100250, ?, '-', ?, NULL)", (maker.GEOGRAPHIC,) * 2)], {}),
     ("language", "survey", [(META, (maker.document(language="<gco:CharacterString>English</gco:CharacterString>"),))], {18: "FAIL"}),
@@ -77,8 +81,8 @@ SPOILED = [
     ("rain", "relief", ["UPDATE gpkg_2d_gridded_coverage_ancillary SET quantity_definition = 'Rain'"], {34: "SKIPPED", 35: "SKIPPED"}),
     ("corner", "relief", ["UPDATE gpkg_2d_gridded_coverage_ancillary SET grid_cell_encoding = 'grid-value-is-corner'"], {35: "FAIL"}),
     ("grid step", "relief", ["UPDATE gpkg_tile_matrix SET pixel_y_size = 0.2 WHERE zoom_level = 1"], {36: "FAIL"}),
-    ("epoch", "relief", [("INSERT INTO gpkg_spatial_ref_sys VALUES ('d', 4979, 'EPSG', 4979, ?, '-', ?, 2015.0)", (maker.GEOGRAPHIC.replace("ENSEMBLE", "DYNAMIC [ FrameEpoch [2010.0]],ENSEMBLE"),) * 2)], {17: "FAIL"}),
-    ("same epoch", "relief", [("INSERT INTO gpkg_spatial_ref_sys VALUES ('d', 4979, 'EPSG', 4979, ?, '-', ?, 2010.0)", (maker.GEOGRAPHIC.replace("ENSEMBLE", "DYNAMIC [ FrameEpoch [2010.0]],ENSEMBLE"),) * 2)], {17: "PASS"}),
+    ("epoch", "relief", [("INSERT INTO gpkg_spatial_ref_sys VALUES ('d', 4979, 'EPSG', 4979, ?, '-', ?, 2015.0)", (SOLID.replace("ENSEMBLE", "DYNAMIC [ FrameEpoch [2010.0]],ENSEMBLE"),) * 2)], {17: "FAIL"}),
+    ("same epoch", "relief", [("INSERT INTO gpkg_spatial_ref_sys VALUES ('d', 4979, 'EPSG', 4979, ?, '-', ?, 2010.0)", (SOLID.replace("ENSEMBLE", "DYNAMIC [ FrameEpoch [2010.0]],ENSEMBLE"),) * 2)], {17: "PASS"}),
     ("grid document", "relief", ["UPDATE gpkg_metadata SET metadata = '<a/>' WHERE id = 20"], {37: "FAIL", 32: "FAIL"}),
 ]
 
@@ -133,6 +137,7 @@ def test_notes_and_verdicts(found):
     _, statuses, facts, rows, _ = found
     said = {(r.file.rsplit("/", 1)[1], r.req): r for r in facts.collect()}
     assert said["null shape.gpkg", 24].detail == "1 found: wells: null geometry" and said["survey.gpkg", 24].detail == ""
+    assert said["ellipsoid.gpkg", 13].detail == "1 found: system 4326 differs in: ellipsoid" and said["third axis.gpkg", 13].detail == "1 found: system 4326 differs in: axes"
     few = {(r.file.rsplit("/", 1)[1], r.req): r.notes for r in examples(rows, 2).collect()}
     assert few["no references.gpkg", 31] == ["no table gpkg_metadata_reference", "no documents of layers"] and all(len(n) <= 2 for n in few.values())
     verdicts = {r.file.rsplit("/", 1)[1]: r.verdict for r in scoring.file_verdicts(facts).collect()}
