@@ -11,7 +11,9 @@ left to Spark.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import dims
@@ -33,6 +35,16 @@ def judge(rows: DataFrame, req: int, bad: Column, note: Column | str) -> DataFra
     return mark(rows, req, F.when(F.coalesce(bad, F.lit(False)), FAIL).otherwise(FINE), note)
 
 
+def judges(rows: DataFrame, *rules: tuple) -> DataFrame:
+    """``judge`` by several rules ``(where, req, bad, note)`` in one pass, so that joins behind ``rows`` are not repeated for each; a rule without ``where`` holds for all rows."""
+    said = []
+    for where, req, bad, note in rules:
+        level = F.when(F.coalesce(bad, F.lit(False)), FAIL).otherwise(FINE)
+        one = F.struct(F.lit(req).alias("req"), level.cast("int").alias("level"), F.when(level > FINE, F.lit(note) if isinstance(note, str) else note).alias("note"))
+        said.append(one if where is None else F.when(where, one))
+    return rows.select("file", F.explode(F.array(*said)).alias("x")).filter("x IS NOT NULL").select("file", "x.*")
+
+
 def say(*parts) -> Column:
     """A note from texts and names of columns; a null column is left out."""
     return F.concat_ws(" ", *[F.col(p[1:]).cast("string") if p.startswith("$") else F.lit(p) for p in parts])
@@ -69,9 +81,10 @@ def extension_rules(c, as_of: str) -> DataFrame:
     hit = (F.col("category") == F.col("c2")) & ((F.col("extension_name") == F.col("rule")) | (F.col("rule").endswith("_") & F.col("extension_name").startswith(F.col("rule"))))
     barred = either(scoped.select("file", "extension_name", "category"), whole.select("file", "extension_name", "category")).join(rules.withColumnRenamed("category", "c2"), hit)
     return either(
-        judge(pragma, 3, ~F.coalesce(known, F.lit(False)), say("application id", "$application_id", "version", "$user_version")),
-        judge(pragma, 3, F.upper("encoding") != "UTF-8", say("encoding", "$encoding")),
-        judge(pragma, 3, F.lower("journal_mode") == "wal", "write-ahead log"),
+        judges(
+            pragma, (None, 3, ~F.coalesce(known, F.lit(False)), say("application id", "$application_id", "version", "$user_version")),
+            (None, 3, F.upper("encoding") != "UTF-8", say("encoding", "$encoding")), (None, 3, F.lower("journal_mode") == "wal", "write-ahead log"),
+        ),
         judge(c.contents, 3, stamp == "malformed", say("last_change of", "$table_name")),
         mark(catalog.missing_extensions(c.contents, c.extensions), 3, FAIL, say("no extension", "$extension_name")),
         judge(c.extensions, 3, (scope != "") & ~scope.isin("read-write", "write-only"), say("scope of", "$extension_name")),
@@ -107,7 +120,7 @@ def system_rules(c) -> DataFrame:
     grids = c.sets.join(c.contents.filter(catalog.category(F.col("data_type")) == "gridded").select("file", "table_name"), ["file", "table_name"])
     grids = grids.join(c.srs.select("file", "srs_id", "definition"), ["file", "srs_id"], "left")
     three = (F.col("srs_id") == 4979) | compound("definition")
-    flat = grids.filter(~three).join(area, "srs_id", "left")
+    grids = grids.join(area, "srs_id", "left")
     tx, ty = (F.abs(F.col(f"e_max_{a}") - F.col(f"e_min_{a}")) * 0.001 for a in "xy")
     outside = (F.col("min_x") < F.col("e_min_x") - tx) | (F.col("min_y") < F.col("e_min_y") - ty) | (F.col("max_x") > F.col("e_max_x") + tx) | (F.col("max_y") > F.col("e_max_y") + ty)
     whole = F.col("min_x").isNotNull() & F.col("min_y").isNotNull() & F.col("max_x").isNotNull() & F.col("max_y").isNotNull()
@@ -116,25 +129,28 @@ def system_rules(c) -> DataFrame:
     problems = text.definition_problems(F.col("wkt"), F.col("srs_id"), F.col("srs_name"))
     unnamed = F.when(F.col("wkt").rlike(r"(?i)(METHOD|PROJECTION)\s*[\[(]"), "").otherwise("method")  # a definition without one leaves it open
     differs = F.array_except(F.split(wkt.structure_problems(F.col("wkt"), F.col("srs_id")), ","), F.array(F.lit(""), F.lit("code"), F.lit("axis order"), unnamed))
-    compared = used.withColumn("differs", F.coalesce(F.array_join(differs, ", "), F.lit("")))
+    compared = used.withColumns({"differs": F.coalesce(F.array_join(differs, ", "), F.lit("")), "problems": problems})
     solid = used.join(c.geometry_columns.filter("z <> 0").select("file", "srs_id").distinct(), ["file", "srs_id"], "left_semi").filter(compound("wkt"))
     covered = c.sets.join(c.coverage.select("file", "table_name").distinct(), ["file", "table_name"]).select("file", "srs_id").distinct()
     wkt2 = c.schema.filter("table_name = 'gpkg_spatial_ref_sys' AND column_name = 'definition_12_063'").select("file", F.lit(True).alias("has")).distinct()
     vertical = used.join(covered, ["file", "srs_id"], "left_semi").filter(compound("wkt")).join(wkt2, "file", "left")
     epoch = F.coalesce(F.round(text.frame_epoch(F.col("wkt")), 1) != F.round("epoch", 1), F.lit(True))
     return either(
-        judge(layers.filter("z = 0"), 9, ~catalog.allowed(F.col("srs_id"), "vector_2d"), named),
-        judge(layers.filter("z <> 0"), 10, ~catalog.allowed(F.col("srs_id"), "vector_3d"), named),
-        judge(flat, 11, ~catalog.allowed(F.col("srs_id"), "gridded_2d"), named),
-        judge(flat, 11, whole & outside, say("box of", "$table_name")),
-        judge(grids.filter(three), 12, ~catalog.allowed(F.col("srs_id"), "gridded_3d") & ~compound("definition"), named),
-        judge(used, 13, ~F.col("srs_id").isin(listed) & ~text.is_dynamic(F.col("srs_id"), F.col("srs_name")), say("system", "$srs_id")),
-        judge(used, 13, problems != "", F.concat(say("system", "$srs_id", ": "), problems)),
-        judge(compared, 13, F.col("differs") != "", F.concat(say("system", "$srs_id", "differs in: "), F.col("differs"))),
-        judge(layers.filter("z = 0"), 14, compound("definition"), say("$table_name", "is flat")),
+        judges(
+            layers, (F.col("z") == 0, 9, ~catalog.allowed(F.col("srs_id"), "vector_2d"), named), (F.col("z") != 0, 10, ~catalog.allowed(F.col("srs_id"), "vector_3d"), named),
+            (F.col("z") == 0, 14, compound("definition"), say("$table_name", "is flat")),
+        ),
+        judges(
+            grids, (~three, 11, ~catalog.allowed(F.col("srs_id"), "gridded_2d"), named), (~three, 11, whole & outside, say("box of", "$table_name")),
+            (three, 12, ~catalog.allowed(F.col("srs_id"), "gridded_3d") & ~compound("definition"), named),
+        ),
+        judges(
+            compared, (None, 13, ~F.col("srs_id").isin(listed) & ~text.is_dynamic(F.col("srs_id"), F.col("srs_name")), say("system", "$srs_id")),
+            (None, 13, F.col("problems") != "", F.concat(say("system", "$srs_id", ": "), F.col("problems"))), (None, 13, F.col("differs") != "", F.concat(say("system", "$srs_id", "differs in: "), F.col("differs"))),
+            (F.col("epoch") != 0, 17, epoch, say("epoch of system", "$srs_id")),
+        ),
         judge(solid, 15, text.compound_problems(F.col("wkt")) != "", F.concat(say("system", "$srs_id", ": "), text.compound_problems(F.col("wkt")))),
         judge(vertical, 16, F.col("has").isNull() | (text.compound_problems(F.col("wkt")) != ""), say("system", "$srs_id")),
-        judge(used.filter("epoch IS NOT NULL AND epoch <> 0"), 17, epoch, say("epoch of system", "$srs_id")),
     )
 
 
@@ -218,23 +234,24 @@ def metadata_rules(c, docs: DataFrame, linked: DataFrame) -> DataFrame:
     references = c.schema.filter(F.col("table_name") == REFERENCES).select("file").distinct()
     unfit = F.col("fine").isNull()
 
-    def layer(req: int, kind: str, scopes: list[str], blank: Column) -> DataFrame:
+    def layer(req: int, kind: str) -> DataFrame:
         unlinked = catalog.unlinked_layers(c.contents, c.reference, kind).join(references, "file", "left_semi")
-        return either(mark(unlinked, req, FAIL, say("nothing refers to", "$table_name")), judge(linked.filter(F.col("md_scope").isin(scopes)), req, unfit | blank | F.col("barren"), pair))
+        return mark(unlinked, req, FAIL, say("nothing refers to", "$table_name"))
 
     grids = c.coverage.select("file", "table_name").distinct()
     around = linked.join(grids.withColumn("own", F.lit(True)), ["file", "table_name"], "left").filter("own OR reference_scope = 'geopackage'").join(grids.select("file").distinct(), "file", "left_semi")
     orphans = c.reference.join(c.metadata.select("file", F.col("id").alias("md_file_id")), ["file", "md_file_id"], "left_anti")
     return either(
-        judge(docs.filter("read"), 18, F.col("lack") != "", F.concat(document, F.lit(": "), F.col("lack"))),
-        judge(docs, 19, F.col("typed"), document), judge(docs, 19, F.col("malformed"), F.concat(document, F.lit(" is not well-formed"))),
-        judge(linked, 19, unfit, pair),
-        mark(orphans, 21, FAIL, say("no document", "$md_file_id")), mark(orphans, 24, FAIL, say("no document", "$md_file_id")),
-        judge(linked, 21, unfit, pair),
-        judge(linked.filter("fine"), 21, stamped & ~text.is_stamp(F.trim("timestamp")), say("timestamp of", "$md_file_id")),
-        judge(docs.filter(F.col("md_scope").isin("series", "dataset")), 22, F.col("typed") | F.col("barren"), document),
-        layer(31, "tiles", TILE_SCOPES, _blank("md_standard_uri")),
-        layer(32, "features", FEATURE_SCOPES, F.lit(False)),
+        judges(
+            docs, (F.col("read"), 18, F.col("lack") != "", F.concat(document, F.lit(": "), F.col("lack"))), (None, 19, F.col("typed"), document),
+            (None, 19, F.col("malformed"), F.concat(document, F.lit(" is not well-formed"))), (F.col("md_scope").isin("series", "dataset"), 22, F.col("typed") | F.col("barren"), document),
+        ),
+        judges(
+            linked, (None, 19, unfit, pair), (None, 21, unfit, pair), (F.col("fine"), 21, stamped & ~text.is_stamp(F.trim("timestamp")), say("timestamp of", "$md_file_id")),
+            (F.col("md_scope").isin(TILE_SCOPES), 31, unfit | _blank("md_standard_uri") | F.col("barren"), pair), (F.col("md_scope").isin(FEATURE_SCOPES), 32, unfit | F.col("barren"), pair),
+        ),
+        judges(orphans, *[(None, req, F.lit(True), say("no document", "$md_file_id")) for req in (21, 24)]),
+        layer(31, "tiles"), layer(32, "features"),
         judge(around, 37, unfit | F.col("barren"), pair),
     )
 
@@ -268,13 +285,15 @@ def data_rules(c) -> DataFrame:
         mark(declared.join(there, ["file", "table_name"], "left_anti"), 24, FAIL, name("no such table")),
         named(c.geometry_columns, "layer is not in contents"), named(c.sets, "matrix set is not in contents"), named(c.matrix, "matrix is not in contents"),
         judge(keyed, 24, F.col("n_keys").isNull() | (F.col("n_keys") != 1) | (F.col("key_type") != "INTEGER"), name("no integer primary key")),
-        judge(indexed, 24, F.col("n").isNull(), name("no spatial index")),
-        judge(indexed, 24, F.col("n") != F.coalesce("n_shapes", F.lit(0)), name("index entries are not its rows")),
-        judge(indexed, 24, beyond, name("reaches beyond its declared box")),
+        judges(
+            indexed, (None, 24, F.col("n").isNull(), name("no spatial index")), (None, 24, F.col("n") != F.coalesce("n_shapes", F.lit(0)), name("index entries are not its rows")),
+            (None, 24, beyond, name("reaches beyond its declared box")),
+        ),
         mark(c.shapes.filter("empty"), 24, FAIL, name("null geometry")),
-        judge(shapes, 24, F.col("problem").isNotNull(), F.concat(name(""), F.col("problem"))),
-        judge(shapes, 24, declares("z", "has_z") | declares("m", "has_m"), name("Z or M not as declared")),
-        judge(shapes, 24, ~free & (F.col("geometry_type") != wanted), F.concat(name("holds "), F.col("geometry_type"))),
+        judges(
+            shapes, (None, 24, F.col("problem").isNotNull(), F.concat(name(""), F.col("problem"))), (None, 24, declares("z", "has_z") | declares("m", "has_m"), name("Z or M not as declared")),
+            (None, 24, ~free & (F.col("geometry_type") != wanted), F.concat(name("holds "), F.col("geometry_type"))),
+        ),
     )
 
 
@@ -292,8 +311,7 @@ def pyramid_rules(c) -> DataFrame:
     return either(
         judge(zoom.zoom_gaps(c.matrix).join(applies, "file", "left_semi"), 25, F.col("n_gaps") > 0, say("$table_name", "lacks levels", "$gaps")),
         mark(tables.join(there, ["file", "table_name"], "left_anti"), 26, FAIL, say("no table", "$table_name")),
-        judge(images.filter("format <> 'WEBP'"), 26, (F.col("format") == "UNKNOWN") | wrong, image),
-        judge(images.filter("format = 'WEBP'"), 26, F.lit(True), image),
+        judges(images, (F.col("format") != "WEBP", 26, (F.col("format") == "UNKNOWN") | wrong, image), (F.col("format") == "WEBP", 26, F.lit(True), image)),
         judge(zoom.zoom_factor(c.matrix).filter("status <> 'SKIPPED'"), 27, F.col("status") == "FAIL", say("steps of", "$table_name")),
         judge(zoom.zoom_monotone(c.matrix), 28, F.col("status") == "FAIL", say("order of", "$table_name")),
         judge(zoom.tile_size(c.matrix), 29, F.col("uniform") == "FAIL", say("sizes of", "$table_name")),
@@ -309,17 +327,62 @@ def gridded_rules(c) -> DataFrame:
     factor = lambda a, b: F.when(F.col(a) == 0, 0.0).otherwise(F.col(b) / F.col(a))
     off = lambda a, b: F.abs(factor(a, b) - 2) > 0.01
     return either(
-        judge(heights.filter("field_status <> 'SKIPPED'"), 34, F.col("field_status") == "FAIL", say("field of", "$table_name")),
-        judge(heights.filter("centre_status <> 'SKIPPED'"), 35, F.col("centre_status") == "FAIL", say("cells of", "$table_name")),
+        judges(
+            heights, (F.col("field_status") != "SKIPPED", 34, F.col("field_status") == "FAIL", say("field of", "$table_name")),
+            (F.col("centre_status") != "SKIPPED", 35, F.col("centre_status") == "FAIL", say("cells of", "$table_name")),
+        ),
         mark(grids, 36, FINE),
         judge(steps, 36, off("pixel_x_size", "px_before") | off("pixel_y_size", "py_before"), say("$table_name", "level", "$zoom_level")),
     )
 
 
-def evidence(c, as_of: str) -> DataFrame:
-    """``file, req, level, note`` of all rules over a catalog."""
-    docs = documents(c)
+def groups(c, as_of: str, kept=lambda rows, name: rows):
+    """Name and evidence of each group of rules in turn; ``kept`` may write the parsed documents and their references, which several groups read."""
+    docs = kept(documents(c), "documents")
     pairs = F.broadcast(dims.scope_pairs(c.files.sparkSession).withColumn("fine", F.lit(True)))
     named = docs.select("file", F.col("id").alias("md_file_id"), "md_scope", "md_standard_uri", "barren")
-    linked = c.reference.join(named, ["file", "md_file_id"]).join(pairs, ["reference_scope", "md_scope"], "left")
-    return either(extension_rules(c, as_of), raster_rules(c), system_rules(c), file_rules(c, docs, linked), metadata_rules(c, docs, linked), data_rules(c), pyramid_rules(c), gridded_rules(c))
+    linked = kept(c.reference.join(named, ["file", "md_file_id"]).join(pairs, ["reference_scope", "md_scope"], "left"), "linked")
+    yield "extensions", extension_rules(c, as_of)
+    yield "rasters", raster_rules(c)
+    yield "systems", system_rules(c)
+    yield "files", file_rules(c, docs, linked)
+    yield "metadata", metadata_rules(c, docs, linked)
+    yield "data", data_rules(c)
+    yield "pyramids", pyramid_rules(c)
+    yield "grids", gridded_rules(c)
+
+
+def evidence(c, as_of: str) -> DataFrame:
+    """``file, req, level, note`` of all rules over a catalog, as one plan."""
+    return either(*[rows for _, rows in groups(c, as_of)])
+
+
+@contextmanager
+def no_guessed_broadcasts(spark: SparkSession):
+    """Joins inside broadcast only tables that say so: by the few bytes of its files a table of millions of keys looks small, and the driver would hold it."""
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    before = {n: spark.conf.get(n, None) for n in names}
+    try:
+        for n in names:
+            spark.conf.set(n, "-1")
+        yield
+    finally:
+        for n, value in before.items():
+            spark.conf.unset(n) if value is None else spark.conf.set(n, value)
+
+
+def written_evidence(c, as_of: str, folder: str, brief=lambda rows: rows) -> DataFrame:
+    """``brief`` of the evidence of each group of rules, from tables below ``folder``.
+
+    The groups are written one after the other, so that the driver never holds the plan of all
+    rules, and documents are parsed once.
+    """
+    spark = c.files.sparkSession
+
+    def kept(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
+
+    with no_guessed_broadcasts(spark):
+        parts = [kept(brief(rows), f"rules_{name}") for name, rows in groups(c, as_of, kept)]
+    return either(*parts)

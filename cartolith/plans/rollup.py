@@ -17,8 +17,12 @@ from ..operators import requirements, scorers, scoring
 from .validate import Catalog, examples, findings
 
 
-def confirmations(c: Catalog) -> DataFrame:
-    """``file, req, confirmed, total_n`` of all second looks at a catalog."""
+#: Second looks that are one plan when they are written.
+LOOKS = 8
+
+
+def confirmations(c: Catalog, folder: str | None = None) -> DataFrame:
+    """``file, req, confirmed, total_n`` of all second looks at a catalog; with ``folder``, from tables below it that are written a few looks at a time."""
     tiles = c.heads.select("file", "table_name", "zoom_level")
     users = c.sets.join(c.coverage.select("file", "table_name").distinct(), ["file", "table_name"], "left_semi")
     rows = [
@@ -32,6 +36,12 @@ def confirmations(c: Catalog) -> DataFrame:
         scorers.complete_coverages(c.coverage), scorers.known_scopes(c.metadata),
     ]
     one = [r.select("file", F.col("req").cast("int").alias("req"), F.col("confirmed").cast("long").alias("confirmed"), F.col("total").cast("long").alias("total_n")) for r in rows]
+    if folder is not None:
+        spark = c.files.sparkSession
+        with requirements.no_guessed_broadcasts(spark):
+            for i in range(0, len(one), LOOKS):
+                reduce(DataFrame.unionByName, one[i : i + LOOKS]).write.mode("overwrite").parquet(f"{folder}/looks={i}")
+        return spark.read.schema(one[0].schema).parquet(*[f"{folder}/looks={i}" for i in range(0, len(one), LOOKS)])
     return reduce(DataFrame.unionByName, one)
 
 
@@ -50,10 +60,14 @@ def second_look() -> Column:
     return F.col("req").isin(dims.SECOND_LOOK) & F.col("status").isin("FAIL", "PASS*")
 
 
-def file_facts(c: Catalog, as_of: str, rows: DataFrame | None = None) -> DataFrame:
-    """``file, req, status, detail, confirmed, total_n, software, confidence, disputed`` of every file and requirement."""
+def file_facts(c: Catalog, as_of: str, rows: DataFrame | None = None, *, folder: str | None = None) -> DataFrame:
+    """``file, req, status, detail, confirmed, total_n, software, confidence, disputed`` of every file and requirement.
+
+    With ``folder``, evidence and second looks are written below it by several plans; without, all is one large plan.
+    """
     software = scoring.software_vote(scorers.software_signals(c)).select("file", "software", "confidence")
-    facts = findings(c, as_of, rows).join(confirmations(c), ["file", "req"], "left").join(software, "file", "left")
+    looks = confirmations(c, f"{folder}/looks" if folder else None)
+    facts = findings(c, as_of, rows, folder=f"{folder}/evidence" if folder else None).join(looks.hint("merge"), ["file", "req"], "left").join(software.hint("merge"), "file", "left")
     number = lambda x: F.coalesce(F.col(x), F.lit(0).cast("long")).alias(x)
     return facts.select("file", "req", "status", "detail", number("confirmed"), number("total_n"), "software", "confidence", second_look().alias("disputed"))
 
@@ -78,10 +92,8 @@ def write_reports(c: Catalog, as_of: str, folder: str, *, batch: int = 0) -> Dat
     from .report import write_findings, write_rollup
 
     spark = c.files.sparkSession
-    rows = requirements.evidence(c, as_of)
-    rows.write.mode("overwrite").parquet(f"{folder}/evidence")
-    rows = spark.read.parquet(f"{folder}/evidence")
-    write_batch(file_facts(c, as_of, rows), f"{folder}/facts", batch)
+    rows = requirements.written_evidence(c, as_of, f"{folder}/evidence")
+    write_batch(file_facts(c, as_of, rows, folder=f"{folder}/parts"), f"{folder}/facts", batch)
     facts = spark.read.parquet(f"{folder}/facts/batch={batch}")
     write_findings(facts, f"{folder}/files", notes=examples(rows), audits=audits(c))
     write_rollup(all_batches(spark, f"{folder}/facts"), f"{folder}/rollup")
