@@ -46,6 +46,8 @@ from pyspark.sql import functions as F
 
 from . import _similar as S
 from ._common import broadcast_if_small, materialize, small_batches, table, unused, with_mark
+from ._spans import PAD, equal_spans, joined
+from ._spans import words as words_at
 from .ngram_join import NO_ID
 
 LEAST, LONG = 6, 60
@@ -58,87 +60,67 @@ REACH = WINDOW
 BANDS, ROWS = 5, 2
 #: Rows of 8 to 40 bytes that may be broadcast after a count.
 KEYS = 400_000
-_ENDS = (b".", b",", b";", b":", b"!", b"?")
-_CACHE = 400_000
+#: Spans whose surroundings are looked up together.
+SPANS = 16_384
+_ENDS = np.zeros(256, bool)
+_ENDS[list(b".,;:!?")] = True
 
 
 class Paragraphs:
-    """Cuts texts into paragraphs; keeps hashes and marks of words seen before.
-
-    A line feed becomes a mark (NUL; those of the text count as another control character)
-    at the end of the word before it, so one split gives words and phrase ends alike.  The
-    two low bits of a word's entry say whether it ends a phrase and whether it is a bare
-    mark, which is no word.
-    """
-
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
-
-    def _entry(self, word: bytes) -> int:
-        bare = word.rstrip(b"\0")
-        ends = len(bare) < len(word) or bare[-1:] in _ENDS
-        return xxhash.xxh3_64_intdigest(bare) & ~3 | ends | (not bare) << 1
-
-    def _entries(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > _CACHE:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = self._entry(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-    def marked(self, t: str | None) -> np.ndarray:
-        """Hashes of a text's words; the lowest bit marks the end of a phrase."""
-        h = self._entries((t or "").encode().replace(b"\0", b"\1").replace(b"\n", b"\0 ").split())
-        bare = (h & np.uint64(2)) != 0
-        if bare.any():  # the phrase ends with the word before a bare mark
-            before = np.flatnonzero(bare) - 1
-            h[before[before >= 0]] |= np.uint64(1)
-            h = h[~bare]
-        return h
+    """Cuts texts into paragraphs, all texts of a batch at once; distinct words are hashed once a batch."""
+
+    @staticmethod
+    def marked(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words, flat, whose lowest bit marks the end of a phrase, and the words of each text.
+
+        A phrase ends with a word before a line feed, or whose last byte says so.
+        """
+        raw, bounds = joined(texts)
+        raw = raw[:-PAD].replace(b"\0", b"\1") + raw[-PAD:]
+        start, stop = words_at(raw, bounds)
+        one, number = equal_spans(raw, start, stop - start)
+        distinct = [raw[a:b] for a, b in zip(start[one].tolist(), stop[one].tolist())]
+        known = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(one))
+        data = np.frombuffer(raw, np.uint8)
+        ends = _ENDS[data[stop - 1]]
+        feed = np.flatnonzero(data == 10)
+        before = np.searchsorted(stop, feed, "right") - 1
+        feed, before = feed[before >= 0], before[before >= 0]
+        ends[before[start[before] >= bounds[np.searchsorted(bounds, feed, "right") - 1]]] = True
+        return known[number] & ~np.uint64(3) | ends, np.diff(np.searchsorted(start, bounds))
 
     def cut(self, texts: list[str | None]):
         """Word hashes, flat, and for each paragraph its text's number, first word in the text, place in the flat array and length; words of each text."""
-        flat, text, first, place, length, base = [], [], [], [], [], 0
-        words = np.zeros(len(texts), np.int64)
-        for number, t in enumerate(texts):
-            h = self.marked(t)
-            words[number] = len(h)
-            if not len(h):
-                continue
-            ends = np.flatnonzero(h & np.uint64(1)) + 1
-            if not len(ends) or ends[-1] != len(h):
-                ends = np.append(ends, len(h))
-            h &= ~np.uint64(3)
-            sizes = np.diff(ends, prepend=0)
-            every, ends = ends, np.union1d(ends[sizes >= LEAST], ends[-1:])
-            sizes = np.diff(ends, prepend=0)
-            if sizes.max() > LONG:  # cut at ends of short phrases, else at words
-                phrase = np.zeros(len(h), bool)
-                phrase[every - 1] = True
-                own = np.zeros(len(h), bool)
-                own[ends - 1] = True
-                at = np.flatnonzero(np.repeat(sizes > LONG, sizes) & (phrase | (mix_low(h) == 0)) | own)
-                rank = S.mix(h[at]) >> np.uint64(1) | np.where(phrase[at], np.uint64(1), np.uint64(1 << 63))
-                rank[own[at]] = 0
-                ends = np.union1d(_apart(at + 1, rank), ends[-1:])
-            starts = np.concatenate([[0], ends[:-1]])
-            keep = ends - starts >= LEAST
-            starts, ends = starts[keep], ends[keep]
-            flat.append(h)
-            text.append(np.full(len(starts), number))
-            first.append(starts)
-            place.append(base + starts)
-            length.append(ends - starts)
-            base += len(h)
-        if not flat:
-            empty = np.zeros(0, np.int64)
-            return np.zeros(0, np.uint64), empty, empty, empty, empty, words
-        return np.concatenate(flat), *(np.concatenate(x).astype(np.int64) for x in (text, first, place, length)), words
+        h, words = self.marked(texts)
+        phrase = (h & np.uint64(1)) != 0
+        h &= ~np.uint64(3)
+        base, text_of = np.cumsum(words) - words, np.repeat(np.arange(len(words)), words)
+        last = np.zeros(len(h), bool)
+        last[(base + words)[words > 0] - 1] = True
+        phrase |= last
+        every = np.flatnonzero(phrase)
+        own = last.copy()
+        own[every[np.diff(every, prepend=-1) >= LEAST]] = True
+        sizes = np.diff(np.flatnonzero(own), prepend=-1)
+        if (sizes > LONG).any():  # cut at ends of short phrases, else at words
+            far = np.repeat(sizes > LONG, sizes)
+            inside = np.isin(text_of, text_of[far])
+            at = np.flatnonzero(inside & (far | own))
+            at = at[own[at] | phrase[at] | (mix_low(h[at]) == 0)]
+            rank = S.mix(h[at]) >> np.uint64(1) | np.where(phrase[at], np.uint64(1), np.uint64(1 << 63))
+            rank[own[at]] = 0
+            own[inside] = False
+            own[at[_apart(at + LEAST * text_of[at], rank)]] = True
+        stop = np.flatnonzero(own) + 1
+        start = np.concatenate([[0], stop[:-1]])[: len(stop)]
+        keep = stop - start >= LEAST
+        start, stop = start[keep], stop[keep]
+        text = text_of[start]
+        return h, text, start - base[text], start, stop - start, words
 
 
 def _apart(ends: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The ends that have the least rank among those closer than ``LEAST`` words (of equal ranks the last)."""
+    """Which ends have the least rank among those closer than ``LEAST`` words (of equal ranks the last)."""
     keep = np.ones(len(ends), bool)
     for k in range(1, min(LEAST, len(ends))):
         near = ends[k:] - ends[:-k] < LEAST
@@ -147,7 +129,7 @@ def _apart(ends: np.ndarray, rank: np.ndarray) -> np.ndarray:
         before = rank[:-k] < rank[k:]
         keep[k:] &= ~(near & before)
         keep[:-k] &= ~near | before
-    return ends[keep]
+    return keep
 
 
 def seeds(rolled: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -315,24 +297,22 @@ def _surroundings(spans: DataFrame, reach: int) -> DataFrame:
     """
 
     def run(batches):
-        cutter = Paragraphs()
+        names = ["id", "th", "a", "b", "left", "right"]
         for batch, texts in _batches(batches):
-            row, a, b, left, right = [], [], [], [], []
-            spans = batch.column("spans").to_pylist()
-            for i, t in enumerate(texts):
-                h = (cutter.marked(t) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-                h = np.pad(h, reach)
-                for s in spans[i]:
-                    row.append(i)
-                    a.append(s["a"])
-                    b.append(s["b"])
-                    left.append(h[s["a"] : s["a"] + reach][::-1].tobytes())
-                    right.append(h[s["b"] + reach : s["b"] + 2 * reach].tobytes())
-            at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(at), batch.column("th").take(at), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(left, pa.binary()), pa.array(right, pa.binary())],
-                ["id", "th", "a", "b", "left", "right"],
-            )
+            h, words = Paragraphs.marked(texts)
+            # Each text has ``reach`` zeros on both sides, shared with its neighbours.
+            first = np.cumsum(words) - words + reach * np.arange(1, len(words) + 1)
+            near = np.zeros(len(h) + reach * (len(words) + 1), np.uint32)
+            near[_spread(first, words)] = (h >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+            spans = batch.column("spans")
+            rows, ends = np.repeat(np.arange(len(texts)), spans.value_lengths().to_numpy()), spans.flatten()
+            for i in range(0, len(rows), SPANS):
+                row, some = rows[i : i + SPANS], ends.slice(i, SPANS)
+                a, b = (x.cast(pa.int64()) for x in some.flatten())
+                left = near[(first[row] + a.to_numpy())[:, None] - 1 - np.arange(reach)]
+                right = near[(first[row] + b.to_numpy())[:, None] + np.arange(reach)]
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("th").take(at), a, b, S.binary_rows(left), S.binary_rows(right)], names)
 
     return spans.select("id", "th", "spans", "text").mapInArrow(run, "id long, th long, a long, b long, left binary, right binary")
 

@@ -1,15 +1,17 @@
 """Near duplicates, passages, lines and contamination against brute force in plain Python."""
 
 import re
+import sys
 from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
 import pytest
+import xxhash
 from llm.conftest import corpus, prose
 
 from cartolith.llm import _similar as S
-from cartolith.llm import decontaminate, line_dedup, ngram_join, substring_dedup
+from cartolith.llm import _spans, decontaminate, line_dedup, ngram_join, substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -282,6 +284,57 @@ def test_paragraphs_of_short_phrases_are_bounded():
     assert length.min() >= substring_dedup.LEAST and length.max() < 150
 
 
+def _odd(seed, n):
+    """Texts of words, marks, line feeds and white space of all kinds in any order."""
+    r = np.random.default_rng(seed)
+    parts = ["a", "bc.", "d,", "\n", " ", "\r\n", "\0", "é", "x\0", "\t", "\x0b", "\x1c", "q!", "日本", "w" * 8, "w" * 9, "w" * 40, "\n\n", "\0\n"]
+    return [None, "", " ", "\na", "a\n", *("".join(r.choice(parts) + r.choice(["", " "]) for _ in range(k)) for k in r.integers(0, 300, n))]
+
+
+def test_words_and_ends_of_phrases_against_plain_python():
+    texts = _odd(1, 200)
+    h, words = substring_dedup.Paragraphs.marked(texts)
+    want = []
+    for t, n in zip(texts, words.tolist()):
+        found = []
+        for w in (t or "").encode().replace(b"\0", b"\1").replace(b"\n", b"\0 ").split():  # NUL: the mark of a line feed
+            bare = w.rstrip(b"\0")
+            if bare:
+                found.append([xxhash.xxh3_64_intdigest(bare) & ~3, bare[-1:] in (b".", b",", b";", b":", b"!", b"?")])
+            if bare != w and found:
+                found[-1][1] = True
+        assert n == len(found)
+        want += [x | end for x, end in found]
+    assert h.tolist() == want
+
+
+def test_equal_spans_are_told_apart_by_their_bytes(monkeypatch):
+    texts = [t for t in _odd(2, 100) if t]
+    raw, bounds = _spans.joined(texts)
+    start, stop = _spans.words(raw, bounds)
+    for _ in range(2):
+        one, number = _spans.equal_spans(raw, start, stop - start)
+        kinds = [raw[start[i] : stop[i]] for i in one.tolist()]
+        assert len(set(kinds)) == len(kinds)
+        assert [kinds[k] for k in number.tolist()] == [raw[a:b] for a, b in zip(start.tolist(), stop.tolist())]
+        monkeypatch.setattr(_spans, "mix", lambda x: x & np.uint64(3))  # nearly all hashes collide
+
+
+def test_cutting_takes_few_steps_of_python_for_each_word():
+    texts, steps = [" ".join(f"w{i}x{j}" for j in range(500)) for i in range(100)], [0]
+
+    def count(frame, event, arg):
+        steps[0] += event in ("call", "c_call")
+
+    cutter = substring_dedup.Paragraphs()
+    sys.setprofile(count)
+    try:
+        cutter.cut(texts)
+    finally:
+        sys.setprofile(None)
+    assert steps[0] < 1.5 * 100 * 500
+
+
 def test_passages_extend_to_their_ends(spark):
     # One inner paragraph of 8 words between phrases of 21 and 22 that stand apart from it.
     own = [_bare(4000 + i, 40, 10) for i in range(6)]
