@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import zlib
 
@@ -32,9 +33,11 @@ from .bpe import read_tokenizer
 END_ID = 2
 SCHEMA = "doc_id long, part int, before long, n_tokens long, ids array<int>"
 
-#: Chunks that are encoded together, and those that white space keeps from it.
+#: Chunks that are encoded together, those that white space keeps from it, and those that any pattern leaves whole:
+#: Latin letters (of the first Unicode version, so all tables of letters agree), with a space before them or none.
 LINES = 64
 _NO_LINE = re.compile(r".\s|^[^\S ]|^ ?$", re.S)
+_LETTERS = re.compile("(?: ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+)").fullmatch
 
 _LOADED: dict = {}
 
@@ -46,6 +49,8 @@ def library_encoder(key: str, source: str) -> PackedEncoder:
     level, no prefix space, no normalizer, no template); else whole texts are encoded.
     """
     if key not in _LOADED:
+        # A task has one core; the library's threads only wait for each other.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         data = json.loads(source)
@@ -58,18 +63,27 @@ def library_encoder(key: str, source: str) -> PackedEncoder:
         def each(parts: list[str]) -> list[bytes]:
             return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
-        def encode(parts: list[str]) -> list[bytes]:
-            """Chunks go to the library a few dozen at a time, one a line; the line feeds' ids tell them apart."""
-            feed = tokenizer.encode("\n", add_special_tokens=False).ids
-            lines = [p for p in parts if not _NO_LINE.search(p)] if len(feed) == 1 else []
-            out, some = {}, [lines[i : i + LINES] for i in range(0, len(lines), LINES)]
-            for chunk, e in zip(some, tokenizer.encode_batch_fast(["\n".join(x) for x in some], add_special_tokens=False)):
+        def by_lines(library, lines: list[str], most: int) -> dict[str, bytes]:
+            """Chunks go to the library some at a time, one a line; the line feeds' ids tell them apart."""
+            out, some = {}, [lines[i : i + most] for i in range(0, len(lines), most)]
+            for chunk, e in zip(some, library.encode_batch_fast(["\n".join(x) for x in some], add_special_tokens=False)):
                 ids = np.array(e.ids, "<u4")
-                raw, ends = ids.tobytes(), [*np.flatnonzero(ids == feed[0]).tolist(), len(ids)]
-                out.update(zip(chunk, [raw[4 * a : 4 * b] for a, b in zip([0, *(x + 1 for x in ends)], ends)], strict=True))
-            rest = [p for p in parts if p not in out]
+                raw, ends = ids.tobytes(), (4 * np.flatnonzero(ids == feed[0])).tolist()
+                out.update(zip(chunk, [raw[a:b] for a, b in zip([0, *(x + 4 for x in ends)], [*ends, len(raw)], strict=True)], strict=True))
+            return out
+
+        feed = tokenizer.encode("\n", add_special_tokens=False).ids
+        # The same model behind a pre-tokenizer that cuts at line feeds only.
+        lines_only = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"String": "\n"}, "behavior": "Isolated", "invert": False}, {**pre, "use_regex": False}]}
+        letters = Tokenizer.from_str(json.dumps(data | {"pre_tokenizer": lines_only, "truncation": None, "padding": None})) if apart else tokenizer
+
+        def encode(parts: list[str]) -> list[bytes]:
+            whole, lines, rest = [], [], []
+            for p in parts:
+                (rest if len(feed) != 1 else whole if _LETTERS(p) else rest if _NO_LINE.search(p) else lines).append(p)
+            out = by_lines(letters, whole, 8 * LINES) | by_lines(tokenizer, lines, LINES)
             out.update(zip(rest, each(rest)))
-            return [out[p] for p in parts]
+            return [*map(out.__getitem__, parts)]
 
         encoder = PackedEncoder(encode, {t["content"]: t["id"] for t in data.get("added_tokens", [])} if apart else {})
         if not apart:

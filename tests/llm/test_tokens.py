@@ -48,6 +48,28 @@ def test_long_words_and_random_order_of_merges():
     check(["ab" * 400, "the" * 100 + "x" * 129, "é" * 200, "a" * 64, "a" * 65, "=" * 1000])
 
 
+def test_batches_of_plain_and_other_texts():
+    r = random.Random(8)
+    parts = [" and", " the", "\n", "word", "ß", " Öl,", " x.", "12", "\xa0", "\u2019", "\u2009", " ", "\x1f", "é" * 20, " Ωmega", " ªº", " <|endoftext|>"]
+    check(["", *("".join(r.choice(parts[: 8 if i % 2 else None]) for _ in range(r.randrange(60))) for i in range(600)), ""])
+
+
+def test_letters_are_whole_to_the_pattern():
+    """Each letter that goes past the pattern, and the next code points, with and without a space."""
+    check([f"a{chr(c)}b {chr(c)}{chr(c)} x{chr(c)}" for c in range(0xA1, 0x250)])
+
+
+def test_distinct_chunks_of_a_batch_are_looked_up_once():
+    texts = ["some words that come again and again in all of these texts, and no others\n" * 200 + "end"] * 5
+    for encoder in ENCODERS:
+        for _ in range(2):  # the first run learns
+            asked = []
+            encoder.known = type("Known", (dict,), {"__getitem__": lambda self, k: asked.append(k) or dict.__getitem__(self, k), "get": lambda self, k: asked.append(k) or dict.get(self, k)})(encoder.known)
+            encoder.encode(texts)
+            encoder.known = dict(encoder.known)
+        assert len(asked) < 100  # of 16,000 chunks
+
+
 def test_decode_replaces_broken_bytes():
     raw = bytes([0xE6, 0x97, 0x20, 0xFF, 0x41])
     packed = BPE.byte_ids[list(raw)].astype("<u4").tobytes()
